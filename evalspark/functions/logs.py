@@ -17,9 +17,18 @@ CONDITION_COVERAGE_LABEL = "Condition coverage:"
 COMPILER_ERROR_RE = "[^\n]*:[" + WS_CLASS_NO_NL + "]error:[" + WS_CLASS + "][^\n]*"
 
 
+def line_from_end(lines: Column, k: int) -> Column:
+    """The k-th line from the end, NULL when the log is shorter.
+
+    (A guarded ``element_at``: ``try_element_at`` with a negative index
+    drops out of generated code in this Spark version.)
+    """
+    return F.when(F.size(lines) >= k, F.element_at(lines, -k))
+
+
 def tests_ok(stdout_lines: Column) -> Column:
     """Non-empty log whose last line is exactly the zero-failures line."""
-    return F.coalesce(F.try_element_at(stdout_lines, F.lit(-1)) == TESTS_OK_LINE, F.lit(False))
+    return F.coalesce(line_from_end(stdout_lines, 1) == TESTS_OK_LINE, F.lit(False))
 
 
 def coverage_value(line: Column, label: str) -> Column:
@@ -34,8 +43,8 @@ def parse_coverage_summary(stdout_lines: Column) -> Column:
 
     Missing lines give 0.
     """
-    second_last = F.try_element_at(stdout_lines, F.lit(-2))
-    last = F.try_element_at(stdout_lines, F.lit(-1))
+    second_last = line_from_end(stdout_lines, 2)
+    last = line_from_end(stdout_lines, 1)
     return F.struct(
         F.coalesce(coverage_value(second_last, LINE_COVERAGE_LABEL), F.lit(0.0)).alias("line_coverage"),
         F.coalesce(coverage_value(last, CONDITION_COVERAGE_LABEL), F.lit(0.0)).alias("condition_coverage"),

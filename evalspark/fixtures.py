@@ -15,7 +15,21 @@ NL = "\n"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin an under-split scan over the session's parallelism.
+
+    A file with a single row group is read by one task, which would leave
+    the per-row work (XML parsing, regex token counts, brace folds) on one
+    core.  Large inputs already have at least as many splits as cores, and
+    then nothing changes.  Filters and column pruning still reach the scan.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
 
 
 def v_tasks(spark, sf_dir) -> DataFrame:

@@ -94,40 +94,81 @@ def token_cost(samples: DataFrame, prompts: DataFrame, key: str = "task_idx", ra
                                       .alias("input_tokens"), "output_tokens"))
 
 
-def task_detail_report(counts: DataFrame, flags: list[str], k_grid: list[int], t_grid: list[int],
-                       keys: list[str] | None = None) -> DataFrame:
-    """One nested row per task: counts, tokens and every eligible metric.
-
-    Computed as a projection of the per-task counts row; metrics a task is
-    not eligible for are NULL.
-    """
+def task_metrics_long(counts: DataFrame, flags: list[str], k_grid: list[int], t_grid: list[int],
+                      keys: list[str] | None = None, carry: list[str] | None = None,
+                      keep_ineligible: bool = False) -> DataFrame:
+    """pass@k and pass@t rows together: one explode of the (metric, param)
+    grid and a single estimator expression (cheap to plan, no union).
+    ``carry`` columns of the counts row ride along unchanged."""
     keys = keys or ["task_idx"]
+    carry = list(carry or [])
+    extra = ["total"] + (["total_tokens"] if "total_tokens" in counts.columns else [])
+    extra += [c for c in carry if c not in extra]
+    long = _flags_long(counts, flags, keys, extra)
     n = F.col("total")
-    per_flag = []
+    grid = [F.struct(F.lit("pass@k").alias("metric"), F.lit(float(k)).alias("param"),
+                     (n >= k).alias("ok"), F.lit(float(k)).alias("k")) for k in k_grid]
+    if "total_tokens" in counts.columns:
+        tt = F.col("total_tokens")
+        grid += [F.struct(F.lit("pass@t").alias("metric"), F.lit(float(t)).alias("param"),
+                          (tt >= t).alias("ok"), (F.lit(float(t)) / (tt / n)).alias("k")) for t in t_grid]
+    g = long.withColumn("__g", F.explode(F.array(*grid)))
+    value = pass_at_k(n, F.col("c"), F.col("__g.k"))
+    if keep_ineligible:
+        value = F.when(F.col("__g.ok"), value)
+    else:
+        g = g.filter(F.col("__g.ok"))
+    return g.select(*keys, *carry, "flag", F.col("__g.metric").alias("metric"), F.col("__g.param").alias("param"),
+                    n.alias("n"), F.col("c"), value.alias("value"))
+
+
+def _metric_name(flag: str, metric: str, param: float, sep: str) -> str:
+    return f"{flag}{sep}{metric.replace('@', '_at_')}_{int(param)}"
+
+
+def task_detail_flat(counts: DataFrame, flags: list[str], k_grid: list[int], t_grid: list[int],
+                     keys: list[str] | None = None, sep: str = "__", digits: int | None = None) -> DataFrame:
+    """One row per task: counts, tokens and every eligible metric as a leaf
+    column ``flag__pass_at_k_5`` (NULL where the task is not eligible).
+
+    The long metric rows are pivoted back with an explicit value list; the
+    pivot groups by the task key the counts are already partitioned on.
+    """
+    keys = keys or ["task_idx"]
+    has_tokens = "total_tokens" in counts.columns
+    base = [*keys, "total", "timed_out"] + (["total_tokens"] if has_tokens else [])
+    cnt = [count_col(f) for f in flags]
+    carry = [c for c in base if c not in keys] + cnt
+    long = task_metrics_long(counts.select(*base, *cnt), flags, k_grid, t_grid, keys, carry=carry,
+                             keep_ineligible=True)
+    names = []
+    for f in flags:
+        names += [_metric_name(f, "pass@k", k, sep) for k in k_grid]
+        names += [_metric_name(f, "pass@t", t, sep) for t in (t_grid if has_tokens else [])]
+    name = F.concat(F.col("flag"), F.lit(sep), F.regexp_replace("metric", "@", "_at_"), F.lit("_"),
+                    F.col("param").cast("long").cast("string"))
+    # Ineligible grid points stay as NULL values, so every task keeps its row.
+    j = long.withColumn("__name", name).groupBy(*keys, *carry).pivot("__name", names).agg(F.first("value"))
+
+    def rnd(c):
+        return F.round(F.col(c), digits).alias(c) if digits is not None else F.col(c)
+
+    out = [F.col(c) for c in keys + ["total", "timed_out"]] + ([rnd("total_tokens")] if has_tokens else [])
     for f in flags:
-        c = F.col(count_col(f))
-        fields = [c.alias("count")]
-        for k in k_grid:
-            fields.append(F.when(n >= k, pass_at_k(n, c, F.lit(float(k)))).alias(f"pass_at_k_{k}"))
-        if "total_tokens" in counts.columns:
-            tt = F.col("total_tokens")
-            for t in t_grid:
-                fields.append(F.when(tt >= t, pass_at_k(n, c, F.lit(float(t)) / (tt / n))).alias(f"pass_at_t_{t}"))
-        per_flag.append(F.struct(*fields).alias(f))
-    base = [*keys, "total", "timed_out"] + (["total_tokens"] if "total_tokens" in counts.columns else [])
-    return counts.select(*base, *per_flag)
-
-
-def flatten_struct_columns(df: DataFrame, sep: str = "__") -> DataFrame:
-    """Struct columns to leaf columns ``parent__child`` (for flat sinks)."""
-    cols = []
-    for name, dtype in df.dtypes:
-        if dtype.startswith("struct<"):
-            for sub in df.select(f"{name}.*").columns:
-                cols.append(F.col(f"{name}.{sub}").alias(f"{name}{sep}{sub}"))
-        else:
-            cols.append(F.col(name))
-    return df.select(*cols)
+        out.append(F.col(count_col(f)).alias(f"{f}{sep}count"))
+        out += [rnd(nm) for nm in names if nm.startswith(f + sep)]
+    return j.select(*out)
+
+
+def task_detail_report(counts: DataFrame, flags: list[str], k_grid: list[int], t_grid: list[int],
+                       keys: list[str] | None = None) -> DataFrame:
+    """One nested row per task: ``struct(count, pass_at_k_*, pass_at_t_*)`` per flag."""
+    keys = keys or ["task_idx"]
+    flat = task_detail_flat(counts, flags, k_grid, t_grid, keys)
+    base = [c for c in flat.columns if "__" not in c]
+    per_flag = [F.struct(*[F.col(c).alias(c.split("__", 1)[1]) for c in flat.columns if c.startswith(f + "__")]).alias(f)
+                for f in flags]
+    return flat.select(*base, *per_flag)
 
 
 def label_answers(answers: DataFrame, output: str = "output") -> DataFrame:

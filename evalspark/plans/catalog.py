@@ -242,9 +242,7 @@ def q_pass_at_t_task(spark, sf):
 
 def q_suite_pass_metrics(spark, sf):
     c = _counts_with_tokens(spark, sf)
-    m = met.pass_at_k_task(c, VERDICT_FLAGS, K_GRID_COMPLETE).unionByName(
-        met.pass_at_t_task(c, VERDICT_FLAGS, T_GRID))
-    s = met.suite_pass_metrics(m)
+    s = met.suite_pass_metrics(met.task_metrics_long(c, VERDICT_FLAGS, K_GRID_COMPLETE, T_GRID))
     return s.select("flag", "metric", "param", "n_tasks", r9(F.col("value")).alias("value"))
 
 
@@ -254,9 +252,7 @@ def q_suite_solved_counts(spark, sf):
 
 
 def q_task_detail_report(spark, sf):
-    rep = met.task_detail_report(_counts_with_tokens(spark, sf), VERDICT_FLAGS, K_GRID_COMPLETE, T_GRID)
-    flat = met.flatten_struct_columns(rep)
-    return flat.select(*[r9(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in flat.dtypes])
+    return met.task_detail_flat(_counts_with_tokens(spark, sf), VERDICT_FLAGS, K_GRID_COMPLETE, T_GRID, digits=R)
 
 
 def q_token_cost(spark, sf):
@@ -334,17 +330,17 @@ def q_defect_variants(spark, sf):
     return _scores_rounded(met.defect_scores(met.defect_confusion(v, by=["variant"])))
 
 
-def _level_rows(per_task, suite, values):
-    a = per_task.select(F.lit("task").alias("level"), "task_idx", *[r9(F.col(v)).alias(v) for v in values])
-    b = suite.select(F.lit("suite").alias("level"), F.lit(None).cast("int").alias("task_idx"),
-                     *[r9(F.col(v)).alias(v) for v in values])
-    return a.unionByName(b)
+def _level_rows(per_task, values):
+    """Task rows plus the macro mean over tasks, from one pass (rollup)."""
+    r = per_task.rollup("task_idx").agg(F.grouping_id().alias("__g"), *[F.avg(v).alias(v) for v in values])
+    return r.select(F.when(F.col("__g") == 0, F.lit("task")).otherwise(F.lit("suite")).alias("level"),
+                    "task_idx", *[r9(F.col(v)).alias(v) for v in values])
 
 
 def q_coverage_means(spark, sf):
     per_sample = cov.sample_line_coverage(fx.v_cov(spark, sf), ["task_idx", "sample_key"])
-    per_task, suite = cov.coverage_means(per_sample)
-    return _level_rows(per_task, suite, ["line_coverage", "condition_coverage"])
+    per_task, _ = cov.coverage_means(per_sample)
+    return _level_rows(per_task, ["line_coverage", "condition_coverage"])
 
 
 def _cov_tasks(spark, sf):
@@ -353,8 +349,7 @@ def _cov_tasks(spark, sf):
 
 def q_diff_coverage(spark, sf):
     per_task = cov.diff_coverage(fx.v_cov(spark, sf), _cov_tasks(spark, sf))
-    suite = per_task.agg(F.avg("diff_coverage").alias("diff_coverage"))
-    return _level_rows(per_task, suite, ["diff_coverage"])
+    return _level_rows(per_task, ["diff_coverage"])
 
 
 def q_target_classes(spark, sf):

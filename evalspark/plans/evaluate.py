@@ -123,8 +123,7 @@ def score(samples: DataFrame, suite_name: str, verdicts: DataFrame | None = None
         extra += [F.avg("line_coverage").alias("line_coverage"), F.avg("condition_coverage").alias("condition_coverage")]
     vc = ver.task_verdict_counts(verdicts, flags, extra_aggs=extra)
     counts = met.with_total_tokens(lookup_join(vc, task_token_cost(samples), "task_idx", "left"))
-    task_metrics = met.pass_at_k_task(counts, flags, list(suite.k_grid)).unionByName(
-        met.pass_at_t_task(counts, flags, list(suite.t_grid)))
+    task_metrics = met.task_metrics_long(counts, flags, list(suite.k_grid), list(suite.t_grid))
     report = EvalReport(samples=samples, task_counts=counts, task_metrics=task_metrics,
                         suite_metrics=met.suite_pass_metrics(task_metrics),
                         solved=met.suite_solved_counts(counts, flags),

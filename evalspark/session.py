@@ -36,24 +36,28 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+_LOCAL_ROOT: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this must be set by the deployment (a shared file system).
-    Only a local-mode session (tests, bench) gets a fresh private folder when
-    the setting is missing.
+    Only a local-mode session (tests, bench) without the setting gets a
+    private folder, registered as the RDD checkpoint directory.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        master = spark.sparkContext.master
-        if not master.startswith("local"):
+    if root:
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(root)
+        return root
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_ROOT:
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        root = tempfile.mkdtemp(prefix="evalspark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    spark.sparkContext.setCheckpointDir(root)
-    return root
+        _LOCAL_ROOT[app] = tempfile.mkdtemp(prefix="evalspark-ckpt-")
+        spark.sparkContext.setCheckpointDir(_LOCAL_ROOT[app])
+    return _LOCAL_ROOT[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -1,12 +1,11 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from evalspark.session import build_session  # noqa: E402
+from evalspark.session import build_session, checkpoint_root  # noqa: E402
 
 SF_SMALL = "/root/testdata/sf0.001"
 SF_MID = "/root/testdata/sf0.01"
@@ -15,9 +14,6 @@ SF_MID = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     s = build_session("local[4]", 4, app_name="evalspark-tests")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        d = tempfile.mkdtemp(prefix="evalspark-tests-")
-        s.conf.set("spark.checkpoint.dir", d)
-        s.sparkContext.setCheckpointDir(d)
+    checkpoint_root(s)      # the configured shared folder, or a private one in local mode
     yield s
     s.stop()

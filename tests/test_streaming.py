@@ -1,10 +1,10 @@
 import os
 import random
-import tempfile
 
 from pyspark.sql import functions as F
 
 from evalspark.functions.defect import STREAM_STOP_MARKERS
+from evalspark.session import scratch_path
 from evalspark.streaming import stop as sstop
 import rules
 
@@ -50,7 +50,7 @@ def _random_requests(rnd, n):
 
 
 def _run(spark, reqs, rule, prefix=None):
-    root = tempfile.mkdtemp(prefix="stream-src-", dir=spark.conf.get("spark.checkpoint.dir"))
+    root = scratch_path(spark, "stream-src")
     rows = [(rid, seq, t, prefix) for rid, ch in reqs.items() for seq, t in enumerate(ch)]
     random.Random(3).shuffle(rows)
     half = len(rows) // 2

@@ -11,6 +11,12 @@ Rules (by suite):
   * ``text``: brace scan of the generated text itself (repair);
   * ``signature``: brace scan of ``signature + "{\\n" + text`` (complete mode
     of complete / testgen / testgenissue), the prefix scanned at first use;
+  * ``chat``: chat mode of complete / testgen / testgenissue: wait for the
+    signature, then brace-scan the text between its first and second
+    occurrence.  The last ``len(signature) - 1`` characters are held back
+    (evaluated tentatively, committed later) so that a second occurrence
+    split over chunks is never scanned; once the second occurrence is seen
+    the segment is frozen and, if it did not close, the request never stops.
   * ``marker``: either verdict sentence occurs (defect detection); a text
     tail of ``max(len(marker)) - 1`` characters catches sentences split over
     chunks.
@@ -50,8 +56,11 @@ STATE_SCHEMA = T.StructType([
     T.StructField("pending", T.StringType()),
     T.StructField("output", T.StringType()),
     T.StructField("done", T.BooleanType()),
+    T.StructField("phase", T.LongType()),
 ])
 
+SEARCHING, SCANNING, FROZEN = 0, 1, 2
+
 
 def scan_braces(text: str, depth: int, in_quote: bool, seen: bool):
     """Resume the brace scan over ``text``; return the new state and whether
@@ -73,15 +82,44 @@ def scan_braces(text: str, depth: int, in_quote: bool, seen: bool):
     return depth, in_quote, seen, False
 
 
+def chat_step(text: str, sig: str, phase: int, held: str, depth: int, in_quote: bool, seen: bool):
+    """Advance the chat-mode rule by one chunk.
+
+    Returns ``(hit, phase, held, depth, in_quote, seen)``; ``held`` is the
+    tail not yet known to lie before a second signature occurrence.
+    """
+    n = len(sig)
+    if n == 0 or phase == FROZEN:
+        return False, phase, held, depth, in_quote, seen
+    if phase == SEARCHING:
+        buf = held + text
+        p = buf.find(sig)
+        if p < 0:
+            return False, phase, buf[-(n - 1):] if n > 1 else "", depth, in_quote, seen
+        phase, held, text = SCANNING, "", buf[p + n:]
+    buf = held + text
+    q = buf.find(sig)
+    if q >= 0:
+        depth, in_quote, seen, hit = scan_braces(buf[:q], depth, in_quote, seen)
+        return hit, FROZEN, "", depth, in_quote, seen
+    keep = n - 1
+    cut = max(len(buf) - keep, 0)
+    commit, held = buf[:cut], buf[cut:]
+    depth, in_quote, seen, hit = scan_braces(commit, depth, in_quote, seen)
+    if not hit:
+        hit = scan_braces(held, depth, in_quote, seen)[3]
+    return hit, SCANNING, held, depth, in_quote, seen
+
+
 def _stop_function(rule: str, markers: list[str]):
     keep = max((len(m) for m in markers), default=1) - 1
 
     def fn(key, batches: Iterator[pd.DataFrame], state):
         if state.exists:
-            next_seq, depth, in_quote, seen, tail, pending_s, output, done = state.get
+            next_seq, depth, in_quote, seen, tail, pending_s, output, done, phase = state.get
             pending = json.loads(pending_s)
         else:
-            next_seq, depth, in_quote, seen, tail, pending, output, done = 0, 0, False, False, "", {}, "", False
+            next_seq, depth, in_quote, seen, tail, pending, output, done, phase = 0, 0, False, False, "", {}, "", False, 0
         prefix = None
         for pdf in batches:
             if done:
@@ -103,6 +141,9 @@ def _stop_function(rule: str, markers: list[str]):
                     window = tail + text
                     hit = any(m in window for m in markers)
                     tail = window[-keep:] if keep > 0 else ""
+                elif rule == "chat":
+                    hit, phase, tail, depth, in_quote, seen = chat_step(
+                        text, prefix or "", phase, tail, depth, in_quote, seen)
                 else:
                     if not (depth == 0 and seen):
                         depth, in_quote, seen, hit = scan_braces(text, depth, in_quote, seen)
@@ -115,10 +156,10 @@ def _stop_function(rule: str, markers: list[str]):
                     break
                 next_seq += 1
         if done and stopped_at is not None:
-            state.update((next_seq, depth, in_quote, seen, "", "{}", "", True))
+            state.update((next_seq, depth, in_quote, seen, "", "{}", "", True, phase))
             yield pd.DataFrame({"request_id": [int(key[0])], "stop_seq": [int(stopped_at)], "output": [output]})
         else:
-            state.update((next_seq, depth, in_quote, seen, tail, json.dumps(pending), output, done))
+            state.update((next_seq, depth, in_quote, seen, tail, json.dumps(pending), output, done, phase))
 
     return fn
 
@@ -128,9 +169,10 @@ def stop_stream(chunks: DataFrame, rule: str, markers: list[str] | None = None,
     """Apply the early-stop rule to a (streaming) chunk DataFrame.
 
     ``chunks`` needs ``request_id, seq, text``; for the ``signature`` rule a
-    column named by ``prefix`` holds ``signature + "{\\n"``.
+    column named by ``prefix`` holds ``signature + "{\\n"``, for the ``chat``
+    rule the signature itself.
     """
-    if rule not in ("text", "signature", "marker"):
+    if rule not in ("text", "signature", "chat", "marker"):
         raise KeyError(rule)
     markers = markers or (STREAM_STOP_MARKERS if rule == "marker" else [])
     pre = F.col(prefix) if prefix else F.lit(None).cast("string")

@@ -82,3 +82,32 @@ def test_stream_signature_prefix(spark):
     assert got[0] == (0, "a }")
     assert got[1] == (2, "{ x}}")
     assert got[2] == (None, "no close")
+
+
+def _chat_check(gen, sig):
+    if sig not in gen:
+        return False
+    return _closes(gen.split(sig)[1])
+
+
+def test_stream_chat_rule_agrees_with_per_chunk_check(spark):
+    rnd = random.Random(5)
+    sig = "int f(a)"
+    pieces = ["int f(a)", "int f", "(a)", "{", "}", '"', " x ", "{ y }", "f(a)"]
+    reqs = {}
+    for rid in range(40):
+        text = "".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 10)))
+        cuts = sorted(rnd.sample(range(1, len(text)), min(len(text) - 1, rnd.randint(0, 6)))) if len(text) > 1 else []
+        bounds = [0] + cuts + [len(text)]
+        reqs[rid] = [text[a:b] for a, b in zip(bounds, bounds[1:])]
+    got = _run(spark, reqs, "chat", prefix=sig)
+    exp = {}
+    for rid, ch in reqs.items():
+        acc, hit = "", None
+        for seq, t in enumerate(ch):
+            acc += t
+            if _chat_check(acc, sig):
+                hit = seq
+                break
+        exp[rid] = (hit, acc if hit is not None else "".join(ch))
+    assert got == exp

@@ -255,15 +255,23 @@ def v_docs(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
 
 
-def v_generations(spark, sf_dir) -> DataFrame:
+def v_generations(spark, sf_dir, samples: DataFrame | None = None) -> DataFrame:
     """One record per task with the outputs array ordered by sample index.
 
     Arrays exist only at this I/O edge; per task they hold the task's
     samples (50 at sf0.1), which the generation run bounds by num_samples.
     """
-    s = v_samples(spark, sf_dir)
+    s = samples if samples is not None else v_samples(spark, sf_dir)
     return (s.groupBy("task_idx")
             .agg(F.array_sort(F.collect_list(F.struct("sample_idx", "output"))).alias("_o"))
             .select("task_idx",
                     F.concat(F.lit("task-"), F.lpad(F.col("task_idx").cast("string"), 6, "0")).alias("task_id"),
                     F.transform("_o", lambda x: x["output"]).alias("outputs")))
+
+
+def v_eval_tasks(spark, sf_dir) -> DataFrame:
+    """V_tasks with the columns the complete suite's post-processing reads."""
+    t = v_tasks(spark, sf_dir)
+    return (t.withColumn("prompt_complete_with_comment", F.col("prompt_complete"))
+            .withColumn("function_signature",
+                        F.concat(F.lit("public int f"), F.col("task_idx").cast("string"), F.lit("(int a)"))))

@@ -105,11 +105,12 @@ def merge_partials(partials: DataFrame, num_samples: int, key: str = "task_id",
     """
     keep_first = keep_first or []
     cut = first_n_samples(partials, num_samples, part=key, order=order)
-    aggs = [F.array_sort(F.collect_list(F.struct(order, output))).alias("__o")]
-    aggs += [F.min_by(c, order).alias(c) for c in keep_first]
-    merged = cut.groupBy(key).agg(*aggs)
+    # Scalar fields ride in the sorted list (object hash aggregate, no
+    # variable-width aggregation buffer, no sort of the input rows).
+    merged = cut.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, output, *keep_first))).alias("__o"))
     outs = F.transform("__o", lambda x: x[output])
-    merged = merged.withColumn("outputs", outs).withColumn("n_outputs", F.size("__o")).drop("__o")
+    merged = merged.select(key, *[F.col("__o")[0][c].alias(c) for c in keep_first], outs.alias("outputs"),
+                           F.size("__o").alias("n_outputs"))
     if sep is not None:
         merged = merged.withColumn("outputs", F.array_join("outputs", sep))
     return merged

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.logs import parse_coverage_summary, tests_ok
 
-OK, FAILED, COMPILE_FAIL, TIMEOUT = "ok", "failed", "compile_fail", "timeout"
+# Step outcomes as small integers: aggregation buffers stay fixed-width, so
+# the reducers run as hash aggregates (no sort of the fact rows).
+OK, FAILED, COMPILE_FAIL, TIMEOUT = 0, 1, 2, 3
 
 
 def step_status(exit_code: Column, timed_out: Column, stdout_lines: Column) -> Column:
@@ -21,9 +23,13 @@ def step_status(exit_code: Column, timed_out: Column, stdout_lines: Column) -> C
     A killed step (timeout) and a non-zero exit leave no test log; an exit 0
     passes only when its last log line reports zero failing tests.
     """
+    return status_from(exit_code, timed_out, tests_ok(stdout_lines))
+
+
+def status_from(exit_code: Column, timed_out: Column, log_ok: Column) -> Column:
     return (F.when(F.coalesce(timed_out, F.lit(False)), F.lit(TIMEOUT))
             .when(exit_code != 0, F.lit(COMPILE_FAIL))
-            .when(tests_ok(stdout_lines), F.lit(OK))
+            .when(F.coalesce(log_ok, F.lit(False)), F.lit(OK))
             .otherwise(F.lit(FAILED)))
 
 
@@ -75,14 +81,19 @@ def reduce_testgen_verdict(steps: DataFrame, run_keys: list[str], syntax_ok: str
     s = _with_status(steps, lines)
     is_test = F.col("kind") == test_kind
     is_cov = F.col("kind") == coverage_kind
-    cov_ok = is_cov & (F.col("exit_code") == 0) & ~F.coalesce(F.col("timed_out"), F.lit(False))
+    cov_ok = (F.col("exit_code") == 0) & ~F.coalesce(F.col("timed_out"), F.lit(False))
     summary = parse_coverage_summary(F.col(lines))
+    cov_order = F.when(is_cov, F.col("step_no"))
     aggs = [
         F.min_by("__status", F.when(is_test, F.col("step_no"))).alias("test"),
-        F.min_by(F.when(cov_ok, summary), F.when(is_cov, F.col("step_no"))).alias("cov"),
+        F.min_by(cov_ok, cov_order).alias("cov_ok"),
+        F.min_by(summary["line_coverage"], cov_order).alias("cov_line"),
+        F.min_by(summary["condition_coverage"], cov_order).alias("cov_cond"),
         (F.bool_and(F.col(syntax_ok)) if syntax_ok else F.lit(True)).alias("syntax"),
     ]
     r = s.groupBy(*run_keys).agg(*aggs)
+    r = r.withColumn("cov", F.when(F.coalesce(F.col("cov_ok"), F.lit(False)), F.struct(
+        F.col("cov_line").alias("line_coverage"), F.col("cov_cond").alias("condition_coverage"))))
     return _coverage_verdict(r, run_keys, F.col("test") == OK, F.col("test") == COMPILE_FAIL,
                              F.col("test") == TIMEOUT)
 
@@ -110,12 +121,22 @@ def pair_twin_runs(facts: DataFrame, key: list[str], version: str = "version",
     """One row per sample with ``fixed_*`` and ``buggy_*`` fields.
 
     Conditional aggregation in one grouped pass instead of a self-join.
+    Fixed-width fields use plain ``max``; when a field is variable-width
+    (a log line) each side's fields travel as one struct through
+    ``collect_list`` (object hash aggregate; at most one row per side),
+    so no sort of the fact rows is needed.
     """
-    aggs = []
-    for side in ("fixed", "buggy"):
-        for f in fields:
-            aggs.append(F.max(F.when(F.col(version) == side, F.col(f))).alias(f"{side}_{f}"))
-    return facts.groupBy(*key).agg(*aggs)
+    types = dict(facts.dtypes)
+    fixed_width = all(types[f] in ("int", "bigint", "smallint", "tinyint", "boolean", "double", "float")
+                      for f in fields)
+    if fixed_width:
+        aggs = [F.max(F.when(F.col(version) == side, F.col(f))).alias(f"{side}_{f}")
+                for side in ("fixed", "buggy") for f in fields]
+        return facts.groupBy(*key).agg(*aggs)
+    aggs = [F.array_max(F.collect_list(F.when(F.col(version) == side, F.struct(*fields)))).alias(f"__{side}")
+            for side in ("fixed", "buggy")]
+    r = facts.groupBy(*key).agg(*aggs)
+    return r.select(*key, *[F.col(f"__{side}.{f}").alias(f"{side}_{f}") for side in ("fixed", "buggy") for f in fields])
 
 
 def reduce_issue_verdict(paired: DataFrame, key: list[str], syntax_ok: str | None = None,
@@ -124,13 +145,17 @@ def reduce_issue_verdict(paired: DataFrame, key: list[str], syntax_ok: str | Non
 
     The test must fail on the buggy version (any failure, including compile
     errors and timeouts) and pass on the fixed one.  ``pass_compile`` and
-    ``timed_out`` combine both sides.  Coverage (a
+    ``timed_out`` combine both sides.  Each side carries ``exit_code``,
+    ``timed_out`` and either ``tests_ok`` or ``last_line``.  Coverage (a
     ``struct(line_coverage, condition_coverage)`` from the fixed side's
     coverage step, NULL when that step failed) must be non-zero.
     """
     def status(side):
-        return step_status(F.col(f"{side}_exit_code"), F.col(f"{side}_timed_out"),
-                           F.array(F.col(f"{side}_last_line")))
+        if f"{side}_tests_ok" in paired.columns:
+            log_ok = F.col(f"{side}_tests_ok")
+        else:
+            log_ok = tests_ok(F.array(F.col(f"{side}_last_line")))
+        return status_from(F.col(f"{side}_exit_code"), F.col(f"{side}_timed_out"), log_ok)
 
     fixed, buggy = status("fixed"), status("buggy")
     r = paired.withColumn("syntax", F.col(syntax_ok) if syntax_ok else F.lit(True))

@@ -294,14 +294,21 @@ def q_reduce_testgen_verdict(spark, sf):
 def q_reduce_issue_verdict(spark, sf):
     t = _twin_facts(spark, sf)
     vfl = F.floor(F.col("value")).cast("long")
-    cov_struct = F.when(vfl % 9 != 0, F.struct((vfl % 20 / 20.0).alias("line_coverage"),
-                                                (vfl % 7 / 7.0).alias("condition_coverage")))
-    t = t.withColumn("coverage", F.when(F.col("version") == "fixed", cov_struct)) \
-        .withColumn("syntax_ok", F.col("value") >= 1.0)
-    paired = ver.pair_twin_runs(t, ["sample_idx"], fields=("exit_code", "timed_out", "last_line"))
-    extra = t.groupBy("sample_idx").agg(F.max("coverage").alias("coverage"),
-                                        F.bool_and("syntax_ok").alias("syntax_ok"))
-    v = ver.reduce_issue_verdict(paired.join(extra, "sample_idx"), ["sample_idx"], syntax_ok="syntax_ok")
+    # Facts per side: test outcome, and on the fixed side the coverage step.
+    t = t.select("sample_idx", "version", "exit_code", "timed_out",
+                 logs.tests_ok(F.array("last_line")).alias("tests_ok"),
+                 (vfl % 9 != 0).alias("cov_ok"), (vfl % 20 / 20.0).alias("cov_line"),
+                 (vfl % 7 / 7.0).alias("cov_cond"), (F.col("value") >= 1.0).alias("syntax_ok"))
+    paired = ver.pair_twin_runs(t, ["sample_idx"],
+                                fields=("exit_code", "timed_out", "tests_ok", "cov_ok", "cov_line", "cov_cond",
+                                        "syntax_ok"))
+    paired = paired.select(
+        "*", F.when(F.col("fixed_cov_ok"), F.struct(F.col("fixed_cov_line").alias("line_coverage"),
+                                                    F.col("fixed_cov_cond").alias("condition_coverage")))
+        .alias("coverage"),
+        F.coalesce(F.col("fixed_syntax_ok") & F.col("buggy_syntax_ok"),
+                   F.coalesce(F.col("fixed_syntax_ok"), F.col("buggy_syntax_ok"))).alias("syntax_ok"))
+    v = ver.reduce_issue_verdict(paired, ["sample_idx"], syntax_ok="syntax_ok")
     return v.select("sample_idx", "pass_syntax", "pass_compile", "pass_trigger",
                     r9(F.col("line_coverage")).alias("line_coverage"),
                     r9(F.col("condition_coverage")).alias("condition_coverage"), "timed_out")
@@ -541,6 +548,26 @@ def q_register_suite(spark, sf):
     return s.select("suite", "flag", "metric", "param", "n_tasks", r9(F.col("value")).alias("value"))
 
 
+# --- end to end --------------------------------------------------------------------
+
+def q_evaluate_complete(spark, sf):
+    """run_evaluate for the complete suite in complete mode: post-processing,
+    persisted stage, token cost and the suite metric table."""
+    from evalspark.plans.evaluate import run_evaluate
+    rep = run_evaluate(spark, "complete", fx.v_eval_tasks(spark, sf), fx.v_generations(spark, sf), "complete",
+                       verdicts=fx.v_verdicts(spark, sf))
+    return rep.suite_metrics.select("flag", "metric", "param", "n_tasks", r9(F.col("value")).alias("value"))
+
+
+def q_evaluate_defectdetection(spark, sf):
+    """run_evaluate for defect detection in chat mode: truncation, labels,
+    confusion and scores for all samples and for the first sample per task."""
+    from evalspark.plans.evaluate import run_evaluate
+    gens = fx.v_generations(spark, sf, samples=fx.v_answers(spark, sf))
+    rep = run_evaluate(spark, "defectdetection", fx.v_tasks(spark, sf), gens, "chat")
+    return _scores_rounded(rep.defect)
+
+
 # --- flagship ---------------------------------------------------------------------
 
 def q_leaderboard(spark, sf):
@@ -610,5 +637,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_stop_marker": q_stream_stop_marker,
     "stream_collect_partials": q_stream_collect_partials,
     "register_suite": q_register_suite,
+    "evaluate_complete": q_evaluate_complete,
+    "evaluate_defectdetection": q_evaluate_defectdetection,
     "leaderboard": q_leaderboard,
 }

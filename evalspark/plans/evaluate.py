@@ -89,14 +89,22 @@ def prepare_samples(spark: SparkSession, suite_name: str, tasks: DataFrame, gene
 
 
 def task_token_cost(samples: DataFrame) -> DataFrame:
-    """Per task: raw-output tokens summed map-side; the prompt (the same for
-    every sample of a task) is tokenized once and multiplied by the count."""
-    agg = samples.groupBy("task_idx").agg(
+    """Per task: 0.5 x input tokens + raw-output tokens, input counted per sample.
+
+    Raw-output tokens are summed map-side.  The prompt is the same for every
+    sample of a task, so rows are first grouped by (task, prompt): the
+    prompt is a grouping key (hash aggregate, no sort, no string buffer) and
+    is tokenized once per group after the aggregation, then multiplied by
+    the group's sample count.
+    """
+    per_prompt = samples.groupBy("task_idx", "input").agg(
         F.count(F.lit(1)).alias("n_samples"),
-        F.sum(tokens.count_tokens(F.col("raw_output"))).cast("long").alias("output_tokens"),
-        F.any_value("input").alias("prompt"))
-    return agg.select("task_idx", "output_tokens",
-                      (tokens.count_tokens(F.col("prompt")) * F.col("n_samples")).cast("long").alias("input_tokens"))
+        F.sum(tokens.count_tokens(F.col("raw_output"))).cast("long").alias("output_tokens"))
+    per_prompt = per_prompt.select(
+        "task_idx", "output_tokens",
+        (tokens.count_tokens(F.col("input")) * F.col("n_samples")).cast("long").alias("input_tokens"))
+    return per_prompt.groupBy("task_idx").agg(F.sum("output_tokens").alias("output_tokens"),
+                                              F.sum("input_tokens").alias("input_tokens"))
 
 
 def score(samples: DataFrame, suite_name: str, verdicts: DataFrame | None = None,

@@ -305,15 +305,32 @@ def _stream_marker_sql() -> str:
                       "JOIN cum c ON c.request_id = l.request_id AND c.seq = coalesce(st.stop_seq, l.last_seq)")
 
 
-def _postprocessed_sql() -> str:
+def _postprocessed_ctes() -> list[tuple[str, str]]:
+    """CTEs ending in ``pp(task_idx, sample_idx, input, output, raw_output)``:
+    complete-mode post-processing of V_samples against V_tasks."""
     j = ("SELECT s.task_idx, s.sample_idx, s.output, t.prompt_complete, "
          "substring(s.output, length(t.prompt_complete) + 1) AS cut FROM V_samples s JOIN V_tasks t USING (task_idx)")
     pure = "SELECT j.*, " + cut_at_stop("cut", "sp.stop_pos") + " AS pure FROM j LEFT JOIN sp USING (task_idx, sample_idx)"
-    return with_views(["V_samples", "V_tasks"], [("j", j)] + stop_ctes("j", ["task_idx", "sample_idx"], "cut", "sp")
-                      + [("p", pure)],
-                      f"SELECT task_idx, sample_idx, {strip('prompt_complete')} AS input, pure AS output, "
-                      "CASE WHEN length(pure) = 0 THEN '' WHEN strpos(output, pure) > 0 "
-                      "THEN substring(output, 1, strpos(output, pure) - 1 + length(pure)) ELSE output END AS raw_output FROM p")
+    pp = (f"SELECT task_idx, sample_idx, {strip('prompt_complete')} AS input, pure AS output, "
+          "CASE WHEN length(pure) = 0 THEN '' WHEN strpos(output, pure) > 0 "
+          "THEN substring(output, 1, strpos(output, pure) - 1 + length(pure)) ELSE output END AS raw_output FROM p")
+    return [("j", j)] + stop_ctes("j", ["task_idx", "sample_idx"], "cut", "sp") + [("p", pure), ("pp", pp)]
+
+
+def _postprocessed_sql() -> str:
+    return with_views(["V_samples", "V_tasks"], _postprocessed_ctes(),
+                      "SELECT task_idx, sample_idx, input, output, raw_output FROM pp")
+
+
+def _evaluate_complete_sql() -> str:
+    tc = (f"SELECT task_idx, CAST(sum({ntok('raw_output')}) AS BIGINT) AS output_tokens, "
+          f"CAST({ntok('any_value(input)')} AS BIGINT) * count(*) AS input_tokens FROM pp GROUP BY task_idx")
+    counts = ("SELECT vc.*, CAST(input_tokens AS DOUBLE) * 0.5::DOUBLE + output_tokens AS total_tokens "
+              "FROM vc LEFT JOIN tc USING (task_idx)")
+    rows = passk_rows("counts", K_GRID_COMPLETE) + " UNION ALL " + passt_rows("counts", T_GRID)
+    return with_views(["V_samples", "V_tasks", "V_verdicts"],
+                      _postprocessed_ctes() + [("tc", tc), ("vc", COUNTS.format(src="V_verdicts")), ("counts", counts)],
+                      suite_rows(rows))
 
 
 def _extract_sql() -> str:
@@ -539,5 +556,7 @@ def oracle_sql() -> dict[str, str]:
     two = ("SELECT 'complete' AS suite, * FROM (" + passk_rows("counts", K_GRID_COMPLETE) + ") UNION ALL "
            "SELECT 'complete_k3' AS suite, * FROM (" + passk_rows("counts", [1, 3]) + ")")
     qs["register_suite"] = with_views(["V_verdicts"], [("counts", COUNTS.format(src="V_verdicts"))], suite_rows(two, "suite, "))
+    qs["evaluate_complete"] = _evaluate_complete_sql()
+    qs["evaluate_defectdetection"] = scores_sql(confusion_sql("variant"), "variant, ")
     qs["leaderboard"] = _leaderboard_sql()
     return qs

@@ -29,9 +29,11 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from typing import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -174,6 +176,9 @@ def stop_stream(chunks: DataFrame, rule: str, markers: list[str] | None = None,
     """
     if rule not in ("text", "signature", "chat", "marker"):
         raise KeyError(rule)
+    # Ship the processor and its helpers by value: Python workers then need
+    # only the standard library, pandas and pyspark, not this package.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     markers = markers or (STREAM_STOP_MARKERS if rule == "marker" else [])
     pre = F.col(prefix) if prefix else F.lit(None).cast("string")
     src = chunks.select(F.col("request_id").cast("long"), F.col("seq").cast("long"), "text", pre.alias("prefix"))

@@ -29,6 +29,23 @@ def coverage_lines_from_xml(df: DataFrame, xml: str = "xml", keep: list[str] | N
                         (F.col("__l._hits").cast("long") > 0).alias("hit"))
 
 
+def load_coverage_xml_files(spark, path: str) -> DataFrame:
+    """File form: Cobertura reports read with the XML data source, one row per
+    ``class`` element (``input_file_name`` identifies the report), exploded
+    like :func:`coverage_lines_from_xml`."""
+    cls_schema = COVERAGE_XML["packages"].dataType["package"].dataType.elementType["classes"].dataType["class"] \
+        .dataType.elementType
+    classes = (spark.read.format("xml").option("rowTag", "class").schema(cls_schema).load(path)
+               .select(F.input_file_name().alias("report"), F.struct("*").alias("__c")))
+    method_lines = F.flatten(F.transform(F.coalesce(F.col("__c.methods.method"), F.array()),
+                                         lambda m: F.coalesce(m["lines"]["line"], F.array())))
+    class_lines = F.coalesce(F.col("__c.lines.line"), F.array())
+    lines = classes.select("report", F.col("__c._name").alias("class"), F.col("__c._filename").alias("file"),
+                           F.explode(F.concat(method_lines, class_lines)).alias("__l"))
+    return lines.select("report", "class", "file", F.col("__l._number").alias("number"),
+                        (F.col("__l._hits").cast("long") > 0).alias("hit"))
+
+
 def coverage_means(per_sample: DataFrame, task_key: str = "task_idx",
                    values: tuple[str, ...] = ("line_coverage", "condition_coverage")) -> tuple[DataFrame, DataFrame]:
     """Mean over all samples of a task (failed samples carry 0), then macro mean."""

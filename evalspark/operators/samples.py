@@ -47,6 +47,13 @@ def select_prompt(tasks: DataFrame, mode: str) -> DataFrame:
     return tasks.withColumn("prompt", py_strip(F.col(col)))
 
 
+def reference_solution(tasks: DataFrame, suite_name: str) -> DataFrame:
+    """``task_idx`` and the suite's reference solution (``function`` or ``fix``)."""
+    from evalspark.suites import get_suite
+    col = get_suite(suite_name).reference_col
+    return tasks.select("task_idx", F.col(col).alias("reference"))
+
+
 def expand_requests(tasks: DataFrame, num_samples: int, batch_size: int | None = None) -> DataFrame:
     """One request row per copy: ``num_samples`` copies, or ``ceil(num/batch)``."""
     n_copy = copies_per_task(num_samples, batch_size)

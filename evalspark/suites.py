@@ -29,6 +29,7 @@ class SuiteConfig:
     has_coverage: bool = False
     twin_versions: bool = False
     stream_scan: str = "signature"       # "signature", "text" or "marker"
+    reference_col: str = "function"      # column holding the reference solution
     extra: dict = field(default_factory=dict)
 
 
@@ -55,10 +56,10 @@ def suite_names() -> list[str]:
 register_suite(SuiteConfig("complete", "prompt_complete_with_comment", "signature", True,
                            tuple(VERDICT_FLAGS), tuple(K_GRID_COMPLETE)))
 register_suite(SuiteConfig("repair", "prompt_complete", "signature", True,
-                           tuple(VERDICT_FLAGS), stream_scan="text"))
+                           tuple(VERDICT_FLAGS), stream_scan="text", reference_col="fix"))
 register_suite(SuiteConfig("testgen", "prompt_complete_with_comment", "signature", False,
                            tuple(TEST_VERDICT_FLAGS), has_coverage=True))
 register_suite(SuiteConfig("testgenissue", "prompt_complete_without_signature", "signature", False,
                            tuple(TEST_VERDICT_FLAGS), has_coverage=True, twin_versions=True))
 register_suite(SuiteConfig("defectdetection", "prompt_complete", "marker", False,
-                           (), (), (), stream_scan="marker"))
+                           (), (), (), stream_scan="marker", reference_col="fix"))

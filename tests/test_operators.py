@@ -127,3 +127,50 @@ def test_macro_mean_skips_ineligible_tasks(spark):
     m = met.suite_pass_metrics(met.pass_at_k_task(counts, ["pass_syntax"], [1, 5]))
     got = {r.param: (r.n_tasks, round(r.value, 9)) for r in m.collect()}
     assert got == {1.0: (2, round((1.0 + 0.2) / 2, 9)), 5.0: (1, 1.0)}
+
+
+def test_generation_side_round_trip(spark):
+    from evalspark.plans.generation import build_requests, reorg_output_file
+    from evalspark.session import scratch_path
+    tasks = spark.createDataFrame([Row(task_idx=i, task_id=f"t{i}", prompt_complete=f" c{i} ", prompt_chat=f"q{i}")
+                                   for i in range(6)])
+    req = build_requests(tasks, "complete", "chat", num_samples=5, batch_size=2, begin=1, end=4, n_shards=2, seed=3)
+    rows = req.collect()
+    assert len(rows) == 3 * 3 and {r.question for r in rows} == {"q1", "q2", "q3"}
+    log = scratch_path(spark, "partials-log")
+    recs = [Row(task_idx=r.task_idx, task_id=r.task_id, outputs=[f"{r.task_id}-{r.copy_no}-a", f"{r.task_id}-{r.copy_no}-b"],
+                gen_mode="chat", temperature=0.2, max_new_tokens=64, tstamp=0.0, model_id="m", request_id=None,
+                inputs=None, raw_outputs=None, ord=r.copy_no) for r in rows]
+    df = spark.createDataFrame(recs, schema=files_schema())
+    df.write.mode("append").json(log)
+    df.write.mode("append").json(log)          # a re-appending writer duplicates records
+    out = reorg_output_file(spark, log, scratch_path(spark, "merged-out"), num_samples=5)
+    got = {r.task_id: r.outputs for r in out.collect()}
+    assert got["t1"] == ["t1-1-a", "t1-1-b", "t1-2-a", "t1-2-b", "t1-3-a"]
+
+
+def files_schema():
+    from evalspark.sources.files import generations_schema
+    return generations_schema()
+
+
+def test_coverage_xml_files(spark):
+    import os
+    from evalspark.operators.coverage import load_coverage_xml_files
+    from evalspark.session import scratch_path
+    d = scratch_path(spark, "cov-xml")
+    os.makedirs(d, exist_ok=True)
+    with open(os.path.join(d, "coverage.xml"), "w") as f:
+        f.write('<coverage><packages><package name="p"><classes>'
+                '<class name="A" filename="A.java"><methods><method name="m"><lines><line number="3" hits="2"/></lines>'
+                '</method></methods><lines><line number="3" hits="2"/><line number="4" hits="0"/></lines></class>'
+                '<class name="B" filename="B.java"><lines><line number="1" hits="1"/></lines></class>'
+                '</classes></package></packages></coverage>')
+    got = sorted((r["class"], r.number, r.hit) for r in load_coverage_xml_files(spark, d).collect())
+    assert got == [("A", "3", True), ("A", "3", True), ("A", "4", False), ("B", "1", True)]
+
+
+def test_reference_solution(spark):
+    t = spark.createDataFrame([Row(task_idx=0, function="f()", fix="g()")])
+    assert smp.reference_solution(t, "complete").first().reference == "f()"
+    assert smp.reference_solution(t, "repair").first().reference == "g()"

@@ -90,6 +90,14 @@ def flag_error_outputs(samples: DataFrame, output: str = "output") -> DataFrame:
     return samples.withColumn("is_error", F.col(output).isin(*ERROR_OUTPUTS))
 
 
+def error_output_counts(samples: DataFrame, by: list[str], output: str = "output") -> DataFrame:
+    """Per run (``by``): samples, and samples holding each in-band failure value."""
+    o = F.col(output)
+    return samples.groupBy(*by).agg(F.count(F.lit(1)).alias("samples"),
+                                    F.count_if(o == "$ERROR$").alias("n_api_error"),
+                                    F.count_if(o == "ERROR").alias("n_runtime_error"))
+
+
 def attach_task(samples: DataFrame, tasks: DataFrame, columns: list[str], key: str = "task_idx") -> DataFrame:
     """Task columns looked up by index; a missing index fails the job."""
     dim = tasks.select(key, *columns)

@@ -181,3 +181,11 @@ def task_verdict_counts(verdicts: DataFrame, flags: list[str], task_keys: list[s
     aggs.append(F.count_if(F.col("timed_out")).alias("timed_out"))
     aggs += extra_aggs or []
     return verdicts.groupBy(*task_keys).agg(*aggs)
+
+
+def compiler_error_histogram(steps: DataFrame, by: list[str] | None = None, stderr: str = "stderr") -> DataFrame:
+    """Failed steps grouped by their first compiler-error line (triage table)."""
+    from evalspark.functions.logs import first_compiler_error
+    failed = steps.filter(F.col("exit_code") != 0)
+    return (failed.withColumn("first_error", first_compiler_error(F.col(stderr)))
+            .groupBy(*(by or []), "first_error").agg(F.count(F.lit(1)).alias("steps")))

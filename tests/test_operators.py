@@ -174,3 +174,13 @@ def test_reference_solution(spark):
     t = spark.createDataFrame([Row(task_idx=0, function="f()", fix="g()")])
     assert smp.reference_solution(t, "complete").first().reference == "f()"
     assert smp.reference_solution(t, "repair").first().reference == "g()"
+
+
+def test_error_counts_and_compiler_histogram(spark):
+    s = spark.createDataFrame([Row(run="a", output=o) for o in ["x", "ERROR", "$ERROR$", "ERROR"]])
+    r = smp.error_output_counts(s, ["run"]).first()
+    assert (r.samples, r.n_api_error, r.n_runtime_error) == (4, 1, 2)
+    steps = spark.createDataFrame([Row(exit_code=1, stderr="A.java:1: error: x\nmore"), Row(exit_code=1, stderr="warn"),
+                                   Row(exit_code=0, stderr="A.java:1: error: x")])
+    h = {r.first_error: r.steps for r in ver.compiler_error_histogram(steps).collect()}
+    assert h == {"A.java:1: error: x": 1, None: 1}

@@ -26,8 +26,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     core.  Large inputs already have at least as many splits as cores, and
     then nothing changes.  Filters and column pruning still reach the scan.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:       # no RDD view (e.g. a Spark Connect session): leave the scan as is
         return df
     return df.repartition(target)
 

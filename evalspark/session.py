@@ -48,8 +48,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(root)
+        try:
+            if not spark.sparkContext.getCheckpointDir():
+                spark.sparkContext.setCheckpointDir(root)
+        except Exception:   # no SparkContext on this client (Spark Connect)
+            pass
         return root
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_ROOT:

@@ -1,10 +1,8 @@
 import pytest
 from pyspark.sql import Row
-from pyspark.sql import functions as F
 
 from evalspark.plans.evaluate import run_evaluate, verdicts_from_facts
 from evalspark.suites import get_suite
-import rules
 
 
 def _tasks(spark, n):

@@ -1,15 +1,12 @@
 import io
 from contextlib import redirect_stdout
 
-from pyspark.sql import functions as F
-
 from conftest import SF_MID
 from evalspark import fixtures as fx
 from evalspark.operators import coverage as cov
 from evalspark.operators import samples as smp
 from evalspark.plans import catalog
 from evalspark.session import scratch_path
-from evalspark.sources import files, sinks
 
 
 def plan(df):

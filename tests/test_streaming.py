@@ -1,8 +1,6 @@
 import os
 import random
 
-from pyspark.sql import functions as F
-
 from evalspark.functions.defect import STREAM_STOP_MARKERS
 from evalspark.session import scratch_path
 from evalspark.streaming import stop as sstop

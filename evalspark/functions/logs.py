@@ -31,6 +31,13 @@ def tests_ok(stdout_lines: Column) -> Column:
     return F.coalesce(line_from_end(stdout_lines, 1) == TESTS_OK_LINE, F.lit(False))
 
 
+def tests_ok_text(stdout: Column) -> Column:
+    """Raw-text form: the log's last line is exactly ``Failing tests: 0``
+    followed by its newline (a final line without newline does not count)."""
+    line = TESTS_OK_LINE + "\n"
+    return F.coalesce((stdout == line) | stdout.endswith("\n" + line), F.lit(False))
+
+
 def coverage_value(line: Column, label: str) -> Column:
     """Percentage after the last ``:`` of a line holding ``label``, as a fraction."""
     raw = F.replace(py_strip(F.regexp_extract(line, "[^:]*$", 0)), F.lit("%"), F.lit(""))

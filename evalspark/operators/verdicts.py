@@ -46,7 +46,9 @@ def reduce_patch_verdict(steps: DataFrame, run_keys: list[str], syntax_ok: str |
     failure the full-suite step decides: a failed exit or timeout fails
     ``pass_trigger``; a clean log passes ``pass_all``.  A syntax error fails
     every flag.  One grouped aggregation per run; later steps after the first
-    failure are ignored.
+    failure are ignored.  (The harness always runs the full suite after
+    passing triggers; a run whose facts lack the suite step keeps
+    ``pass_trigger`` from its trigger steps and fails ``pass_all``.)
     """
     s = _with_status(steps, lines)
     trig = F.col("kind") == "trigger"

@@ -149,3 +149,8 @@ def test_tokens(spark):
     assert kept == [["42", "!"], []]
     kept = [r[0] for r in toks.select(tokens.truncate_prompt_tokens(F.col("k"), 2, "chat")).collect()]
     assert kept == [["Hello", ","], []]
+
+
+def test_tests_ok_raw_text(spark):
+    vals = ["a\nFailing tests: 0\n", "Failing tests: 0\n", "a\nFailing tests: 0", "Failing tests: 0\n\n", "", "xFailing tests: 0\n"]
+    assert one(spark, vals, logs.tests_ok_text) == [True, True, False, False, False, False]

@@ -166,3 +166,51 @@ def run_evaluate(spark: SparkSession, suite_name: str, tasks: DataFrame, generat
     if verdicts is None and run_steps is not None:
         verdicts = verdicts_from_facts(suite_name, run_steps)
     return score(samples, suite_name, verdicts=verdicts, tasks=tasks, coverage_lines=coverage_lines)
+
+
+def evaluate_files(spark: SparkSession, suite_name: str, tasks_path: str, generations_path: str, mode: str,
+                   output_path: str, begin: int = -1, end: int = -1, num_samples: int | None = None,
+                   run_steps_path: str | None = None, generations_multiline: bool = True,
+                   run_keys: dict | None = None) -> DataFrame:
+    """File in, report out, like the original evaluate entry point.
+
+    Reads the tasks file and the generations document, writes the
+    post-processed stage beside the generations (``<name>-postprocess``),
+    scores with the run facts when given, and writes the long metric table
+    plus one results document per run under ``output_path``.  ``time_cost``
+    and ``end_time`` are measured on the driver around the scoring jobs.
+    """
+    import time
+
+    from evalspark.sources import files, sinks
+
+    run_keys = run_keys or {"bench_name": suite_name, "gen_mode": mode}
+    tasks = files.load_tasks(spark, suite_name, tasks_path)
+    gens = files.load_generations(spark, generations_path, multi_line=generations_multiline)
+    stage = generations_path.rstrip("/").removesuffix(".json") + "-postprocess"
+    samples = prepare_samples(spark, suite_name, tasks, gens, mode, begin, end, num_samples, stage_path=stage)
+    start = time.time()
+    verdicts = None
+    if run_steps_path:
+        verdicts = verdicts_from_facts(suite_name, files.load_run_steps(spark, run_steps_path))
+    rep = score(samples, suite_name, verdicts=verdicts, tasks=tasks)
+    keys = list(run_keys)
+    lit_keys = [F.lit(v).alias(k) for k, v in run_keys.items()]
+    if rep.defect is not None:
+        out = rep.defect.select(*lit_keys, "*")
+        out.write.mode("overwrite").partitionBy(*keys).parquet(f"{output_path}/defect")
+        end_time = time.time()
+        doc = out.groupBy(*keys).agg(F.to_json(F.struct(
+            F.map_from_entries(F.collect_list(F.struct("variant", F.struct(*[c for c in rep.defect.columns
+                                                                               if c != "variant"])))).alias("results"),
+            F.lit(end_time - start).alias("time_cost"), F.lit(end_time).alias("end_time"))).alias("document"))
+    else:
+        suite = get_suite(suite_name)
+        metrics = rep.suite_metrics.select(*lit_keys, "*")
+        metrics.write.mode("overwrite").partitionBy(*keys).parquet(f"{output_path}/metrics")
+        rep.detail.select(*lit_keys, "*").write.mode("overwrite").partitionBy(*keys).parquet(f"{output_path}/detail")
+        end_time = time.time()
+        doc = sinks.results_document(metrics, rep.solved.select(*lit_keys, "*"), keys, list(suite.flags),
+                                     {"time_cost": end_time - start, "end_time": end_time})
+    doc.write.mode("overwrite").partitionBy(*keys).json(f"{output_path}/documents")
+    return spark.read.json(f"{output_path}/documents")

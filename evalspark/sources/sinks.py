@@ -51,3 +51,28 @@ def write_results(metrics: DataFrame, path: str, run_keys: list[str], timing: di
                                    *[F.lit(v).alias(k) for k, v in timing.items()])).alias("document")))
     doc.write.mode("overwrite").partitionBy(*run_keys).json(f"{path}/documents")
     return doc
+
+
+def results_document(suite_metrics: DataFrame, solved: DataFrame, run_keys: list[str],
+                     flags: list[str], timing: dict | None = None) -> DataFrame:
+    """One JSON document per run, shaped like the original report:
+    ``{"total", "timed_out", "<flag>": {"count", "pass@k-1", "pass@t-1000", ...}}``.
+
+    Built from the suite-level tables (a few dozen rows per run), so the
+    per-run collect is bounded by the metric grid; per-task details stay in
+    their own table.
+    """
+    timing = timing or {}
+    name = F.concat(F.col("metric"), F.lit("-"), F.col("param").cast("long").cast("string"))
+    per_flag = (suite_metrics.groupBy(*run_keys, "flag")
+                .agg(F.map_from_entries(F.collect_list(F.struct(name, F.col("value")))).alias("m")))
+    per_run = per_flag.groupBy(*run_keys).agg(F.map_from_entries(F.collect_list(F.struct("flag", "m"))).alias("mm"))
+    doc = solved.join(per_run, run_keys, "left") if run_keys else solved.crossJoin(per_run)
+    fields = [F.col("total"), F.col("timed_out")]
+    for f in flags:
+        short = f.removeprefix("pass_")
+        entry = F.map_concat(F.create_map(F.lit("count"), F.col(f"solved_{short}").cast("double")),
+                             F.coalesce(F.col("mm")[f], F.create_map().cast("map<string,double>")))
+        fields.append(entry.alias(f))
+    fields += [F.lit(v).alias(k) for k, v in timing.items()]
+    return doc.select(*run_keys, F.to_json(F.struct(*fields)).alias("document"))

@@ -1,5 +1,6 @@
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from evalspark.plans.evaluate import run_evaluate, verdicts_from_facts
 from evalspark.suites import get_suite
@@ -98,3 +99,55 @@ def test_unknown_suite_and_mode(spark):
         get_suite("nope")
     with pytest.raises(NotImplementedError):
         run_evaluate(spark, "complete", _tasks(spark, 1), _gens(spark, [["x"]]), "other")
+
+
+def test_evaluate_files_writes_reference_shaped_report(spark):
+    import json
+    import os
+    from evalspark.plans.evaluate import evaluate_files
+    from evalspark.session import scratch_path
+    root = scratch_path(spark, "eval-files")
+    os.makedirs(root, exist_ok=True)
+    tasks_path = os.path.join(root, "tasks")
+    _tasks(spark, 2).withColumn("task_idx", F.col("task_idx").cast("int")).write.parquet(tasks_path)
+    gens_path = os.path.join(root, "generations.json")
+    with open(gens_path, "w") as f:      # the merged generations file: one JSON array, indented
+        json.dump([{"task_idx": 0, "task_id": "t0", "outputs": ["  p0 {\n{ a }", "  p0 {\n{ b"]},
+                   {"task_idx": 1, "task_id": "t1", "outputs": ["  p1 {\n{ c }"]}], f, indent=4)
+    ok = ["Failing tests: 0"]
+    steps = spark.createDataFrame([
+        (t, s_, 1, "suite", 0, False, ok if (t, s_) != (0, 1) else ["Failing tests: 2"], True)
+        for t, s_ in ((0, 0), (0, 1), (1, 0))],
+        "task_idx int, sample_idx int, step_no int, kind string, exit_code int, timed_out boolean, "
+        "stdout_lines array<string>, syntax_ok boolean")
+    steps_path = os.path.join(root, "steps")
+    steps.write.parquet(steps_path)
+    docs = evaluate_files(spark, "complete", tasks_path, gens_path, "complete", os.path.join(root, "out"),
+                          run_steps_path=steps_path).collect()
+    assert len(docs) == 1
+    d = json.loads(docs[0].document)
+    assert d["total"] == 2 and d["timed_out"] == 0
+    assert d["pass_all"]["count"] == 2.0
+    assert d["pass_all"]["pass@k-1"] == pytest.approx((0.5 + 1.0) / 2)
+    assert "time_cost" in d and "end_time" in d
+    stage = spark.read.parquet(os.path.join(root, "generations-postprocess"))
+    assert sorted(r.output for r in stage.collect()) == ["{ a }", "{ b", "{ c }"]
+
+
+def test_evaluate_files_defect_report(spark):
+    import json
+    import os
+    from evalspark.plans.evaluate import evaluate_files
+    from evalspark.session import scratch_path
+    root = scratch_path(spark, "eval-files-defect")
+    os.makedirs(root, exist_ok=True)
+    tasks_path = os.path.join(root, "tasks")
+    _tasks(spark, 2).withColumn("task_idx", F.col("task_idx").cast("int")).write.parquet(tasks_path)
+    gens_path = os.path.join(root, "generations.json")
+    with open(gens_path, "w") as f:
+        json.dump([{"task_idx": 0, "task_id": "t0", "outputs": ["Yes, it has defects", "unclear"]},
+                   {"task_idx": 1, "task_id": "t1", "outputs": ["No, it doesn't have defects"]}], f, indent=4)
+    docs = evaluate_files(spark, "defectdetection", tasks_path, gens_path, "chat", os.path.join(root, "out")).collect()
+    d = json.loads(docs[0].document)
+    assert d["results"]["all"]["total"] == 3 and d["results"]["all"]["error"] == 1
+    assert d["results"]["one"]["acc"] == 1.0

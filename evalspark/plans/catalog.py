@@ -504,9 +504,19 @@ def _chunk_stream(spark, sf):
                       fx.chunk_text(F.col("turn"), F.col("text")).alias("text"))
 
 
+# Fixed parameter: the function signature the chat / complete stream rules wait for.
+STREAM_SIGNATURE = "f()"
+
+
 def _run_stop(spark, sf, rule):
     out = scratch_path(spark, f"stop-{rule}")
-    stopped = sstop.stop_stream(_chunk_stream(spark, sf), rule)
+    chunks = _chunk_stream(spark, sf)
+    prefix = None
+    if rule == "signature":        # complete mode scans signature + "{\n" + text
+        chunks, prefix = chunks.withColumn("sig", F.lit(STREAM_SIGNATURE + "{\n")), "sig"
+    elif rule == "chat":           # chat mode waits for the signature itself
+        chunks, prefix = chunks.withColumn("sig", F.lit(STREAM_SIGNATURE)), "sig"
+    stopped = sstop.stop_stream(chunks, rule, prefix=prefix)
     sstop.run_available_now(stopped, out, out + "-checkpoint")
     done = spark.read.schema(sstop.OUTPUT_SCHEMA).parquet(out)
     return sstop.finish_open_requests(done, fx.v_chunks(spark, sf))
@@ -520,6 +530,14 @@ def q_stream_stop_marker(spark, sf):
     return _run_stop(spark, sf, "marker")
 
 
+def q_stream_stop_signature(spark, sf):
+    return _run_stop(spark, sf, "signature")
+
+
+def q_stream_stop_chat(spark, sf):
+    return _run_stop(spark, sf, "chat")
+
+
 def q_stream_collect_partials(spark, sf):
     schema = fx.table(spark, sf, "conversations").schema
     src = (spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf)
@@ -635,6 +653,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "syntax_screen": q_syntax_screen,
     "stream_stop_function": q_stream_stop_function,
     "stream_stop_marker": q_stream_stop_marker,
+    "stream_stop_signature": q_stream_stop_signature,
+    "stream_stop_chat": q_stream_stop_chat,
     "stream_collect_partials": q_stream_collect_partials,
     "register_suite": q_register_suite,
     "evaluate_complete": q_evaluate_complete,

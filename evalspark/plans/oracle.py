@@ -282,18 +282,36 @@ def _screen_sql() -> str:
                       "FROM V_code LEFT JOIN fin USING (page_id)")
 
 
-def _stream_function_sql() -> str:
-    full = f"SELECT request_id, string_agg(text, '' ORDER BY seq) AS txt FROM V_chunks GROUP BY request_id"
+def _stream_function_sql(prefix: str = "") -> str:
+    """Stop chunk = the chunk holding the first closing character of the scan
+    over ``prefix + all chunks``; output = the chunks up to it."""
+    n = len(prefix)
+    full = (f"SELECT request_id, string_agg(text, '' ORDER BY seq) AS txt, "
+            f"concat({q(prefix)}, string_agg(text, '' ORDER BY seq)) AS scanned FROM V_chunks GROUP BY request_id")
     cum = ("SELECT request_id, seq, sum(length(text)) OVER (PARTITION BY request_id ORDER BY seq "
            "ROWS UNBOUNDED PRECEDING) AS cum_end FROM V_chunks")
     ss = ("SELECT c.request_id, min(c.seq) AS stop_seq, min(c.cum_end) AS stop_end FROM cum c JOIN st USING (request_id) "
-          "WHERE c.cum_end >= st.stop_pos GROUP BY c.request_id")
-    return with_views(["V_chunks"], [("full_text", full), ("cum", cum)] + stop_ctes("full_text", ["request_id"], "txt", "st")
+          f"WHERE c.cum_end + {n} >= st.stop_pos GROUP BY c.request_id")
+    return with_views(["V_chunks"], [("full_text", full), ("cum", cum)] + stop_ctes("full_text", ["request_id"], "scanned", "st")
                       + [("ss", ss)],
                       "SELECT request_id, stop_seq, CASE WHEN stop_seq IS NULL THEN txt ELSE substring(txt, 1, CAST(stop_end AS BIGINT)) END AS output "
                       "FROM full_text LEFT JOIN ss USING (request_id)")
 
 
+def _stream_chat_sql(sig: str) -> str:
+    """After each chunk: the text between the first and second signature
+    occurrence of everything so far must close a body."""
+    cum = ("SELECT request_id, seq, string_agg(text, '' ORDER BY seq) OVER (PARTITION BY request_id ORDER BY seq "
+           "ROWS UNBOUNDED PRECEDING) AS so_far FROM V_chunks")
+    seg = f"SELECT request_id, seq, split_part(so_far, {q(sig)}, 2) AS segment FROM cum WHERE strpos(so_far, {q(sig)}) > 0"
+    st = "SELECT request_id, min(seq) AS stop_seq FROM sp GROUP BY request_id"
+    last = "SELECT request_id, max(seq) AS last_seq FROM V_chunks GROUP BY request_id"
+    return with_views(["V_chunks"], [("cum", cum), ("seg", seg)] + stop_ctes("seg", ["request_id", "seq"], "segment", "sp")
+                      + [("st", st), ("lastseq", last)],
+                      "SELECT l.request_id, st.stop_seq, c.so_far AS output FROM lastseq l LEFT JOIN st USING (request_id) "
+                      "JOIN cum c ON c.request_id = l.request_id AND c.seq = coalesce(st.stop_seq, l.last_seq)")
+
+
 def _stream_marker_sql() -> str:
     cum = ("SELECT request_id, seq, string_agg(text, '' ORDER BY seq) OVER (PARTITION BY request_id ORDER BY seq "
            "ROWS UNBOUNDED PRECEDING) AS so_far FROM V_chunks")
@@ -552,6 +570,8 @@ def oracle_sql() -> dict[str, str]:
     qs["syntax_screen"] = _screen_sql()
     qs["stream_stop_function"] = _stream_function_sql()
     qs["stream_stop_marker"] = _stream_marker_sql()
+    qs["stream_stop_signature"] = _stream_function_sql("f(){\n")
+    qs["stream_stop_chat"] = _stream_chat_sql("f()")
     qs["stream_collect_partials"] = merged_sql(5)
     two = ("SELECT 'complete' AS suite, * FROM (" + passk_rows("counts", K_GRID_COMPLETE) + ") UNION ALL "
            "SELECT 'complete_k3' AS suite, * FROM (" + passk_rows("counts", [1, 3]) + ")")

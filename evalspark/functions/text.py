@@ -29,10 +29,6 @@ WS_CLASS_NO_NL = "".join("\\x{%x}" % ord(c) for c in PY_WHITESPACE if c != "\n")
 MISSING_FUNCTION_PREFIX = "Can not find target function in answer!\n\n"
 
 
-def lit(value) -> Column:
-    return F.lit(value)
-
-
 def py_strip(c: Column) -> Column:
     """Python ``str.strip()``: remove every whitespace character at both ends."""
     return F.trim(c, F.lit(PY_WHITESPACE))

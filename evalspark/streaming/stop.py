@@ -208,3 +208,28 @@ def run_available_now(stream_df: DataFrame, sink_path: str, checkpoint: str, tim
         raise TimeoutError("streaming query did not finish")
     if q.exception() is not None:
         raise q.exception()
+
+
+def rule_for(suite_name: str, mode: str) -> str:
+    """The stop rule a suite uses in a generation mode."""
+    from evalspark.suites import get_suite
+    cfg = get_suite(suite_name)
+    if cfg.stream_scan in ("text", "marker"):
+        return cfg.stream_scan
+    if mode == "complete":
+        return "signature"
+    if mode == "chat":
+        return "chat"
+    raise KeyError(mode)
+
+
+def stop_stream_for_suite(chunks: DataFrame, tasks: DataFrame, suite_name: str, mode: str) -> DataFrame:
+    """Early stop for a suite: ``chunks`` carry ``request_id, seq, text,
+    task_idx``; the task's ``function_signature`` comes in by a stream-static
+    join with the (small, broadcast) task table."""
+    rule = rule_for(suite_name, mode)
+    if rule in ("text", "marker"):
+        return stop_stream(chunks, rule)
+    sig = F.col("function_signature")
+    dim = tasks.select("task_idx", (F.concat(sig, F.lit("{\n")) if rule == "signature" else sig).alias("__sig"))
+    return stop_stream(chunks.join(F.broadcast(dim), "task_idx", "left"), rule, prefix="__sig")

@@ -109,3 +109,20 @@ def test_stream_chat_rule_agrees_with_per_chunk_check(spark):
                 break
         exp[rid] = (hit, acc if hit is not None else "".join(ch))
     assert got == exp
+
+
+def test_stop_stream_for_suite_uses_task_signatures(spark):
+    from pyspark.sql import functions as F
+    tasks = spark.createDataFrame([(0, "int f()"), (1, "void g()")], "task_idx int, function_signature string")
+    rows = [(0, 0, 0, "Sure: int f() { x"), (0, 1, 0, " } more"), (1, 0, 1, "void g() {"), (1, 1, 1, " }"),
+            (2, 0, 1, "no signature { }")]
+    schema = "request_id long, seq long, task_idx int, text string"
+    root = scratch_path(spark, "suite-stop")
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(root, "src"))
+    src = spark.readStream.schema(schema).parquet(os.path.join(root, "src"))
+    out = os.path.join(root, "out")
+    sstop.run_available_now(sstop.stop_stream_for_suite(src, tasks, "complete", "chat"), out, out + "-ckpt")
+    got = {r.request_id: r.stop_seq for r in spark.read.parquet(out).collect()}
+    assert got == {0: 1, 1: 1}
+    assert sstop.rule_for("repair", "chat") == "text" and sstop.rule_for("defectdetection", "complete") == "marker"
+    assert sstop.rule_for("testgen", "complete") == "signature"

@@ -69,24 +69,9 @@ def v_samples(spark, sf_dir) -> DataFrame:
     )
 
 
-def v_verdicts(spark, sf_dir, samples: DataFrame | None = None) -> DataFrame:
-    s = samples if samples is not None else v_samples(spark, sf_dir)
-    lab = table(spark, sf_dir, "labels")
-    j = s.join(lab, "doc_id")
-    q, tox = F.col("quality"), F.col("toxic")
-    return j.select(
-        "task_idx", "sample_idx",
-        ((q == 1) | (F.col("n_chars") >= 600)).alias("pass_syntax"),
-        (q == 1).alias("pass_compile"),
-        ((q == 1) & (tox == 0)).alias("pass_trigger"),
-        ((q == 1) & (tox == 0) & (F.col("lang") == "fr")).alias("pass_all"),
-        (F.col("n_chars") >= 5000).alias("timed_out"),
-    )
-
-
-def scored_samples(spark, sf_dir) -> DataFrame:
+def scored_samples(spark, sf_dir, samples: DataFrame | None = None) -> DataFrame:
     """Samples with their verdict flags and text (V_samples joined to labels)."""
-    s = v_samples(spark, sf_dir)
+    s = samples if samples is not None else v_samples(spark, sf_dir)
     lab = table(spark, sf_dir, "labels")
     q, tox = F.col("quality"), F.col("toxic")
     return s.join(lab, "doc_id").select(
@@ -99,6 +84,11 @@ def scored_samples(spark, sf_dir) -> DataFrame:
     )
 
 
+def v_verdicts(spark, sf_dir, samples: DataFrame | None = None) -> DataFrame:
+    return scored_samples(spark, sf_dir, samples).select(
+        "task_idx", "sample_idx", "pass_syntax", "pass_compile", "pass_trigger", "pass_all", "timed_out")
+
+
 # The answer endings of the defect-detection fixture, by doc_id % 13.
 ANSWER_ENDINGS = [
     "Yes, it has defects", "No, it doesn't have defects", "Note: there is a potential defect",

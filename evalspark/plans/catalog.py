@@ -197,12 +197,8 @@ def q_attach_prompt(spark, sf):
     return smp.attach_prompt(s, fx.v_tasks(spark, sf), "chat")
 
 
-def _twin_facts(spark, sf):
-    return fx.v_twin(spark, sf)
-
-
 def q_pair_twin_runs(spark, sf):
-    return ver.pair_twin_runs(_twin_facts(spark, sf), ["sample_idx"])
+    return ver.pair_twin_runs(fx.v_twin(spark, sf), ["sample_idx"])
 
 
 # --- 2.4 aggregations ----------------------------------------------------------
@@ -292,7 +288,7 @@ def q_reduce_testgen_verdict(spark, sf):
 
 
 def q_reduce_issue_verdict(spark, sf):
-    t = _twin_facts(spark, sf)
+    t = fx.v_twin(spark, sf)
     vfl = F.floor(F.col("value")).cast("long")
     # Facts per side: test outcome, and on the fixed side the coverage step.
     t = t.select("sample_idx", "version", "exit_code", "timed_out",

@@ -23,44 +23,43 @@ from pyspark.sql import functions as F
 STRUCTURAL_SPLIT = '(?<=["{}])'
 
 
-def _zero_state(depth: int = 0, seen: bool = False) -> Column:
-    return F.struct(
-        F.lit(depth).alias("depth"),
-        F.lit(False).alias("in_quote"),
-        F.lit(seen).alias("seen"),
-        F.lit(0).alias("pos"),
-        F.lit(-1).alias("stop"),
-        F.lit(depth < 0).alias("went_negative"),
-    )
-
-
-def _step(acc: Column, tok: Column) -> Column:
-    ch = F.substring(tok, -1, 1)
-    outside = ~acc["in_quote"]
-    opens = outside & (ch == "{")
-    closes = outside & (ch == "}")
-    depth = acc["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
-    seen = acc["seen"] | opens
-    pos = acc["pos"] + F.length(tok)
-    stop = F.when((acc["stop"] < 0) & seen & (depth == 0), pos).otherwise(acc["stop"])
-    return F.struct(
-        depth.alias("depth"),
-        F.when(ch == '"', ~acc["in_quote"]).otherwise(acc["in_quote"]).alias("in_quote"),
-        seen.alias("seen"),
-        pos.alias("pos"),
-        stop.alias("stop"),
-        (acc["went_negative"] | (depth < 0)).alias("went_negative"),
-    )
+def _fold(text: Column, for_stop: bool) -> Column:
+    """Fold over structural pieces.
+
+    State: ``depth``, ``in_quote``, ``seen`` and ``pos`` always; ``stop``
+    (1-based end of the closing character, -1 while open) for the cut, or
+    ``went_negative`` for the screen.  Each use carries only what it reads.
+    """
+    init = [F.lit(0).alias("depth"), F.lit(False).alias("in_quote"), F.lit(False).alias("seen"),
+            F.lit(0).alias("pos")]
+    init.append(F.lit(-1).alias("stop") if for_stop else F.lit(False).alias("went_negative"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        ch = F.substring(piece, -1, 1)
+        outside = ~acc["in_quote"]
+        opens = outside & (ch == "{")
+        depth = acc["depth"] + F.when(opens, 1).when(outside & (ch == "}"), -1).otherwise(0)
+        seen = acc["seen"] | opens
+        pos = acc["pos"] + F.length(piece)
+        fields = [depth.alias("depth"),
+                  F.when(ch == '"', ~acc["in_quote"]).otherwise(acc["in_quote"]).alias("in_quote"),
+                  seen.alias("seen"), pos.alias("pos")]
+        if for_stop:
+            fields.append(F.when((acc["stop"] < 0) & seen & (depth == 0), pos).otherwise(acc["stop"]).alias("stop"))
+        else:
+            fields.append((acc["went_negative"] | (depth < 0)).alias("went_negative"))
+        return F.struct(*fields)
+
+    return F.aggregate(F.split(text, STRUCTURAL_SPLIT, -1), F.struct(*init), step)
 
 
 def brace_scan(text: Column) -> Column:
-    """Final scan state: ``struct(depth, in_quote, seen, pos, stop, went_negative)``.
+    """Final scan state for the cut: ``struct(depth, in_quote, seen, pos, stop)``.
 
     ``stop`` is the 1-based position of the character that closes the first
     function body, or -1 when the body never closes.
     """
-    pieces = F.split(text, STRUCTURAL_SPLIT, -1)
-    return F.aggregate(pieces, _zero_state(), _step)
+    return _fold(text, for_stop=True)
 
 
 def stop_at_function(text: Column) -> Column:
@@ -78,5 +77,5 @@ def syntax_screen(text: Column) -> Column:
     A heuristic stand-in for a Java parser: brace characters in char
     literals, comments or escaped quotes can mislead it.
     """
-    st = brace_scan(text)
+    st = _fold(text, for_stop=False)
     return (st["depth"] == 0) & ~st["went_negative"] & ~st["in_quote"]

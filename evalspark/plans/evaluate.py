@@ -20,7 +20,6 @@ from evalspark.operators import coverage as cov
 from evalspark.operators import metrics as met
 from evalspark.operators import samples as smp
 from evalspark.operators import verdicts as ver
-from evalspark.operators.joins import lookup_join
 from evalspark.session import scratch_path
 from evalspark.suites import SuiteConfig, get_suite
 
@@ -130,7 +129,9 @@ def score(samples: DataFrame, suite_name: str, verdicts: DataFrame | None = None
     if suite.has_coverage:
         extra += [F.avg("line_coverage").alias("line_coverage"), F.avg("condition_coverage").alias("condition_coverage")]
     vc = ver.task_verdict_counts(verdicts, flags, extra_aggs=extra)
-    counts = met.with_total_tokens(lookup_join(vc, task_token_cost(samples), "task_idx", "left"))
+    # Both sides are aggregates on task_idx, so they are already partitioned
+    # on the join key: a plain join adds no exchange and needs no size probe.
+    counts = met.with_total_tokens(vc.join(task_token_cost(samples), "task_idx", "left"))
     task_metrics = met.task_metrics_long(counts, flags, list(suite.k_grid), list(suite.t_grid))
     report = EvalReport(samples=samples, task_counts=counts, task_metrics=task_metrics,
                         suite_metrics=met.suite_pass_metrics(task_metrics),

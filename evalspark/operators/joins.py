@@ -5,6 +5,10 @@ lookup is an equi-join.  The dimension side is broadcast only after a bounded
 probe proves it small (at most ``max_rows`` rows and ``max_bytes`` of string
 data); otherwise the planner's shuffle join (and AQE's runtime re-plan) is
 used.  Missing keys fail the job from inside the plan, without a second pass.
+
+The probe executes the dimension's plan up to the row bound, so it is meant
+for dimension tables (a scan plus projections), not for derived aggregates;
+two aggregates on the same key are joined co-partitioned instead.
 """
 
 from __future__ import annotations

@@ -3,8 +3,9 @@
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
 BENCH_QUERIES (comma list, default the headline set).  Each query runs to
 completion through the no-op sink (the full plan executes, nothing is
-collected to the driver), twice: ``value`` / ``queries`` are the second
-(steady-state) runs, ``cold_total`` / ``cold_queries`` the first.
+collected to the driver), three times: ``value`` / ``queries`` are the best
+of the second and third (steady-state) runs, ``cold_total`` /
+``cold_queries`` the first.
 """
 
 from __future__ import annotations
@@ -62,14 +63,17 @@ def main() -> None:
     checkpoint_root(spark)   # configured shared folder, or a private one in local mode
     # Warm-up: JVM, codegen caches, Python workers.
     catalog.QUERIES["task_verdict_counts"](spark, sf_dir).write.format("noop").mode("overwrite").save()
-    # Each query runs twice: the first (cold) run pays JIT and code generation
-    # for its expressions; the second is the steady state that large inputs see.
+    # Each query runs three times: the first (cold) run pays JIT and code
+    # generation for its expressions; the best of the next two is the steady
+    # state that large inputs see (and damps noise from other load).
     cold, times = {}, {}
     for name in names:
-        for store in (cold, times):
+        runs = []
+        for _ in range(3):
             t0 = time.perf_counter()
             catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            store[name] = round(time.perf_counter() - t0, 3)
+            runs.append(round(time.perf_counter() - t0, 3))
+        cold[name], times[name] = runs[0], min(runs[1:])
         print(f"{name}: cold {cold[name]}s, warm {times[name]}s", file=sys.stderr)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     rows_per_sec = {n: round(input_rows(sf_dir, t) / times[n], 1) for n, t in THROUGHPUT_INPUTS.items() if n in times}

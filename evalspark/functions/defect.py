@@ -53,6 +53,19 @@ def portable_pattern(pattern: str) -> str:
     return pattern.replace(".", "[^\n]")
 
 
+def pattern_holds(text: Column, pattern: str) -> Column:
+    """``rlike`` guarded by the pattern's literal tail.
+
+    A pattern ``a.*?b`` can only match where ``b`` occurs, so a cheap
+    substring test skips the regex for most texts; the result is unchanged.
+    """
+    tail = pattern.split(".*?")[-1]
+    regex = text.rlike(portable_pattern(pattern))
+    if tail and not any(ch in tail for ch in ".*?+()[]{}|^$\\"):
+        return (F.instr(text, tail) > 0) & regex
+    return regex
+
+
 def truncate_defect_answer(text: Column) -> Column:
     """Keep the text through the first occurrence of the first marker that occurs."""
     out = text
@@ -65,9 +78,9 @@ def truncate_defect_answer(text: Column) -> Column:
 def classify_defect_answer(text: Column) -> Column:
     """``defect`` / ``nodefect`` / ``error`` by the ordered cascade."""
     rules = ([(F.instr(text, s) > 0, DEFECT) for s in DEFECT_PHRASES]
-             + [(text.rlike(portable_pattern(p)), DEFECT) for p in DEFECT_PATTERNS]
+             + [(pattern_holds(text, p), DEFECT) for p in DEFECT_PATTERNS]
              + [(F.instr(text, s) > 0, NO_DEFECT) for s in NO_DEFECT_PHRASES]
-             + [(text.rlike(portable_pattern(p)), NO_DEFECT) for p in NO_DEFECT_PATTERNS])
+             + [(pattern_holds(text, p), NO_DEFECT) for p in NO_DEFECT_PATTERNS])
     out = F.when(rules[0][0], F.lit(rules[0][1]))
     for cond, label in rules[1:]:
         out = out.when(cond, F.lit(label))

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 RUN_KEYS = ("model_id", "bench_name", "gen_mode")
 
 
+def write_requests(requests: DataFrame, path: str) -> None:
+    """Request table, one folder per shard: each serving worker reads only
+    its own shard (partition pruning on ``shard_id``)."""
+    requests.write.mode("overwrite").partitionBy("shard_id").parquet(path)
+
+
 def write_partials(df: DataFrame, path: str) -> None:
     """Append finished requests; nothing already written is touched."""
     df.write.mode("append").json(path)

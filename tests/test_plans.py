@@ -46,3 +46,26 @@ def test_first_n_limits_before_shuffle(spark):
 def test_diff_coverage_combines_map_side(spark):
     p = plan(cov.diff_coverage(fx.v_cov(spark, SF_MID), fx.v_cov(spark, SF_MID).select("task_idx").distinct()))
     assert p.count("HashAggregate") >= 4
+
+
+def test_run_keys_prune_merged_generations(spark):
+    from pyspark.sql import functions as F
+    from evalspark.sources import sinks
+    path = scratch_path(spark, "merged-prune")
+    p = fx.v_partials(spark, SF_MID).withColumn("task_id", F.col("task_id").cast("string"))
+    m = smp.merge_partials(p, 5, keep_first=["gen_mode"])
+    runs = m.withColumn("model_id", F.explode(F.array(F.lit("m0"), F.lit("m1")))).withColumn("bench_name", F.lit("b"))
+    sinks.write_merged(runs, path)
+    txt = plan(spark.read.parquet(path).filter(F.col("model_id") == "m0").select("task_id"))
+    assert "PartitionFilters: [isnotnull(model_id" in txt and "(model_id" in txt
+
+
+def test_requests_written_per_shard(spark):
+    from pyspark.sql import functions as F
+    from evalspark.plans.generation import build_requests
+    from evalspark.sources import sinks
+    path = scratch_path(spark, "requests")
+    sinks.write_requests(build_requests(fx.v_tasks(spark, SF_MID), "complete", "chat", 4, n_shards=3, seed=1), path)
+    shard = spark.read.parquet(path).filter(F.col("shard_id") == 1)
+    assert "PartitionFilters: [isnotnull(shard_id" in plan(shard)
+    assert shard.count() + spark.read.parquet(path).filter(F.col("shard_id") != 1).count() == 40 * 4

@@ -58,7 +58,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
-    spark = build_session(f"local[{cpus}]", cpus * 2, app_name="evalspark-bench",
+    shuffle = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(cpus)))
+    spark = build_session(f"local[{cpus}]", shuffle, app_name="evalspark-bench",
                           extra={"spark.driver.memory": "16g"})
     checkpoint_root(spark)   # configured shared folder, or a private one in local mode
     # Warm-up: JVM, codegen caches, Python workers.

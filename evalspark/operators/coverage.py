@@ -60,7 +60,7 @@ def sample_line_coverage(lines: DataFrame, keys: list[str]) -> DataFrame:
                                     F.avg(F.col("cond_hit").cast("double")).alias("condition_coverage"))
 
 
-def diff_coverage(lines: DataFrame, tasks: DataFrame, task_key: str = "task_idx") -> DataFrame:
+def diff_coverage(lines: DataFrame, tasks: DataFrame, task_key: str | list[str] = "task_idx") -> DataFrame:
     """Per task: hit tuples / distinct (class, file, number, hit) tuples over all samples.
 
     A line hit by one sample and missed by another yields two tuples.  Tasks
@@ -68,15 +68,16 @@ def diff_coverage(lines: DataFrame, tasks: DataFrame, task_key: str = "task_idx"
     (map-side combine, so only distinct lines are shuffled); the task level
     follows on the already reduced rows.
     """
-    per_line = (lines.groupBy(task_key, "class", "file", "number")
+    keys = [task_key] if isinstance(task_key, str) else list(task_key)
+    per_line = (lines.groupBy(*keys, "class", "file", "number")
                 .agg(F.max(F.col("hit").cast("int")).alias("any_hit"),
                      F.min(F.col("hit").cast("int")).alias("all_hit")))
-    per_task = per_line.groupBy(task_key).agg(
+    per_task = per_line.groupBy(*keys).agg(
         F.sum("any_hit").alias("hit_tuples"),
         F.sum(F.lit(1) + F.col("any_hit") - F.col("all_hit")).alias("tuples"))
-    out = tasks.select(task_key).join(per_task, task_key, "left")
+    out = tasks.select(*keys).join(per_task, keys, "left")
     ratio = F.coalesce(F.try_divide(F.col("hit_tuples").cast("double"), F.col("tuples")), F.lit(0.0))
-    return out.select(task_key, ratio.alias("diff_coverage"))
+    return out.select(*keys, ratio.alias("diff_coverage"))
 
 
 def target_classes(names: Column) -> Column:

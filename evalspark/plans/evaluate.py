@@ -87,7 +87,7 @@ def prepare_samples(spark: SparkSession, suite_name: str, tasks: DataFrame, gene
     return spark.read.parquet(path)
 
 
-def task_token_cost(samples: DataFrame) -> DataFrame:
+def task_token_cost(samples: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Per task: 0.5 x input tokens + raw-output tokens, input counted per sample.
 
     Raw-output tokens are summed map-side.  The prompt is the same for every
@@ -96,30 +96,38 @@ def task_token_cost(samples: DataFrame) -> DataFrame:
     is tokenized once per group after the aggregation, then multiplied by
     the group's sample count.
     """
-    per_prompt = samples.groupBy("task_idx", "input").agg(
+    keys = keys or ["task_idx"]
+    per_prompt = samples.groupBy(*keys, "input").agg(
         F.count(F.lit(1)).alias("n_samples"),
         F.sum(tokens.count_tokens(F.col("raw_output"))).cast("long").alias("output_tokens"))
     per_prompt = per_prompt.select(
-        "task_idx", "output_tokens",
+        *keys, "output_tokens",
         (tokens.count_tokens(F.col("input")) * F.col("n_samples")).cast("long").alias("input_tokens"))
-    return per_prompt.groupBy("task_idx").agg(F.sum("output_tokens").alias("output_tokens"),
-                                              F.sum("input_tokens").alias("input_tokens"))
+    return per_prompt.groupBy(*keys).agg(F.sum("output_tokens").alias("output_tokens"),
+                                         F.sum("input_tokens").alias("input_tokens"))
 
 
 def score(samples: DataFrame, suite_name: str, verdicts: DataFrame | None = None,
-          tasks: DataFrame | None = None, coverage_lines: DataFrame | None = None) -> EvalReport:
+          tasks: DataFrame | None = None, coverage_lines: DataFrame | None = None,
+          run_keys: list[str] | None = None) -> EvalReport:
     """Metric reports from post-processed samples and per-sample verdicts.
 
     ``verdicts``: ``task_idx, sample_idx`` + the suite's flags + ``timed_out``
     (+ ``line_coverage``, ``condition_coverage`` for coverage suites), e.g.
     from :func:`verdicts_from_facts`.  Defect detection needs ``tasks``
     (``defective``) instead.
+
+    ``run_keys`` (e.g. ``["model_id", "gen_mode"]``) score many runs in one
+    job: every grouping carries them, the task level is ``run_keys +
+    task_idx`` and the suite level is per run.
     """
     suite = get_suite(suite_name)
+    run_keys = list(run_keys or [])
+    keys = run_keys + ["task_idx"]
     if suite.chat_extraction == "marker":
         lab = met.label_answers(samples)
         lab = smp.attach_task(lab, tasks.select("task_idx", "defective"), ["defective"])
-        conf = met.defect_confusion(met.defect_variants(lab), by=["variant"])
+        conf = met.defect_confusion(met.defect_variants(lab), by=run_keys + ["variant"])
         return EvalReport(samples=samples, defect=met.defect_scores(conf))
 
     flags = list(suite.flags)
@@ -128,20 +136,21 @@ def score(samples: DataFrame, suite_name: str, verdicts: DataFrame | None = None
     extra = []
     if suite.has_coverage:
         extra += [F.avg("line_coverage").alias("line_coverage"), F.avg("condition_coverage").alias("condition_coverage")]
-    vc = ver.task_verdict_counts(verdicts, flags, extra_aggs=extra)
-    # Both sides are aggregates on task_idx, so they are already partitioned
-    # on the join key: a plain join adds no exchange and needs no size probe.
-    counts = met.with_total_tokens(vc.join(task_token_cost(samples), "task_idx", "left"))
-    task_metrics = met.task_metrics_long(counts, flags, list(suite.k_grid), list(suite.t_grid))
+    vc = ver.task_verdict_counts(verdicts, flags, task_keys=keys, extra_aggs=extra)
+    # Both sides are aggregates on the task keys, so they are already
+    # partitioned on the join key: a plain join adds no exchange and needs no
+    # size probe.
+    counts = met.with_total_tokens(vc.join(task_token_cost(samples, keys), keys, "left"))
+    task_metrics = met.task_metrics_long(counts, flags, list(suite.k_grid), list(suite.t_grid), keys)
     report = EvalReport(samples=samples, task_counts=counts, task_metrics=task_metrics,
-                        suite_metrics=met.suite_pass_metrics(task_metrics),
-                        solved=met.suite_solved_counts(counts, flags),
-                        detail=met.task_detail_report(counts, flags, list(suite.k_grid), list(suite.t_grid)))
+                        suite_metrics=met.suite_pass_metrics(task_metrics, by=run_keys),
+                        solved=met.suite_solved_counts(counts, flags, by=run_keys),
+                        detail=met.task_detail_report(counts, flags, list(suite.k_grid), list(suite.t_grid), keys))
     if suite.has_coverage:
-        report.coverage = counts.agg(F.avg("line_coverage").alias("line_coverage"),
-                                     F.avg("condition_coverage").alias("condition_coverage"))
+        report.coverage = counts.groupBy(*run_keys).agg(F.avg("line_coverage").alias("line_coverage"),
+                                                        F.avg("condition_coverage").alias("condition_coverage"))
         if coverage_lines is not None:
-            report.diff_coverage = cov.diff_coverage(coverage_lines, counts.select("task_idx"))
+            report.diff_coverage = cov.diff_coverage(coverage_lines, counts.select(*keys), keys)
     return report
 
 

@@ -151,3 +151,27 @@ def test_evaluate_files_defect_report(spark):
     d = json.loads(docs[0].document)
     assert d["results"]["all"]["total"] == 3 and d["results"]["all"]["error"] == 1
     assert d["results"]["one"]["acc"] == 1.0
+
+
+def test_many_runs_in_one_job_equal_one_job_per_run(spark):
+    from conftest import SF_SMALL
+    from evalspark import fixtures as fx
+    from evalspark.plans.evaluate import score
+    s = fx.v_samples(spark, SF_SMALL).select("task_idx", "sample_idx", F.lit("prompt text").alias("input"),
+                                             F.col("output").alias("raw_output"))
+    v = fx.v_verdicts(spark, SF_SMALL)
+    runs_s = s.withColumn("model_id", F.lit("m0")).unionByName(s.withColumn("model_id", F.lit("m1")))
+    runs_v = v.withColumn("model_id", F.lit("m0")).unionByName(
+        v.withColumn("model_id", F.lit("m1")).withColumn("pass_compile", ~F.col("pass_compile")))
+    together = score(runs_s, "complete", verdicts=runs_v, run_keys=["model_id"])
+
+    def rows(df, drop=()):
+        return sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r)
+                      for r in df.drop(*drop).collect())
+
+    for m in ("m0", "m1"):
+        alone = score(runs_s.filter(F.col("model_id") == m).drop("model_id"), "complete",
+                      verdicts=runs_v.filter(F.col("model_id") == m).drop("model_id"))
+        assert rows(together.suite_metrics.filter(F.col("model_id") == m), ["model_id"]) == \
+            rows(alone.suite_metrics.select(*[c for c in together.suite_metrics.columns if c != "model_id"]))
+        assert rows(together.solved.filter(F.col("model_id") == m), ["model_id"]) == rows(alone.solved)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.functions import braces, defect, text, tokens
+from evalspark.functions.logs import tests_ok
 from evalspark.operators import coverage as cov
 from evalspark.operators import metrics as met
 from evalspark.operators import samples as smp
@@ -159,7 +160,8 @@ def verdicts_from_facts(suite_name: str, run_steps: DataFrame, coverage: DataFra
     suite = get_suite(suite_name)
     keys = ["task_idx", "sample_idx"]
     if suite.twin_versions:
-        paired = ver.pair_twin_runs(run_steps.withColumn("last_line", F.element_at("stdout_lines", -1)), keys)
+        facts = run_steps.withColumn("tests_ok", tests_ok(F.col("stdout_lines")))
+        paired = ver.pair_twin_runs(facts, keys, fields=("exit_code", "timed_out", "tests_ok"))
         if coverage is not None:
             paired = paired.join(coverage, keys, "left")
         return ver.reduce_issue_verdict(paired, keys, coverage="coverage" if coverage is not None else None)

@@ -75,12 +75,18 @@ def test_testgen_and_issue_suites_from_facts(spark):
             stdout_lines=["Failing tests: 0"]),
         Row(task_idx=0, sample_idx=1, version="buggy", step_no=1, kind="test", exit_code=0, timed_out=False,
             stdout_lines=["Failing tests: 0"]),
+        # a compile failure on the buggy version leaves no log and still reveals the issue
+        Row(task_idx=0, sample_idx=2, version="fixed", step_no=1, kind="test", exit_code=0, timed_out=False,
+            stdout_lines=["Failing tests: 0"]),
+        Row(task_idx=0, sample_idx=2, version="buggy", step_no=1, kind="test", exit_code=1, timed_out=False,
+            stdout_lines=[]),
     ])
-    coverage = spark.createDataFrame([Row(task_idx=0, sample_idx=0, coverage=Row(line_coverage=0.5, condition_coverage=0.2)),
-                                      Row(task_idx=0, sample_idx=1, coverage=Row(line_coverage=0.5, condition_coverage=0.2))])
+    coverage = spark.createDataFrame([Row(task_idx=0, sample_idx=i, coverage=Row(line_coverage=0.5, condition_coverage=0.2))
+                                      for i in range(3)])
     iv = {r.sample_idx: r for r in verdicts_from_facts("testgenissue", twin, coverage).collect()}
     assert iv[0].pass_trigger and not iv[1].pass_trigger
     assert iv[0].line_coverage == 0.5 and iv[1].line_coverage == 0.0
+    assert iv[2].pass_trigger and not iv[2].pass_compile
 
 
 def test_defect_suite_chat_mode(spark):

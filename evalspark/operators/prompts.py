@@ -23,7 +23,7 @@ def render_chat_prompt(turns: DataFrame, template: ChatTemplate, conv: str = "co
                        role: str = "role", text: str = "text") -> DataFrame:
     """Turns in order, each ``ROLE<sep>text<turn_sep>``, then an open assistant turn."""
     role_map = F.create_map(*[x for pair in template.roles for x in (F.lit(pair[0]), F.lit(pair[1]))])
-    shown = F.coalesce(F.element_at(role_map, F.col(role)), F.col(role))
+    shown = F.coalesce(role_map[F.col(role)], F.col(role))
     rendered = F.concat(shown, F.lit(template.role_sep), F.col(text), F.lit(template.turn_sep))
     assistant = dict(template.roles).get("assistant", "assistant")
     g = (turns.groupBy(conv)

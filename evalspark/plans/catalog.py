@@ -85,7 +85,7 @@ def q_load_run_steps(spark, sf):
     _steps_facts(spark, sf).write.parquet(path)
     st = files.load_run_steps(spark, path, run_keys=[("user_id", T.LongType()), ("run_day", T.DateType())])
     return st.select("user_id", F.col("run_day").cast("string").alias("run_day"), "step_no", "kind", "exit_code",
-                     "timed_out", F.element_at("stdout_lines", -1).alias("last_line"))
+                     "timed_out", logs.line_from_end(F.col("stdout_lines"), 1).alias("last_line"))
 
 
 def q_write_partials(spark, sf):

@@ -184,3 +184,11 @@ def test_error_counts_and_compiler_histogram(spark):
                                    Row(exit_code=0, stderr="A.java:1: error: x")])
     h = {r.first_error: r.steps for r in ver.compiler_error_histogram(steps).collect()}
     assert h == {"A.java:1: error: x": 1, None: 1}
+
+
+def test_render_chat_prompt_orders_turns_and_keeps_unknown_roles(spark):
+    from evalspark.operators.prompts import ChatTemplate, render_chat_prompt
+    turns = spark.createDataFrame([(1, 1, "assistant", "hi"), (1, 0, "user", "q"), (1, 2, "tool", "x")],
+                                  "conv_id long, turn long, role string, text string")
+    got = render_chat_prompt(turns, ChatTemplate(system="S|")).first().prompt
+    assert got == "S|USER: q\nASSISTANT: hi\ntool: x\nASSISTANT:"

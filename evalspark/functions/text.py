@@ -106,12 +106,25 @@ def split_lines(text: Column) -> Column:
     return F.split(text, F.lit("\n"), -1)
 
 
+def _py_head(arr: Column, n: Column) -> Column:
+    """``arr[:n]`` with Python's meaning of a negative ``n``."""
+    size = F.size(arr)
+    keep = F.when(n >= 0, n).otherwise(F.greatest(size + n, F.lit(0)))
+    return F.slice(arr, F.lit(1), keep)
+
+
+def _py_tail(arr: Column, k: Column) -> Column:
+    """``arr[k:]`` with Python's meaning of a negative ``k``."""
+    size = F.size(arr)
+    first = F.when(k >= 0, k).otherwise(F.greatest(size + k, F.lit(0))) + 1
+    return F.slice(arr, first, F.greatest(size, F.lit(1)))
+
+
 def splice_patch(source: Column, patch: Column, start: Column, end: Column) -> Column:
-    """Replace 0-based inclusive lines ``start..end`` of ``source`` by ``patch``."""
+    """Replace 0-based inclusive lines ``start..end`` of ``source`` by ``patch``:
+    ``lines[:start] + patch_lines + lines[end + 1:]`` with Python slice rules."""
     lines = split_lines(source)
-    head = F.slice(lines, F.lit(1), F.greatest(start, F.lit(0)))
-    tail = F.slice(lines, end + 2, F.greatest(F.size(lines), F.lit(1)))
-    return F.array_join(F.concat(head, split_lines(patch), tail), "\n")
+    return F.array_join(F.concat(_py_head(lines, start), split_lines(patch), _py_tail(lines, end + 1)), "\n")
 
 
 def clean_chat_output(text: Column, stop_str: str | None, special_tokens: list[str],

@@ -26,7 +26,7 @@ def coverage_lines_from_xml(df: DataFrame, xml: str = "xml", keep: list[str] | N
     lines = classes.select(*keep, F.col("__c._name").alias("class"), F.col("__c._filename").alias("file"),
                            F.explode(F.concat(method_lines, class_lines)).alias("__l"))
     return lines.select(*keep, "class", "file", F.col("__l._number").alias("number"),
-                        (F.col("__l._hits").cast("long") > 0).alias("hit"))
+                        (F.col("__l._hits").try_cast("long") > 0).alias("hit"))
 
 
 def load_coverage_xml_files(spark, path: str) -> DataFrame:
@@ -43,7 +43,7 @@ def load_coverage_xml_files(spark, path: str) -> DataFrame:
     lines = classes.select("report", F.col("__c._name").alias("class"), F.col("__c._filename").alias("file"),
                            F.explode(F.concat(method_lines, class_lines)).alias("__l"))
     return lines.select("report", "class", "file", F.col("__l._number").alias("number"),
-                        (F.col("__l._hits").cast("long") > 0).alias("hit"))
+                        (F.col("__l._hits").try_cast("long") > 0).alias("hit"))
 
 
 def coverage_means(per_sample: DataFrame, task_key: str = "task_idx",

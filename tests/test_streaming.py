@@ -112,7 +112,6 @@ def test_stream_chat_rule_agrees_with_per_chunk_check(spark):
 
 
 def test_stop_stream_for_suite_uses_task_signatures(spark):
-    from pyspark.sql import functions as F
     tasks = spark.createDataFrame([(0, "int f()"), (1, "void g()")], "task_idx int, function_signature string")
     rows = [(0, 0, 0, "Sure: int f() { x"), (0, 1, 0, " } more"), (1, 0, 1, "void g() {"), (1, 1, 1, " }"),
             (2, 0, 1, "no signature { }")]

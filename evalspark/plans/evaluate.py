@@ -222,7 +222,8 @@ def evaluate_files(spark: SparkSession, suite_name: str, tasks_path: str, genera
         metrics.write.mode("overwrite").partitionBy(*keys).parquet(f"{output_path}/metrics")
         rep.detail.select(*lit_keys, "*").write.mode("overwrite").partitionBy(*keys).parquet(f"{output_path}/detail")
         end_time = time.time()
+        scalars = rep.coverage.select(*lit_keys, "*") if rep.coverage is not None else None
         doc = sinks.results_document(metrics, rep.solved.select(*lit_keys, "*"), keys, list(suite.flags),
-                                     {"time_cost": end_time - start, "end_time": end_time})
+                                     {"time_cost": end_time - start, "end_time": end_time}, scalars=scalars)
     doc.write.mode("overwrite").partitionBy(*keys).json(f"{output_path}/documents")
     return spark.read.json(f"{output_path}/documents")

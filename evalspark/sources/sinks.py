@@ -60,7 +60,8 @@ def write_results(metrics: DataFrame, path: str, run_keys: list[str], timing: di
 
 
 def results_document(suite_metrics: DataFrame, solved: DataFrame, run_keys: list[str],
-                     flags: list[str], timing: dict | None = None) -> DataFrame:
+                     flags: list[str], timing: dict | None = None,
+                     scalars: DataFrame | None = None) -> DataFrame:
     """One JSON document per run, shaped like the original report:
     ``{"total", "timed_out", "<flag>": {"count", "pass@k-1", "pass@t-1000", ...}}``.
 
@@ -74,7 +75,11 @@ def results_document(suite_metrics: DataFrame, solved: DataFrame, run_keys: list
                 .agg(F.map_from_entries(F.collect_list(F.struct(name, F.col("value")))).alias("m")))
     per_run = per_flag.groupBy(*run_keys).agg(F.map_from_entries(F.collect_list(F.struct("flag", "m"))).alias("mm"))
     doc = solved.join(per_run, run_keys, "left") if run_keys else solved.crossJoin(per_run)
-    fields = [F.col("total"), F.col("timed_out")]
+    extra_cols = []
+    if scalars is not None:      # per-run scalar values, e.g. coverage means
+        doc = doc.join(scalars, run_keys, "left") if run_keys else doc.crossJoin(scalars)
+        extra_cols = [c for c in scalars.columns if c not in run_keys]
+    fields = [F.col("total"), F.col("timed_out")] + [F.col(c) for c in extra_cols]
     for f in flags:
         short = f.removeprefix("pass_")
         entry = F.map_concat(F.create_map(F.lit("count"), F.col(f"solved_{short}").cast("double")),

@@ -181,3 +181,29 @@ def test_many_runs_in_one_job_equal_one_job_per_run(spark):
         assert rows(together.suite_metrics.filter(F.col("model_id") == m), ["model_id"]) == \
             rows(alone.suite_metrics.select(*[c for c in together.suite_metrics.columns if c != "model_id"]))
         assert rows(together.solved.filter(F.col("model_id") == m), ["model_id"]) == rows(alone.solved)
+
+
+def test_evaluate_files_testgen_report_has_coverage(spark):
+    import json
+    import os
+    from evalspark.plans.evaluate import evaluate_files
+    from evalspark.session import scratch_path
+    root = scratch_path(spark, "eval-files-testgen")
+    os.makedirs(root, exist_ok=True)
+    tasks_path = os.path.join(root, "tasks")
+    _tasks(spark, 1).withColumn("task_idx", F.col("task_idx").cast("int")).write.parquet(tasks_path)
+    gens_path = os.path.join(root, "generations.json")
+    with open(gens_path, "w") as f:
+        json.dump([{"task_idx": 0, "task_id": "t0", "outputs": ["  p0 {\n{ test }", "  p0 {\n{ t2 }"]}], f)
+    steps = spark.createDataFrame([
+        (0, 0, 1, "test", 0, False, ["Failing tests: 0"], True),
+        (0, 0, 2, "coverage", 0, False, ["Line coverage: 50.0%", "Condition coverage: 20.0%"], True),
+        (0, 1, 1, "test", 1, False, [], True)],
+        "task_idx int, sample_idx int, step_no int, kind string, exit_code int, timed_out boolean, "
+        "stdout_lines array<string>, syntax_ok boolean")
+    steps_path = os.path.join(root, "steps")
+    steps.write.parquet(steps_path)
+    d = json.loads(evaluate_files(spark, "testgen", tasks_path, gens_path, "complete", os.path.join(root, "out"),
+                                  run_steps_path=steps_path).first().document)
+    assert d["line_coverage"] == pytest.approx(0.25) and d["condition_coverage"] == pytest.approx(0.1)
+    assert d["pass_trigger"]["pass@k-1"] == pytest.approx(0.5) and d["pass_compile"]["count"] == 1.0

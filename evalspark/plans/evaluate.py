@@ -183,13 +183,15 @@ def run_evaluate(spark: SparkSession, suite_name: str, tasks: DataFrame, generat
 def evaluate_files(spark: SparkSession, suite_name: str, tasks_path: str, generations_path: str, mode: str,
                    output_path: str, begin: int = -1, end: int = -1, num_samples: int | None = None,
                    run_steps_path: str | None = None, generations_multiline: bool = True,
-                   run_keys: dict | None = None) -> DataFrame:
+                   run_keys: dict | None = None, coverage_lines_path: str | None = None) -> DataFrame:
     """File in, report out, like the original evaluate entry point.
 
     Reads the tasks file and the generations document, writes the
     post-processed stage beside the generations (``<name>-postprocess``),
     scores with the run facts when given, and writes the long metric table
-    plus one results document per run under ``output_path``.  ``time_cost``
+    plus one results document per run under ``output_path``.  Coverage
+    suites may add ``coverage_lines_path`` (Parquet: ``task_idx, class,
+    file, number, hit`` per covered line) for ``diff_coverage``.  ``time_cost``
     and ``end_time`` are measured on the driver around the scoring jobs.
     """
     import time
@@ -205,7 +207,8 @@ def evaluate_files(spark: SparkSession, suite_name: str, tasks_path: str, genera
     verdicts = None
     if run_steps_path:
         verdicts = verdicts_from_facts(suite_name, files.load_run_steps(spark, run_steps_path))
-    rep = score(samples, suite_name, verdicts=verdicts, tasks=tasks)
+    lines = spark.read.parquet(coverage_lines_path) if coverage_lines_path else None
+    rep = score(samples, suite_name, verdicts=verdicts, tasks=tasks, coverage_lines=lines)
     keys = list(run_keys)
     lit_keys = [F.lit(v).alias(k) for k, v in run_keys.items()]
     if rep.defect is not None:
@@ -223,6 +226,9 @@ def evaluate_files(spark: SparkSession, suite_name: str, tasks_path: str, genera
         rep.detail.select(*lit_keys, "*").write.mode("overwrite").partitionBy(*keys).parquet(f"{output_path}/detail")
         end_time = time.time()
         scalars = rep.coverage.select(*lit_keys, "*") if rep.coverage is not None else None
+        if rep.diff_coverage is not None:
+            mean = rep.diff_coverage.agg(F.avg("diff_coverage").alias("diff_coverage")).select(*lit_keys, "*")
+            scalars = scalars.join(mean, keys) if scalars is not None else mean
         doc = sinks.results_document(metrics, rep.solved.select(*lit_keys, "*"), keys, list(suite.flags),
                                      {"time_cost": end_time - start, "end_time": end_time}, scalars=scalars)
     doc.write.mode("overwrite").partitionBy(*keys).json(f"{output_path}/documents")

@@ -203,7 +203,11 @@ def test_evaluate_files_testgen_report_has_coverage(spark):
         "stdout_lines array<string>, syntax_ok boolean")
     steps_path = os.path.join(root, "steps")
     steps.write.parquet(steps_path)
+    lines_path = os.path.join(root, "lines")
+    spark.createDataFrame([(0, "A", "A.java", "3", True), (0, "A", "A.java", "3", False), (0, "A", "A.java", "4", True)],
+                          "task_idx int, class string, file string, number string, hit boolean").write.parquet(lines_path)
     d = json.loads(evaluate_files(spark, "testgen", tasks_path, gens_path, "complete", os.path.join(root, "out"),
-                                  run_steps_path=steps_path).first().document)
+                                  run_steps_path=steps_path, coverage_lines_path=lines_path).first().document)
     assert d["line_coverage"] == pytest.approx(0.25) and d["condition_coverage"] == pytest.approx(0.1)
+    assert d["diff_coverage"] == pytest.approx(2 / 3)
     assert d["pass_trigger"]["pass@k-1"] == pytest.approx(0.5) and d["pass_compile"]["count"] == 1.0

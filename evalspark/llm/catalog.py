@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import mixing, secrets
+import public_tokenizers
+
+from evalspark.llm import mixing, secrets, tokenfiles
 from evalspark.llm.common import read_table
+from evalspark.session import scratch_path
 
 
 def _n_of(spans: Column, kind: str) -> Column:
@@ -24,6 +27,12 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_path(spark, "token-files")
+    tokenfiles.write_token_files(read_table(spark, sf_dir, "documents"), out, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfiles.read_documents(spark, out)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read_table(spark, sf_dir, "documents"))
     base = F.col("base_spans")
@@ -33,6 +42,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mix": op3_source_mix,
+    "op4_token_files": op4_token_files,
     "op8_secret_scan": op8_secret_scan,
 }
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalspark.session import scratch_path
+
 # A word: a run of anything but ASCII white space.  The class is given as
 # code points so that Java, Python and SQL engines agree on it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,3 +35,11 @@ def fresh(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a fresh folder under the shared checkpoint folder and read back:
+    computed once, its lineage cut, and safe when executors are lost."""
+    path = scratch_path(df.sparkSession, f"llm-{name}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from evalspark.llm import mixing, secrets, tokenfiles
+from evalspark.llm import labelled, mixing, secrets, tokenfiles, toxicity
 from evalspark.llm.common import read_table
 from evalspark.session import scratch_path
 
@@ -33,6 +33,14 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_documents(spark, out)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read_table(spark, sf_dir, "documents"))
     base = F.col("base_spans")
@@ -43,6 +51,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mix": op3_source_mix,
     "op4_token_files": op4_token_files,
+    "op5_toxicity": op5_toxicity,
     "op8_secret_scan": op8_secret_scan,
 }
 

@@ -43,7 +43,9 @@ END_ID = 2
 BLOCK = 4096                 # ids per block
 PERCENTILE = 0.9             # share of a block's values that its width covers
 FLUSH_BLOCKS = 64            # blocks packed at once
-MEMO_PIECES = 1_000_000      # pieces remembered per worker (about 200 bytes each); a full memo starts anew
+MEMO_PIECES = 700_000        # pieces remembered per worker (about 200 bytes each) before the long ones are forgotten
+SHORT_PIECE = 9
+SLICE_ROWS = 200             # rows of an Arrow batch that are Python objects at a time
 
 #: Texts of these characters only are cut into pieces here: on them the cut is the
 #: same in every regex library.  Any other text goes to the tokenizer whole.
@@ -77,26 +79,33 @@ class PieceEncoder:
     def _learn(self, pieces: list[str]) -> None:
         spaced = [p for p in pieces if _SPACED.fullmatch(p)]
         if spaced:
-            found = self.tokenizer.encode("".join(spaced), add_special_tokens=False)
+            found = self.tokenizer.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0]
             ids = np.array(found.ids, "<u4").tobytes()
             cuts = (4 * np.flatnonzero(np.diff(np.array(found.word_ids), prepend=-1))).tolist() + [len(ids)]
             self.memo.update(zip(spaced, map(ids.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
         rest = list(set(pieces).difference(spaced))
         self.memo.update(zip(rest, self._whole(rest), strict=True))
 
+    def _make_room(self) -> None:
+        """Forget the long pieces, which are the rare ones; all, if that is not enough."""
+        self.memo = {p: ids for p, ids in self.memo.items() if len(p) <= SHORT_PIECE}
+        if len(self.memo) > MEMO_PIECES // 2:
+            self.memo = {}
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
             if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
                 yield self._whole([text])[0]
                 continue
             pieces = _PIECES.findall(text)
-            new = list(set(pieces).difference(self.memo))
-            if new:
-                if len(self.memo) + len(new) > MEMO_PIECES:
-                    self.memo.clear()
-                    new = list(set(pieces))
-                self._learn(new)
-            yield b"".join(map(self.memo.__getitem__, pieces))
+            ids = list(map(self.memo.get, pieces))
+            if None in ids:
+                if len(self.memo) > MEMO_PIECES:
+                    self._make_room()
+                    ids = list(map(self.memo.get, pieces))
+                self._learn(list({p for p, i in zip(pieces, ids, strict=True) if i is None}))
+                ids = map(self.memo.__getitem__, pieces)
+            yield b"".join(ids)
 
 
 @functools.lru_cache(maxsize=2)
@@ -150,6 +159,12 @@ def _record(payload: bytes) -> bytes:
     return struct.pack("<I", len(payload)) + payload
 
 
+def _encoded(batch: pa.RecordBatch, codec: PieceEncoder) -> Iterator[tuple[int | None, bytes]]:
+    for at in range(0, batch.num_rows, SLICE_ROWS):
+        part = batch.slice(at, SLICE_ROWS)
+        yield from zip(part.column(0).to_pylist(), codec.encode([t or "" for t in part.column(1).to_pylist()]), strict=True)
+
+
 def _write_partition(batches: Iterator[pa.RecordBatch], path: str, end_id: int, percentile: float) -> Iterator[pa.RecordBatch]:
     codec, end = encoder(path), np.array([end_id], "<u4").tobytes()
     waiting, n_waiting, n_done, at = [], 0, 0, 0
@@ -177,9 +192,7 @@ def _write_partition(batches: Iterator[pa.RecordBatch], path: str, end_id: int,
         if batch.num_rows and first:
             yield rows([b"H" + struct.pack("<I", TaskContext.get().partitionId())])
             first = False
-        keys = batch.column(0).to_pylist()
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        for key, ids in zip(keys, codec.encode(texts), strict=True):
+        for key, ids in _encoded(batch, codec):
             doc_ids.append(key or 0)
             nulls.append(key is None)
             counts.append(len(ids) // 4 + 1)

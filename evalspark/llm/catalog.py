@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from evalspark.llm import labelled, mixing, secrets, tokenfiles, toxicity
+from evalspark.llm import labelled, mixing, quality, secrets, tokenfiles, toxicity
 from evalspark.llm.common import read_table
 from evalspark.session import scratch_path
 
@@ -41,6 +41,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    rules = quality.fit(docs, read_table(spark, sf_dir, "labels"))
+    return quality.judge(docs, rules)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read_table(spark, sf_dir, "documents"))
     base = F.col("base_spans")
@@ -52,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mix": op3_source_mix,
     "op4_token_files": op4_token_files,
     "op5_toxicity": op5_toxicity,
+    "op6_quality_rules": op6_quality_rules,
     "op8_secret_scan": op8_secret_scan,
 }
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from evalspark.llm import labelled, mixing, quality, secrets, tokenfiles, toxicity
+from evalspark.llm import labelled, mixing, pii, quality, secrets, tokenfiles, toxicity
 from evalspark.llm.common import read_table
 from evalspark.session import scratch_path
 
@@ -54,12 +54,23 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.concat_ws(",", "spans").alias("spans"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(read_table(spark, sf_dir, "documents"))
+    listed = found.select("doc_id", pii.listed(F.col("spans"), pii.BASE_KINDS).alias("base"),
+                          pii.listed(F.col("spans")).alias("every"),
+                          F.array_max(F.transform("spans", lambda s: s["score"])).alias("top_score"))
+    base = F.col("base")
+    return listed.select("doc_id", *[_n_of(base, k) for k in pii.BASE_KINDS], _digest(base).alias("base_sha256"),
+                         F.concat_ws(",", "every").alias("spans"), "top_score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mix": op3_source_mix,
     "op4_token_files": op4_token_files,
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op8_secret_scan": op8_secret_scan,
+    "op9_personal_data": op9_personal_data,
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from evalspark.llm import labelled, mixing, pii, quality, secrets, tokenfiles, toxicity
+from evalspark.llm import labelled, linededup, mixing, pii, quality, secrets, tokenfiles, toxicity
 from evalspark.llm.common import read_table
 from evalspark.session import scratch_path
 
@@ -64,6 +64,11 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.concat_ws(",", "every").alias("spans"), "top_score")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs, lines_col="n_lines", removed_col="n_removed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mix": op3_source_mix,
     "op4_token_files": op4_token_files,
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op8_secret_scan": op8_secret_scan,
     "op9_personal_data": op9_personal_data,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"

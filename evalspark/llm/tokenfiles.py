@@ -43,15 +43,16 @@ END_ID = 2
 BLOCK = 4096                 # ids per block
 PERCENTILE = 0.9             # share of a block's values that its width covers
 FLUSH_BLOCKS = 64            # blocks packed at once
-MEMO_PIECES = 700_000        # pieces remembered per worker (about 200 bytes each) before the long ones are forgotten
+MEMO_PIECES = 1_300_000       # pieces remembered per worker (about 200 bytes each) before the long ones are forgotten
 SHORT_PIECE = 9
 SLICE_ROWS = 200             # rows of an Arrow batch that are Python objects at a time
 
 #: Texts of these characters only are cut into pieces here: on them the cut is the
 #: same in every regex library.  Any other text goes to the tokenizer whole.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa0-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]*+")
-#: Fixed pattern of byte-level BPE; a token never spans two pieces.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: The pieces of byte-level BPE: letters, digits or other signs with a space before them, contractions, white
+#: space.  The alternatives start with different characters, so the usual ones come first.
+_PIECES = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:s|t|re|ve|m|ll|d)| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Pieces that the pattern cuts out again when they are written one after the other.
 _SPACED = re.compile(r" [^\W\d_]+")
 
@@ -70,6 +71,10 @@ class PieceEncoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
+        names = self.tokenizer.get_vocab()
+        space = self.tokenizer.id_to_token(self.tokenizer.encode(" a", add_special_tokens=False).ids[0])[0]
+        self.opens = np.zeros(max(names.values()) + 1, bool)          # ids of tokens that begin with a space
+        self.opens[[i for name, i in names.items() if name.startswith(space)]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -79,9 +84,9 @@ class PieceEncoder:
     def _learn(self, pieces: list[str]) -> None:
         spaced = [p for p in pieces if _SPACED.fullmatch(p)]
         if spaced:
-            found = self.tokenizer.encode("".join(spaced), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4").tobytes()
-            cuts = (4 * np.flatnonzero(np.diff(np.array(found.word_ids), prepend=-1))).tolist() + [len(ids)]
+            ids = np.frombuffer(self._whole(["".join(spaced)])[0], "<u4")
+            cuts = [*(4 * np.flatnonzero(self.opens[ids])).tolist(), 4 * len(ids)]
+            ids = ids.tobytes()
             self.memo.update(zip(spaced, map(ids.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
         rest = list(set(pieces).difference(spaced))
         self.memo.update(zip(rest, self._whole(rest), strict=True))

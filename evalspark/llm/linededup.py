@@ -8,8 +8,8 @@ whole window, so both its copies select the same fingerprint in it.
 
 Equal fingerprints are joined on their hash, and a match is extended both
 ways: from each fingerprint, hashes of the runs that grow line by line to the
-right and to the left, as far as the neighbouring fingerprint or
-``min_words`` words, are compared with their first occurrence in the corpus
+right and to the left, at least as far as the next window's fingerprint takes
+over, are compared with their first occurrence in the corpus
 (the smallest document id, then text hash, then line).  A run that occurred
 before is deleted when it holds ``min_words`` words; the first occurrence stays.
 
@@ -66,34 +66,33 @@ def _selected(lines: Column, min_words: int) -> Column:
 _STEP = "struct<hash:bigint,words:int,pos:int>"
 
 
-def _chain(around: Column, start: Column, stop: Column, min_words: int, side: int) -> Column:
+def _chain(around: Column, start: Column, min_words: int, side: int) -> Column:
     """Runs that grow from ``start`` over the lines ``around`` (nearest first).
 
-    A line is added while the run is below ``min_words`` words or the line is
-    nearer than ``stop`` lines, where the next fingerprint takes over.
+    A line is added while the added ones stay below ``min_words`` words, or
+    the run as a whole is below it.  That far, and not only to the next
+    fingerprint: at the ends of a run its copies may select different lines.
     """
     zero = F.struct(F.xxhash64(F.lit(side), start["h"]).alias("hash"), start["nw"].alias("words"),
-                    F.array().cast(f"array<{_STEP}>").alias("steps"), F.lit(0).alias("k"))
+                    F.array().cast(f"array<{_STEP}>").alias("steps"), F.lit(True).alias("open"))
 
     def add(a: Column, x: Column) -> Column:
         step = F.struct(F.xxhash64(a["hash"], x["h"]).alias("hash"), (a["words"] + x["nw"]).alias("words"), x["pos"].alias("pos"))
-        grown = F.struct(step["hash"].alias("hash"), step["words"].alias("words"),
-                         F.concat(a["steps"], F.array(step)).alias("steps"), (a["k"] + 1).alias("k"))
-        return F.when((a["words"] < min_words) | (a["k"] + 1 < stop), grown).otherwise(
-            F.struct(a["hash"].alias("hash"), a["words"].alias("words"), a["steps"].alias("steps"), (a["k"] + min_words).alias("k")))
+        goes = a["open"] & ((step["words"] - start["nw"] < min_words) | (a["words"] < min_words))
+        return F.when(goes, F.struct(step["hash"].alias("hash"), step["words"].alias("words"),
+                                     F.concat(a["steps"], F.array(step)).alias("steps"), F.lit(True).alias("open"))).otherwise(
+            F.struct(a["hash"].alias("hash"), a["words"].alias("words"), a["steps"].alias("steps"), F.lit(False).alias("open")))
 
     return F.aggregate(around, zero, add, lambda a: a["steps"])
 
 
 def _runs(lines: Column, picked: Column, min_words: int) -> Column:
     """All runs of all fingerprints: ``side`` 0 is the line itself, 1 grows right, 2 left."""
-    far = F.lit(2 * min_words)
-
-    def of(f: Column, n: Column) -> Column:
+    def of(f: Column) -> Column:
         line = F.get(lines, f)
-        right = _chain(F.slice(lines, f + 2, F.lit(min_words)), line, F.coalesce(F.get(picked, n + 1) - f, far), min_words, 1)
+        right = _chain(F.slice(lines, f + 2, F.lit(min_words)), line, min_words, 1)
         begin = F.greatest(f - min_words, F.lit(0))
-        left = _chain(F.reverse(F.slice(lines, begin + 1, f - begin)), line, F.coalesce(f - F.get(picked, n - 1), far), min_words, 2)
+        left = _chain(F.reverse(F.slice(lines, begin + 1, f - begin)), line, min_words, 2)
 
         def tell(side: int, steps: Column) -> Column:
             return F.transform(steps, lambda s: F.struct(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from evalspark.llm import labelled, linededup, mixing, pii, quality, secrets, tokenfiles, topk, toxicity
+from evalspark.llm import labelled, linededup, mixing, ngramjoin, pii, quality, secrets, tokenfiles, topk, toxicity
 from evalspark.llm.common import read_table
 from evalspark.session import scratch_path
 
@@ -22,6 +22,10 @@ def _digest(spans: Column) -> Column:
     return F.sha2(F.concat_ws(",", spans), 256)
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "embeddings")
     return topk.search(rows.select("vec_id", topk.integers(F.col("embedding")).alias("v")), every=50)
@@ -75,6 +79,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_topk_search": op2_topk_search,
     "op3_source_mix": op3_source_mix,
     "op4_token_files": op4_token_files,

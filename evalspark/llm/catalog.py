@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from evalspark.llm import labelled, linededup, mixing, ngramjoin, pii, quality, secrets, tokenfiles, topk, toxicity
+from evalspark.llm import labelled, lattice, linededup, mixing, ngramjoin, pii, quality, secrets, tokenfiles, topk, toxicity
 from evalspark.llm.common import read_table
 from evalspark.session import scratch_path
 
@@ -56,6 +56,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, rules)
 
 
+def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read_table(spark, sf_dir, "documents"))
     base = F.col("base_spans")
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
+    "op7_sampled_pieces": op7_sampled_pieces,
     "op8_secret_scan": op8_secret_scan,
     "op9_personal_data": op9_personal_data,
     "op10_line_dedup": op10_line_dedup,

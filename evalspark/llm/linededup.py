@@ -160,3 +160,17 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, lines_col: str | No
     if removed_col:
         counts.append(F.when(F.col(names["kept"]).isNotNull(), F.size(lines) - F.size(names["kept"])).otherwise(0).cast("long").alias(removed_col))
     return cut.select(*columns, *counts)
+
+
+def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` deduplicated by line, with its columns; documents of which nothing is left go.
+
+    ``n_chars``, where there is such a column, follows the text.
+    """
+    removed = common.fresh(docs, "removed")
+    cut = dedup_lines(docs, min_words, removed_col=removed)
+    stays = (F.col(removed) == 0) | F.col("text").rlike(common.WORD)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.col(removed) == 0, F.col("n_chars")).otherwise(
+            F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return cut.filter(stays).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -130,12 +130,12 @@ def _describe(known, percent: int) -> Callable:
             for part in _slices(batch):
                 sets = [grams(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0),
+                    part.column(0), part.column(2),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array([point(s, GROUPS).astype("<u4").tobytes() for s in sets], pa.binary()),
                     pa.array([_prefix(s, common_grams, percent).view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                    ["doc_id", "n_grams", "digest", "point", "prefix"])
+                    ["doc_id", "version", "n_grams", "digest", "point", "prefix"])
 
     return run
 
@@ -302,28 +302,51 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     sizes = sizes.select(F.col("root").alias("block"),
                          F.greatest(_split(F.col("docs"), BLOCK_DOCS), _split(F.col("grams"), BLOCK_GRAMS)).alias("parts"))
     members = members.join(sizes, F.col("root") == F.col("block")).select("block", "parts", "cid", "digest", "doc_id")
-    texts = docs.select(F.col("doc_id").alias("text_id"), "text")
+    texts = docs.select(F.col("doc_id").alias("text_id"), "text")        # joined on the id; other texts of it are told by digest
     placed = _dealt(members.join(texts, F.col("doc_id") == F.col("text_id")), "block", "parts", F.col("cid"))
     groups = placed.select("block", "i", "j", "cid", "digest", "text").repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "cid")
     return groups.mapInArrow(_verify(percent), "u long, v long")
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` per row of ``docs``."""
+def _rooted(docs: DataFrame, percent: int) -> DataFrame:
+    """``doc_id, version, n_grams, root`` per row; ``version`` is a hash of the text, ``root`` names the component."""
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(_common(docs))           # at most MAX_COMMON pairs
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    slim = docs.select("doc_id", "text")
+    slim = docs.select("doc_id", "text", F.xxhash64("text").alias("version"))
     described = common.staged(slim.mapInArrow(
-        _describe(known, percent), f"doc_id {id_type}, n_grams long, digest binary, point binary, prefix array<long>"), "grams")
+        _describe(known, percent),
+        f"doc_id {id_type}, version long, n_grams long, digest binary, point binary, prefix array<long>"), "grams")
     named = described.filter(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
     classes = common.staged(named.dropDuplicates(["digest"]).withColumn("cid", F.monotonically_increasing_id()), "classes")
     linked = components(_links(slim, classes, percent))
     # Every class has a root: its own, unless it is linked.
     roots = classes.select("digest", "cid").join(linked, F.col("cid") == F.col("id"), "left").select(
         "digest", F.coalesce("root", "cid").alias("root"))
-    rows = described.select("doc_id", "n_grams", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
-    placed = common.staged(rows.join(roots, "digest", "left").select("doc_id", "n_grams", "root"), "rooted")
+    rows = described.select("doc_id", "version", "n_grams", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+    return common.staged(rows.join(roots, "digest", "left").select("doc_id", "version", "n_grams", "root"), "rooted")
+
+
+def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` per row of ``docs``."""
+    placed = _rooted(docs, percent)
     least = placed.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "root", "left").select(
         "doc_id", F.col("n_grams").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, all columns, but of each component only that of the smallest id (and text hash)."""
+    placed = _rooted(docs, percent).filter(F.col("root").isNotNull())
+    version = common.fresh(docs, "version")
+    winners = placed.groupBy("root").agg(F.min(F.struct("doc_id", "version")).alias("w"))
+    losers = placed.join(winners, "root").filter(F.struct("doc_id", "version") != F.col("w")).select(
+        F.col("doc_id").alias("lost_id"), F.col("version").alias("lost_version")).distinct()
+    marked = docs.withColumn(version, F.xxhash64("text"))
+    left = marked.join(losers, (marked["doc_id"] == losers["lost_id"]) & (marked[version] == losers["lost_version"]), "left_anti")
+    twice = placed.groupBy("doc_id", "version").count().filter("count > 1").select(
+        F.col("doc_id").alias("lost_id"), F.col("version").alias("lost_version"))
+    if not twice.isEmpty():                                       # rows that repeat id and text: one of them stays
+        same = (left["doc_id"] == twice["lost_id"]) & (left[version] == twice["lost_version"])
+        left = left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", version]))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

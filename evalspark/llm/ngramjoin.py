@@ -43,7 +43,7 @@ from evalspark.llm.components import components
 
 WORDS = 3                    # words per n-gram
 PERCENT = 90
-GROUPS = 32                  # coordinates of a coarse point
+MIN_GROUPS, GRAMS_PER_GROUP = 32, 30          # coordinates of a coarse point: enough to tell unlike sets of that size apart
 SAMPLE_EVERY = 8             # one text in so many counts n-grams for the order
 MAX_COMMON = 500_000         # n-grams that the order knows as common: bounds what tasks receive
 SHARD_ROWS = 2048            # points of one tree in step 2
@@ -89,6 +89,16 @@ def point(hashes: np.ndarray, groups: int) -> np.ndarray:
     return np.bincount((hashes & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
 
 
+def coarse_point(hashes: np.ndarray) -> bytes:
+    """A point with one byte per coordinate; as many coordinates as that takes."""
+    groups = MIN_GROUPS
+    while groups * GRAMS_PER_GROUP < len(hashes):
+        groups *= 2
+    while (counts := point(hashes, groups)).max(initial=0) > 255:
+        groups *= 2
+    return counts.astype(np.uint8).tobytes()
+
+
 def _slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
@@ -133,7 +143,7 @@ def _describe(known, percent: int) -> Callable:
                     part.column(0), part.column(2),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([point(s, GROUPS).astype("<u4").tobytes() for s in sets], pa.binary()),
+                    pa.array([coarse_point(s) for s in sets], pa.binary()),
                     pa.array([_prefix(s, common_grams, percent).view(np.int64) for s in sets], pa.list_(pa.int64()))],
                     ["doc_id", "version", "n_grams", "digest", "point", "prefix"])
 
@@ -194,6 +204,39 @@ def _tied(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
     return root
 
 
+class _Points:
+    """Coarse points of several widths; a wider one is folded to meet a narrower one."""
+
+    def __init__(self, raw: list[bytes]):
+        self.width = np.array([len(r) for r in raw])
+        self.at = {}
+        self.rows = {}
+        for w in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == w)
+            self.rows[w] = np.frombuffer(b"".join(raw[k] for k in own), np.uint8).reshape(-1, w).astype(np.int16)
+            self.at[w] = np.full(len(raw), -1)
+            self.at[w][own] = np.arange(len(own))
+
+    def _folded(self, rows: np.ndarray, width: int) -> np.ndarray:
+        out = np.zeros((len(rows), width), np.int16)
+        for w in np.unique(self.width[rows]).tolist():
+            own = self.width[rows] == w
+            out[own] = self.rows[w][self.at[w][rows[own]]].reshape(-1, w // width, width).sum(axis=1)
+        return out
+
+    def bound(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Sums of coordinate minima of the pairs."""
+        out = np.zeros(len(a), np.int64)
+        narrow = np.minimum(self.width[a], self.width[b])
+        for w in np.unique(narrow).tolist():
+            pairs = np.flatnonzero(narrow == w)
+            step = max(1, 4_000_000 // w)
+            for k in range(0, len(pairs), step):
+                own = pairs[k:k + step]
+                out[own] = np.minimum(self._folded(a[own], w), self._folded(b[own], w)).sum(axis=1)
+        return out
+
+
 def _candidates(percent: int) -> Callable:
     """Ties between the points of each tree whose size, position and bound allow the similarity."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +245,7 @@ def _candidates(percent: int) -> Callable:
             n, at, cid = get("n_grams"), get("at"), get("cid")
             run_of = np.zeros(len(n), np.int64)
             run_of[1:] = np.cumsum(np.any([np.diff(get(c)) != 0 for c in ("gram", "i", "j")], axis=0))
-            points = np.frombuffer(b"".join(table.column("point").to_pylist()), "<u4").reshape(len(n), GROUPS).astype(np.int32)
+            points = _Points(table.column("point").to_pylist())
             found_a, found_b = [], []
             here = np.arange(len(n))
             for step in range(1, len(n)):                 # rows of a run are in the order of size
@@ -214,7 +257,7 @@ def _candidates(percent: int) -> Callable:
                 need = needed(n[here], n[there], percent)
                 fits = (at[here] < index_length(n[here], percent)) & (np.minimum(n[here] - at[here], n[there] - at[there]) >= need)
                 a, b, need = here[fits], there[fits], need[fits]
-                fits = np.minimum(points[a], points[b]).sum(axis=1) >= need
+                fits = points.bound(a, b) >= need
                 found_a.append(a[fits])
                 found_b.append(b[fits])
             if found_a:

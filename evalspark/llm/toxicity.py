@@ -120,9 +120,13 @@ class Grammar:
         table = {}
         for states, i in number.items():
             for symbol in range(8):
-                moves = [p.step(s, symbol) for p, s in zip(parts, states, strict=True)]
+                # Each transducer reads what those before it wrote: a negated or reported threat is no threat any more.
+                read, moves = symbol, []
+                for p, s in zip(parts, states, strict=True):
+                    moves.append(p.step(s, read))
+                    if symbol == THREAT and moves[-1][1]:
+                        read = OTHER
                 marks = {m for _, m in moves}
-                # A reported or negated threat is no menace, a target alone marks nothing.
                 if symbol == THREAT and MENACE not in marks:
                     marks = {None}
                 table[i, symbol] = number[tuple(n for n, _ in moves)], max(marks, key=rank.__getitem__)

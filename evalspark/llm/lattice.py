@@ -45,7 +45,7 @@ SAMPLES = 2
 ALPHA = 0.6
 RANK_SHIFT = 10
 UNIT_CHARS = 256
-SLICE_CHARS = 1_000_000       # characters whose lattice is held at a time
+SLICE_CHARS = 1_500_000       # characters whose lattice is held at a time
 SEED = "segment-1"
 BEGINNING, MISS = -1, -2     # of a lookup: the beginning of a piece; of none
 TABLE = 1 << 19
@@ -55,29 +55,39 @@ _LITERAL = "\U0010fffe"      # stands for a space sign that the text itself hold
 _UNITS = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _HASH = np.uint64(0xD6E8FEB86659FD93)
+_MASK = (1 << 64) - 1
+_BELOW_ONE = np.float32(1 - 2 ** -24)
 
 
 def salt(n: int) -> np.uint64:
-    return np.uint64(n * int(_HASH) & (1 << 64) - 1)
+    return np.uint64(n * int(_HASH) & _MASK)
 
 
 def uniform(seed: np.ndarray, place: int) -> np.ndarray:
     """Numbers in (0, 1) fixed by seed and place (splitmix64)."""
-    z = np.atleast_1d(seed) + np.uint64((place + 1) * int(_GOLDEN) & (1 << 64) - 1)
+    z = np.atleast_1d(seed) + np.uint64((place + 1) * int(_GOLDEN) & _MASK)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     z ^= z >> np.uint64(31)
     return ((z >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
+def one_uniform(seed: int, place: int) -> float:
+    """:func:`uniform` of one seed."""
+    z = (seed + (place + 1) * int(_GOLDEN)) & _MASK
+    z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & _MASK
+    z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & _MASK
+    z ^= z >> 31
+    return ((z >> 11) + 0.5) / float(1 << 53)
+
+
 def gumbel(location: np.ndarray, u: np.ndarray) -> np.ndarray:
     return location - np.log(-np.log(u))
 
 
 def truncated(g: np.ndarray, top: float | np.ndarray) -> np.ndarray:
     """Gumbel draws conditioned to stay below ``top``."""
-    with np.errstate(over="ignore", divide="ignore"):
-        return top - np.log1p(np.exp(top - g))
+    return -np.logaddexp(-top, -g)
 
 
 def log1mexp(x: np.ndarray) -> np.ndarray:
@@ -156,16 +166,14 @@ class Lattices:
             whole = chance[:, -1]
             total[lo:lo + m] = top + np.log(whole)
             ways -= np.log(whole)[:, None]                             # log chance of each piece, given its start
-            self.chance[lo:lo + m] = chance / whole[:, None]
-        last = width - 1 - np.argmax(self.weight[:, ::-1] > -np.inf, axis=1)
-        self.chance[np.arange(width) >= last[:, None]] = 2.0           # rounding never passes the last piece
+            self.chance[lo:lo + m] = chance / whole[:, None]           # exactly 1 from the last piece on
 
     def walk(self, at: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Draw a segmentation from each position to its unit's end: pieces per walk, first piece, pieces, log chance."""
         count, log_chance = np.zeros(len(at), np.int64), np.zeros(len(at))
         live, place, steps = np.arange(len(at)), at, []
         while len(live):
-            u = uniform(seed, len(steps)).astype(np.float32)
+            u = np.minimum(uniform(seed, len(steps)).astype(np.float32), _BELOW_ONE)
             k = (self.chance[place] > u[:, None]).argmax(axis=1)
             steps.append((live, self.piece[place, k]))
             log_chance[live] += self.weight[place, k]
@@ -184,7 +192,7 @@ class Lattices:
         room = int(self.room[place])
         return place - int(self.offset[room]) + int(self.offset[room - k - 1])
 
-    def other(self, at: int, known: list[tuple[int, ...]], seed: np.uint64) -> tuple[list[int], float, float]:
+    def other(self, at: int, known: list[tuple[int, ...]], seed: int) -> tuple[list[int], float, float]:
         """A segmentation from ``at`` that is none of ``known``: pieces, its log chance, and the log chance of all others left."""
         tree: dict[int, list[tuple[int, ...]]] = {}
         pieces, log_chance, place, step = [], 0.0, at, 0
@@ -205,7 +213,7 @@ class Lattices:
             total = sum(weights)
             if total <= 0:
                 return [], 0.0, -math.inf
-            u = float(uniform(seed, 1_000 + step)[0]) * total
+            u = one_uniform(seed, 1_000 + step) * total
             for (k, p, inside, lw), w in zip(options, weights, strict=True):
                 u -= w
                 if u <= 0 and w > 0:
@@ -215,8 +223,14 @@ class Lattices:
             if k + 1 >= n:
                 return pieces, log_chance, 0.0
             place, step, rest = self._next(place, k), step + 1, inside
-        _, _, tail, lc = self.walk(np.array([place]), np.array([seed], np.uint64))
-        return pieces + tail.tolist(), log_chance + float(lc[0]), 0.0
+        while True:                                       # unlike all known ones by now: the rest is free
+            u, row = min(one_uniform(seed, step), float(_BELOW_ONE)), self.chance[place].tolist()
+            k = next(k for k, c in enumerate(row) if c > u)
+            pieces.append(int(self.piece[place, k]))
+            log_chance += float(self.weight[place, k])
+            if k + 1 >= int(self.room[place]):
+                return pieces, log_chance, 0.0
+            place, step = self._next(place, k), step + 1
 
     def _mass(self, place: int, more: bool, known: list[tuple[int, ...]]) -> float:
         """Chance of the known endings from a position."""
@@ -437,7 +451,7 @@ def _search(model: Segmenter, draws: _Draws, a: int, b: int, key: float, shift:
         if unit not in x.known:
             x.known[unit] = [tuple(draws.pieces(p, a + unit, a + unit + 1).tolist())]
         known = x.known[unit]
-        pieces, log_chance, left = lattices.other(at, known, draws.seed[a + unit] ^ salt(s))
+        pieces, log_chance, left = lattices.other(at, known, int(draws.seed[a + unit] ^ salt(s)))
         if left == -math.inf:
             x.bound[unit] = -np.inf
             continue
@@ -454,8 +468,8 @@ def _search(model: Segmenter, draws: _Draws, a: int, b: int, key: float, shift:
         rest = 1.0 - sum(math.exp(lattices.log_chance(at, k)) for k in known)
         x.bound[unit] = -np.inf
         if rest > 1e-12:
-            noise = uniform(draws.seed[a + unit:after] ^ salt(s), 9)
-            x.bound[unit] = truncated(gumbel(np.array([start + math.log(rest)]), noise), best)[0]
+            g = start + math.log(rest) - math.log(-math.log(one_uniform(int(draws.seed[a + unit] ^ salt(s)), 9)))
+            x.bound[unit] = best - (math.log1p(math.exp(best - g)) if best - g < 700 else best - g)
 
     def pieces_of(s: int, hi: int) -> list[np.ndarray]:
         """Pieces of the units before ``hi`` of a segmentation, last ones first."""
@@ -482,7 +496,7 @@ def row_seed(key, seed: str = SEED) -> int:
     return xxh3_64_intdigest(f"{seed}:{key}".encode())
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[tuple[pa.Array, list[str | None]]]:
+def _slices(batch: pa.RecordBatch, rows: int = 450) -> Iterator[tuple[pa.Array, list[str | None]]]:
     for at in range(0, batch.num_rows, rows):
         part = batch.slice(at, rows)
         yield part.column(0), part.column(1).to_pylist()

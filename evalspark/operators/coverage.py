@@ -14,10 +14,11 @@ def coverage_lines_from_xml(df: DataFrame, xml: str = "xml", keep: list[str] | N
     Every line element below a class counts, both the method-level and the
     class-level lists, so duplicates are normal (consumers use set
     semantics).  ``number`` stays a string; ``hit`` is ``hits > 0``.
-    Parsing is the built-in ``from_xml`` with a declared schema.
+    Parsing is the built-in ``from_xml`` with a declared schema; a malformed
+    report fails the job.
     """
     keep = keep or []
-    rep = df.select(*keep, F.from_xml(F.col(xml), COVERAGE_XML).alias("__r"))
+    rep = df.select(*keep, F.from_xml(F.col(xml), COVERAGE_XML, {"mode": "FAILFAST"}).alias("__r"))
     pkgs = rep.select(*keep, F.explode_outer("__r.packages.package").alias("__p"))
     classes = pkgs.select(*keep, F.explode("__p.classes.class").alias("__c"))
     method_lines = F.flatten(F.transform(F.coalesce(F.col("__c.methods.method"), F.array()),
@@ -35,7 +36,7 @@ def load_coverage_xml_files(spark, path: str) -> DataFrame:
     like :func:`coverage_lines_from_xml`."""
     cls_schema = COVERAGE_XML["packages"].dataType["package"].dataType.elementType["classes"].dataType["class"] \
         .dataType.elementType
-    classes = (spark.read.format("xml").option("rowTag", "class").schema(cls_schema).load(path)
+    classes = (spark.read.format("xml").option("rowTag", "class").option("mode", "FAILFAST").schema(cls_schema).load(path)
                .select(F.input_file_name().alias("report"), F.struct("*").alias("__c")))
     method_lines = F.flatten(F.transform(F.coalesce(F.col("__c.methods.method"), F.array()),
                                          lambda m: F.coalesce(m["lines"]["line"], F.array())))

@@ -1,13 +1,11 @@
 """Lookup joins with a size-checked broadcast.
 
 The reference looks tasks up by position; a missing index is fatal.  Here the
-lookup is an equi-join.  The dimension side is broadcast only after a bounded
-probe proves it small (at most ``max_rows`` rows and ``max_bytes`` of string
-data); otherwise the planner's shuffle join (and AQE's runtime re-plan) is
+lookup is an equi-join.  The dimension side is broadcast only after its size is
+measured (at most ``max_rows`` rows and ``max_bytes`` in all columns); otherwise the planner's shuffle join (and AQE's runtime re-plan) is
 used.  Missing keys fail the job from inside the plan, without a second pass.
 
-The probe executes the dimension's plan up to the row bound, so it is meant
-for dimension tables (a scan plus projections), not for derived aggregates;
+The measurement executes the dimension's plan once, so it is meant for dimension tables (a scan plus projections), not for derived aggregates;
 two aggregates on the same key are joined co-partitioned instead.
 """
 
@@ -20,19 +18,22 @@ DEFAULT_MAX_ROWS = 2_000_000
 DEFAULT_MAX_BYTES = 256 * 1024 * 1024
 
 
+def row_bytes(df: DataFrame):
+    """Size of a row: 16 bytes per column, and what its variable-width columns hold (nested ones as text)."""
+    size = F.lit(16 * len(df.columns))
+    for c, t in df.dtypes:
+        if t in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(F.col(c)), F.lit(0))
+        elif t.startswith(("array", "map", "struct")):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(F.col(c)))), F.lit(0))
+    return size.cast("long")
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS,
                    max_bytes: int = DEFAULT_MAX_BYTES) -> bool:
-    """Probe at most ``max_rows + 1`` rows: row count and string payload size."""
-    str_cols = [c for c, t in df.dtypes if t == "string"]
-    payload = F.lit(0)
-    for c in str_cols:
-        payload = payload + F.coalesce(F.octet_length(F.col(c)), F.lit(0))
-    n_cols = len(df.columns)
-    row = (df.limit(max_rows + 1)
-           .agg(F.count(F.lit(1)).alias("n"), F.sum(payload.cast("long")).alias("b"))
-           .first())
-    n, b = row["n"], (row["b"] or 0)
-    return n <= max_rows and b + 16 * n_cols * n <= max_bytes
+    """Rows and bytes of the whole dimension, by one plain aggregate (combined before its shuffle)."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(df)).alias("b")).first()
+    return row["n"] <= max_rows and (row["b"] or 0) <= max_bytes
 
 
 def lookup_join(facts: DataFrame, dim: DataFrame, on: list[str] | str, how: str = "inner",

@@ -66,7 +66,7 @@ def flatten_samples(generations: DataFrame, outputs: str = "outputs") -> DataFra
     return generations.select(*rest, F.posexplode(outputs).alias("sample_idx", "output"))
 
 
-def first_n_samples(samples: DataFrame, n: int | None, part: str = "task_idx",
+def first_n_samples(samples: DataFrame, n: int | None, part: str | list[str] = "task_idx",
                     order: str = "sample_idx") -> DataFrame:
     """Keep the first ``n`` samples of each task (no cut when ``n`` is falsy).
 
@@ -110,21 +110,24 @@ def attach_prompt(samples: DataFrame, tasks: DataFrame, mode: str, key: str = "t
     return strict_lookup(samples, dim, key, f"sample refers to a {key} missing from the task table")
 
 
-def merge_partials(partials: DataFrame, num_samples: int, key: str = "task_id", order: str = "ord",
+def merge_partials(partials: DataFrame, num_samples: int, key: str | list[str] = "task_id", order: str = "ord",
                    output: str = "output", keep_first: list[str] | None = None, sep: str | None = None) -> DataFrame:
     """Concatenate outputs per task in arrival order, cut to ``num_samples``.
 
     Scalar fields come from the first record.  The cut is applied before the
     collect (partial group limit before the shuffle), so every array holds at
-    most ``num_samples`` outputs however hot a task is.
+    most ``num_samples`` outputs however hot a task is; it must be given.
     """
+    if not num_samples or num_samples < 1:
+        raise ValueError("num_samples bounds the outputs of a task and must be positive")
     keep_first = keep_first or []
-    cut = first_n_samples(partials, num_samples, part=key, order=order)
+    keys = [key] if isinstance(key, str) else list(key)
+    cut = first_n_samples(partials, num_samples, part=keys, order=order)
     # Scalar fields ride in the sorted list (object hash aggregate, no
     # variable-width aggregation buffer, no sort of the input rows).
-    merged = cut.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, output, *keep_first))).alias("__o"))
+    merged = cut.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, output, *keep_first))).alias("__o"))
     outs = F.transform("__o", lambda x: x[output])
-    merged = merged.select(key, *[F.col("__o")[0][c].alias(c) for c in keep_first], outs.alias("outputs"),
+    merged = merged.select(*keys, *[F.col("__o")[0][c].alias(c) for c in keep_first], outs.alias("outputs"),
                            F.size("__o").alias("n_outputs"))
     if sep is not None:
         merged = merged.withColumn("outputs", F.array_join("outputs", sep))

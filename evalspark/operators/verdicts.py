@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.logs import parse_coverage_summary, tests_ok
+from evalspark.operators.joins import require_present
 
 # Step outcomes as small integers: aggregation buffers stay fixed-width, so
 # the reducers run as hash aggregates (no sort of the fact rows).
@@ -169,6 +170,39 @@ def reduce_issue_verdict(paired: DataFrame, key: list[str], syntax_ok: str | Non
     return _coverage_verdict(r, key, revealing, compile_fail, timed_out)
 
 
+def issue_verdict_from_facts(steps: DataFrame, key: list[str], coverage: DataFrame | None = None) -> DataFrame:
+    """Issue verdicts from run facts with ``version`` (fixed / buggy) and ``kind`` (test / coverage).
+
+    The twin tests are the ``test`` steps; ``timed_out`` looks at them only.
+    Coverage comes from the fixed version's ``coverage`` step if it ended
+    well.  A sample without both test runs fails the job: an absent run is
+    neither a pass nor a failure.
+    """
+    facts = steps.withColumn("tests_ok", tests_ok(F.col("stdout_lines")))
+    paired = pair_twin_runs(facts.filter(F.col("kind") == "test"), key, fields=("exit_code", "timed_out", "tests_ok"))
+    for side in ("fixed", "buggy"):
+        paired = require_present(paired.withColumn("__ran", F.col(f"{side}_tests_ok")), "__ran",
+                                 f"a sample has no test run on the {side} version")
+    ended = (F.col("exit_code") == 0) & ~F.coalesce(F.col("timed_out"), F.lit(False))
+    summary = parse_coverage_summary(F.col("stdout_lines"))
+    cov_step = (F.col("kind") == "coverage") & (F.col("version") == "fixed") & ended
+    rest = facts.groupBy(*key).agg(
+        (F.bool_and("syntax_ok") if "syntax_ok" in facts.columns else F.lit(True)).alias("syntax_ok"),
+        F.max_by(summary["line_coverage"], F.when(cov_step, F.col("step_no"))).alias("line"),
+        F.max_by(summary["condition_coverage"], F.when(cov_step, F.col("step_no"))).alias("condition"))
+    own = F.when(F.col("line").isNotNull(), F.struct(F.col("line").alias("line_coverage"), F.col("condition").alias("condition_coverage")))
+    rest = rest.select(*key, "syntax_ok", own.alias("coverage"))
+    if coverage is not None:
+        rest = rest.drop("coverage").join(coverage, key, "left")
+    # A syntax error leaves no test runs; such samples fail without them.
+    broken = rest.filter(~F.coalesce(F.col("syntax_ok"), F.lit(True)))
+    whole = reduce_issue_verdict(paired.join(rest, key), key, syntax_ok="syntax_ok")
+    failed = broken.join(paired.select(*key), key, "left_anti").select(
+        *key, *[F.lit(False).alias(c) for c in ("pass_syntax", "pass_compile", "pass_trigger")],
+        F.lit(0.0).alias("line_coverage"), F.lit(0.0).alias("condition_coverage"), F.lit(False).alias("timed_out"))
+    return whole.unionByName(failed)
+
+
 def count_col(flag: str) -> str:
     """Count column of a flag: ``pass_syntax`` -> ``c_syntax``."""
     return "c_" + flag.removeprefix("pass_")

@@ -568,11 +568,35 @@ def q_evaluate_complete(spark, sf):
     """run_evaluate for the complete suite in complete mode: post-processing,
     persisted stage, token cost and the suite metric table."""
     from evalspark.plans.evaluate import run_evaluate
-    rep = run_evaluate(spark, "complete", fx.v_eval_tasks(spark, sf), fx.v_generations(spark, sf), "complete",
+    rep = run_evaluate(spark, "complete", fx.v_eval_tasks(spark, sf), fx.v_samples(spark, sf), "complete",
                        verdicts=fx.v_verdicts(spark, sf))
     return rep.suite_metrics.select("flag", "metric", "param", "n_tasks", r9(F.col("value")).alias("value"))
 
 
+def q_evaluate_complete_range(spark, sf):
+    """As evaluate_complete, for a closed task range and the first outputs of each task."""
+    from evalspark.plans.evaluate import run_evaluate
+    rep = run_evaluate(spark, "complete", fx.v_eval_tasks(spark, sf), fx.v_samples(spark, sf), "complete",
+                       begin=2, end=30, num_samples=7, verdicts=fx.v_verdicts(spark, sf))
+    return rep.suite_metrics.select("flag", "metric", "param", "n_tasks", r9(F.col("value")).alias("value"))
+
+
+def q_reorg_partials(spark, sf):
+    """reorg_output_file on a log of two models without ``ord``, two outputs per record."""
+    from evalspark.plans.generation import reorg_output_file
+    path, out = scratch_path(spark, "reorg-log"), scratch_path(spark, "reorg-merged")
+    d = spark.read.parquet(f"{sf}/documents.parquet").filter(F.col("doc_id").isNotNull())
+    log = d.select(
+        F.concat(F.lit("task-"), F.col("source")).alias("task_id"), F.lit("complete").alias("gen_mode"),
+        F.concat(F.lit("model-"), (F.col("doc_id") % 2).cast("string")).alias("model_id"),
+        F.array(F.concat(F.lit("a"), F.col("doc_id").cast("string")), F.concat(F.lit("b"), F.col("doc_id").cast("string"))).alias("outputs"),
+        F.col("doc_id").cast("double").alias("tstamp"))
+    log.write.json(path)
+    merged = reorg_output_file(spark, path, out, num_samples=25)
+    return merged.select("model_id", "task_id", F.array_join("outputs", ",").alias("outputs"),
+                         F.size("outputs").cast("long").alias("n_outputs"))
+
+
 def q_evaluate_defectdetection(spark, sf):
     """run_evaluate for defect detection in chat mode: truncation, labels,
     confusion and scores for all samples and for the first sample per task."""
@@ -654,6 +678,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_collect_partials": q_stream_collect_partials,
     "register_suite": q_register_suite,
     "evaluate_complete": q_evaluate_complete,
+    "evaluate_complete_range": q_evaluate_complete_range,
+    "reorg_partials": q_reorg_partials,
     "evaluate_defectdetection": q_evaluate_defectdetection,
     "leaderboard": q_leaderboard,
 }

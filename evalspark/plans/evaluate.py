@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.functions import braces, defect, text, tokens
-from evalspark.functions.logs import tests_ok
 from evalspark.operators import coverage as cov
 from evalspark.operators import metrics as met
 from evalspark.operators import samples as smp
 from evalspark.operators import verdicts as ver
+from evalspark.operators.joins import require_present
 from evalspark.session import scratch_path
 from evalspark.suites import SuiteConfig, get_suite
 
@@ -38,7 +38,7 @@ class EvalReport:
     defect: DataFrame | None = None
 
 
-def postprocess(samples: DataFrame, suite: SuiteConfig, mode: str) -> DataFrame:
+def postprocess(samples: DataFrame, suite: SuiteConfig, mode: str, run_keys: list[str] | None = None) -> DataFrame:
     """Clean raw outputs per suite and mode.
 
     ``samples`` carries ``output`` plus the task columns the suite needs
@@ -59,7 +59,7 @@ def postprocess(samples: DataFrame, suite: SuiteConfig, mode: str) -> DataFrame:
     else:
         raise NotImplementedError(mode)
     return samples.select(
-        "task_idx", "sample_idx",
+        *(run_keys or []), "task_idx", "sample_idx",
         text.py_strip(F.col(prompt_col)).alias("input"),
         pure.alias("output"),
         text.reconstruct_raw_output(out, pure).alias("raw_output"),
@@ -68,49 +68,43 @@ def postprocess(samples: DataFrame, suite: SuiteConfig, mode: str) -> DataFrame:
 
 def prepare_samples(spark: SparkSession, suite_name: str, tasks: DataFrame, generations: DataFrame, mode: str,
                     begin: int = -1, end: int = -1, num_samples: int | None = None,
-                    stage_path: str | None = None) -> DataFrame:
-    """Generations (one array row per task) to post-processed samples.
-
-    The post-processed stage is written to ``stage_path`` (a folder under the
-    shared checkpoint root by default) and read back: evaluation can be
-    replayed from it and the lineage is cut there.
+                    stage_path: str | None = None, run_keys: list[str] | None = None) -> DataFrame:
+    """Generations to post-processed samples.
+
+    ``generations`` holds one array row per task (``outputs``) or one row per
+    sample (``sample_idx, output``); the long form never gathers a task in one
+    row.  ``run_keys`` (e.g. model and mode) keep several runs of one table
+    apart.  The post-processed stage is written to ``stage_path`` (a folder
+    under the shared checkpoint root by default) and read back: evaluation
+    can be replayed from it and the lineage is cut there.
     """
     suite = get_suite(suite_name)
+    keys = [*(run_keys or []), "task_idx"]
     gens = smp.filter_evaluate_range(generations, begin, end)
-    gens = smp.first_n_outputs(gens, num_samples)
-    samples = smp.flatten_samples(gens.select("task_idx", "outputs"))
+    if "outputs" in gens.columns:
+        samples = smp.flatten_samples(smp.first_n_outputs(gens, num_samples).select(*keys, "outputs"))
+    else:
+        samples = smp.first_n_samples(gens.select(*keys, "sample_idx", "output"), num_samples, part=keys)
     need = sorted({c for c in (suite.complete_prefix_col, "function_signature", "prompt_complete", "prompt_chat")
                    if c and c in tasks.columns})
     samples = smp.attach_task(samples, tasks, need)
-    pp = postprocess(samples, suite, mode)
+    pp = postprocess(samples, suite, mode, run_keys)
     path = stage_path or scratch_path(spark, f"postprocessed-{suite_name}-{mode}")
     pp.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
-def task_token_cost(samples: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Per task: 0.5 x input tokens + raw-output tokens, input counted per sample.
-
-    Raw-output tokens are summed map-side.  The prompt is the same for every
-    sample of a task, so rows are first grouped by (task, prompt): the
-    prompt is a grouping key (hash aggregate, no sort, no string buffer) and
-    is tokenized once per group after the aggregation, then multiplied by
-    the group's sample count.
-    """
-    keys = keys or ["task_idx"]
-    per_prompt = samples.groupBy(*keys, "input").agg(
-        F.count(F.lit(1)).alias("n_samples"),
-        F.sum(tokens.count_tokens(F.col("raw_output"))).cast("long").alias("output_tokens"))
-    per_prompt = per_prompt.select(
-        *keys, "output_tokens",
-        (tokens.count_tokens(F.col("input")) * F.col("n_samples")).cast("long").alias("input_tokens"))
-    return per_prompt.groupBy(*keys).agg(F.sum("output_tokens").alias("output_tokens"),
-                                         F.sum("input_tokens").alias("input_tokens"))
+def sample_tokens(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """Per sample the tokens of its prompt and of its raw output, counted where the texts are read:
+    no text crosses a shuffle."""
+    return samples.select(*keys, "sample_idx",
+                          tokens.count_tokens(F.col("input")).cast("long").alias("input_tokens"),
+                          tokens.count_tokens(F.col("raw_output")).cast("long").alias("output_tokens"))
 
 
 def score(samples: DataFrame, suite_name: str, verdicts: DataFrame | None = None,
           tasks: DataFrame | None = None, coverage_lines: DataFrame | None = None,
-          run_keys: list[str] | None = None) -> EvalReport:
+          run_keys: list[str] | None = None, require_verdicts: bool = False) -> EvalReport:
     """Metric reports from post-processed samples and per-sample verdicts.
 
     ``verdicts``: ``task_idx, sample_idx`` + the suite's flags + ``timed_out``
@@ -118,6 +112,10 @@ def score(samples: DataFrame, suite_name: str, verdicts: DataFrame | None = None
     from :func:`verdicts_from_facts`.  Defect detection needs ``tasks``
     (``defective``) instead.
 
+    One population for every metric: the samples in ``samples`` that have a
+    verdict.  Verdicts, tokens and coverage lines of other samples do not
+    count; with ``require_verdicts`` a sample without a verdict fails the job.
+
     ``run_keys`` (e.g. ``["model_id", "gen_mode"]``) score many runs in one
     job: every grouping carries them, the task level is ``run_keys +
     task_idx`` and the suite level is per run.
@@ -132,16 +130,16 @@ def score(samples: DataFrame, suite_name: str, verdicts: DataFrame | None = None
         return EvalReport(samples=samples, defect=met.defect_scores(conf))
 
     flags = list(suite.flags)
-    # Verdict counts and token cost are reduced per task separately (partial
-    # aggregation before each shuffle); only the two per-task tables meet.
-    extra = []
+    on = keys + ["sample_idx"]
+    judged = verdicts.withColumn("__judged", F.lit(True))
+    scored = sample_tokens(samples, keys).join(judged, on, "left" if require_verdicts else "inner")
+    if require_verdicts:
+        scored = require_present(scored, "__judged", "a selected sample has no verdict")
+    # One grouped pass: verdict counts, tokens and coverage of the same rows.
+    extra = [F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens")]
     if suite.has_coverage:
         extra += [F.avg("line_coverage").alias("line_coverage"), F.avg("condition_coverage").alias("condition_coverage")]
-    vc = ver.task_verdict_counts(verdicts, flags, task_keys=keys, extra_aggs=extra)
-    # Both sides are aggregates on the task keys, so they are already
-    # partitioned on the join key: a plain join adds no exchange and needs no
-    # size probe.
-    counts = met.with_total_tokens(vc.join(task_token_cost(samples, keys), keys, "left"))
+    counts = met.with_total_tokens(ver.task_verdict_counts(scored, flags, task_keys=keys, extra_aggs=extra))
     task_metrics = met.task_metrics_long(counts, flags, list(suite.k_grid), list(suite.t_grid), keys)
     report = EvalReport(samples=samples, task_counts=counts, task_metrics=task_metrics,
                         suite_metrics=met.suite_pass_metrics(task_metrics, by=run_keys),
@@ -151,20 +149,24 @@ def score(samples: DataFrame, suite_name: str, verdicts: DataFrame | None = None
         report.coverage = counts.groupBy(*run_keys).agg(F.avg("line_coverage").alias("line_coverage"),
                                                         F.avg("condition_coverage").alias("condition_coverage"))
         if coverage_lines is not None:
+            if "sample_idx" in coverage_lines.columns:
+                coverage_lines = coverage_lines.join(samples.select(*on), on, "left_semi")
             report.diff_coverage = cov.diff_coverage(coverage_lines, counts.select(*keys), keys)
     return report
 
 
-def verdicts_from_facts(suite_name: str, run_steps: DataFrame, coverage: DataFrame | None = None) -> DataFrame:
-    """Per-sample verdicts from execution facts keyed by (task_idx, sample_idx)."""
+def verdicts_from_facts(suite_name: str, run_steps: DataFrame, coverage: DataFrame | None = None,
+                        keys: list[str] | None = None) -> DataFrame:
+    """Per-sample verdicts from execution facts keyed by ``keys`` (``task_idx, sample_idx``).
+
+    Twin suites pair the ``test`` steps of the fixed and the buggy version and
+    read coverage from the fixed version's ``coverage`` step, unless
+    ``coverage`` (keys + a ``coverage`` struct) brings it.
+    """
     suite = get_suite(suite_name)
-    keys = ["task_idx", "sample_idx"]
+    keys = keys or ["task_idx", "sample_idx"]
     if suite.twin_versions:
-        facts = run_steps.withColumn("tests_ok", tests_ok(F.col("stdout_lines")))
-        paired = ver.pair_twin_runs(facts, keys, fields=("exit_code", "timed_out", "tests_ok"))
-        if coverage is not None:
-            paired = paired.join(coverage, keys, "left")
-        return ver.reduce_issue_verdict(paired, keys, coverage="coverage" if coverage is not None else None)
+        return ver.issue_verdict_from_facts(run_steps, keys, coverage)
     if suite.has_coverage:
         return ver.reduce_testgen_verdict(run_steps, keys)
     return ver.reduce_patch_verdict(run_steps, keys)
@@ -173,11 +175,20 @@ def verdicts_from_facts(suite_name: str, run_steps: DataFrame, coverage: DataFra
 def run_evaluate(spark: SparkSession, suite_name: str, tasks: DataFrame, generations: DataFrame, mode: str,
                  begin: int = -1, end: int = -1, num_samples: int | None = None,
                  run_steps: DataFrame | None = None, verdicts: DataFrame | None = None,
-                 coverage_lines: DataFrame | None = None, stage_path: str | None = None) -> EvalReport:
-    samples = prepare_samples(spark, suite_name, tasks, generations, mode, begin, end, num_samples, stage_path)
-    if verdicts is None and run_steps is not None:
-        verdicts = verdicts_from_facts(suite_name, run_steps)
-    return score(samples, suite_name, verdicts=verdicts, tasks=tasks, coverage_lines=coverage_lines)
+                 coverage_lines: DataFrame | None = None, stage_path: str | None = None,
+                 run_keys: list[str] | None = None) -> EvalReport:
+    """Score the selected samples: closed task range, first ``num_samples`` outputs.
+
+    Facts are cut to the selected samples before they are reduced; a selected
+    sample without facts fails the job.
+    """
+    samples = prepare_samples(spark, suite_name, tasks, generations, mode, begin, end, num_samples, stage_path, run_keys)
+    facts = verdicts is None and run_steps is not None
+    if facts:
+        on = [*(run_keys or []), "task_idx", "sample_idx"]
+        verdicts = verdicts_from_facts(suite_name, run_steps.join(samples.select(*on), on, "left_semi"), keys=on)
+    return score(samples, suite_name, verdicts=verdicts, tasks=tasks, coverage_lines=coverage_lines,
+                 run_keys=run_keys, require_verdicts=facts)
 
 
 def evaluate_files(spark: SparkSession, suite_name: str, tasks_path: str, generations_path: str, mode: str,
@@ -206,9 +217,11 @@ def evaluate_files(spark: SparkSession, suite_name: str, tasks_path: str, genera
     start = time.time()
     verdicts = None
     if run_steps_path:
-        verdicts = verdicts_from_facts(suite_name, files.load_run_steps(spark, run_steps_path))
+        on = ["task_idx", "sample_idx"]
+        facts = files.load_run_steps(spark, run_steps_path).join(samples.select(*on), on, "left_semi")
+        verdicts = verdicts_from_facts(suite_name, facts)
     lines = spark.read.parquet(coverage_lines_path) if coverage_lines_path else None
-    rep = score(samples, suite_name, verdicts=verdicts, tasks=tasks, coverage_lines=lines)
+    rep = score(samples, suite_name, verdicts=verdicts, tasks=tasks, coverage_lines=lines, require_verdicts=bool(run_steps_path))
     keys = list(run_keys)
     lit_keys = [F.lit(v).alias(k) for k, v in run_keys.items()]
     if rep.defect is not None:

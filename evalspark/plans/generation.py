@@ -7,7 +7,7 @@ it produces back into task-ordered generations.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalspark.operators import samples as smp
@@ -29,15 +29,23 @@ def build_requests(tasks: DataFrame, suite_name: str, mode: str, num_samples: in
 
 def reorg_output_file(spark: SparkSession, partials_path: str, out_path: str, num_samples: int,
                       run_keys: tuple[str, ...] = sinks.RUN_KEYS) -> DataFrame:
-    """Merge the partial log into one record per task: outputs concatenated in
-    arrival order (``ord``), scalar fields from the first record, cut to
-    ``num_samples``, written task-ordered per run.  Records repeated by a
-    re-appending writer are dropped first (same task, arrival key and text)."""
+    """Merge the partial log into one record per run and task: outputs
+    concatenated in arrival order, scalar fields from the first record, cut to
+    ``num_samples``, written task-ordered per run.
+
+    Arrival is ``ord`` where the log has it, else time stamp and request id,
+    then the position in the record.  A record is a repeat only if it names
+    itself, by request id or ``ord``, as another of its run and task does:
+    then the one that arrived first stays."""
     log = files.load_partials(spark, partials_path)
-    rows = log.select("task_id", "ord", "gen_mode", "model_id", "temperature", "max_new_tokens", "task_idx",
+    key = [*(k for k in run_keys if k in log.columns), "task_id"]
+    rows = log.select(*key, "task_idx", "temperature", "max_new_tokens", "request_id", "ord", "tstamp",
                       F.posexplode("outputs").alias("pos", "output"))
-    rows = rows.dropDuplicates(["task_id", "ord", "pos"]).withColumn("ord", F.col("ord") * 1_000_000 + F.col("pos"))
-    keep = ["task_idx", "gen_mode", "model_id", "temperature", "max_new_tokens"]
-    merged = smp.merge_partials(rows, num_samples, keep_first=keep)
+    rows = rows.withColumn("name", F.coalesce("request_id", F.concat(F.lit("ord "), F.col("ord").cast("string"))))
+    again = F.row_number().over(Window.partitionBy(*key, "name", "pos").orderBy("ord", "tstamp", "output"))
+    named = F.col("name").isNotNull()
+    rows = rows.filter(~named).unionByName(rows.filter(named).withColumn("again", again).filter("again = 1").drop("again"))
+    rows = rows.withColumn("arrival", F.struct("ord", "tstamp", "request_id", "pos"))
+    merged = smp.merge_partials(rows, num_samples, key=key, order="arrival", keep_first=["task_idx", "temperature", "max_new_tokens"])
     sinks.write_merged(merged, out_path, partition_cols=tuple(c for c in run_keys if c in merged.columns))
     return spark.read.parquet(out_path)

@@ -340,14 +340,16 @@ def _postprocessed_sql() -> str:
                       "SELECT task_idx, sample_idx, input, output, raw_output FROM pp")
 
 
-def _evaluate_complete_sql() -> str:
+def _evaluate_complete_sql(where: str = "true") -> str:
+    """One population: the selected samples that have a verdict, for counts and tokens alike."""
+    sel = f"SELECT * FROM pp JOIN (SELECT * FROM V_verdicts WHERE {where}) v USING (task_idx, sample_idx)"
     tc = (f"SELECT task_idx, CAST(sum({ntok('raw_output')}) AS BIGINT) AS output_tokens, "
-          f"CAST({ntok('any_value(input)')} AS BIGINT) * count(*) AS input_tokens FROM pp GROUP BY task_idx")
+          f"CAST({ntok('any_value(input)')} AS BIGINT) * count(*) AS input_tokens FROM sel GROUP BY task_idx")
     counts = ("SELECT vc.*, CAST(input_tokens AS DOUBLE) * 0.5::DOUBLE + output_tokens AS total_tokens "
               "FROM vc LEFT JOIN tc USING (task_idx)")
     rows = passk_rows("counts", K_GRID_COMPLETE) + " UNION ALL " + passt_rows("counts", T_GRID)
     return with_views(["V_samples", "V_tasks", "V_verdicts"],
-                      _postprocessed_ctes() + [("tc", tc), ("vc", COUNTS.format(src="V_verdicts")), ("counts", counts)],
+                      _postprocessed_ctes() + [("sel", sel), ("tc", tc), ("vc", COUNTS.format(src="sel")), ("counts", counts)],
                       suite_rows(rows))
 
 
@@ -577,6 +579,15 @@ def oracle_sql() -> dict[str, str]:
            "SELECT 'complete_k3' AS suite, * FROM (" + passk_rows("counts", [1, 3]) + ")")
     qs["register_suite"] = with_views(["V_verdicts"], [("counts", COUNTS.format(src="V_verdicts"))], suite_rows(two, "suite, "))
     qs["evaluate_complete"] = _evaluate_complete_sql()
+    qs["evaluate_complete_range"] = _evaluate_complete_sql("task_idx BETWEEN 2 AND 30 AND sample_idx < 7")
+    qs["reorg_partials"] = """
+WITH o AS (
+  SELECT concat('model-', CAST(doc_id % 2 AS VARCHAR)) AS model_id, concat('task-', source) AS task_id, doc_id, pos,
+         concat(CASE pos WHEN 0 THEN 'a' ELSE 'b' END, CAST(doc_id AS VARCHAR)) AS output
+  FROM documents CROSS JOIN (SELECT unnest([0, 1]) AS pos) p),
+r AS (SELECT *, row_number() OVER (PARTITION BY model_id, task_id ORDER BY doc_id, pos) AS n FROM o)
+SELECT model_id, task_id, string_agg(output, ',' ORDER BY n) AS outputs, count(*) AS n_outputs
+FROM r WHERE n <= 25 GROUP BY model_id, task_id"""
     qs["evaluate_defectdetection"] = scores_sql(confusion_sql("variant"), "variant, ")
     qs["leaderboard"] = _leaderboard_sql()
     return qs

@@ -54,14 +54,15 @@ def load_generations(spark: SparkSession, path: str, multi_line: bool = True,
     """Merged generations: a JSON array document (``multi_line``) or JSON lines.
 
     A JSON array file is one record list and cannot be split across tasks;
-    JSON-lines files can.
+    JSON-lines files can.  A malformed record fails the job.
     """
-    return _read(spark, path, schema or generations_schema(), "json", multiLine=str(multi_line).lower())
+    return _read(spark, path, schema or generations_schema(), "json", multiLine=str(multi_line).lower(), mode="FAILFAST")
 
 
 def load_partials(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """The append log: one JSON record per finished request (splittable)."""
-    return _read(spark, path, schema or generations_schema(), "json")
+    """The append log: one JSON record per finished request (splittable).
+    A malformed record fails the job."""
+    return _read(spark, path, schema or generations_schema(), "json", mode="FAILFAST")
 
 
 def run_steps_schema(run_keys: list[tuple[str, T.DataType]] | None = None) -> T.StructType:

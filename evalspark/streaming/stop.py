@@ -197,12 +197,14 @@ def finish_open_requests(stopped: DataFrame, chunks: DataFrame) -> DataFrame:
     return stopped.select("request_id", "stop_seq", "output").unionByName(full)
 
 
-def run_available_now(stream_df: DataFrame, sink_path: str, checkpoint: str, timeout_s: int = 600) -> None:
-    """Drain everything available into a Parquet sink, exactly once, then stop."""
+def run_available_now(stream_df: DataFrame, sink_path: str, checkpoint: str, timeout_s: int | None = None) -> None:
+    """Drain everything available into a Parquet sink, exactly once, then stop.
+
+    There is no time limit unless the caller sets one."""
     q = (stream_df.writeStream.format("parquet").outputMode("append")
          .option("path", sink_path).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
+    q.awaitTermination(timeout_s) if timeout_s else q.awaitTermination()
     if q.isActive:
         q.stop()
         raise TimeoutError("streaming query did not finish")
@@ -226,10 +228,11 @@ def rule_for(suite_name: str, mode: str) -> str:
 def stop_stream_for_suite(chunks: DataFrame, tasks: DataFrame, suite_name: str, mode: str) -> DataFrame:
     """Early stop for a suite: ``chunks`` carry ``request_id, seq, text,
     task_idx``; the task's ``function_signature`` comes in by a stream-static
-    join with the (small, broadcast) task table."""
+    join with the task table (broadcast if its checked size allows it)."""
+    from evalspark.operators.joins import lookup_join
     rule = rule_for(suite_name, mode)
     if rule in ("text", "marker"):
         return stop_stream(chunks, rule)
     sig = F.col("function_signature")
     dim = tasks.select("task_idx", (F.concat(sig, F.lit("{\n")) if rule == "signature" else sig).alias("__sig"))
-    return stop_stream(chunks.join(F.broadcast(dim), "task_idx", "left"), rule, prefix="__sig")
+    return stop_stream(lookup_join(chunks, dim, "task_idx", "left"), rule, prefix="__sig")

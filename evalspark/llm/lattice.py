@@ -45,7 +45,7 @@ SAMPLES = 2
 ALPHA = 0.6
 RANK_SHIFT = 10
 UNIT_CHARS = 256
-SLICE_CHARS = 600_000         # characters whose lattice is held at a time
+SLICE_CHARS = 300_000         # characters whose lattice is held at a time
 SEED = "segment-1"
 BEGINNING, MISS = -1, -2     # of a lookup: the beginning of a piece; of none
 TABLE = 1 << 19
@@ -496,7 +496,7 @@ def row_seed(key, seed: str = SEED) -> int:
     return xxh3_64_intdigest(f"{seed}:{key}".encode())
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 200) -> Iterator[tuple[pa.Array, list[str | None]]]:
+def _slices(batch: pa.RecordBatch, rows: int = 100) -> Iterator[tuple[pa.Array, list[str | None]]]:
     for at in range(0, batch.num_rows, rows):
         part = batch.slice(at, rows)
         yield part.column(0), part.column(1).to_pylist()

@@ -99,18 +99,13 @@ def coarse_point(hashes: np.ndarray) -> bytes:
     return counts.astype(np.uint8).tobytes()
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
-
-
 def _common(docs: DataFrame) -> np.ndarray:
     """Two rows: hashes (ascending) and counts of n-grams that several sampled texts hold."""
     sampled = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_EVERY)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
+            for part in common.slices(batch):
                 sets = [grams(t) for t in part.column(0).to_pylist()]
                 every, count = np.unique(np.concatenate(sets), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(count)], ["gram", "n"])
@@ -137,7 +132,7 @@ def _describe(known, percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common_grams = known.value
         for batch in batches:
-            for part in _slices(batch):
+            for part in common.slices(batch):
                 sets = [grams(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(2),

@@ -26,6 +26,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from evalspark.llm import common
+
 #: Kinds in the order in which spans that start together are listed.
 BASE_KINDS = ("assign", "access", "hex")
 METHOD_KINDS = ("pem", "der", "openssh", "jwt", "checksum")
@@ -176,14 +178,14 @@ def scan(docs: DataFrame) -> DataFrame:
     id_type = slim.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (p for batch in batches for p in common.slices(batch)):
             base, every = [], []
-            for text in batch.column(1).to_pylist():
+            for text in part.column(1).to_pylist():
                 own = base_spans(text) if text else []
                 base.append(listed(own))
                 every.append(listed(own + method_spans(text)) if text else [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(base, pa.list_(pa.string())), pa.array(every, pa.list_(pa.string()))],
+                [part.column(0), pa.array(base, pa.list_(pa.string())), pa.array(every, pa.list_(pa.string()))],
                 ["doc_id", "base_spans", "spans"])
 
     return slim.mapInArrow(run, f"doc_id {id_type}, base_spans array<string>, spans array<string>")

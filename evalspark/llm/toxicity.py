@@ -295,9 +295,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         beta = np.array(m.link)
         for batch in batches:
-            x = np.array([features(t, m) for t in batch.column(1).to_pylist()]).reshape(-1, len(beta))
-            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], ["doc_id", "score"])
+            for part in common.slices(batch):
+                x = np.array([features(t, m) for t in part.column(1).to_pylist()]).reshape(-1, len(beta))
+                p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p, pa.float64())], ["doc_id", "score"])
 
     return slim.mapInArrow(run, f"doc_id {id_type}, score double")
 
@@ -313,7 +314,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
         beta = np.array(m.link)
         limit = math.log(threshold / (1 - threshold))
         for batch in batches:
-            stay = [float(features(t, m) @ beta) < limit for t in batch.column(text).to_pylist()]
+            stay = [float(features(t, m) @ beta) < limit for part in common.slices(batch) for t in part.column(text).to_pylist()]
             yield batch.filter(pa.array(stay, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -23,21 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name in ROW_WORK_TABLES else df
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin an under-split scan over the session's parallelism.
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan of a single split over the session's parallelism.
 
-    A file with a single row group is read by one task, which would leave
-    the per-row work (XML parsing, regex token counts, brace folds) on one
-    core.  Large inputs already have at least as many splits as cores, and
-    then nothing changes.  Filters and column pruning still reach the scan.
+    One split is one file of one row group: bounded data that a single task
+    would work through row by row (XML parsing, regex token counts, brace
+    folds).  A table of two splits or more is never shuffled here.
     """
     try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= target:
+        if df.rdd.getNumPartitions() > 1:
             return df
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
     except Exception:       # no RDD view (e.g. a Spark Connect session): leave the scan as is
         return df
-    return df.repartition(target)
 
 
 def v_tasks(spark, sf_dir) -> DataFrame:

@@ -1,16 +1,12 @@
 """Token counting and prompt truncation.
 
 The built-in counter is a regex pre-tokenizer (letter/digit runs, every other
-non-space character on its own), evaluated natively.  A BPE tokenizer can be
-plugged in as an Arrow-batched iterator pandas UDF; its counts differ from
-the regex counter.
+non-space character on its own), evaluated natively.  A column of counts from
+another tokenizer can take its place wherever counts are summed.
 """
 
 from __future__ import annotations
 
-from typing import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,7 +20,7 @@ def tokens(text: Column) -> Column:
 
 
 def count_tokens(text: Column) -> Column:
-    """Number of pre-tokens; no array is materialised."""
+    """Number of pre-tokens (Spark plans it as the size of the array of matches)."""
     return F.coalesce(F.regexp_count(text, F.lit(TOKEN_RE)), F.lit(0))
 
 
@@ -36,21 +32,3 @@ def truncate_prompt_tokens(toks: Column, max_tokens: int, mode: str) -> Column:
     if mode == "chat":
         return F.slice(toks, F.lit(1), F.lit(max_tokens))
     raise KeyError(mode)
-
-
-def bpe_token_counter(encoding_name: str = "gpt2"):
-    """A pandas UDF counting BPE tokens, if ``tiktoken`` and its data are present."""
-    try:
-        import tiktoken
-        tiktoken.get_encoding(encoding_name)
-    except Exception as exc:  # pragma: no cover - depends on local files
-        raise RuntimeError(f"BPE encoding {encoding_name!r} is not available: {exc}")
-
-    @F.pandas_udf("long")
-    def _count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = tiktoken.get_encoding(encoding_name)
-        for s in batches:
-            texts = s.fillna("").tolist()
-            yield pd.Series([len(x) for x in enc.encode_ordinary_batch(texts)], dtype="int64")
-
-    return _count

@@ -67,12 +67,6 @@ def suite_solved_counts(counts: DataFrame, flags: list[str], by: list[str] | Non
     return counts.groupBy(*by).agg(*aggs)
 
 
-def token_cost_aggs(input_tokens: Column, raw_output_tokens: Column) -> list[Column]:
-    """Aggregates for ``0.5 * sum(input tokens) + sum(raw output tokens)``."""
-    return [F.sum(input_tokens).cast("long").alias("input_tokens"),
-            F.sum(raw_output_tokens).cast("long").alias("output_tokens")]
-
-
 def with_total_tokens(df: DataFrame) -> DataFrame:
     return df.withColumn("total_tokens", F.col("input_tokens") * 0.5 + F.col("output_tokens"))
 

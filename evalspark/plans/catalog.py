@@ -146,10 +146,8 @@ def q_write_results(spark, sf):
 # --- 2.2 projections, filters, row generation ------------------------------
 
 def q_select_prompt(spark, sf):
-    t = fx.v_tasks(spark, sf)
-    c = smp.select_prompt(t, "complete").select("task_idx", F.col("prompt").alias("complete_prompt"))
-    h = smp.select_prompt(t, "chat").select("task_idx", F.col("prompt").alias("chat_prompt"))
-    return c.join(h, "task_idx")
+    both = smp.select_prompt(fx.v_tasks(spark, sf), "complete").withColumnRenamed("prompt", "complete_prompt")
+    return smp.select_prompt(both, "chat").select("task_idx", "complete_prompt", F.col("prompt").alias("chat_prompt"))
 
 
 def q_filter_generate_range(spark, sf):

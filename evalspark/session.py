@@ -29,22 +29,6 @@ STREAMING_CONF = {
 }
 
 
-def sizing_conf(input_bytes: int, partition_bytes: int = 256 * 1024 * 1024) -> dict:
-    """Shuffle and scan sizing for a given input volume.
-
-    AQE coalesces small post-shuffle partitions and splits skewed ones, so
-    the initial shuffle width only has to be large enough for the biggest
-    stage: about one partition per ``partition_bytes`` of input.
-    """
-    parts = max(200, -(-input_bytes // partition_bytes))
-    return {
-        "spark.sql.shuffle.partitions": str(parts),
-        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes // 2),
-        "spark.sql.files.maxPartitionBytes": str(partition_bytes // 2),
-    }
-
-
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "evalspark", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)

@@ -113,10 +113,13 @@ def chat_step(text: str, sig: str, phase: int, held: str, depth: int, in_quote:
     return hit, SCANNING, held, depth, in_quote, seen
 
 
-def _stop_function(rule: str, markers: list[str]):
+def _stop_function(rule: str, markers: list[str], grace_ms: int | None):
     keep = max((len(m) for m in markers), default=1) - 1
 
     def fn(key, batches: Iterator[pd.DataFrame], state):
+        if state.hasTimedOut:               # stopped, and the grace for late chunks is over
+            state.remove()
+            return
         if state.exists:
             next_seq, depth, in_quote, seen, tail, pending_s, output, done, phase = state.get
             pending = json.loads(pending_s)
@@ -157,22 +160,31 @@ def _stop_function(rule: str, markers: list[str]):
                     next_seq += 1
                     break
                 next_seq += 1
-        if done and stopped_at is not None:
-            state.update((next_seq, depth, in_quote, seen, "", "{}", "", True, phase))
+        if done:
+            state.update((next_seq, 0, False, False, "", "{}", "", True, phase))
+            if grace_ms:
+                state.setTimeoutDuration(grace_ms)
+        if stopped_at is not None:
             yield pd.DataFrame({"request_id": [int(key[0])], "stop_seq": [int(stopped_at)], "output": [output]})
-        else:
+        elif not done:
             state.update((next_seq, depth, in_quote, seen, tail, json.dumps(pending), output, done, phase))
 
     return fn
 
 
 def stop_stream(chunks: DataFrame, rule: str, markers: list[str] | None = None,
-                prefix: str | None = None) -> DataFrame:
+                prefix: str | None = None, grace_ms: int | None = None) -> DataFrame:
     """Apply the early-stop rule to a (streaming) chunk DataFrame.
 
     ``chunks`` needs ``request_id, seq, text``; for the ``signature`` rule a
     column named by ``prefix`` holds ``signature + "{\\n"``, for the ``chat``
     rule the signature itself.
+
+    A stopped request keeps a few numbers in the state, so that its late
+    chunks are ignored.  A stream that runs on sets ``grace_ms``: so long
+    after its last chunk a stopped request's state is removed.  Runs that end
+    by themselves (``availableNow``) do not set it: with a timer they would
+    wait for timers forever.
     """
     if rule not in ("text", "signature", "chat", "marker"):
         raise KeyError(rule)
@@ -183,8 +195,8 @@ def stop_stream(chunks: DataFrame, rule: str, markers: list[str] | None = None,
     pre = F.col(prefix) if prefix else F.lit(None).cast("string")
     src = chunks.select(F.col("request_id").cast("long"), F.col("seq").cast("long"), "text", pre.alias("prefix"))
     return (src.groupBy("request_id")
-            .applyInPandasWithState(_stop_function(rule, markers), OUTPUT_SCHEMA, STATE_SCHEMA,
-                                    "append", GroupStateTimeout.NoTimeout))
+            .applyInPandasWithState(_stop_function(rule, markers, grace_ms), OUTPUT_SCHEMA, STATE_SCHEMA,
+                                    "append", GroupStateTimeout.ProcessingTimeTimeout if grace_ms else GroupStateTimeout.NoTimeout))
 
 
 def finish_open_requests(stopped: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -1,22 +1,20 @@
 """Plain-Python statements of the rules, for brute-force checks on small inputs."""
 
 import math
-import re
+from itertools import accumulate
+
+
+def first_close(s: str) -> int | None:
+    """Where the braces outside quotes are first balanced again, from running sums over the characters."""
+    quotes = accumulate(ch == '"' for ch in s)
+    steps = [0 if n % 2 else (ch == "{") - (ch == "}") for ch, n in zip(s, quotes)]
+    opened = accumulate(step == 1 for step in steps)
+    return next((i for i, (depth, n) in enumerate(zip(accumulate(steps), opened)) if n and depth == 0), None)
 
 
 def stop_at_function(s: str) -> str:
-    depth, seen, in_quote = 0, False, False
-    for i, ch in enumerate(s):
-        if ch == '"':
-            in_quote = not in_quote
-        if ch == "{" and not in_quote:
-            depth += 1
-            seen = True
-        if ch == "}" and not in_quote:
-            depth -= 1
-        if depth == 0 and seen:
-            return s[:i + 1]
-    return s
+    end = first_close(s)
+    return s if end is None else s[:end + 1]
 
 
 def screen(s: str) -> bool:
@@ -43,19 +41,3 @@ def pass_at_k(n, c, k):
 
 def pass_at_k_binomial(n, c, k):
     return 1.0 - math.comb(n - c, k) / math.comb(n, k)
-
-
-def remove_line_comment(sig: str) -> str:
-    return re.sub(r"//[^\n]*(\n|$)", "", sig)
-
-
-def clean_signature(sig: str):
-    sig = remove_line_comment(sig)
-    if sig.startswith("@"):
-        idx = len(sig) - 1
-        for i, c in enumerate(sig):
-            if c in " \n":
-                idx = i
-                break
-        return sig[:idx] + "\n", sig[idx:].strip().split("(")[0].strip()
-    return "", sig.split("(")[0]

@@ -65,12 +65,24 @@ def test_strip_matches_python(spark):
     assert one(spark, vals, text.py_strip) == [v.strip() for v in vals]
 
 
+# Signature, then by hand: annotation line and what is left up to the parameters.
+SIGNATURES = [
+    ("public int f(int a)", "", "public int f"),
+    ("@Override\npublic void g(String s)", "@Override\n", "public void g"),
+    ("int h( // first\n int b)", "", "int h"),
+    ("@Test public void t()", "@Test\n", "public void t"),
+    ("static T k3 (T x) // end", "", "static T k3 "),
+    ("@Deprecated", "@Deprecate\n", "d"),
+    ("@", "\n", "@"),
+    ("", "", ""),
+    ("a//b\nc(d)", "", "ac"),
+]
+
+
 def test_clean_signature_shapes(spark):
-    sigs = ["public int f(int a)", "@Override\npublic void g(String s)", "int h( // first\n int b)",
-            "@Test public void t()", "static T k3 (T x) // end", "@Deprecated", "@", "", "a//b\nc(d)"]
-    df = spark.createDataFrame([(s,) for s in sigs], "s string")
+    df = spark.createDataFrame([(s,) for s, _, _ in SIGNATURES], "s string")
     got = [(r.pre, r.sub) for r in df.select(text.clean_signature(F.col("s")).alias("c")).select("c.*").collect()]
-    assert got == [rules.clean_signature(s) for s in sigs]
+    assert got == [(pre, sub) for _, pre, sub in SIGNATURES]
 
 
 def test_extract_chat_function(spark):

@@ -1,5 +1,6 @@
 import os
 import random
+import time
 
 from evalspark.functions.defect import STREAM_STOP_MARKERS
 from evalspark.session import scratch_path
@@ -14,28 +15,12 @@ def _first_stop(chunks, rule, prefix=""):
         if rule == "marker":
             hit = any(m in acc for m in STREAM_STOP_MARKERS)
         else:
-            scanned = prefix + acc
-            hit = rules.stop_at_function(scanned) != scanned or _closes(scanned)
+            hit = rules.first_close(prefix + acc) is not None
         if hit:
             return seq, acc
     return None, acc
 
 
-def _closes(s):
-    depth, seen, q = 0, False, False
-    for ch in s:
-        if ch == '"':
-            q = not q
-        if ch == "{" and not q:
-            depth += 1
-            seen = True
-        if ch == "}" and not q:
-            depth -= 1
-        if depth == 0 and seen:
-            return True
-    return False
-
-
 def _random_requests(rnd, n):
     pieces = ["{", "}", '"', "a", " ", "Yes, it has defects", "No, it doesn't have defects", "x y", "{ b }"]
     out = {}
@@ -125,3 +110,25 @@ def test_stop_stream_for_suite_uses_task_signatures(spark):
     assert got == {0: 1, 1: 1}
     assert sstop.rule_for("repair", "chat") == "text" and sstop.rule_for("defectdetection", "complete") == "marker"
     assert sstop.rule_for("testgen", "complete") == "signature"
+
+
+def test_stopped_requests_leave_no_state(spark):
+    src = scratch_path(spark, "state-chunks")
+    for n in range(3):                       # one file, one micro-batch
+        rows = [(r, n, "{ x }" if n == 0 else "late") for r in range(5)]
+        spark.createDataFrame(rows, "request_id long, seq long, text string").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema("request_id long, seq long, text string").option("maxFilesPerTrigger", 1).parquet(src)
+    out = scratch_path(spark, "state-out")
+    q = (sstop.stop_stream(stream, "text", grace_ms=500).writeStream.format("parquet").outputMode("append")
+         .option("path", out).option("checkpointLocation", scratch_path(spark, "state-ckpt"))
+         .trigger(processingTime="200 milliseconds").start())
+    try:
+        end, rows = time.time() + 60, []
+        while time.time() < end and not (len(rows) >= 4 and rows[-1] == 0):
+            time.sleep(0.5)
+            assert q.exception() is None
+            rows = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+        assert max(rows) == 5 and rows[-1] == 0
+    finally:
+        q.stop()
+    assert spark.read.parquet(out).count() == 5

@@ -70,7 +70,7 @@ def test_stream_signature_prefix(spark):
 def _chat_check(gen, sig):
     if sig not in gen:
         return False
-    return _closes(gen.split(sig)[1])
+    return rules.first_close(gen.split(sig)[1]) is not None
 
 
 def test_stream_chat_rule_agrees_with_per_chunk_check(spark):

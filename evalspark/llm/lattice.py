@@ -41,6 +41,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from xxhash import xxh3_64_intdigest
 
+from evalspark.llm import common
+
 SAMPLES = 2
 ALPHA = 0.6
 RANK_SHIFT = 10
@@ -518,7 +520,7 @@ def encode(docs: DataFrame, model_path: str, samples: int = SAMPLES, alpha: floa
                     pa.array([x[1] for _, _, x in rows]), pa.array([x[2] for _, _, x in rows])],
                     ["doc_id", "sample", "ids", "log_prob", "log_inclusion"])
 
-    return slim.mapInArrow(run, _ROW.format(slim.schema["doc_id"].dataType.simpleString()))
+    return slim.mapInArrow(common.releasing(run), _ROW.format(slim.schema["doc_id"].dataType.simpleString()))
 
 
 def digests(docs: DataFrame, model_path: str, samples: int = SAMPLES, alpha: float = ALPHA, seed: str = SEED) -> DataFrame:
@@ -541,7 +543,7 @@ def digests(docs: DataFrame, model_path: str, samples: int = SAMPLES, alpha: flo
                     ["doc_id", "sample", "n_pieces", "log_prob", "log_inclusion", "ids_crc32", "decodes"])
 
     key = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"doc_id {key}, sample int, n_pieces long, log_prob double, log_inclusion double, "
+    return slim.mapInArrow(common.releasing(run), f"doc_id {key}, sample int, n_pieces long, log_prob double, log_inclusion double, "
                                 "ids_crc32 long, decodes boolean")
 
 
@@ -555,4 +557,4 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
             texts = [model.decode(ids) if ids is not None else None for ids in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "sample", "text"])
 
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, sample int, text string")
+    return slim.mapInArrow(common.releasing(run), f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, sample int, text string")

@@ -110,7 +110,7 @@ def _common(docs: DataFrame) -> np.ndarray:
                 every, count = np.unique(np.concatenate(sets), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(count)], ["gram", "n"])
 
-    counts = sampled.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 2")
+    counts = sampled.mapInArrow(common.releasing(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 2")
     top = counts.orderBy(F.desc("n"), "gram").limit(MAX_COMMON).collect()
     known = np.array([(r["gram"], r["n"]) for r in top], np.int64).reshape(-1, 2)
     hashes = known[:, 0].copy().view(np.uint64)
@@ -332,7 +332,7 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     shared = shared.select("gram", _split(F.col("points"), SHARD_ROWS).alias("parts"))
     dealt = entries.join(shared, "gram").join(classes.select("cid", "point"), "cid")
     trees = _dealt(dealt, "gram", "parts", F.col("cid")).repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j", "n_grams", "cid")
-    ties = trees.select("gram", "i", "j", "n_grams", "at", "cid", "point").mapInArrow(_candidates(percent), "u long, v long")
+    ties = trees.select("gram", "i", "j", "n_grams", "at", "cid", "point").mapInArrow(common.releasing(_candidates(percent)), "u long, v long")
     blocks = common.staged(components(ties), "blocks")
     members = blocks.join(classes.select("cid", "n_grams", "digest", "doc_id"), F.col("id") == F.col("cid"))
     sizes = blocks.join(classes.select("cid", "n_grams"), F.col("id") == F.col("cid")).groupBy("root").agg(
@@ -343,7 +343,7 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").alias("text_id"), "text")        # joined on the id; other texts of it are told by digest
     placed = _dealt(members.join(texts, F.col("doc_id") == F.col("text_id")), "block", "parts", F.col("cid"))
     groups = placed.select("block", "i", "j", "cid", "digest", "text").repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "cid")
-    return groups.mapInArrow(_verify(percent), "u long, v long")
+    return groups.mapInArrow(common.releasing(_verify(percent)), "u long, v long")
 
 
 def _rooted(docs: DataFrame, percent: int) -> DataFrame:
@@ -353,7 +353,7 @@ def _rooted(docs: DataFrame, percent: int) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     slim = docs.select("doc_id", "text", F.xxhash64("text").alias("version"))
     described = common.staged(slim.mapInArrow(
-        _describe(known, percent),
+        common.releasing(_describe(known, percent)),
         f"doc_id {id_type}, version long, n_grams long, digest binary, point binary, prefix array<long>"), "grams")
     named = described.filter(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
     classes = common.staged(named.dropDuplicates(["digest"]).withColumn("cid", F.monotonically_increasing_id()), "classes")

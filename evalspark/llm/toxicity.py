@@ -300,7 +300,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p, pa.float64())], ["doc_id", "score"])
 
-    return slim.mapInArrow(run, f"doc_id {id_type}, score double")
+    return slim.mapInArrow(common.releasing(run), f"doc_id {id_type}, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -317,4 +317,4 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
             stay = [float(features(t, m) @ beta) < limit for part in common.slices(batch) for t in part.column(text).to_pylist()]
             yield batch.filter(pa.array(stay, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.releasing(run), docs.schema)

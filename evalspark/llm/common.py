@@ -52,6 +52,12 @@ def releasing(run: Callable) -> Callable:
     return wrapped
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, behind a generator: a later filter on a computed column is not pushed below it, where each
+    step would compute that column anew."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have yet."""
     taken = {c.lower() for c in df.columns}

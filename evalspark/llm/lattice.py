@@ -190,6 +190,12 @@ class Lattices:
             pieces[first[who] + s] = piece
         return count, first, pieces, log_chance
 
+    def _ways(self, place: int) -> list[tuple[int, int, float]]:
+        """Piece length less one, piece and log chance of every way on, in doubles that sum to one."""
+        ways = [(k, p, w) for k, (w, p) in enumerate(zip(self.weight[place].tolist(), self.piece[place].tolist(), strict=True)) if w > -math.inf]
+        whole = math.log(math.fsum(math.exp(w) for _, _, w in ways))
+        return [(k, p, w - whole) for k, p, w in ways]
+
     def _next(self, place: int, k: int) -> int:
         room = int(self.room[place])
         return place - int(self.offset[room]) + int(self.offset[room - k - 1])
@@ -205,15 +211,13 @@ class Lattices:
                 tree.setdefault(r[0], []).append(r[1:])
             n = int(self.room[place])
             options, weights = [], []
-            for k, (lw, p) in enumerate(zip(self.weight[place].tolist(), self.piece[place].tolist(), strict=True)):
-                if lw == -math.inf:
-                    continue
+            for k, p, lw in self._ways(place):
                 inside = tree.get(p)
                 taken = self._mass(self._next(place, k) if k + 1 < n else 0, k + 1 < n, inside) if inside is not None else 0.0
                 options.append((k, p, inside, lw))
                 weights.append(math.exp(lw) * max(0.0, 1.0 - taken))
             total = sum(weights)
-            if total <= 0:
+            if total <= 1e-13:
                 return [], 0.0, -math.inf
             u = one_uniform(seed, 1_000 + step) * total
             for (k, p, inside, lw), w in zip(options, weights, strict=True):
@@ -243,9 +247,8 @@ class Lattices:
     def log_chance(self, place: int, pieces: tuple[int, ...]) -> float:
         out = 0.0
         for p in pieces:
-            weight = self.weight[place].tolist()
-            k = next(k for k, q in enumerate(self.piece[place].tolist()) if q == p and weight[k] > -math.inf)
-            out += weight[k]
+            k, _, w = next(way for way in self._ways(place) if way[1] == p)
+            out += w
             place = self._next(place, k)
         return out
 

@@ -25,6 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.llm import common
+
 REACH = 40                   # characters before a span in which a context word counts
 BOOST = 0.3
 
@@ -136,7 +138,7 @@ def scan(docs: DataFrame) -> DataFrame:
                          lambda s, n=n: F.struct(s["start"].alias("start"), F.lit(n).alias("turn"), s.alias("span")))
              for n, k in enumerate(KINDS)]
     ordered = F.transform(F.sort_array(F.concat(*keyed)), lambda s: s["span"])
-    return spans.select("doc_id", ordered.alias("spans"))
+    return common.settled(spans.select("doc_id", ordered.alias("spans")))
 
 
 def listed(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:

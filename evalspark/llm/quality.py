@@ -32,7 +32,7 @@ MAX_REPEAT_PERCENT = 50
 WINDOW = 3
 MAX_RULES = 12
 MAX_CONDITIONS = 4
-MIN_PRECISION = 0.8          # of a rule on the prune part
+MIN_PRECISION = 0.95         # of a rule on the prune part
 MIN_COVER = 3                # labelled documents that a rule must cover
 THRESHOLDS = 24              # candidate thresholds per statistic (quantiles of the grow part)
 
@@ -92,13 +92,13 @@ def statistics(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     chars = F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
     lines = F.greatest(F.col("n_lines"), F.lit(1)).cast("double")
-    return done.select(
+    return common.settled(done.select(
         *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (F.col("n_symbols") / n).alias("symbol_rate"), (F.col("n_dup_lines") / lines).alias("dup_line_rate"),
         (F.col("n_repeat_words") / n).alias("repeat_rate"), (chars / n).alias("mean_word"),
         (F.col("n_distinct") / n).alias("distinct_rate"), (F.col("n_upper") / chars).alias("upper_rate"),
         (F.col("n_marks") / n).alias("mark_rate"), (F.col("n_digits") / chars).alias("digit_rate"),
-        (lines / n).alias("line_rate"))
+        (lines / n).alias("line_rate")))
 
 
 def base_failed() -> Column:

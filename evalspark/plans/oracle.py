@@ -7,13 +7,44 @@ plus running sums, an independent formulation of the fold used in Spark.
 
 from __future__ import annotations
 
-from evalspark.functions.defect import (DEFECT_PATTERNS, DEFECT_PHRASES, NO_DEFECT_PATTERNS, NO_DEFECT_PHRASES,
-                                        TRUNCATE_DEFECT_MARKERS, TRUNCATE_NO_DEFECT_MARKERS)
-from evalspark.functions.logs import COMPILER_ERROR_RE
-from evalspark.functions.text import MISSING_FUNCTION_PREFIX, PY_WHITESPACE
-from evalspark.functions.tokens import TOKEN_RE
-from evalspark.fixtures import ANSWER_ENDINGS
-from evalspark.suites import K_GRID_COMPLETE, T_GRID
+# Fixed values of the rules, written here once more: an oracle that took them
+# from the engine would be wrong together with it.
+DEFECT_PHRASES = [
+    'Yes, it has defect', 'Yes', 'has defect', 'has defect', 'there are potential defects',
+    'is potentially flawed', 'There are defects', 'There are several issue', 'there is a potential defect',
+]
+DEFECT_PATTERNS = [
+    'here.*?potential issue', 'here.*?potential defect', 'There.*?a few issue', 'there.*?a few issue',
+]
+NO_DEFECT_PHRASES = [
+    'no defects', "No, it doesn't have defects", 'No', "doesn't have defect", 'do not have defect',
+    'do not has defect', 'this function is not flawed',
+]
+NO_DEFECT_PATTERNS = [
+    "doesn't has defect", 'here are no.*?defect', 'do not see.*?defect', "don't see.*?defect",
+]
+TRUNCATE_DEFECT_MARKERS = [
+    'Yes, it has defect', 'Yes', 'has defect', 'has defect',
+]
+TRUNCATE_NO_DEFECT_MARKERS = [
+    "No, it doesn't have defects", 'No', "doesn't have defect", 'do not have defect', 'do not has defect',
+    "doesn't has defect",
+]
+ANSWER_ENDINGS = [
+    'Yes, it has defects', "No, it doesn't have defects", 'Note: there is a potential defect',
+    "this doesn't has defect", 'ERROR', '$ERROR$', 'here is a potential issue', 'there are no real defects',
+    'I cannot determine', 'no defects. Yes?', 'There are quite a few issues', 'this function is not flawed',
+    '',
+]
+MISSING_FUNCTION_PREFIX = "Can not find target function in answer!\n\n"
+K_GRID_COMPLETE = [1, 5, 10, 20, 50, 100]
+T_GRID = [1000, 5000, 10000, 20000, 500000, 1000000]
+
+# White space as the reference's language has it, and classes made of it.
+PY_WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+_SPACE_CODES = "".join(f"\\x{{{ord(c):x}}}" for c in PY_WHITESPACE)
+TOKEN_RE = f"[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}{_SPACE_CODES}]"
+COMPILER_ERROR_RE = f"[^\n]*:[{_SPACE_CODES.replace(chr(92) + 'x{a}', '')}]error:[{_SPACE_CODES}][^\n]*"
 
 FLAGS = ["pass_syntax", "pass_compile", "pass_trigger", "pass_all"]
 

@@ -141,4 +141,37 @@ SELECT s.doc_id, s.size, t.source_size, t.target,
                  + CASE WHEN s.u < t.target / t.source_size - floor(t.target / t.source_size) THEN 1 ELSE 0 END AS BIGINT)
             ELSE 0 END AS taken
 FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source""",
+    # A line goes if it lies in a run of lines with words that holds ten words and occurred before; every such run
+    # is covered by shortest windows of ten words, from each line on and up to each line.
+    "op10_line_dedup": rf"""
+WITH every AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS pos
+  FROM documents WHERE text IS NOT NULL),
+worded AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i
+  FROM (SELECT doc_id, pos, trim(raw, concat(' ', chr(9), chr(11), chr(12), chr(13))) AS line,
+               len(regexp_extract_all(raw, '{_WORD}')) AS nw FROM every) WHERE nw > 0),
+ahead AS (
+  SELECT doc_id, i, list(line) OVER w AS ls, list(nw) OVER w AS ns, list(pos) OVER w AS ps FROM worded
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
+behind AS (
+  SELECT doc_id, i, list(line) OVER w AS ls, list(nw) OVER w AS ns, list(pos) OVER w AS ps FROM worded
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+runs AS (
+  SELECT doc_id, i, array_to_string(ls[1:k], chr(10)) AS run, ps[1] AS a, ps[k] AS b
+  FROM (SELECT *, list_min(list_filter(range(1, len(ns) + 1), lambda k: list_sum(ns[1:k]) >= 10)) AS k FROM ahead) WHERE k IS NOT NULL
+  UNION ALL
+  SELECT doc_id, i - (len(ns) - k), array_to_string(ls[k:len(ls)], chr(10)), ps[k], ps[len(ps)]
+  FROM (SELECT *, list_max(list_filter(range(1, len(ns) + 1), lambda k: list_sum(ns[k:len(ns)]) >= 10)) AS k FROM behind) WHERE k IS NOT NULL),
+placed AS (SELECT *, CAST(doc_id AS HUGEINT) * 1000000000 + i AS place FROM runs),
+first AS (SELECT run, min(place) AS first_place FROM placed GROUP BY run),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS pos FROM placed JOIN first USING (run) WHERE place > first_place),
+marked AS (SELECT e.doc_id, e.pos, e.raw, g.pos IS NOT NULL AS off FROM every e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.pos = g.pos),
+kept AS (
+  SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT off), '') AS text,
+         count(*) AS n_lines, count(*) FILTER (WHERE off) AS n_removed
+  FROM marked GROUP BY doc_id)
+SELECT d.doc_id, k.text, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN kept k USING (doc_id)""",
 }

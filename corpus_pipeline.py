@@ -26,8 +26,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones stays."""
-    return ngramjoin.keep_one(docs)
+    """One document of each group of linked ones stays: five words, similarity 0.8."""
+    return ngramjoin.keep_one(docs, percent=80, words=5)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """N-gram Jaccard join with count-vector trees.
 
-A document is the set of its distinct word n-grams (one, of all words, if it
-has fewer).  N-grams are hashed into groups; the counts per group make a
+A document is the set of its distinct n-grams of ``words`` words (one, of all
+words, if it has fewer).  N-grams are hashed into groups; the counts per group make a
 point, and the sum of coordinate minima of two points bounds the overlap of
 the sets from above - for a tree node, the minima with its largest
 coordinates bound it for all points below.  Two documents link when their
@@ -41,7 +41,7 @@ from xxhash import xxh3_64_intdigest, xxh3_128_digest
 from evalspark.llm import common
 from evalspark.llm.components import components
 
-WORDS = 3                    # words per n-gram
+WORDS = 3                    # words per n-gram, unless asked for others
 PERCENT = 90
 MIN_GROUPS, GRAMS_PER_GROUP = 32, 30          # coordinates of a coarse point: enough to tell unlike sets of that size apart
 SAMPLE_EVERY = 8             # one text in so many counts n-grams for the order
@@ -99,14 +99,14 @@ def coarse_point(hashes: np.ndarray) -> bytes:
     return counts.astype(np.uint8).tobytes()
 
 
-def _common(docs: DataFrame) -> np.ndarray:
+def _common(docs: DataFrame, words: int) -> np.ndarray:
     """Two rows: hashes (ascending) and counts of n-grams that several sampled texts hold."""
     sampled = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_EVERY)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch):
-                sets = [grams(t) for t in part.column(0).to_pylist()]
+                sets = [grams(t, words) for t in part.column(0).to_pylist()]
                 every, count = np.unique(np.concatenate(sets), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(count)], ["gram", "n"])
 
@@ -128,12 +128,12 @@ def _prefix(hashes: np.ndarray, known: np.ndarray, percent: int) -> np.ndarray:
     return hashes[np.lexsort((hashes, turn))[:prefix_length(len(hashes), percent)]]
 
 
-def _describe(known, percent: int) -> Callable:
+def _describe(known, percent: int, words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common_grams = known.value
         for batch in batches:
             for part in common.slices(batch):
-                sets = [grams(t) for t in part.column(1).to_pylist()]
+                sets = [grams(t, words) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(2),
                     pa.array([len(s) for s in sets], pa.int64()),
@@ -306,7 +306,7 @@ def link_block(cid: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT)
     return links
 
 
-def _verify(percent: int) -> Callable:
+def _verify(percent: int, words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, ["block", "i", "j"], 1):
             keys = np.stack([table.column(c).to_numpy() for c in ("block", "i", "j")], axis=1)
@@ -314,7 +314,7 @@ def _verify(percent: int) -> Callable:
             links: list[tuple[int, int]] = []
             for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):
                 part = table.slice(a, b - a)
-                sets = [grams(t) for t in part.column("text").to_pylist()]
+                sets = [grams(t, words) for t in part.column("text").to_pylist()]
                 own = [len(s) > 0 and xxh3_128_digest(s.tobytes()) == d for s, d in zip(sets, part.column("digest").to_pylist(), strict=True)]
                 cid = part.column("cid").to_numpy()[own]
                 if len(cid) > 1:
@@ -325,7 +325,7 @@ def _verify(percent: int) -> Callable:
     return run
 
 
-def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _links(docs: DataFrame, classes: DataFrame, percent: int, words: int) -> DataFrame:
     """Verified links ``u, v`` between classes that connect all that are linked."""
     entries = classes.select("cid", "n_grams", F.posexplode("prefix").alias("at", "gram"))
     shared = entries.groupBy("gram").agg(F.count("*").alias("points")).filter("points > 1")
@@ -343,21 +343,21 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").alias("text_id"), "text")        # joined on the id; other texts of it are told by digest
     placed = _dealt(members.join(texts, F.col("doc_id") == F.col("text_id")), "block", "parts", F.col("cid"))
     groups = placed.select("block", "i", "j", "cid", "digest", "text").repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "cid")
-    return groups.mapInArrow(common.releasing(_verify(percent)), "u long, v long")
+    return groups.mapInArrow(common.releasing(_verify(percent, words)), "u long, v long")
 
 
-def _rooted(docs: DataFrame, percent: int) -> DataFrame:
+def _rooted(docs: DataFrame, percent: int, words: int) -> DataFrame:
     """``doc_id, version, n_grams, root`` per row; ``version`` is a hash of the text, ``root`` names the component."""
     spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(_common(docs))           # at most MAX_COMMON pairs
+    known = spark.sparkContext.broadcast(_common(docs, words))           # at most MAX_COMMON pairs
     id_type = docs.schema["doc_id"].dataType.simpleString()
     slim = docs.select("doc_id", "text", F.xxhash64("text").alias("version"))
     described = common.staged(slim.mapInArrow(
-        common.releasing(_describe(known, percent)),
+        common.releasing(_describe(known, percent, words)),
         f"doc_id {id_type}, version long, n_grams long, digest binary, point binary, prefix array<long>"), "grams")
     named = described.filter(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
     classes = common.staged(named.dropDuplicates(["digest"]).withColumn("cid", F.monotonically_increasing_id()), "classes")
-    linked = components(_links(slim, classes, percent))
+    linked = components(_links(slim, classes, percent, words))
     # Every class has a root: its own, unless it is linked.
     roots = classes.select("digest", "cid").join(linked, F.col("cid") == F.col("id"), "left").select(
         "digest", F.coalesce("root", "cid").alias("root"))
@@ -365,17 +365,17 @@ def _rooted(docs: DataFrame, percent: int) -> DataFrame:
     return common.staged(rows.join(roots, "digest", "left").select("doc_id", "version", "n_grams", "root"), "rooted")
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per row of ``docs``."""
-    placed = _rooted(docs, percent)
+    placed = _rooted(docs, percent, words)
     least = placed.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "root", "left").select(
         "doc_id", F.col("n_grams").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """The rows of ``docs``, all columns, but of each component only that of the smallest id (and text hash)."""
-    placed = _rooted(docs, percent).filter(F.col("root").isNotNull())
+    placed = _rooted(docs, percent, words).filter(F.col("root").isNotNull())
     version = common.fresh(docs, "version")
     winners = placed.groupBy("root").agg(F.min(F.struct("doc_id", "version")).alias("w"))
     losers = placed.join(winners, "root").filter(F.struct("doc_id", "version") != F.col("w")).select(

@@ -6,18 +6,19 @@ nothing.  For every line the shortest window of lines from it on that holds
 fingerprints.  A run of equal lines with ``min_words`` words or more holds a
 whole window, so both its copies select the same fingerprint in it.
 
-Equal fingerprints are joined on their hash, and a match is extended both
-ways: from each fingerprint, hashes of the runs that grow line by line to the
-right and to the left, at least as far as the next window's fingerprint takes
-over, are compared with their first occurrence in the corpus
-(the smallest document id, then text hash, then line).  A run that occurred
-before is deleted when it holds ``min_words`` words; the first occurrence stays.
+Equal fingerprints are joined on their hash.  A match is confirmed by the runs
+around the fingerprint as a whole, left part, line and right part in one hash:
+the shortest runs of ``min_words`` words whose window selects it, from a line
+on or up to a line.  A run whose hash has an earlier first occurrence in the
+corpus (the smallest document id, then text hash, then line) is deleted; the
+first occurrence stays.  Every longer repeated run is covered by such runs.
 
 At scale: per-line work stays inside the row of the document; what is
-shuffled is a few numbers per fingerprint.  First occurrences are minima,
-combined before the shuffle, so that a line that a third of all documents
-hold costs one row per task; the join back has a unique side and can be split
-when it is skewed.  Texts are shuffled once, to meet their kept segments.
+shuffled is a few numbers per fingerprint, and per run of the repeated ones.
+First occurrences are minima, combined before the shuffle, so that a line that
+a third of all documents hold costs one row per task; the joins back have a
+unique side and can be split when they are skewed.  Texts are shuffled once,
+to meet their kept segments.
 
 Defined results: a null text stays null and an empty one empty; rows that
 agree in id and text are one document and get one result each; null ids come
@@ -46,64 +47,55 @@ def _lines(text: Column) -> Column:
     return F.filter(every, lambda x: x["nw"] > 0)
 
 
-def _selected(lines: Column, min_words: int) -> Column:
-    """Ascending indexes of the fingerprints: the smallest hash of every window, the leftmost of equal ones."""
-    empty = F.struct(F.lit(0).alias("words"), F.lit(None).cast("struct<h:bigint,i:int>").alias("best"))
+_RUNS = "array<struct<hash:bigint,last:int>>"
 
-    def pick(_: Column, i: Column) -> Column:
-        ahead = F.transform(F.slice(lines, i + 1, F.lit(min_words)), lambda x, k: F.struct(x["h"].alias("h"), (i + k).alias("i"), x["nw"].alias("nw")))
 
-        def add(a: Column, x: Column) -> Column:
-            grown = F.struct((a["words"] + x["nw"]).alias("words"),
-                             F.least(a["best"], F.struct(x["h"].alias("h"), x["i"].alias("i"))).alias("best"))
-            return F.when(a["words"] >= min_words, a).otherwise(grown)
-
-        return F.aggregate(ahead, empty, add, lambda a: F.when(a["words"] >= min_words, a["best"]["i"]))
-
-    return F.sort_array(F.array_distinct(F.filter(F.transform(lines, pick), lambda i: i.isNotNull())))
+def _starts(lines: Column, min_words: int) -> Column:
+    """Per line: ``best``, the smallest hash (the leftmost of equal ones) of the shortest window from it on, and
+    ``runs``, the shortest runs from it on: that window, and those that without this line are below ``min_words`` words.
+    No runs where too few words are left."""
+    empty = F.struct(F.lit(0).alias("words"), F.lit(0).cast("long").alias("hash"),
+                     F.lit(None).cast("struct<h:bigint,i:int>").alias("best"), F.array().cast(_RUNS).alias("runs"))
 
+    def of(line: Column, i: Column) -> Column:
+        ahead = F.transform(F.slice(lines, i + 1, F.lit(min_words)), lambda x, k: F.struct(
+            x["pos"].alias("pos"), x["h"].alias("h"), (i + k).alias("i"), x["nw"].alias("nw")))
 
-_STEP = "struct<hash:bigint,words:int,pos:int>"
-
+        def add(a: Column, x: Column) -> Column:
+            words, grown = a["words"] + x["nw"], F.xxhash64(a["hash"], x["h"])
+            short = a["words"] < min_words
+            ends = (words >= min_words) & (short | (words - line["nw"] < min_words))
+            best = F.least(a["best"], F.struct(x["h"].alias("h"), x["i"].alias("i")))
+            run = F.struct(grown.alias("hash"), x["pos"].alias("last"))
+            return F.struct(words.alias("words"), grown.alias("hash"), F.when(short, best).otherwise(a["best"]).alias("best"),
+                            F.when(ends, F.concat(a["runs"], F.array(run))).otherwise(a["runs"]).alias("runs"))
 
-def _chain(around: Column, start: Column, min_words: int, side: int) -> Column:
-    """Runs that grow from ``start`` over the lines ``around`` (nearest first).
+        return F.aggregate(ahead, empty, add, lambda a: F.struct(line["pos"].alias("first"), a["best"].alias("best"), a["runs"].alias("runs")))
 
-    A line is added while the added ones stay below ``min_words`` words, or
-    the run as a whole is below it.  That far, and not only to the next
-    fingerprint: at the ends of a run its copies may select different lines.
-    """
-    zero = F.struct(F.xxhash64(F.lit(side), start["h"]).alias("hash"), start["nw"].alias("words"),
-                    F.array().cast(f"array<{_STEP}>").alias("steps"), F.lit(True).alias("open"))
+    return F.transform(lines, of)
 
-    def add(a: Column, x: Column) -> Column:
-        step = F.struct(F.xxhash64(a["hash"], x["h"]).alias("hash"), (a["words"] + x["nw"]).alias("words"), x["pos"].alias("pos"))
-        goes = a["open"] & ((step["words"] - start["nw"] < min_words) | (a["words"] < min_words))
-        return F.when(goes, F.struct(step["hash"].alias("hash"), step["words"].alias("words"),
-                                     F.concat(a["steps"], F.array(step)).alias("steps"), F.lit(True).alias("open"))).otherwise(
-            F.struct(a["hash"].alias("hash"), a["words"].alias("words"), a["steps"].alias("steps"), F.lit(False).alias("open")))
 
-    return F.aggregate(around, zero, add, lambda a: a["steps"])
+def _fingerprints(starts: Column) -> Column:
+    """``h, i`` of the selected lines, in order."""
+    return F.array_distinct(F.transform(F.filter(starts, lambda s: F.size(s["runs"]) > 0), lambda s: s["best"]))
 
 
-def _runs(lines: Column, picked: Column, min_words: int) -> Column:
-    """All runs of all fingerprints: ``side`` 0 is the line itself, 1 grows right, 2 left."""
+def _runs(starts: Column, picked: Column, min_words: int) -> Column:
+    """Per fingerprint its hash, its line and the runs around it: those whose window selects it."""
     def of(f: Column) -> Column:
-        line = F.get(lines, f)
-        right = _chain(F.slice(lines, f + 2, F.lit(min_words)), line, min_words, 1)
-        begin = F.greatest(f - min_words, F.lit(0))
-        left = _chain(F.reverse(F.slice(lines, begin + 1, f - begin)), line, min_words, 2)
+        begin = F.greatest(f["i"] - min_words + 1, F.lit(0))
+        near = F.filter(F.slice(starts, begin + 1, f["i"] - begin + 1), lambda s: (F.size(s["runs"]) > 0) & (s["best"]["i"] == f["i"]))
+        runs = F.transform(near, lambda s: F.transform(s["runs"], lambda r: F.struct(
+            r["hash"].alias("hash"), s["first"].alias("first"), r["last"].alias("last"))))
+        return F.struct(f["h"].alias("fingerprint"), f["i"].alias("at"), F.flatten(runs).alias("runs"))
 
-        def tell(side: int, steps: Column) -> Column:
-            return F.transform(steps, lambda s: F.struct(
-                F.lit(side).alias("side"), s["hash"].alias("hash"), line["pos"].alias("at"),
-                (s["words"] - line["nw"]).alias("more"), line["nw"].alias("own"), s["pos"].alias("edge")))
+    return F.transform(picked, of)
 
-        itself = F.array(F.struct(F.lit(0).alias("side"), F.xxhash64(F.lit(0), line["h"]).alias("hash"), line["pos"].alias("at"),
-                                  F.lit(0).alias("more"), line["nw"].alias("own"), line["pos"].alias("edge")))
-        return F.concat(itself, tell(1, right), tell(2, left))
 
-    return F.flatten(F.transform(picked, of))
+def _repeated(rows: DataFrame, key: str, place: Column) -> DataFrame:
+    """Values of ``key`` at several places, with the first one."""
+    ends = rows.groupBy(key).agg(F.min(place).alias("first_place"), F.max(place).alias("last_place"))
+    return ends.filter(F.col("first_place") != F.col("last_place")).select(key, "first_place")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -112,20 +104,16 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ``version`` is a hash of the text: id and version name a document.
     """
     slim = docs.select("doc_id", F.xxhash64("text").alias("version"), _lines(F.col("text")).alias("lines")).filter(F.col("text").isNotNull())
-    picked = slim.withColumn("picked", _selected(F.col("lines"), min_words))
-    runs = picked.select("doc_id", "version", F.explode(_runs(F.col("lines"), F.col("picked"), min_words)).alias("r")).select("doc_id", "version", "r.*")
-    place = F.struct("doc_id", "version", "at")
-    first = runs.groupBy("hash").agg(F.min(place).alias("first_place"), F.max(place).alias("last_place"))
-    first = first.filter(F.col("first_place") != F.col("last_place")).select("hash", "first_place")
-    later = runs.join(first, "hash").filter(place > F.col("first_place"))
-    grown = later.groupBy("doc_id", "version", "at").agg(
-        F.max(F.when(F.col("side") == 0, True)).alias("seen"), F.max("own").alias("own"),
-        F.max(F.when(F.col("side") == 1, F.struct("edge", "more"))).alias("right"),
-        F.min(F.when(F.col("side") == 2, F.struct("edge", "more"))).alias("left"))
-    more = F.coalesce(F.col("right.more"), F.lit(0)) + F.coalesce(F.col("left.more"), F.lit(0))
-    return grown.filter(F.col("seen") & (F.col("own") + more >= min_words)).select(
-        "doc_id", "version", F.coalesce(F.col("left.edge"), F.col("at")).alias("first"),
-        F.coalesce(F.col("right.edge"), F.col("at")).alias("last"))
+    starts = slim.select("doc_id", "version", _starts(F.col("lines"), min_words).alias("starts"))
+    picked = starts.withColumn("picked", _fingerprints(F.col("starts")))
+    # Not of the column: an inferred filter on it would be pushed below and compute the lines anew for each line.
+    single = starts.select("doc_id", "version", F.inline(_fingerprints(F.col("starts")))).toDF("doc_id", "version", "fingerprint", "at")
+    shared = _repeated(single, "fingerprint", F.struct("doc_id", "version", "at")).select("fingerprint")
+    around = picked.select("doc_id", "version", F.inline(_runs(F.col("starts"), F.col("picked"), min_words)))
+    runs = common.staged(around.join(shared, "fingerprint").select("doc_id", "version", F.inline("runs")), "line-runs")
+    place = F.struct("doc_id", "version", "first")
+    later = runs.join(_repeated(runs, "hash", place), "hash").filter(place > F.col("first_place"))
+    return later.select("doc_id", "version", "first", "last")
 
 
 def _kept_segments(runs: DataFrame) -> DataFrame:

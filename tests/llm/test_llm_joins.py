@@ -157,6 +157,18 @@ def test_line_dedup_matches_definition(make_docs, prose):
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == expected
 
 
+def test_line_dedup_of_frequent_short_lines(make_docs):
+    """Many small sets of documents, each of a few short lines of its own that meet in ever new orders."""
+    rows = []
+    for seed in range(60):
+        rnd = random.Random(seed)
+        pool = [" ".join(f"s{seed}l{k}w{j}" for j in range(rnd.randint(1, 7))) for k in range(rnd.randint(5, 12))]
+        rows += [(100 * seed + k, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(3, 9)))) for k in range(10)]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(make_docs(rows)).collect()}
+    expected = dict(zip([i for i, _ in rows], brute_lines(rows), strict=True))
+    assert [i for i in expected if got[i] != expected[i]] == []
+
+
 def test_line_dedup_of_planted_passages(make_docs, prose):
     passage = "\n".join(prose(500 + k, 20) for k in range(3))
     rows = [(k, f"{prose(k, 15)}\n{passage}\n{prose(100 + k, 15)}") for k in range(6)] + [(9, prose(77, 30))]

@@ -24,20 +24,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan of a single split over the session's parallelism.
-
-    One split is one file of one row group: bounded data that a single task
-    would work through row by row (XML parsing, regex token counts, brace
-    folds).  A table of two splits or more is never shuffled here.
+    """Round-robin a scan that would leave most cores idle over the session's parallelism.
+
+    Spark cuts files by bytes, but all rows of a row group go to one split: a
+    file of one row group is worked through (XML parsing, regex token counts,
+    brace folds) by one task, however many splits it has.  So a scan with
+    fewer splits that hold rows than there are cores is spread: less than one
+    wave of splits, bounded data.  Splits with rows are only counted (from the
+    footers, no column is read) where files are fewer than cores.
     """
     try:
-        if df.rdd.getNumPartitions() > 1:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+        if splits >= cores and (len(df.inputFiles()) >= cores or _splits_with_rows(df) >= cores):
             return df
-        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+        return df.repartition(cores)
     except Exception:       # no RDD view (e.g. a Spark Connect session): leave the scan as is
         return df
 
 
+def _splits_with_rows(df: DataFrame) -> int:
+    return df.select("_metadata.file_path", "_metadata.file_block_start").distinct().count()
+
+
 def v_tasks(spark, sf_dir) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
     item = F.col("item_id")

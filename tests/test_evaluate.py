@@ -160,7 +160,7 @@ def test_evaluate_files_defect_report(spark):
 
 
 def test_many_runs_in_one_job_equal_one_job_per_run(spark):
-    from conftest import SF_SMALL
+    from paths import SF_SMALL
     from evalspark import fixtures as fx
     from evalspark.plans.evaluate import score
     s = fx.v_samples(spark, SF_SMALL).select("task_idx", "sample_idx", F.lit("prompt text").alias("input"),

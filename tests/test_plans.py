@@ -1,7 +1,7 @@
 import io
 from contextlib import redirect_stdout
 
-from conftest import SF_MID
+from paths import SF_MID
 from evalspark import fixtures as fx
 from evalspark.operators import coverage as cov
 from evalspark.operators import samples as smp
@@ -69,3 +69,28 @@ def test_requests_written_per_shard(spark):
     shard = spark.read.parquet(path).filter(F.col("shard_id") == 1)
     assert "PartitionFilters: [isnotnull(shard_id" in plan(shard)
     assert shard.count() + spark.read.parquet(path).filter(F.col("shard_id") != 1).count() == 40 * 4
+
+
+def test_rows_of_one_row_group_are_spread(spark, tmp_path):
+    """A file of one row group, cut into more splits than there are cores: its rows still go to several tasks."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rnd = np.random.default_rng(1)
+    pq.write_table(pa.table({"k": pa.array(range(60_000)), "x": rnd.random(60_000), "y": rnd.random(60_000)}),
+                   tmp_path / "one.parquet", row_group_size=100_000)
+    limit = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        df = spark.read.parquet(str(tmp_path / "one.parquet"))
+        assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        assert sum(n > 0 for n in df.rdd.glom().map(len).collect()) == 1
+        counts = fx.spread(df).rdd.glom().map(len).collect()
+        assert len(counts) == spark.sparkContext.defaultParallelism and min(counts) > 10_000
+        many = spark.range(80_000).repartition(8)
+        many.write.parquet(str(tmp_path / "many.parquet"))
+        back = spark.read.parquet(str(tmp_path / "many.parquet"))
+        assert "Exchange" not in plan(fx.spread(back))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from evalspark.llm import labelled, lattice, linededup, mixing, ngramjoin, pii, quality, secrets, tokenfiles, topk, toxicity
+from evalspark.llm import (audit, labelled, lattice, linededup, mixing, ngramjoin, phrases, pii, quality, secrets, tokenfiles, topk, toxicity,
+                           warc)
 from evalspark.llm.common import read_table
 from evalspark.session import scratch_path
 
@@ -82,6 +83,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(docs, lines_col="n_lines", removed_col="n_removed")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op13_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_path(spark, "warc")
+    warc.write_archives(read_table(spark, sf_dir, "pages"), out)
+    return warc.read_captures(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type",
+                                                 F.col("refers_to_page").alias("refers_to"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_topk_search": op2_topk_search,
@@ -93,6 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_personal_data": op9_personal_data,
     "op10_line_dedup": op10_line_dedup,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_warc_captures": op13_warc_captures,
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -174,4 +193,74 @@ kept AS (
   FROM marked GROUP BY doc_id)
 SELECT d.doc_id, k.text, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed
 FROM documents d LEFT JOIN kept k USING (doc_id)""",
+    "op11_phrase_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS piece, regexp_extract_all(part, '[^\x20\x09]+') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS part
+        FROM documents)),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
+counts AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (
+  SELECT lang, k, phrase, f AS a, unnest(range(1, k)) AS cut, string_split(phrase, ' ') AS w FROM counts WHERE k > 1),
+scored AS (
+  SELECT c.lang, c.k, c.phrase, c.a, c.cut, x.f AS l, y.f AS r,
+         CAST((CAST(2000000 AS HUGEINT) * c.a) // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+  FROM cuts c
+  JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.cut], ' ')
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.cut + 1:c.k], ' ')),
+lowest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS turn FROM scored) WHERE turn = 1),
+inside AS (
+  SELECT lang, f, unnest(list_transform(range(1, k - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS phrase
+  FROM (SELECT lang, k, f, string_split(phrase, ' ') AS w, unnest(range(2, k)) AS n FROM counts WHERE k > 2)),
+longest AS (SELECT lang, phrase, max(f) AS most FROM inside GROUP BY ALL),
+ranked AS (
+  SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, encode(s.phrase)) AS rank, s.phrase, s.a, s.l, s.r, s.score
+  FROM lowest s LEFT JOIN longest g USING (lang, phrase) WHERE g.most IS NULL OR 100 * g.most < 80 * s.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
+    "op12_filter_audit": rf"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+firsts AS (SELECT text, min(doc_id) AS low FROM texts GROUP BY text),
+judged AS (
+  SELECT t.doc_id, t.part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+         100 * (length(t.text) - length(regexp_replace(t.text, '[A-Z]', '', 'g'))) > 3 * length(t.text) AS c,
+         regexp_matches(t.text, '[#$%&*|]') AS d, coalesce(t.doc_id > f.low, false) AS e
+  FROM texts t JOIN firsts f USING (text)),
+marked AS (
+  SELECT part, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x, i: [a, b, c, d, e][i]) AS fails,
+         EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = j.doc_id AND l.quality = 1) AS good,
+         EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = j.doc_id AND l.toxic = 1) AS toxic FROM judged j),
+masks AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM marked GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT concat(p.x, q.x, r.x, s.x, t.x) AS filter_order FROM letters p, letters q, letters r, letters s, letters t
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+steps AS (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM orders),
+counted AS (
+  SELECT m.part, s.filter_order, s.step, substr(s.filter_order, s.step, 1) AS x,
+         list_filter(range(1, 6), lambda i: list_contains(m.fails, substr(s.filter_order, i, 1)))[1] AS gone_at, m.*
+  FROM masks m, steps s),
+summed AS (
+  SELECT part, filter_order, step, x,
+         sum(n) FILTER (WHERE gone_at IS NULL OR gone_at > step) AS kept, sum(n) FILTER (WHERE gone_at = step) AS removed,
+         sum(n) FILTER (WHERE gone_at < step AND list_contains(fails, x)) AS redundant, sum(n) FILTER (WHERE fails = [x]) AS unique_fails,
+         sum(good) FILTER (WHERE gone_at = step) AS good_lost, sum(toxic) FILTER (WHERE gone_at = step) AS toxic_lost
+  FROM counted GROUP BY part, filter_order, step, x)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+       CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(sum(removed) OVER (PARTITION BY part, x), 0) AS BIGINT) AS shapley
+FROM summed""",
+    "op13_warc_captures": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT p.page_id, CAST(p.payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
+       CASE WHEN p.page_id > f.first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN p.page_id > f.first THEN f.first END AS refers_to
+FROM p LEFT JOIN firsts f USING (payload_digest)""",
 }

@@ -39,15 +39,21 @@ def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
+def give_back() -> None:
+    """Return memory that Python and Arrow hold unused to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def releasing(run: Callable) -> Callable:
-    """A partition function that gives unused memory back when it ends: Python workers live on between
+    """A partition function that gives unused memory back when it begins and ends: Python workers live on between
     stages, and what they hold back adds to the memory of every later stage on their executor."""
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        give_back()
 
     return wrapped
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def held_out_id(doc_id: int | None) -> bool:
+    """:func:`held_out` of one id."""
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 0
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
     """``text, label, fold`` of at most ``rows`` labelled documents that are not held out.
 

@@ -12,19 +12,22 @@ best segmentation unit by unit and cutting the rest of it at each unit.
 
 No piece crosses the beginning of a run of spaces or a line end, so the
 lattice is a row of units: the node probabilities multiply, and a unit's own
-lattice is built once per slice of texts.  The noise is a hash of the row key
-and the place of the draw, so that any rerun gives the same segmentations.
+lattice is built once per slice of texts, for the draws only.  The few units
+that the search opens, and units of more than ``UNIT_CHARS`` characters, have
+a lattice of their own that keeps one number per character.  The noise is a
+hash of the row key and the place of the draw, so that any rerun gives the
+same segmentations.
 
 Besides its log probability each sample has an inclusion score: the log of
 the probability that its key exceeds the (k+1)-th, the weight of an unbiased
 estimate.
 
 Defined results: a null or empty text has one sample without pieces; a text
-with fewer than k segmentations gives all of them, with inclusion 1 (what a
-double cannot tell from no chance, below 1e-12 of a node, counts as none); rows that
-agree in key and text are sampled alike; units of more than ``UNIT_CHARS``
-characters are cut there; decoding any sample gives the text back, the space
-sign U+2581 included, which is written as bytes; other columns are not read.
+with fewer than k segmentations gives all of them, with inclusion 1 (what is
+left of a node is summed from the ways left, in logs, so that no segmentation
+is too improbable); rows that agree in key and text are sampled alike; decoding
+any sample gives the text back, the space sign U+2581 included, which is
+written as bytes; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ import functools
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -46,8 +50,8 @@ from evalspark.llm import common
 SAMPLES = 2
 ALPHA = 0.6
 RANK_SHIFT = 10
-UNIT_CHARS = 256
-SLICE_CHARS = 300_000         # characters whose lattice is held at a time
+UNIT_CHARS = 256             # of a unit whose lattice is built together with others
+SLICE_CHARS = 80_000         # characters whose lattice is held at a time
 SEED = "segment-1"
 BEGINNING, MISS = -1, -2     # of a lookup: the beginning of a piece; of none
 TABLE = 1 << 19
@@ -99,10 +103,12 @@ def log1mexp(x: np.ndarray) -> np.ndarray:
 
 
 def units(text: str) -> list[str]:
-    out = _UNITS.findall(" " + text) if text else []
-    if max(map(len, out), default=0) > UNIT_CHARS:
-        out = [u[k:k + UNIT_CHARS] for u in out for k in range(0, len(u), UNIT_CHARS)]
-    return out
+    return _UNITS.findall(" " + text) if text else []
+
+
+def log_sum(x: list[float]) -> float:
+    top = max(x, default=-math.inf)
+    return top if top == -math.inf else top + math.log(math.fsum(math.exp(v - top) for v in x))
 
 
 class Lattices:
@@ -190,68 +196,96 @@ class Lattices:
             pieces[first[who] + s] = piece
         return count, first, pieces, log_chance
 
-    def _ways(self, place: int) -> list[tuple[int, int, float]]:
-        """Piece length less one, piece and log chance of every way on, in doubles that sum to one."""
-        ways = [(k, p, w) for k, (w, p) in enumerate(zip(self.weight[place].tolist(), self.piece[place].tolist(), strict=True)) if w > -math.inf]
-        whole = math.log(math.fsum(math.exp(w) for _, _, w in ways))
-        return [(k, p, w - whole) for k, p, w in ways]
-
-    def _next(self, place: int, k: int) -> int:
-        room = int(self.room[place])
-        return place - int(self.offset[room]) + int(self.offset[room - k - 1])
-
-    def other(self, at: int, known: list[tuple[int, ...]], seed: int) -> tuple[list[int], float, float]:
-        """A segmentation from ``at`` that is none of ``known``: pieces, its log chance, and the log chance of all others left."""
-        tree: dict[int, list[tuple[int, ...]]] = {}
-        pieces, log_chance, place, step = [], 0.0, at, 0
-        rest = [tuple(k) for k in known]
-        while rest:
-            tree.clear()
-            for r in rest:
-                tree.setdefault(r[0], []).append(r[1:])
-            n = int(self.room[place])
-            options, weights = [], []
-            for k, p, lw in self._ways(place):
-                inside = tree.get(p)
-                taken = self._mass(self._next(place, k) if k + 1 < n else 0, k + 1 < n, inside) if inside is not None else 0.0
-                options.append((k, p, inside, lw))
-                weights.append(math.exp(lw) * max(0.0, 1.0 - taken))
-            total = sum(weights)
-            if total <= 1e-13:
-                return [], 0.0, -math.inf
-            u = one_uniform(seed, 1_000 + step) * total
-            for (k, p, inside, lw), w in zip(options, weights, strict=True):
-                u -= w
-                if u <= 0 and w > 0:
-                    break
-            pieces.append(p)
-            log_chance += lw
-            if k + 1 >= n:
-                return pieces, log_chance, 0.0
-            place, step, rest = self._next(place, k), step + 1, inside
-        while True:                                       # unlike all known ones by now: the rest is free
-            u, row = min(one_uniform(seed, step), float(_BELOW_ONE)), self.chance[place].tolist()
-            k = next(k for k, c in enumerate(row) if c > u)
-            pieces.append(int(self.piece[place, k]))
-            log_chance += float(self.weight[place, k])
-            if k + 1 >= int(self.room[place]):
-                return pieces, log_chance, 0.0
-            place, step = self._next(place, k), step + 1
-
-    def _mass(self, place: int, more: bool, known: list[tuple[int, ...]]) -> float:
-        """Chance of the known endings from a position."""
-        if not more:
-            return 1.0 if () in known else 0.0
-        return sum(math.exp(self.log_chance(place, k)) for k in known)
-
-    def log_chance(self, place: int, pieces: tuple[int, ...]) -> float:
-        out = 0.0
-        for p in pieces:
-            k, _, w = next(way for way in self._ways(place) if way[1] == p)
-            out += w
-            place = self._next(place, k)
+
+Way = tuple[int, int, float]     # place behind a piece, the piece, its log chance
+
+
+class UnitLattice:
+    """The lattice of one unit: a number per character, the log weight of all ways from it to the end."""
+
+    def __init__(self, model: Segmenter, unit: str):
+        self.model, self.text = model, unit.replace(_SPACE, _LITERAL).replace(" ", _SPACE)
+        self.total = array("d", bytes(8 * (len(unit) + 1)))
+        for at in range(len(unit) - 1, -1, -1):
+            self.total[at] = log_sum([w + self.total[to] for to, _, w in self._weights(at)])
+
+    def _weights(self, at: int) -> list[Way]:
+        text, names, out = self.text, self.model.names, []
+        for to in range(at + 1, min(at + self.model.longest, len(text)) + 1):
+            found = names.get(text[at:to])
+            if found is None:
+                break
+            if found != BEGINNING:
+                out.append((to, found, self.model.weights[found]))
+        if not out or out[0][0] > at + 1:                                    # no piece of one character: its bytes
+            code = ord(text[at] if text[at] != _LITERAL else _SPACE)
+            out.insert(0, (at + 1, -1 - code, self.model.byte_weight * (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))))
         return out
 
+    def ways(self, at: int) -> list[Way]:
+        """Every way on, its log chance given the place."""
+        return [(to, p, w + self.total[to] - self.total[at]) for to, p, w in self._weights(at)]
+
+    def _pick(self, options: list[tuple[Way, float]], u: float) -> Way:
+        top = log_sum([w for _, w in options])
+        for way, w in options:
+            u -= math.exp(w - top)
+            if u <= 0:
+                return way
+        return max(options, key=lambda o: o[1])[0]
+
+    def walk(self, seed: int, at: int = 0, step: int = 0) -> tuple[list[int], float]:
+        """A segmentation from ``at`` to the end: pieces, log chance."""
+        pieces, log_chance = [], 0.0
+        while at < len(self.text):
+            at, piece, w = self._pick([(way, way[2]) for way in self.ways(at)], one_uniform(seed, step))
+            pieces.append(piece)
+            log_chance += w
+            step += 1
+        return pieces, log_chance
+
+    def _tree(self, known: list[tuple[int, ...]]) -> tuple[list[dict[int, int]], list[float]]:
+        """The known segmentations as a tree, by node its children by piece (-1: the end), and the log chance
+        that a segmentation from the node on is none of the known ones: the sum over what is not in the tree."""
+        children, places = [{}], [0]
+        for pieces in known:
+            node = 0
+            for p in pieces:
+                if p not in children[node]:
+                    to = next(to for to, q, _ in self._weights(places[node]) if q == p)
+                    ends = to == len(self.text)
+                    children[node][p] = -1 if ends else len(children)
+                    if not ends:
+                        children.append({})
+                        places.append(to)
+                node = children[node][p]
+        left = [0.0] * len(children)
+        for node in range(len(children) - 1, -1, -1):
+            own = children[node]
+            left[node] = log_sum([w + (left[own[p]] if p in own else 0.0) for _, p, w in self.ways(places[node]) if own.get(p, 0) != -1])
+        return children, left
+
+    def left(self, known: list[tuple[int, ...]]) -> float:
+        """Log chance of all segmentations but the known ones."""
+        return self._tree(known)[1][0]
+
+    def other(self, known: list[tuple[int, ...]], seed: int) -> tuple[list[int], float] | None:
+        """A segmentation that is none of ``known`` and its log chance; None if there is no other."""
+        children, left = self._tree(known)
+        if left[0] == -math.inf:
+            return None
+        pieces, log_chance, at, node, step = [], 0.0, 0, 0, 0
+        while True:
+            own = children[node]
+            options = [(way, way[2] + (left[own[way[1]]] if way[1] in own else 0.0)) for way in self.ways(at) if own.get(way[1], 0) != -1]
+            at, p, w = self._pick([o for o in options if o[1] > -math.inf], one_uniform(seed, 1_000 + step))
+            pieces.append(p)
+            log_chance += w
+            if p not in own:                              # unlike all known ones by now: the rest is free
+                rest, more = self.walk(seed, at, step)
+                return pieces + rest, log_chance + more
+            node, step = own[p], step + 1
+
 
 class Segmenter:
     def __init__(self, path: str, alpha: float = ALPHA):
@@ -275,6 +309,7 @@ class Segmenter:
             known[name] = i
             for k in range(1, len(name)):
                 known.setdefault(name[:k], BEGINNING)
+        self.names, self.weights = known, self.log_weight.tolist()
         hashes = np.zeros(len(known), np.uint64)
         by_length: dict[int, list[int]] = {}
         for n, name in enumerate(known):
@@ -346,40 +381,64 @@ def segmenter(path: str, alpha: float = ALPHA) -> Segmenter:
 
 
 Sample = tuple[np.ndarray, float, float]
+Walks = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+_NO_WALKS = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0))
 
 
 class _Draws:
-    """Independent draws for all units of a slice of texts, and the numbers that the search needs of them."""
+    """Independent draws for all units of a slice of texts, and the numbers that the search needs of them.
+
+    The lattices of a part of the units are dropped once its draws are made."""
 
     def __init__(self, model: Segmenter, words: list[str], seed: np.ndarray, samples: int):
-        self.seed = seed
-        self.parts = []
-        for a, b in _parts(words):
-            own = words[a:b]
-            types = list(dict.fromkeys(own))
-            number = dict(zip(types, range(len(types)), strict=True))
-            kind = np.fromiter(map(number.__getitem__, own), np.int64, len(own))
-            lattices = Lattices(model, types)
-            at = lattices.starts[kind]
-            self.parts.append((a, b, lattices, at, [lattices.walk(at, seed[a:b] + salt(s)) for s in range(samples)]))
-        self.log_chance = [np.concatenate([p[4][s][3] for p in self.parts]) for s in range(samples)]
+        self.model, self.words, self.seed = model, words, seed
+        self.parts = [(a, b, self._drawn(a, b, samples)) for a, b in _parts(words)]
+        self.log_chance = [np.concatenate([p[2][s][3] for p in self.parts]) for s in range(samples)]
         self.before = [np.cumsum(lc) - lc for lc in self.log_chance]
         self.rest = [gumbel(log1mexp(lc), uniform(seed ^ salt(s + 1), 7)) for s, lc in enumerate(self.log_chance)]
 
+    def _drawn(self, a: int, b: int, samples: int) -> list[Walks]:
+        """Per draw of the units a to b: pieces of each unit, first piece, pieces, log chance."""
+        own, seed = self.words[a:b], self.seed[a:b]
+        is_long = np.fromiter(map(len, own), np.int64, len(own)) > UNIT_CHARS
+        if not is_long.any():
+            return self._together(own, seed, samples)
+        short = np.flatnonzero(~is_long)
+        drawn = self._together([own[i] for i in short], seed[short], samples) if len(short) else [_NO_WALKS] * samples
+        alone = [(i, UnitLattice(self.model, own[i])) for i in np.flatnonzero(is_long).tolist()]
+        out = []
+        for s, (count, first, pieces, log_chance) in enumerate(drawn):
+            walks = {i: x.walk((int(seed[i]) + int(salt(s))) & _MASK) for i, x in alone}
+            counts, chances = np.zeros(len(own), np.int64), np.zeros(len(own))
+            counts[short], chances[short] = count, log_chance
+            for i, (p, w) in walks.items():
+                counts[i], chances[i] = len(p), w
+            firsts = np.cumsum(counts) - counts
+            every = np.empty(int(counts.sum()), np.int32)
+            every[np.repeat(firsts[short] - first, count) + np.arange(len(pieces))] = pieces
+            for i, (p, _) in walks.items():
+                every[firsts[i]:firsts[i] + len(p)] = p
+            out.append((counts, firsts, every, chances))
+        return out
+
+    def _together(self, own: list[str], seed: np.ndarray, samples: int) -> list[Walks]:
+        types = list(dict.fromkeys(own))
+        number = dict(zip(types, range(len(types)), strict=True))
+        kind = np.fromiter(map(number.__getitem__, own), np.int64, len(own))
+        lattices = Lattices(self.model, types)
+        at = lattices.starts[kind]
+        return [lattices.walk(at, seed + salt(s)) for s in range(samples)]
+
     def pieces(self, s: int, lo: int, hi: int) -> np.ndarray:
         """Pieces of the units lo to hi in draw ``s``."""
         out = []
-        for a, b, _, _, draws in self.parts:
+        for a, b, draws in self.parts:
             p, q = max(lo, a) - a, min(hi, b) - a
             if p < q:
                 count, first, pieces, _ = draws[s]
                 out.append(pieces[first[p]:first[q - 1] + count[q - 1]])
         return out[0] if len(out) == 1 else np.concatenate([np.empty(0, np.int32), *out])
 
-    def lattice(self, unit: int) -> tuple[Lattices, int]:
-        lattices, at = next((x, int(at[unit - a])) for a, b, x, at, _ in self.parts if a <= unit < b)
-        return lattices, at
-
 
 def sample_text(model: Segmenter, text: str | None, seed: int, samples: int = SAMPLES) -> list[Sample]:
     return sample_texts(model, [text], [seed], samples)[0]
@@ -452,14 +511,15 @@ def _search(model: Segmenter, draws: _Draws, a: int, b: int, key: float, shift:
             break
         x, s = found[p], len(found)
         unit = int(np.argmax(x.bound))
-        lattices, at = draws.lattice(a + unit)
+        lattice = UnitLattice(model, draws.words[a + unit])
         if unit not in x.known:
             x.known[unit] = [tuple(draws.pieces(p, a + unit, a + unit + 1).tolist())]
         known = x.known[unit]
-        pieces, log_chance, left = lattices.other(at, known, int(draws.seed[a + unit] ^ salt(s)))
-        if left == -math.inf:
+        drawn = lattice.other(known, int(draws.seed[a + unit] ^ salt(s)))
+        if drawn is None:
             x.bound[unit] = -np.inf
             continue
+        pieces, log_chance = drawn
         known.append(tuple(pieces))
         start = before(p, unit)
         after = a + unit + 1
@@ -470,10 +530,10 @@ def _search(model: Segmenter, draws: _Draws, a: int, b: int, key: float, shift:
         total = start + log_chance + float(draws.log_chance[s][after:b].sum())
         found.append(_Found(best, total, shift, bound, p, unit, tuple(pieces)))
         # What is left of the node: all that differs from every known way through the unit.
-        rest = 1.0 - sum(math.exp(lattices.log_chance(at, k)) for k in known)
+        rest = lattice.left(known)
         x.bound[unit] = -np.inf
-        if rest > 1e-12:
-            g = start + math.log(rest) - math.log(-math.log(one_uniform(int(draws.seed[a + unit] ^ salt(s)), 9)))
+        if rest > -math.inf:
+            g = start + rest - math.log(-math.log(one_uniform(int(draws.seed[a + unit] ^ salt(s)), 9)))
             x.bound[unit] = best - (math.log1p(math.exp(best - g)) if best - g < 700 else best - g)
 
     def pieces_of(s: int, hi: int) -> list[np.ndarray]:

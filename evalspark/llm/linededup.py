@@ -7,7 +7,8 @@ fingerprints.  A run of equal lines with ``min_words`` words or more holds a
 whole window, so both its copies select the same fingerprint in it.
 
 Equal fingerprints are joined on their hash.  A match is confirmed by the runs
-around the fingerprint as a whole, left part, line and right part in one hash:
+around the fingerprint as a whole, left part, line and right part in one hash
+of 128 bits (so the match is not extended line by line: a run is equal or not):
 the shortest runs of ``min_words`` words whose window selects it, from a line
 on or up to a line.  A run whose hash has an earlier first occurrence in the
 corpus (the smallest document id, then text hash, then line) is deleted; the
@@ -37,47 +38,50 @@ from evalspark.llm import common
 MIN_WORDS = 10
 
 _TRIM = " \t\x0b\x0c\r"
+_SECOND = 1                  # seeds the second half of the 128 bits that runs are compared by
 
 
 def _lines(text: Column) -> Column:
-    """``pos, h, nw`` of the lines with words."""
+    """``pos, h, g, nw`` of the lines with words."""
     every = F.transform(F.split(text, "\n"), lambda line, i: F.struct(
-        i.alias("pos"), F.xxhash64(F.btrim(line, F.lit(_TRIM))).alias("h"),
+        i.alias("pos"), F.xxhash64(F.btrim(line, F.lit(_TRIM))).alias("h"), F.xxhash64(F.lit(_SECOND), F.btrim(line, F.lit(_TRIM))).alias("g"),
         F.regexp_count(line, F.lit(common.WORD)).alias("nw")))
     return F.filter(every, lambda x: x["nw"] > 0)
 
 
-_RUNS = "array<struct<hash:bigint,last:int>>"
+_RUNS = "array<struct<hash:bigint,hash2:bigint,last:int>>"
 
 
 def _starts(lines: Column, min_words: int) -> Column:
     """Per line: ``best``, the smallest hash (the leftmost of equal ones) of the shortest window from it on, and
     ``runs``, the shortest runs from it on: that window, and those that without this line are below ``min_words`` words.
     No runs where too few words are left."""
-    empty = F.struct(F.lit(0).alias("words"), F.lit(0).cast("long").alias("hash"),
+    empty = F.struct(F.lit(0).alias("words"), F.lit(0).cast("long").alias("hash"), F.lit(_SECOND).cast("long").alias("hash2"),
                      F.lit(None).cast("struct<h:bigint,i:int>").alias("best"), F.array().cast(_RUNS).alias("runs"))
 
     def of(line: Column, i: Column) -> Column:
         ahead = F.transform(F.slice(lines, i + 1, F.lit(min_words)), lambda x, k: F.struct(
-            x["pos"].alias("pos"), x["h"].alias("h"), (i + k).alias("i"), x["nw"].alias("nw")))
+            x["pos"].alias("pos"), x["h"].alias("h"), x["g"].alias("g"), (i + k).alias("i"), x["nw"].alias("nw")))
 
         def add(a: Column, x: Column) -> Column:
-            words, grown = a["words"] + x["nw"], F.xxhash64(a["hash"], x["h"])
+            words, grown, grown2 = a["words"] + x["nw"], F.xxhash64(a["hash"], x["h"]), F.xxhash64(a["hash2"], x["g"])
             short = a["words"] < min_words
             ends = (words >= min_words) & (short | (words - line["nw"] < min_words))
             best = F.least(a["best"], F.struct(x["h"].alias("h"), x["i"].alias("i")))
-            run = F.struct(grown.alias("hash"), x["pos"].alias("last"))
-            return F.struct(words.alias("words"), grown.alias("hash"), F.when(short, best).otherwise(a["best"]).alias("best"),
+            run = F.struct(grown.alias("hash"), grown2.alias("hash2"), x["pos"].alias("last"))
+            return F.struct(words.alias("words"), grown.alias("hash"), grown2.alias("hash2"), F.when(short, best).otherwise(a["best"]).alias("best"),
                             F.when(ends, F.concat(a["runs"], F.array(run))).otherwise(a["runs"]).alias("runs"))
 
-        return F.aggregate(ahead, empty, add, lambda a: F.struct(line["pos"].alias("first"), a["best"].alias("best"), a["runs"].alias("runs")))
+        return F.aggregate(ahead, empty, add, lambda a: F.struct(
+            line["pos"].alias("first"), line["h"].alias("h"), a["best"].alias("best"), a["runs"].alias("runs")))
 
     return F.transform(lines, of)
 
 
 def _fingerprints(starts: Column) -> Column:
     """``h, i`` of the selected lines, in order."""
-    return F.array_distinct(F.transform(F.filter(starts, lambda s: F.size(s["runs"]) > 0), lambda s: s["best"]))
+    at = F.array_distinct(F.transform(F.filter(starts, lambda s: F.size(s["runs"]) > 0), lambda s: s["best"]["i"]))     # numbers: linear
+    return F.transform(at, lambda i: F.struct(F.get(starts, i)["h"].alias("h"), i.alias("i")))
 
 
 def _runs(starts: Column, picked: Column, min_words: int) -> Column:
@@ -86,16 +90,16 @@ def _runs(starts: Column, picked: Column, min_words: int) -> Column:
         begin = F.greatest(f["i"] - min_words + 1, F.lit(0))
         near = F.filter(F.slice(starts, begin + 1, f["i"] - begin + 1), lambda s: (F.size(s["runs"]) > 0) & (s["best"]["i"] == f["i"]))
         runs = F.transform(near, lambda s: F.transform(s["runs"], lambda r: F.struct(
-            r["hash"].alias("hash"), s["first"].alias("first"), r["last"].alias("last"))))
+            r["hash"].alias("hash"), r["hash2"].alias("hash2"), s["first"].alias("first"), r["last"].alias("last"))))
         return F.struct(f["h"].alias("fingerprint"), f["i"].alias("at"), F.flatten(runs).alias("runs"))
 
     return F.transform(picked, of)
 
 
-def _repeated(rows: DataFrame, key: str, place: Column) -> DataFrame:
+def _repeated(rows: DataFrame, key: list[str], place: Column) -> DataFrame:
     """Values of ``key`` at several places, with the first one."""
-    ends = rows.groupBy(key).agg(F.min(place).alias("first_place"), F.max(place).alias("last_place"))
-    return ends.filter(F.col("first_place") != F.col("last_place")).select(key, "first_place")
+    ends = rows.groupBy(*key).agg(F.min(place).alias("first_place"), F.max(place).alias("last_place"))
+    return ends.filter(F.col("first_place") != F.col("last_place")).select(*key, "first_place")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -104,15 +108,16 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ``version`` is a hash of the text: id and version name a document.
     """
     slim = docs.select("doc_id", F.xxhash64("text").alias("version"), _lines(F.col("text")).alias("lines")).filter(F.col("text").isNotNull())
-    starts = slim.select("doc_id", "version", _starts(F.col("lines"), min_words).alias("starts"))
+    # Settled: lambdas read lines and starts as a whole, so they must be computed once a row.
+    starts = common.settled(common.settled(slim).select("doc_id", "version", _starts(F.col("lines"), min_words).alias("starts")))
     picked = starts.withColumn("picked", _fingerprints(F.col("starts")))
     # Not of the column: an inferred filter on it would be pushed below and compute the lines anew for each line.
     single = starts.select("doc_id", "version", F.inline(_fingerprints(F.col("starts")))).toDF("doc_id", "version", "fingerprint", "at")
-    shared = _repeated(single, "fingerprint", F.struct("doc_id", "version", "at")).select("fingerprint")
+    shared = _repeated(single, ["fingerprint"], F.struct("doc_id", "version", "at")).select("fingerprint")
     around = picked.select("doc_id", "version", F.inline(_runs(F.col("starts"), F.col("picked"), min_words)))
     runs = common.staged(around.join(shared, "fingerprint").select("doc_id", "version", F.inline("runs")), "line-runs")
     place = F.struct("doc_id", "version", "first")
-    later = runs.join(_repeated(runs, "hash", place), "hash").filter(place > F.col("first_place"))
+    later = runs.join(_repeated(runs, ["hash", "hash2"], place), ["hash", "hash2"]).filter(place > F.col("first_place"))
     return later.select("doc_id", "version", "first", "last")
 
 

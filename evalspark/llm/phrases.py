@@ -8,22 +8,26 @@ is counted, beside shorter and longer ones, until it has seen every shard
 once.  So lengths interleave: four-word phrases are counted while late words
 still open pairs, and the scan ends when nothing is active any more.
 
-What is active is told to the tasks by bit filters over phrase hashes, all
-phrases that reached the threshold (``ALL``) and those that did so within the
-last cycle (``NEW``): a phrase is counted if both subphrases are in ``ALL`` and
-one is in ``NEW``.  A false positive of a filter costs time only: counts are
-kept per shard, and a shard that was counted early or twice has the same
-count.  There are no false negatives, and the threshold is monotone (no phrase
-is more frequent than its parts), so every phrase at or above it has its full
-count in the end.  The bits of a filter are a power of two of at least
-``BITS_PER_PHRASE`` times its phrases and ``MAX_FILTER_BITS`` at most: what is
-collected and broadcast has that bound, whatever the data.
+What is active is told to the tasks by bit filters over phrase hashes, one for
+the phrases that reached the threshold one step ago, two steps ago, up to one
+cycle, and one for all earlier ones.  A phrase is counted if both subphrases
+are in some filter, and the younger one says when its cycle began.  When that
+cycle is over, the phrase has its full count and leaves the open counts, to
+the result or, below the threshold, for good.  A false positive of a filter
+costs time only: counts are kept per shard, so a shard that was counted early
+or twice has the same count; it can make a cycle seem to begin later, never
+earlier; and a phrase that comes again after its cycle ends with a count that
+is no larger, of which the largest is kept.  There are no false negatives, and
+no phrase is more frequent than its parts, so every phrase at or above the
+threshold has its full count in the end.  The bits of a filter are a power of
+two of at least ``BITS_PER_PHRASE`` times the phrases of a length and
+``MAX_FILTER_BITS`` at most: what is collected and broadcast has that bound,
+whatever the data.
 
 At scale: a shard's texts are cut into words with array operations, and equal
 phrases are summed within a slice of texts, within the task, and after one
 shuffle by phrase, together with the open counts; a frequent phrase costs one
-row a task.  Open counts are written to one of two folders in turn.  Phrases of
-a length are settled once its last cycle is over, and leave the open counts.
+row a task.  Open counts are written to one of two folders in turn.
 
 Defined results: a null text is empty, a null language is ``und``; words of
 one piece (between ``.,;:!?`` and line ends) form phrases, over any white
@@ -57,7 +61,7 @@ SCORE_SCALE = 2_000_000
 SLICE_BYTES = 6_000_000        # of texts that are cut into words at a time
 BITS_PER_PHRASE = 16
 MIN_FILTER_BITS, MAX_FILTER_BITS = 1 << 18, 1 << 27
-ALL, NEW = 0, 1
+OLD = 0                        # stands for every age of more than a cycle
 
 _WORD, _GAP, _BREAK = 0, 1, 2
 _CLASS = np.zeros(256, np.uint8)
@@ -69,7 +73,7 @@ _BYTE_HASH = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BUCKET_BITS = 32_768          # of one bitmap of ``bitmap_construct_agg``
 
-Filters = dict[tuple[int, int], bytes]       # by ALL or NEW, and number of words
+Filters = dict[tuple[int, int], bytes]       # by age in steps (0: older than a cycle) and number of words
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -98,9 +102,7 @@ def _joined(h: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _mix(h * _BASE + word)
 
 
-def _in(bits: bytes | None, h: np.ndarray) -> np.ndarray:
-    if not bits:
-        return np.zeros(len(h), bool)
+def _in(bits: bytes, h: np.ndarray) -> np.ndarray:
     table, mask = np.frombuffer(bits, np.uint8), np.uint64(8 * len(bits) - 1)
     out = np.ones(len(h), bool)
     for at in (h & mask, (h >> np.uint64(32)) & mask):
@@ -108,6 +110,18 @@ def _in(bits: bytes | None, h: np.ndarray) -> np.ndarray:
     return out
 
 
+UNKNOWN = 100                  # rank of what is in no filter; old ones rank 99, the younger the less
+
+
+def _ranks(filters: Filters, k: int, h: np.ndarray) -> np.ndarray:
+    """The least age at which phrases of k words are in a filter, ``UNKNOWN`` if in none; ``OLD`` counts as 99."""
+    out = np.full(len(h), UNKNOWN, np.uint8)
+    for age in sorted((a for a, n in filters if n == k), key=lambda a: a or UNKNOWN - 1):
+        open_ = np.flatnonzero(out == UNKNOWN)
+        out[open_[_in(filters[age, k], h[open_])]] = age or UNKNOWN - 1
+    return out
+
+
 class _Words:
     """The words of a slice of texts: their types (language and word), and which of them begin a new piece."""
 
@@ -139,12 +153,13 @@ class _Words:
         self.hash = _word_hashes(flat.dictionary)[word]
 
 
-Rows = tuple[int, np.ndarray, pa.Array, np.ndarray, np.ndarray]     # words, language, phrase, hash, count
+Rows = tuple[int, np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]     # words, language, phrase, hash, age, count
 
 
 def count_slice(data: np.ndarray, row_starts: np.ndarray, langs: np.ndarray, lang_hash: np.ndarray, skip: int, words_too: bool,
                 filters: Filters, max_words: int) -> Iterator[Rows]:
-    """Counts of the words and of the active phrases of a slice; phrases that end within the first ``skip`` words were counted before."""
+    """Counts of the words and of the active phrases of a slice, and how many steps ago the younger subphrase of each
+    reached the threshold; phrases that end within the first ``skip`` words were counted before."""
     w = _Words(data, row_starts, langs)
     if not w.n:
         return
@@ -152,68 +167,51 @@ def count_slice(data: np.ndarray, row_starts: np.ndarray, langs: np.ndarray, lan
     if words_too:
         n = np.bincount(w.type[skip:], minlength=len(w.word))
         some = np.flatnonzero(n)
-        yield 1, w.lang[some], w.word.take(pa.array(some)), type_hash[some], n[some]
+        yield 1, w.lang[some], w.word.take(pa.array(some)), type_hash[some], np.zeros(len(some), np.int32), n[some]
     token = type_hash[w.type]
-    h, start = token, np.arange(w.n)                         # phrases of k words that are in ALL: hash, place
-    known, new = _in(filters.get((ALL, 1)), type_hash)[w.type], _in(filters.get((NEW, 1)), type_hash)[w.type]
-    ids, n_ids = w.type, len(w.word)                         # by place: id of the phrase that begins there
+    h, ids = token, w.type                                   # by place: hash and id of the phrase of k - 1 words that begins there
+    rank = _ranks(filters, 1, type_hash)[w.type]             # and its age
+    inside = np.ones(w.n, bool)                              # whether a phrase of k words that begins there is in one piece
     for k in range(2, max_words + 1):
-        # ``known`` and ``new`` are by place, of phrases of k - 1 words; a phrase of k words is one and the next one.
-        follows = np.zeros(w.n, bool)
-        follows[:w.n - k + 1] = ~w.opens[k - 1:]
-        if k > 2:
-            follows &= inside
-        inside = follows
-        both = np.zeros(w.n, bool)
-        both[:-1] = inside[:-1] & known[:-1] & known[1:]
+        inside[:w.n - k + 1] &= ~w.opens[k - 1:]
+        inside[max(0, w.n - k + 1):] = False
+        both = inside[:-1] & (rank[:-1] < UNKNOWN) & (rank[1:] < UNKNOWN)
         start = np.flatnonzero(both)
         if not len(start):
             return
-        last = w.type[start + k - 1]
-        code = ids[start] * len(w.word) + last
-        h_all = np.zeros(w.n, np.uint64)
-        h_all[start] = _joined(h[start], token[start + k - 1])
-        fresh = (new[start] | new[start + 1]) & (start + k - 1 >= skip)
+        code = ids[start] * len(w.word) + w.type[start + k - 1]
+        own_hash = _joined(h[start], token[start + k - 1])
         kinds, first, own = np.unique(code, return_index=True, return_inverse=True)
-        n = np.bincount(own[fresh], minlength=len(kinds))
-        some = np.flatnonzero(n)
+        # The younger of both subphrases tells the cycle; a phrase of two old ones has been counted.
+        age = np.minimum(rank[start], rank[start + 1])[first]
+        n = np.bincount(own[start + k - 1 >= skip], minlength=len(kinds))
+        some = np.flatnonzero((n > 0) & (age < UNKNOWN - 1))
         if len(some):
             where = start[first[some]]
             phrase = pc.binary_join_element_wise(*[w.word.take(pa.array(w.type[where + i])) for i in range(k)], " ")
-            yield k, w.lang[w.type[where]], phrase, h_all[where], n[some]
-        if k == max_words or not filters.get((ALL, k)):
+            yield k, w.lang[w.type[where]], phrase, own_hash[first[some]], age[some].astype(np.int32), n[some]
+        if k == max_words or not any(length == k for _, length in filters):
             return
-        seen = h_all[start[first]]
-        is_known, is_new = _in(filters[ALL, k], seen)[own], _in(filters.get((NEW, k)), seen)[own]
-        known, new = np.zeros(w.n, bool), np.zeros(w.n, bool)
-        known[start], new[start] = is_known, is_new
-        ids = np.zeros(w.n, np.int64)
-        ids[start], h = own, h_all
+        known = _ranks(filters, k, own_hash[first])[own]
+        rank, ids, h = np.full(w.n, UNKNOWN, np.uint8), np.zeros(w.n, np.int64), np.zeros(w.n, np.uint64)
+        rank[start], ids[start], h[start] = known, own, own_hash
 
 
 def _cuts(data: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """A long text in parts: first byte, end, and how many of the part's first words stood in the part before."""
-    a, skip = 0, 0
-    while True:
-        b = a + SLICE_BYTES
-        if b >= len(data):
-            yield a, len(data), skip
-            return
-        while True:                                          # a cut behind the last separator, or the next one
-            gaps = np.flatnonzero(_CLASS[data[a:b]] != _WORD)
-            if b >= len(data) or len(gaps) and gaps[-1] > SLICE_BYTES // 2:
-                break
-            b += SLICE_BYTES
-        b = min(b, len(data)) if b >= len(data) else a + int(gaps[-1]) + 1
-        yield a, b, skip
-        if b == len(data):
-            return
-        is_word = _CLASS[data[a:b]] == _WORD
-        begins = is_word.copy()
-        begins[1:] &= ~is_word[:-1]
+    a, skip, size, again = 0, 0, SLICE_BYTES, MAX_WORDS - 1
+    while a + size < len(data):
+        is_word = _CLASS[data[a:a + size]] == _WORD
+        end = len(is_word) - int(np.argmin(is_word[::-1])) if not is_word.all() else 0      # behind the last separator
+        begins = is_word[:end].copy()
+        begins[1:] &= ~is_word[:max(0, end - 1)]
         at = np.flatnonzero(begins)
-        skip = min(MAX_WORDS - 1, len(at))
-        a = a + int(at[-skip]) if skip else b
+        if len(at) > again:
+            yield a, a + end, skip
+            a, skip, size = a + int(at[-again]), again, SLICE_BYTES
+        else:
+            size *= 2                                        # few, very long words
+    yield a, len(data), skip
 
 
 def _slices(batch: pa.RecordBatch, langs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
@@ -234,7 +232,7 @@ def _slices(batch: pa.RecordBatch, langs: np.ndarray) -> Iterator[tuple[np.ndarr
 
 
 def _counter(words_too: bool, sent, max_words: int):
-    """A partition function over ``lang, text``: ``k, lang, phrase, h, n`` per distinct phrase of a slice."""
+    """A partition function over ``lang, text``: ``k, lang, phrase, h, age, n`` per distinct phrase of a slice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = sent.value
         for batch in batches:
@@ -242,15 +240,15 @@ def _counter(words_too: bool, sent, max_words: int):
             names, codes = lang.dictionary, lang.indices.to_numpy(zero_copy_only=False)
             lang_hash = _word_hashes(names.cast(pa.string()))
             for data, rows, langs, skip in _slices(batch, codes):
-                for k, at, phrase, h, n in count_slice(data, rows, langs, lang_hash, skip, words_too, filters, max_words):
+                for k, at, phrase, h, age, n in count_slice(data, rows, langs, lang_hash, skip, words_too, filters, max_words):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(n), k, np.int32)), names.take(pa.array(at)), phrase.cast(pa.string()),
-                         pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["k", "lang", "phrase", "h", "n"])
+                         pa.array(h.view(np.int64)), pa.array(age), pa.array(n.astype(np.int64))], ["k", "lang", "phrase", "h", "age", "n"])
 
     return run
 
 
-_COUNTED = "k int, lang string, phrase string, h long, n long"
+_COUNTED = "k int, lang string, phrase string, h long, age int, n long"
 
 
 class _Folders:
@@ -271,20 +269,20 @@ def _total(shards: int) -> Column:
 
 
 def _filters(frequent: DataFrame, step: int, shards: int) -> Filters:
-    """Bit filters of what reached the threshold before ``step``, by kind and length; ``frequent``: ``k, h, tau``."""
+    """Bit filters of what reached the threshold before ``step``, by age and length; ``frequent``: ``k, h, tau``."""
     sizes = {r["k"]: r["n"] for r in frequent.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return {}
     bits = {k: max(MIN_FILTER_BITS, min(MAX_FILTER_BITS, 1 << math.ceil(math.log2(BITS_PER_PHRASE * n)))) for k, n in sizes.items()}
     mask = reduce(lambda c, k: c.when(F.col("k") == k, F.lit(bits[k] - 1)), bits, F.when(F.lit(False), F.lit(0))).cast("long")
     spots = F.explode(F.array(F.col("h").bitwiseAND(mask) + 1, F.shiftrightunsigned("h", 32).bitwiseAND(mask) + 1))
-    kinds = F.explode(F.when(F.col("tau") >= step - shards, F.array(F.lit(ALL), F.lit(NEW))).otherwise(F.array(F.lit(ALL))))
-    placed = frequent.select("k", "h", kinds.alias("kind")).select("k", "kind", spots.alias("spot"))
-    maps = placed.groupBy("k", "kind", F.bitmap_bucket_number("spot").alias("bucket")).agg(
+    age = F.when(F.col("tau") >= step - shards, step - F.col("tau")).otherwise(F.lit(OLD))
+    placed = frequent.select("k", age.alias("age"), spots.alias("spot"))
+    maps = placed.groupBy("k", "age", F.bitmap_bucket_number("spot").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
     out = {}
     for r in maps.toLocalIterator():
-        table = out.setdefault((r["kind"], r["k"]), bytearray(bits[r["k"]] // 8))
+        table = out.setdefault((r["age"], r["k"]), bytearray(bits[r["k"]] // 8))
         at = (r["bucket"] - 1) * _BUCKET_BITS // 8
         table[at:at + _BUCKET_BITS // 8] = r["bits"]
     return {key: bytes(table) for key, table in out.items()}
@@ -300,44 +298,43 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
                 F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard")).write.partitionBy("shard").parquet(path)
     texts = spark.read.schema("lang string, text string, shard int").parquet(path)
     folders, done_path = _Folders(spark, "phrase-counts"), scratch_path(spark, "phrases")
-    columns = [F.col("k"), F.col("lang"), F.col("phrase"), F.col("h"), *[F.col(f"c{s}") for s in range(shards)], F.col("tau")]
+    shard_columns = [f"c{s}" for s in range(shards)]
     spark.createDataFrame([], "k int, lang string, phrase string, h long, f long, tau int").write.parquet(done_path)
-    state, totals = None, None
+    state, totals_path = None, scratch_path(spark, "phrase-totals")
     for step in range(max_words * shards):
         done = spark.read.parquet(done_path)
         reached = [done.select("k", "h", "tau")] + ([state.filter("tau is not null").select("k", "h", "tau")] if state is not None else [])
         filters = _filters(reduce(DataFrame.unionByName, reached).filter(F.col("k") < max_words), step, shards)
-        if step >= shards and not any(kind == NEW for kind, _ in filters):
+        if step >= shards and not any(age != OLD for age, _ in filters):
             break                                            # nothing has been activated within the last cycle
         sent = spark.sparkContext.broadcast(filters)
         shard = step % shards
         counted = texts.filter(F.col("shard") == shard).select("lang", "text").mapInArrow(
             common.releasing(_counter(step < shards, sent, max_words)), _COUNTED)
-        rows = counted.select("k", "lang", "phrase", "h", *[F.lit(0).cast("long").alias(f"c{s}") for s in range(shards)],
-                              F.lit(None).cast("int").alias("tau"), "n")
+        rows = counted.select("k", "lang", "phrase", "h", *[F.lit(0).cast("long").alias(c) for c in shard_columns],
+                              F.lit(None).cast("int").alias("tau"),
+                              F.when(F.col("k") == 1, F.lit(0)).otherwise(step - F.col("age") + 1).alias("start"), "n")
         if state is not None:
             rows = rows.unionByName(state.withColumn("n", F.lit(0).cast("long")))
         merged = rows.groupBy("k", "lang", "phrase").agg(
-            F.max("h").alias("h"), *[F.max(f"c{s}").alias(f"c{s}") for s in range(shards)], F.min("tau").alias("tau"), F.sum("n").alias("n"))
-        merged = merged.withColumn(f"c{shard}", F.greatest(f"c{shard}", "n"))
-        merged = merged.withColumn("tau", F.coalesce("tau", F.when(_total(shards) >= min_count, F.lit(step)))).select(*columns)
-        state = folders.write(merged)
+            F.max("h").alias("h"), *[F.max(c).alias(c) for c in shard_columns], F.min("tau").alias("tau"), F.max("start").alias("start"),
+            F.sum("n").alias("n"))
+        merged = merged.withColumn(f"c{shard}", F.greatest(f"c{shard}", "n")).withColumn("f", _total(shards))
+        merged = merged.withColumn("tau", F.coalesce("tau", F.when(F.col("f") >= min_count, F.lit(step))))
+        # What has seen every shard since it became active is complete.
+        over = F.col("start") + shards - 1 <= step
+        written = folders.write(merged.filter(~over | (F.col("f") >= min_count) | (F.col("k") == 1)).select(
+            "k", "lang", "phrase", "h", *shard_columns, "tau", "start", "f", over.alias("over")))
         if step == shards - 1:                               # every word has its full count
-            totals = common.staged(state.filter("k = 1").groupBy("lang").agg(F.sum(_total(shards)).alias("n")), "phrase-totals")
-        if (step + 1) % shards == 0:                         # the last cycle of this length is over
-            k = (step + 1) // shards
-            _settle(state.filter(F.col("k") == k), shards, min_count, done_path)
-            state = state.filter(F.col("k") > k)
-    else:
-        state = None
-    if state is not None:
-        _settle(state, shards, min_count, done_path)
-    return spark.read.parquet(done_path).select("lang", "phrase", "k", "f"), totals
-
-
-def _settle(rows: DataFrame, shards: int, min_count: int, path: str) -> None:
-    full = rows.filter(_total(shards) >= min_count)
-    full.select("k", "lang", "phrase", "h", _total(shards).alias("f"), "tau").write.mode("append").parquet(path)
+            written.filter("k = 1").groupBy("lang").agg(F.sum("f").alias("n")).write.parquet(totals_path)
+        complete = written.filter(F.col("over") & (F.col("f") >= min_count))
+        complete.select("k", "lang", "phrase", "h", "f", "tau").write.mode("append").parquet(done_path)
+        state = written.filter(~F.col("over")).drop("f", "over")
+    if state is not None:                                    # no filter is left that could add to these
+        rest = state.withColumn("f", _total(shards)).filter(F.col("f") >= min_count)
+        rest.select("k", "lang", "phrase", "h", "f", "tau").write.mode("append").parquet(done_path)
+    found = spark.read.parquet(done_path).groupBy("lang", "phrase", "k").agg(F.max("f").alias("f"))
+    return common.staged(found, "frequent-phrases"), spark.read.parquet(totals_path)
 
 
 def _words_between(phrase: Column, first: Column, n: Column) -> Column:
@@ -376,5 +373,5 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, ma
     """``lang, rank, phrase, a, l, r, n, score``: each language's first ``top`` phrases by score, count and phrase."""
     frequent, totals = frequent_phrases(docs, min_count, max_words, shards)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = score_phrases(frequent).withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
-    return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    ranked = score_phrases(frequent).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -110,13 +110,35 @@ def _cut(text: Column, kind: Kind) -> Column:
     return F.when(text.rlike(kind.hint), cut)
 
 
-def _spans(cut: Column, kind: Kind) -> Column:
-    gaps, found = cut["gaps"], cut["found"]
-    lengths = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
-    # Where each match ends: running sums of the lengths of gaps and matches.
-    ends = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
+def _lengths(cut: Column) -> Column:
+    return F.zip_with(F.slice(cut["gaps"], 1, F.size(cut["found"])), cut["found"], lambda g, m: F.length(g) + F.length(m))
+
+
+def _blocks(lengths: Column) -> Column:
+    """The lengths in about as many blocks as a block has lengths."""
+    width = F.ceil(F.sqrt(F.size(lengths))).cast("int")
+    starts = F.sequence(F.lit(1), F.size(lengths), F.greatest(width, F.lit(1)))
+    return F.when(F.size(lengths) > 0, F.transform(starts, lambda a: F.slice(lengths, a, width)))
+
+
+def _running(numbers: Column, start: Column) -> Column:
+    """Running sums of a short array, from ``start`` on."""
+    return F.aggregate(numbers, F.struct(start.alias("at"), F.array().cast("array<int>").alias("all")),
                        lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["all"], F.array(a["at"] + n)).alias("all")))["all"]
 
+
+def _totals(blocks: Column) -> Column:
+    return F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, n: a + n))
+
+
+def _ends(blocks: Column, block_ends: Column) -> Column:
+    """Where each match ends: running sums within the blocks, from the end of the block before."""
+    return F.flatten(F.transform(blocks, lambda b, i: _running(b, F.coalesce(F.get(block_ends, i - 1), F.lit(0)))))
+
+
+def _spans(cut: Column, ends: Column, kind: Kind) -> Column:
+    gaps, found = cut["gaps"], cut["found"]
+
     def span(m: Column, i: Column) -> Column:
         end = F.get(ends, i)
         near = F.get(gaps, i)
@@ -130,10 +152,27 @@ def _spans(cut: Column, kind: Kind) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``doc_id, spans``: per row an array of ``kind, start, end, score`` by start, then kind as listed."""
+    """``doc_id, spans``: per row an array of ``kind, start, end, score`` by start, then kind as listed.
+
+    What a lambda reads of a whole array (gaps, ends) is a column of a step before, computed once a row; running sums
+    go over blocks of blocks, so that n matches cost about n times the root of n.
+    """
+    def each(of) -> list[Column]:
+        return [F.when(F.col(k.name).isNotNull(), of(k)).alias(k.name) for k in KINDS]
+
+    def part(name: str, k: Kind) -> Column:
+        return F.col(k.name)[name]
+
     text = F.coalesce(F.col("text"), F.lit(""))
-    cuts = docs.select("doc_id", *[_cut(text, k).alias(k.name) for k in KINDS])
-    spans = cuts.select("doc_id", *[F.when(F.col(k.name).isNotNull(), _spans(F.col(k.name), k)).alias(k.name) for k in KINDS])
+    cuts = common.settled(docs.select("doc_id", *[_cut(text, k).alias(k.name) for k in KINDS]))
+    lengths = common.settled(cuts.select("doc_id", *each(lambda k: F.struct(F.col(k.name).alias("cut"), _lengths(F.col(k.name)).alias("lengths")))))
+    blocks = common.settled(lengths.select("doc_id", *each(lambda k: F.struct(
+        part("cut", k).alias("cut"), _blocks(part("lengths", k)).alias("blocks")))))
+    sums = common.settled(blocks.select("doc_id", *each(lambda k: F.struct(
+        part("cut", k).alias("cut"), part("blocks", k).alias("blocks"), _running(_totals(part("blocks", k)), F.lit(0)).alias("block_ends")))))
+    ends = common.settled(sums.select("doc_id", *each(lambda k: F.struct(
+        part("cut", k).alias("cut"), _ends(part("blocks", k), part("block_ends", k)).alias("ends")))))
+    spans = ends.select("doc_id", *each(lambda k: _spans(part("cut", k), part("ends", k), k)))
     keyed = [F.transform(F.coalesce(F.col(k.name), F.array().cast(_SPAN)),
                          lambda s, n=n: F.struct(s["start"].alias("start"), F.lit(n).alias("turn"), s.alias("span")))
              for n, k in enumerate(KINDS)]

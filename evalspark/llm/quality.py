@@ -30,13 +30,13 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 WINDOW = 3
-MAX_RULES = 12
-MAX_CONDITIONS = 4
+DISTINCT_WINDOW = 100        # words in which distinct ones are counted
 MIN_PRECISION = 0.95         # of a rule on the prune part
 MIN_COVER = 3                # labelled documents that a rule must cover
-THRESHOLDS = 24              # candidate thresholds per statistic (quantiles of the grow part)
+THRESHOLDS = 24              # candidate thresholds per statistic (quantiles of the grow part), a parameter of the fit
 
-#: What the rules may test, all ratios, so that length alone never rejects a text.
+#: What the rules may test: rates that do not drift with a text's length (distinct words are counted per
+#: window of ``DISTINCT_WINDOW`` words, as their share of a whole text falls the longer it is).
 STATISTICS = ("symbol_rate", "dup_line_rate", "repeat_rate", "mean_word", "distinct_rate", "upper_rate", "mark_rate",
               "digit_rate", "line_rate")
 
@@ -78,7 +78,7 @@ def statistics(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     hashed = counted.select(
         "*", _windows(F.col("words"), F.col("n")).alias("windows"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))).alias("n_distinct"))
+        F.size(F.array_distinct(F.transform("words", lambda w, i: F.xxhash64(w, i - i % DISTINCT_WINDOW)))).alias("n_distinct"))
     # Most texts end at the distinct count; the others sort (hash, position), so the cost stays n log n.
     ordered = hashed.withColumn("pairs", F.when(F.size(F.array_distinct("windows")) < F.size("windows"),
                                                 _sorted_windows(F.col("windows"))))
@@ -130,21 +130,21 @@ def _split(rows: list[dict], rule: Rule) -> tuple[list[dict], list[dict]]:
     return [r for r, i in zip(rows, inside, strict=True) if i], [r for r, i in zip(rows, inside, strict=True) if not i]
 
 
-def _candidates(rows: list[dict]) -> list[Condition]:
+def _candidates(rows: list[dict], thresholds: int) -> list[Condition]:
     out = []
     for name in STATISTICS:
         values = sorted({r[name] for r in rows})
-        step = max(1, len(values) // THRESHOLDS)
+        step = max(1, len(values) // thresholds)
         for low, high in zip(values[::step], values[step::step] or values[1:2], strict=False):
             out += [Condition(name, above, (low + high) / 2) for above in (True, False)]
     return out
 
 
-def _gains(rows: list[dict]) -> list[tuple[float, Condition]]:
+def _gains(rows: list[dict], thresholds: int) -> list[tuple[float, Condition]]:
     """Conditions of positive FOIL gain on the rows, best first."""
     p0 = sum(r["junk"] for r in rows)
     out = []
-    for c in _candidates(rows) if 0 < p0 < len(rows) else ():
+    for c in _candidates(rows, thresholds) if 0 < p0 < len(rows) else ():
         inside = [r["junk"] for r in rows if c.holds(r)]
         p = sum(inside)
         if p >= MIN_COVER and (gain := p * (math.log2(p / len(inside)) - math.log2(p0 / len(rows)))) > 1e-9:
@@ -152,10 +152,10 @@ def _gains(rows: list[dict]) -> list[tuple[float, Condition]]:
     return sorted(out, key=lambda g: -g[0])
 
 
-def _grow(rows: list[dict], first: Condition) -> Rule:
-    """From a first condition, add that of the largest gain until only junk is covered."""
+def _grow(rows: list[dict], first: Condition, thresholds: int) -> Rule:
+    """From a first condition, add that of the largest gain until only junk is covered or none gains."""
     rule, rows = (first,), [r for r in rows if first.holds(r)]
-    while len(rule) < MAX_CONDITIONS and (gains := _gains(rows)):
+    while gains := _gains(rows, thresholds):
         rule, rows = (*rule, gains[0][1]), [r for r in rows if gains[0][1].holds(r)]
     return rule
 
@@ -171,13 +171,13 @@ def _prune(rows: list[dict], rule: Rule) -> Rule:
     return max((rule[:k] for k in range(1, len(rule) + 1)), key=lambda r: (_worth(rows, r), -len(r)), default=())
 
 
-def _next_rule(grow: list[dict], prune: list[dict]) -> Rule | None:
+def _next_rule(grow: list[dict], prune: list[dict], thresholds: int) -> Rule | None:
     """Of the rules grown from each statistic's best first condition, pruned, the one that covers most junk
     among those precise enough on both parts."""
-    firsts = {c.name: c for _, c in reversed(_gains(grow))}
+    firsts = {c.name: c for _, c in reversed(_gains(grow, thresholds))}
     best, most = None, 0
     for first in firsts.values():
-        rule = _prune(prune, _grow(grow, first))
+        rule = _prune(prune, _grow(grow, first, thresholds))
         held, seen = _split(prune, rule)[0], _split(grow, rule)[0]
         p, q = sum(r["junk"] for r in held), sum(r["junk"] for r in seen)
         if p and p >= MIN_PRECISION * len(held) and q >= max(MIN_COVER, MIN_PRECISION * len(seen)) and p + q > most:
@@ -185,20 +185,22 @@ def _next_rule(grow: list[dict], prune: list[dict]) -> Rule | None:
     return best
 
 
-def learn_rules(rows: list[dict]) -> list[Rule]:
-    """Ordered rules for junk from rows of statistics with ``junk`` (0/1) and ``fold``."""
+def learn_rules(rows: list[dict], thresholds: int = THRESHOLDS) -> list[Rule]:
+    """Ordered rules for junk from rows of statistics with ``junk`` (0/1) and ``fold``.
+
+    Rules are added as long as one is precise and covers labelled junk that the earlier ones leave."""
     grow, prune = [r for r in rows if r["fold"]], [r for r in rows if not r["fold"]]
     rules: list[Rule] = []
-    while len(rules) < MAX_RULES and (rule := _next_rule(grow, prune)):
+    while rule := _next_rule(grow, prune, thresholds):
         rules.append(rule)
         grow, prune = _split(grow, rule)[1], _split(prune, rule)[1]
     return rules
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = labelled.SAMPLE_ROWS) -> list[Rule]:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = labelled.SAMPLE_ROWS, thresholds: int = THRESHOLDS) -> list[Rule]:
     chosen = labelled.sample(docs, labels, "quality", rows)
     stats = statistics(chosen, keep=("label", "fold")).select((1 - F.col("label")).alias("junk"), "fold", *STATISTICS)
-    return learn_rules([r.asDict() for r in stats.collect()])
+    return learn_rules([r.asDict() for r in stats.collect()], thresholds)
 
 
 def rejects(rules: list[Rule]) -> Column:

@@ -3,7 +3,7 @@
 Words are mapped to classes (insult, threat, target, negation, report,
 quote, clause end).  Five small transducers read the class sequence of a
 clause and are composed into one table: insults carry learned weights, a
-target before or after aims them, a negation just before turns them down, a
+target before or after aims them (one named later is written back to them), a negation just before turns them down, a
 verb of saying or a quotation marks them as reported, and a threat counts
 only together with its target.  What is scored is the matched clauses: the
 sums of weights of plain, aimed, negated, reported and threatening matches
@@ -34,7 +34,6 @@ from pyspark.sql import functions as F
 from evalspark.llm import common, labelled
 
 MIN_DOCS = 3                 # labelled documents that must hold a word before it counts
-MAX_INSULTS = 5_000          # learned words kept, heaviest first: bounds the model that tasks receive
 MIN_WEIGHT = 1.0
 STEMS = (4, 6)               # lengths of word beginnings that are learned besides whole words
 Z = 1.64                     # one-sided 95 % bound of the log odds
@@ -48,6 +47,7 @@ REPORTS = frozenset("said says say called calls wrote quoted claimed sagte sagt
 # Symbols that the transducers read and write.
 OTHER, INSULT, THREAT, TARGET, NEG, REPORT, QUOTE, END = range(8)
 PLAIN, AIMED, NEGATED, REPORTED, MENACE = "plain", "aimed", "negated", "reported", "menace"
+BACK = "back"                # written at a target: the plain insults of the clause so far are aimed
 KINDS = (PLAIN, AIMED, NEGATED, REPORTED, MENACE)
 NEG_REACH = 3                # words after a negation that it still turns down
 
@@ -70,8 +70,12 @@ class Transducer:
 
 
 def _target() -> Transducer:
-    """State 1: a target was named in this clause."""
-    return Transducer(2, {0: {TARGET: (1, None)}, 1: {END: (0, None), INSULT: (1, AIMED)}})
+    """State 1: a target was named in this clause; state 2: an insult was, but no target yet."""
+    return Transducer(3, {
+        0: {TARGET: (1, None), INSULT: (2, None)},
+        1: {END: (0, None), INSULT: (1, AIMED)},
+        2: {END: (0, None), TARGET: (1, BACK)},
+    })
 
 
 def _negation() -> Transducer:
@@ -111,7 +115,8 @@ def _insult() -> Transducer:
 class Grammar:
     """The composition of transducers: one state per reachable tuple of their states."""
 
-    table: dict[tuple[int, int], tuple[int, str | None]]
+    #: By state and symbol: the next state, the mark, and whether the symbol aims the clause so far.
+    table: dict[tuple[int, int], tuple[int, str | None, bool]]
 
     @staticmethod
     def compose(*parts: Transducer) -> Grammar:
@@ -127,9 +132,11 @@ class Grammar:
                     if symbol == THREAT and moves[-1][1]:
                         read = OTHER
                 marks = {m for _, m in moves}
+                back = BACK in marks
+                marks = marks - {BACK} or {None}
                 if symbol == THREAT and MENACE not in marks:
                     marks = {None}
-                table[i, symbol] = number[tuple(n for n, _ in moves)], max(marks, key=rank.__getitem__)
+                table[i, symbol] = number[tuple(n for n, _ in moves)], max(marks, key=rank.__getitem__), back
         return Grammar(table)
 
 
@@ -160,14 +167,8 @@ class Model:
 
 def matches(text: str, model: Model) -> list[tuple[str, float]]:
     """Kind and weight of every match, clause by clause."""
-    found, state, later = [], 0, []
-
-    def close() -> None:
-        # A target named after the insult aims it too.
-        aimed = any(s == TARGET for s, _, _ in later)
-        found.extend((AIMED if kind == PLAIN and aimed else kind, w) for _, kind, w in later if kind)
-        later.clear()
-
+    found: list[tuple[str, float]] = []
+    state, clause = 0, 0                                   # the grammar's state; the first match of the clause
     for token in _TOKEN.findall(text.lower()):
         weight = model.weight(token)
         if weight is not None:
@@ -186,12 +187,13 @@ def matches(text: str, model: Model) -> list[tuple[str, float]]:
             symbol = REPORT
         else:
             symbol = OTHER
-        state, mark = GRAMMAR.table[state, symbol]
+        state, mark, back = GRAMMAR.table[state, symbol]
+        if back:
+            found[clause:] = [(AIMED if kind == PLAIN else kind, w) for kind, w in found[clause:]]
+        if mark:
+            found.append((mark, 5.0 if weight is None else weight))
         if symbol == END:
-            close()
-        elif mark or symbol == TARGET:
-            later.append((symbol, mark, 5.0 if weight is None else weight))
-    close()
+            clause = len(found)
     return found
 
 
@@ -247,7 +249,7 @@ def learn_weights(rows: DataFrame) -> dict[str, float]:
     toxic, clean = float(totals["toxic"]), float(totals["clean"])
     odds = _log_odds(F.col("a"), F.col("b"), toxic, clean, F.log, F.sqrt)
     likely = counts.withColumn("weight", odds).filter(F.col("weight") >= MIN_WEIGHT)
-    likely = {r["term"]: (r["a"], r["b"]) for r in likely.orderBy(F.desc("weight"), "term").limit(MAX_INSULTS).collect()}
+    likely = {r["term"]: (r["a"], r["b"]) for r in likely.collect()}      # words of the bounded sample
     if not likely:
         return {}
 
@@ -289,7 +291,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score`` per row; only ``text`` decides."""
     slim = docs.select("doc_id", "text")
     id_type = slim.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)      # at most MAX_INSULTS words
+    shared = docs.sparkSession.sparkContext.broadcast(model)      # words of the bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -170,10 +170,19 @@ def _payload(fields: Header, block: memoryview) -> memoryview:
     return block[end + 4:] if end >= 0 else block[len(block):]
 
 
-_FIELDS = ("record_type", "record_id", "target_uri", "date", "refers_to", "declared_digest")
-_NAMES = ("warc-type", "warc-record-id", "warc-target-uri", "warc-date", "warc-refers-to", "warc-payload-digest")
+_MAIN = ("response", "revisit")
+_FIELDS = {"target_uri": "warc-target-uri", "date": "warc-date", "refers_to": "warc-refers-to"}        # of responses and revisits
 RECORD = ("file string, whole boolean, record_type string, record_id string, target_uri string, date string, refers_to string, "
-          "declared_digest string, concurrent_to array<string>, payload_bytes long, payload_digest string, info string, payload binary")
+          "altered boolean, concurrent_to array<string>, payload_bytes long, payload_digest binary, info string, payload binary")
+
+
+def _declared(fields: Header) -> bytes | None:
+    """The SHA-256 of the payload that the header gives, if it gives one."""
+    name, _, value = fields.get("warc-payload-digest", [""])[0].partition(":")
+    try:
+        return bytes.fromhex(value) if name.lower() == "sha256" else None
+    except ValueError:
+        return b""                                           # equal to no digest
 
 
 def _parsed(with_payload: bool, leading: int):
@@ -194,23 +203,29 @@ def _parsed(with_payload: bool, leading: int):
                         rows.append({"file": file, "whole": False})
                         continue
                     fields, block = found
-                    payload = _payload(fields, block)
-                    row = {"file": file, "whole": True} | {c: fields.get(n, [None])[0] for c, n in zip(_FIELDS, _NAMES, strict=True)}
-                    row |= {"concurrent_to": fields.get("warc-concurrent-to", []), "payload_bytes": len(payload),
-                            "payload_digest": hashlib.sha256(payload).hexdigest()}
-                    if row["record_type"] in ("metadata", "request"):
+                    kind = fields.get("warc-type", [None])[0]
+                    row = {"file": file, "whole": True, "record_type": kind, "record_id": fields.get("warc-record-id", [None])[0],
+                           "concurrent_to": fields.get("warc-concurrent-to", [])}
+                    if kind in _MAIN:
+                        payload = _payload(fields, block)
+                        row |= {c: fields.get(n, [None])[0] for c, n in _FIELDS.items()}
+                        declared = _declared(fields)
+                        # A revisit has the digest of the payload that it refers to.
+                        digest = declared if kind == "revisit" else hashlib.sha256(payload).digest()
+                        row |= {"payload_bytes": len(payload), "payload_digest": digest, "altered": declared not in (None, digest)}
+                        if with_payload and kind == "response":
+                            row["payload"] = bytes(payload)
+                    elif kind in ("metadata", "request"):
                         row["info"] = bytes(block[:65_536]).decode("utf-8", "replace")
-                    if with_payload and row["record_type"] == "response":
-                        row["payload"] = bytes(payload)
                     rows.append(row)
             yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
     return run
 
 
-_SCHEMA = pa.schema([("file", pa.string()), ("whole", pa.bool_()), *[(c, pa.string()) for c in _FIELDS],
-                     ("concurrent_to", pa.list_(pa.string())), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
-                     ("info", pa.string()), ("payload", pa.binary())])
+_SCHEMA = pa.schema([("file", pa.string()), ("whole", pa.bool_()), *[(c, pa.string()) for c in ("record_type", "record_id", *_FIELDS)],
+                     ("altered", pa.bool_()), ("concurrent_to", pa.list_(pa.string())), ("payload_bytes", pa.int64()),
+                     ("payload_digest", pa.binary()), ("info", pa.string()), ("payload", pa.binary())])
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
@@ -236,7 +251,7 @@ def _of_kind(kind: str) -> Column:
 
 def captures(found: DataFrame) -> DataFrame:
     """One nested row per capture: its response or revisit, and through concurrent-to identifiers its request and metadata."""
-    is_main = F.col("record_type").isin("response", "revisit")
+    is_main = F.col("record_type").isin(*_MAIN)
     mains = found.filter(is_main)
     others = found.filter(F.col("record_type").isin("request", "metadata")).select(
         "record_type", "record_id", "info", "concurrent_to")
@@ -266,13 +281,12 @@ def resolved(captured: DataFrame) -> DataFrame:
     revisit = F.col("record_type") == "revisit"
     # Only revisits are joined: the others have no reference, and would all meet in one task.
     referring = captured.filter(revisit).join(target, "refers_to", "left").withColumns(
-        {"payload_bytes": F.col("full_bytes"), "payload_digest": F.coalesce("full_digest", F.raise_error(
-            F.concat(F.lit("revisit of nothing: "), F.col("capture"))))}).drop("full_bytes", "full_digest")
+        {"payload_bytes": F.col("full_bytes"), "altered": F.coalesce(F.col("payload_digest") != F.col("full_digest"), F.lit(False)),
+         "payload_digest": F.coalesce("full_digest", F.raise_error(F.concat(F.lit("revisit of nothing: "), F.col("capture"))))}).drop(
+        "full_bytes", "full_digest")
     every = captured.filter(~revisit).withColumn("refers_to_page", F.lit(None).cast("long")).unionByName(referring)
-    declared = F.regexp_extract("declared_digest", "^sha256:(.*)$", 1)
-    wrong = (declared != "") & (declared != F.col("payload_digest"))
-    return every.withColumn("payload_digest", F.when(wrong, F.raise_error(
-        F.concat(F.lit("payload does not fit its digest: "), F.col("capture")))).otherwise(F.col("payload_digest")))
+    wrong = F.raise_error(F.concat(F.lit("payload does not fit its digest: "), F.col("capture")))
+    return every.withColumn("payload_digest", F.when(F.col("altered"), wrong).otherwise(F.lower(F.hex("payload_digest")))).drop("altered")
 
 
 def read_captures(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from itertools import combinations
 
 import numpy as np
@@ -187,6 +188,17 @@ def test_line_dedup_edges(make_docs, prose):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
 
 
+def test_many_lines_take_time_in_proportion(make_docs):
+    """200,000 lines in one text, of which a passage stood in an earlier document."""
+    passage = "\n".join(f"a passage of words that is shared, line {k}" for k in range(50))
+    long = "\n".join(f"line {k} of the long text {k * 7 % 1000}" for k in range(100_000))
+    rows = [(1, passage), (2, long + "\n" + passage + "\n" + long.replace("line", "row"))]
+    began = time.time()
+    got = linededup.dedup_lines(make_docs(rows), removed_col="gone").filter("doc_id = 2").select("gone", F.length("text").alias("n")).first()
+    assert time.time() - began < 20
+    assert got["gone"] == 50 and got["n"] == len(rows[1][1]) - len(passage) - 1
+
+
 def test_line_dedup_is_native(make_docs):
     plan = linededup.dedup_lines(make_docs([(1, "a")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan.replace("PythonRDD", ""))

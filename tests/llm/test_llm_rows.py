@@ -5,6 +5,7 @@ import json
 import math
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from evalspark.llm import labelled, lattice, mixing, pii, quality, secrets, tokenfiles, toxicity
 from evalspark.session import scratch_path
 
-SF = "/root/testdata/sf0.01"
+SF, SF_LARGE = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -139,6 +140,8 @@ def test_toxicity_on_held_out_rows(spark):
     assert right >= 0.95 * len(rows)
     clean = [r["score"] for r in rows if not r["toxic"]]
     assert sum(s >= 0.5 for s in clean) <= 0.02 * len(clean)
+    toxic = [r["score"] for r in rows if r["toxic"]]
+    assert toxic and sum(s >= 0.5 for s in toxic) >= 0.9 * len(toxic)
     kept = toxicity.keep_clean(docs, model)
     assert kept.columns == docs.columns
     assert kept.count() == toxicity.score(docs, model).filter("score < 0.5").count()
@@ -193,6 +196,19 @@ def test_quality_on_held_out_rows_and_native(spark):
     rows = judged.join(labels, "doc_id").filter(labelled.held_out(F.col("doc_id")) & ~F.col("base_failed")).collect()
     good = [r["kept"] for r in rows if r["quality"]]
     assert sum(good) >= 0.94 * len(good)
+    junk = [r["kept"] for r in rows if r["quality"] == 0]
+    assert junk and sum(junk) <= 0.1 * len(junk)
+
+
+def test_long_good_documents_are_kept(spark):
+    """Labels of the larger table: good documents of 3000 words and more stay, held out or not."""
+    docs, labels = (spark.read.parquet(f"{SF_LARGE}/{n}.parquet") for n in ("documents", "labels"))
+    judged = quality.judge(docs, quality.fit(docs, labels)).filter(~F.col("base_failed")).join(labels, "doc_id")
+    rows = judged.filter((F.col("n_words") >= 3000) | labelled.held_out(F.col("doc_id"))).collect()
+    good = [r["kept"] for r in rows if r["quality"] and r["n_words"] >= 3000]
+    assert len(good) >= 10 and sum(good) >= 0.98 * len(good)
+    junk = [r["kept"] for r in rows if r["quality"] == 0 and labelled.held_out_id(r["doc_id"])]
+    assert len(junk) >= 50 and sum(junk) <= 0.1 * len(junk)
 
 
 # ---- sampled pieces
@@ -254,6 +270,79 @@ def test_samples_follow_the_lattice_without_replacement():
         assert unbiased.get(k, 0) == pytest.approx(p, abs=0.05)
 
 
+def pieces_of(model, text):
+    """The lattice of a text as a table: weight of all ways from each place, by definition, cut nowhere."""
+    body = ("▁" + text).replace(" ", "▁")
+    total = [0.0] * (len(body) + 1)
+    for at in range(len(body) - 1, -1, -1):
+        ways = []
+        for n in range(1, min(model.longest, len(body) - at) + 1):
+            i = model.names.get(body[at:at + n])
+            if i is not None and i >= 0:
+                ways.append(model.weights[i] + total[at + n])
+        if body[at] not in model.names or model.names[body[at]] < 0:
+            ways.append(model.byte_weight * len(body[at].encode()) + total[at + 1])
+        top = max(ways)
+        total[at] = top + math.log(sum(math.exp(w - top) for w in ways))
+    return total
+
+
+def test_a_long_unit_is_not_cut():
+    """An unbroken unit of 2000 characters: log chances are those of the uncut lattice, in draws and in the search."""
+    model = lattice.segmenter(PIECES)
+    text = "".join("abcdefghijklmnopqrstuvwxyz"[(k * k + k // 7) % 26] for k in range(2000))
+    total = pieces_of(model, text)
+    assert lattice.UnitLattice(model, " " + text).total[0] == pytest.approx(total[0], rel=1e-9)
+    drawn = lattice.sample_text(model, text, 5, 3)
+    assert len({tuple(i.tolist()) for i, _, _ in drawn}) == 3
+    for ids, log_prob, _ in drawn:
+        assert model.decode(ids) == text
+        assert log_prob == pytest.approx(sum(model.weights[i] for i in ids.tolist()) - total[0], abs=1e-6)
+
+
+def test_short_and_long_units_are_drawn_alike():
+    """The lattices built together and the one built alone have the same chances."""
+    model = lattice.segmenter(PIECES)
+    words = [" segmentation", " ▁x", "\n", " " + "ab" * 100, " 日本語é"]
+    both = lattice.Lattices(model, words)
+    for k, word in enumerate(words):
+        alone = lattice.UnitLattice(model, word)
+        count, first, pieces, log_chance = both.walk(both.starts[[k] * 50], np.arange(50, dtype=np.uint64))
+        for c, f, w in zip(count.tolist(), first.tolist(), log_chance.tolist(), strict=True):
+            at, total = 0, 0.0
+            for p in pieces[f:f + c].tolist():
+                to, _, lw = next(way for way in alone.ways(at) if way[1] == p)
+                at, total = to, total + lw
+            assert at == len(word) and w == pytest.approx(total, abs=1e-4)
+
+
+def test_improbable_segmentations_are_still_drawn():
+    """Pieces whose other segmentation has a chance far below 1e-13: it is drawn second, with its own log chance."""
+    class Fake:
+        longest, byte_weight = 2, -100.0
+        names = {"a": 0, "aa": 1}
+        weights = [-40.0, 0.0]
+
+    x = lattice.UnitLattice(Fake(), "aa")
+    first = (1,)
+    assert x.left([first]) == pytest.approx(-80.0, abs=1e-6)
+    assert x.other([first], 3) == ([0, 0], pytest.approx(-80.0, abs=1e-6))
+    assert x.left([first, (0, 0)]) == -math.inf and x.other([first, (0, 0)], 3) is None
+
+
+def test_a_text_of_five_million_characters(make_docs, prose):
+    """Bounded memory: lattices are held part by part."""
+    import resource
+    model = lattice.segmenter(PIECES)
+    text = prose(9, 20_000) * 40
+    text = text[:5_000_000] if len(text) > 5_000_000 else text * (5_000_000 // len(text) + 1)
+    text = text[:5_000_000]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    (a, b) = lattice.sample_text(model, text, 1, 2)
+    assert model.decode(a[0]) == text == model.decode(b[0]) and a[0].tobytes() != b[0].tobytes()
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 900_000
+
+
 # ---- secrets
 
 def der(tag, body):
@@ -288,6 +377,97 @@ def test_structures_are_confirmed():
     assert secrets.is_openssh_key(openssh) and not secrets.is_openssh_key(openssh[:-1])
 
 
+OID = {"rsa": "2a864886f70d010101", "ec": "2a8648ce3d0201", "ed25519": "2b6570", "other": "2a0304"}
+
+
+def curve_key():
+    return der(0x30, der(2, b"\x01") + der(4, bytes(range(1, 33))) + der(0xA0, der(6, b"\x2a\x03")))
+
+
+def wrapped(name, inner):
+    return der(0x30, der(2, b"\x00") + der(0x30, der(6, bytes.fromhex(OID[name])) + der(5, b"")) + der(4, inner))
+
+
+def encrypted(tag=0x30):
+    return der(0x30, der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")) + der(tag, der(4, b"salt"))) + der(4, b"e" * 64))
+
+
+def test_nested_keys_are_parsed():
+    good = [wrapped("rsa", rsa_key()), wrapped("ec", curve_key()), wrapped("ed25519", der(4, b"k" * 32)), wrapped("other", der(4, b"k" * 32)),
+            curve_key(), rsa_key()]
+    bad = [wrapped("rsa", b"junk" * 40), wrapped("rsa", curve_key()), wrapped("ec", rsa_key()), wrapped("ed25519", der(4, b"k" * 31)),
+           wrapped("other", b"j" * 64), wrapped("rsa", rsa_key()[:-1]), der(0x30, der(2, b"\x00") + der(0x30, der(2, b"x")) + der(4, rsa_key()))]
+    assert all(map(secrets.is_der_key, good)) and not any(map(secrets.is_der_key, bad))
+    assert secrets.is_encrypted_key(encrypted()) and not secrets.is_encrypted_key(encrypted(4)) and not secrets.is_encrypted_key(good[0])
+
+
+def found_in(text):
+    return [(k, text[a:b]) for a, b, k in secrets.method_spans(text)]
+
+
+def test_wrapped_escaped_and_encrypted_bodies():
+    plain = base64.b64encode(wrapped("rsa", rsa_key())).decode()
+    lines = [plain[k:k + 64] for k in range(0, len(plain), 64)]
+    for end in ("\n", "\r\n", "\\n", "\n    ", " \n\t"):
+        body = end.join(lines)
+        assert found_in(f"key: {body}\nNext words follow\nhere") == [("der", body)]
+        armour = f"-----BEGIN PRIVATE KEY-----{end}{body}{end}-----END PRIVATE KEY-----"
+        assert found_in(f'x "{armour}" y') == [("pem", armour)]
+    assert found_in("\n".join([*lines[:3], "not base64 !", *lines[3:]])) == []
+    assert found_in("\n".join(lines[:-1])) == [] and found_in(plain + "abc") == []
+    secret = base64.b64encode(encrypted()).decode()
+    for label, kinds in (("ENCRYPTED ", ["pem"]), ("", [])):
+        assert [k for k, _ in found_in(f"-----BEGIN {label}PRIVATE KEY-----\n{secret}\n-----END {label}PRIVATE KEY-----")] == kinds
+    blocks = base64.b64encode(bytes(range(64))).decode()
+    for head, n in (("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n", 1), ("Proc-Type: 4,ENCRYPTED\n\n", 0),
+                    ("DEK-Info: AES-128-CBC,0011223344556677\n\n", 0)):
+        assert len(found_in(f"-----BEGIN RSA PRIVATE KEY-----\n{head}{blocks}\n-----END RSA PRIVATE KEY-----")) == n
+    odd = base64.b64encode(bytes(63)).decode()
+    assert found_in(f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: DES-CBC,0011223344556677\n\n{odd}\n-----END RSA PRIVATE KEY-----") == []
+    assert found_in("-----BEGIN RSA PRIVATE KEY-----\n" * 3 + plain[:40]) == []
+    raw = base64.b64encode(b"openssh-key-v1\0" + b"".join(struct.pack(">I", len(x)) + x for x in (b"none", b"none", b"")) + struct.pack(">I", 1)
+                           + b"".join(struct.pack(">I", len(x)) + x for x in (b"pub" * 20, b"priv" * 20))).decode()
+    body = "\n".join(raw[k:k + 70] for k in range(0, len(raw), 70))
+    assert found_in(f"see\n{body}\nand more text") == [("openssh", body)]
+
+
+def test_both_parts_of_a_token_are_parsed():
+    def part(x):
+        return base64.urlsafe_b64encode(x if isinstance(x, bytes) else json.dumps(x).encode()).decode().rstrip("=")
+
+    good, alg = part({"sub": 1}), part({"alg": "HS256"})
+    assert [t for _, t in found_in(f"a {alg}.{good}.{part(b'sig')}. b")] == [f"{alg}.{good}.{part(b'sig')}"]
+    for bad in (f"{alg}.{part(b'not json, only text')}.{part(b's')}", f"{alg}.{part([1])}.{part(b's')}", f"{part({'x': 1})}.{good}.{part(b's')}",
+                f"{alg}.{good}.", f"{part({'alg': 'none'})}.{good}.{part(b's')}"):
+        assert found_in(bad) == []
+    assert len(found_in(f"{part({'alg': 'none'})}.{good}.")) == 1
+    five = ".".join([part({"alg": "dir", "enc": "A128GCM"}), "", part(b"iv" * 6), part(b"text"), part(b"tag" * 5)])
+    assert [t for _, t in found_in(f"x {five} y")] == [five] and found_in(five.rsplit(".", 1)[0]) == []
+
+
+def test_planted_keys_are_found_and_nothing_else(make_docs, prose):
+    """Generated texts with keys in every form at random places, against where they were put."""
+    import random
+    rnd = random.Random(4)
+    rows, planted = [], {}
+    for k in range(200):
+        text, spans = prose(k, rnd.randint(0, 60)) + "\n", []
+        for _ in range(rnd.randint(0, 3)):
+            key = rnd.choice([rsa_key(), curve_key(), wrapped("ec", curve_key()), wrapped("ed25519", der(4, bytes(rnd.randbytes(32))))])
+            form = rnd.choice(["hex", "line", "wrapped"])
+            body = key.hex() if form == "hex" else base64.b64encode(key).decode()
+            if form == "wrapped":
+                body = "\n".join(body[i:i + 48] for i in range(0, len(body), 48))
+            spans.append(f"der:{len(text)}:{len(text) + len(body)}")
+            text += body + rnd.choice([" ", "\n\n", ", "]) + prose(rnd.randint(0, 99), rnd.randint(1, 30)) + rnd.choice(["\n", " "])
+        rows.append((k, text))
+        planted[k] = spans
+    got = {r["doc_id"]: r for r in secrets.scan(make_docs(rows)).collect()}
+    for k, spans in planted.items():
+        assert [s for s in got[k]["spans"] if s.startswith("der:")] == spans
+        assert all(s.split(":")[0] in ("der", *secrets.BASE_KINDS) for s in got[k]["spans"])
+
+
 def test_secret_scan_edges(make_docs):
     base = {"password=abcdefghijkl": ["assign:0:21"], "pass word: x": [], "API_KEY :  'abc.def-ghi_jkl'": ["assign:0:27"],
             "ſecret=abcdefghijklmn": [], "token=short token=abcdefabcdef": ["assign:12:30"], "AKIA12345678901234": ["access:0:18"],
@@ -342,3 +522,12 @@ def test_checksums_and_context(make_docs):
     assert got[2] == [] and [s["kind"] for s in got[3]] == ["iban"]
     assert [s["kind"] for s in got[4]] == ["ssn"] and got[5] == []
     assert got[6][0]["score"] > got[7][0]["score"]
+
+
+def test_many_matches_take_time_in_proportion(make_docs):
+    """50,000 addresses in one text, every span as brute force has it, within a bound."""
+    text = "".join(f"u{k}@x{k % 7}.org, " for k in range(50_000))
+    began = time.time()
+    spans = pii.scan(make_docs([(1, text)])).select(pii.listed(F.col("spans"), pii.BASE_KINDS).alias("s")).first()["s"]
+    assert time.time() - began < 20
+    assert spans == [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"[^ ,]+", text)]

@@ -254,7 +254,7 @@ def _base64_key(text: str, start: int) -> tuple[int, str] | None:
     size = _encoded_size(text[start:start + 8])
     if size is None:
         body, _ = _joined(text, start, None)
-        n = _openssh_size(_decode64(body[:len(body) // 4 * 4]) or b"")
+        n = _openssh_size(_decode64(body[:-1] if len(body) % 4 == 1 else body) or b"")
         size = -(-n * 4 // 3) if n else None
     if size is None:
         return None

@@ -140,13 +140,21 @@ def test_toxicity_on_held_out_rows(spark):
     assert right >= 0.95 * len(rows)
     clean = [r["score"] for r in rows if not r["toxic"]]
     assert sum(s >= 0.5 for s in clean) <= 0.02 * len(clean)
-    toxic = [r["score"] for r in rows if r["toxic"]]
-    assert toxic and sum(s >= 0.5 for s in toxic) >= 0.9 * len(toxic)
     kept = toxicity.keep_clean(docs, model)
     assert kept.columns == docs.columns
     assert kept.count() == toxicity.score(docs, model).filter("score < 0.5").count()
 
 
+def test_toxic_held_out_rows_of_the_larger_table_are_caught(spark):
+    docs, labels = (spark.read.parquet(f"{SF_LARGE}/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    held = docs.join(labels.filter(labelled.held_out(F.col("doc_id"))), "doc_id")
+    rows = toxicity.score(held, model).join(labels, "doc_id").collect()
+    toxic = [r["score"] >= 0.5 for r in rows if r["toxic"]]
+    clean = [r["score"] >= 0.5 for r in rows if not r["toxic"]]
+    assert len(toxic) >= 50 and sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.01 * len(clean)
+
+
 def test_toxicity_edges(spark, make_docs, prose):
     docs = make_docs([(1, None), (2, ""), (None, "idiot you"), (3, "x" * 100_000), (3, "you idiot " * 20_000), (4, prose(1, 50))])
     got = toxicity.score(docs, LEXICON).collect()
@@ -196,8 +204,6 @@ def test_quality_on_held_out_rows_and_native(spark):
     rows = judged.join(labels, "doc_id").filter(labelled.held_out(F.col("doc_id")) & ~F.col("base_failed")).collect()
     good = [r["kept"] for r in rows if r["quality"]]
     assert sum(good) >= 0.94 * len(good)
-    junk = [r["kept"] for r in rows if r["quality"] == 0]
-    assert junk and sum(junk) <= 0.1 * len(junk)
 
 
 def test_long_good_documents_are_kept(spark):

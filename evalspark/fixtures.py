@@ -143,7 +143,7 @@ def v_signatures(spark, sf_dir) -> DataFrame:
            .when(r == 2, F.lit("int h( // first\n int b)"))
            .when(r == 3, F.lit("@Test public void t()"))
            .otherwise(F.concat(F.lit("static T k"), F.col("page_id").cast("string"), F.lit(" (T x) // end"))))
-    return p.select("page_id", sig.alias("sig"))
+    return p.select("page_id", F.concat(sig, F.lit(NL), F.coalesce("html", F.lit(""))).alias("sig"))
 
 
 def v_steps(spark, sf_dir) -> DataFrame:
@@ -236,19 +236,25 @@ def v_turns(spark, sf_dir) -> DataFrame:
 
 
 def chunk_text(turn, text):
-    """V_chunks text rule, shared by the batch and the streaming forms."""
+    """V_chunks text rule."""
     r = turn % 4
     head = text
     return (F.when(r == 0, F.concat(F.lit("f() { a"), head))
             .when(r == 1, F.concat(head, F.lit("{ b } Yes, it has")))
             .when(r == 2, F.concat(F.lit(" defects } done"), head))
-            .otherwise(F.lit(" }")))
+            .otherwise(F.concat(F.lit(" }"), head)))
+
+
+FIRST_CHUNK = 1_700_000_000   # seconds since 1970
 
 
 def v_chunks(spark, sf_dir) -> DataFrame:
+    """Turns as chunks; system turns are special tokens.  ``ts``: a second per turn."""
+    n = n_tasks_scalar(spark, sf_dir)
     c = table(spark, sf_dir, "conversations")
     return c.select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seq"),
-                    chunk_text(F.col("turn"), F.col("text")).alias("text"))
+                    chunk_text(F.col("turn"), F.col("text")).alias("text"), (F.col("role") == "system").alias("special"),
+                    (F.col("conv_id") % n).cast("int").alias("task_idx"), F.timestamp_seconds(F.col("turn") + FIRST_CHUNK).alias("ts"))
 
 
 def v_classes(spark, sf_dir) -> DataFrame:
@@ -260,20 +266,77 @@ def v_docs(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
 
 
-def v_generations(spark, sf_dir, samples: DataFrame | None = None) -> DataFrame:
-    """One record per task with the outputs array ordered by sample index.
+PER_RECORD = 20              # outputs of one generation record, as a run writes them
 
-    Arrays exist only at this I/O edge; per task they hold the task's
-    samples (50 at sf0.1), which the generation run bounds by num_samples.
-    """
+
+def v_generations(spark, sf_dir, samples: DataFrame | None = None) -> DataFrame:
+    """Records of at most ``PER_RECORD`` outputs of a task, ordered by sample index; ``ord`` numbers a task's records."""
     s = samples if samples is not None else v_samples(spark, sf_dir)
-    return (s.groupBy("task_idx")
+    block = F.floor(F.col("sample_idx") / PER_RECORD).cast("long")
+    return (s.groupBy("task_idx", block.alias("ord"))
             .agg(F.array_sort(F.collect_list(F.struct("sample_idx", "output"))).alias("_o"))
-            .select("task_idx",
+            .select("task_idx", "ord",
                     F.concat(F.lit("task-"), F.lpad(F.col("task_idx").cast("string"), 6, "0")).alias("task_id"),
                     F.transform("_o", lambda x: x["output"]).alias("outputs")))
 
 
+def v_chat_samples(spark, sf_dir) -> DataFrame:
+    """V_samples with answers that hold the task's signature twice in three, with a closed body in one."""
+    s = v_samples(spark, sf_dir)
+    sig = F.concat(F.lit("Sure: public int f"), F.col("task_idx").cast("string"), F.lit("(int a)"))
+    r = F.col("doc_id") % 3
+    return s.withColumn("output", F.when(r == 1, F.concat(sig, F.lit(" { return 1; } "), F.col("output")))
+                        .when(r == 2, F.concat(sig, F.lit(" { "), F.col("output"))).otherwise(F.col("output")))
+
+
+def _facts(samples: DataFrame, steps: list) -> DataFrame:
+    """Run facts: ``steps`` are (version, kind, exit code, timed out, log lines) per sample, in order."""
+    rows = [F.struct(F.lit(v).alias("version"), F.lit(k).cast("int").alias("step_no"), F.lit(kind).alias("kind"),
+                     F.when(code, 1).otherwise(0).alias("exit_code"), late.alias("timed_out"), lines.alias("stdout_lines"))
+            for k, (v, kind, code, late, lines) in enumerate(steps, 1)]
+    return samples.select("task_idx", "sample_idx", (F.col("n_chars") % 17 != 0).alias("syntax_ok"), F.explode(F.array(*rows)).alias("s")).select(
+        "task_idx", "sample_idx", "s.*", "syntax_ok")
+
+
+def _failing(n) -> F.Column:
+    return F.array(F.concat(F.lit("Failing tests: "), n.cast("string")))
+
+
+def _coverage_log() -> F.Column:
+    return F.array(F.concat(F.lit("Line coverage: "), (F.col("n_chars") % 101).cast("string"), F.lit(".0%")),
+                   F.concat(F.lit("Condition coverage: "), (F.col("doc_id") % 101).cast("string"), F.lit(".0%")))
+
+
+def v_patch_facts(spark, sf_dir) -> DataFrame:
+    d, n = F.col("doc_id"), F.col("n_chars")
+    return _facts(v_samples(spark, sf_dir), [(None, "trigger", d % 7 == 0, n >= 5000, _failing(d % 3)),
+                                             (None, "suite", d % 11 == 0, n % 13 == 0, _failing(d % 2))])
+
+
+def v_test_facts(spark, sf_dir) -> DataFrame:
+    d, n = F.col("doc_id"), F.col("n_chars")
+    return _facts(v_samples(spark, sf_dir), [(None, "test", d % 7 == 0, n >= 5000, _failing(d % 3)),
+                                             (None, "coverage", d % 11 == 0, n % 13 == 0, _coverage_log())])
+
+
+def v_issue_facts(spark, sf_dir) -> DataFrame:
+    d, n = F.col("doc_id"), F.col("n_chars")
+    return _facts(v_samples(spark, sf_dir), [("fixed", "test", d % 7 == 0, n >= 5000, _failing(d % 3)),
+                                             ("buggy", "test", d % 5 == 0, n < 0, _failing(d % 4)),
+                                             ("fixed", "coverage", d % 11 == 0, n % 13 == 0, _coverage_log())])
+
+
+def v_sample_lines(spark, sf_dir) -> DataFrame:
+    """Two covered or missed lines per sample."""
+    s = v_samples(spark, sf_dir)
+    cls = F.concat(F.lit("C"), F.col("task_idx").cast("string"))
+    lines = F.explode(F.array(
+        F.struct((F.col("n_chars") % 17).cast("string").alias("number"), (F.col("doc_id") % 2 == 0).alias("hit")),
+        F.struct((F.col("doc_id") % 13).cast("string").alias("number"), (F.col("n_chars") % 2 == 0).alias("hit"))))
+    return s.select("task_idx", "sample_idx", cls.alias("class"), F.concat(cls, F.lit(".java")).alias("file"), lines.alias("l")).select(
+        "task_idx", "sample_idx", "class", "file", "l.number", "l.hit")
+
+
 def v_eval_tasks(spark, sf_dir) -> DataFrame:
     """V_tasks with the columns the complete suite's post-processing reads."""
     t = v_tasks(spark, sf_dir)

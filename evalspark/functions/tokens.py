@@ -32,3 +32,28 @@ def truncate_prompt_tokens(toks: Column, max_tokens: int, mode: str) -> Column:
     if mode == "chat":
         return F.slice(toks, F.lit(1), F.lit(max_tokens))
     raise KeyError(mode)
+
+
+def gaps(text: Column) -> Column:
+    """What stands before, between and behind the tokens: one more than there are tokens."""
+    return F.split(text, TOKEN_RE, -1)
+
+
+def _length_of(pieces: Column, n: Column) -> Column:
+    """Code points of the first ``n`` pieces."""
+    return F.aggregate(F.slice(pieces, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
+
+
+def truncate_prompt(text: Column, toks: Column, between: Column, max_tokens: int, mode: str) -> Column:
+    """The kept piece of an over-long prompt, cut from the text itself: complete mode keeps the last ``max_tokens``
+    tokens and what follows them, chat mode the first ones.  ``toks`` and ``between`` are columns of
+    :func:`tokens` and :func:`gaps`; token offsets are sums of the lengths before them."""
+    n = F.size(toks)
+    if mode == "complete":
+        start = _length_of(between, n - max_tokens + 1) + _length_of(toks, n - max_tokens)
+        kept = F.substring(text, start + 1, F.length(text))
+    elif mode == "chat":
+        kept = F.substring(text, F.lit(1), _length_of(between, F.lit(max_tokens)) + _length_of(toks, F.lit(max_tokens)))
+    else:
+        raise KeyError(mode)
+    return F.when(n > max_tokens, kept).otherwise(text)

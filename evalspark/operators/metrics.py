@@ -121,16 +121,18 @@ def _metric_name(flag: str, metric: str, param: float, sep: str) -> str:
 
 
 def task_detail_flat(counts: DataFrame, flags: list[str], k_grid: list[int], t_grid: list[int],
-                     keys: list[str] | None = None, sep: str = "__", digits: int | None = None) -> DataFrame:
-    """One row per task: counts, tokens and every eligible metric as a leaf
-    column ``flag__pass_at_k_5`` (NULL where the task is not eligible).
+                     keys: list[str] | None = None, sep: str = "__", digits: int | None = None,
+                     carry_cols: list[str] | None = None) -> DataFrame:
+    """One row per task: counts, tokens, ``carry_cols`` (e.g. coverage) and every eligible
+    metric as a leaf column ``flag__pass_at_k_5`` (NULL where the task is not eligible).
 
     The long metric rows are pivoted back with an explicit value list; the
     pivot groups by the task key the counts are already partitioned on.
     """
     keys = keys or ["task_idx"]
     has_tokens = "total_tokens" in counts.columns
-    base = [*keys, "total", "timed_out"] + (["total_tokens"] if has_tokens else [])
+    more = list(carry_cols or [])
+    base = [*keys, "total", "timed_out"] + (["total_tokens"] if has_tokens else []) + more
     cnt = [count_col(f) for f in flags]
     carry = [c for c in base if c not in keys] + cnt
     long = task_metrics_long(counts.select(*base, *cnt), flags, k_grid, t_grid, keys, carry=carry,
@@ -147,7 +149,7 @@ def task_detail_flat(counts: DataFrame, flags: list[str], k_grid: list[int], t_g
     def rnd(c):
         return F.round(F.col(c), digits).alias(c) if digits is not None else F.col(c)
 
-    out = [F.col(c) for c in keys + ["total", "timed_out"]] + ([rnd("total_tokens")] if has_tokens else [])
+    out = [F.col(c) for c in keys + ["total", "timed_out"]] + ([rnd("total_tokens")] if has_tokens else []) + [rnd(c) for c in more]
     for f in flags:
         out.append(F.col(count_col(f)).alias(f"{f}{sep}count"))
         out += [rnd(nm) for nm in names if nm.startswith(f + sep)]
@@ -155,10 +157,10 @@ def task_detail_flat(counts: DataFrame, flags: list[str], k_grid: list[int], t_g
 
 
 def task_detail_report(counts: DataFrame, flags: list[str], k_grid: list[int], t_grid: list[int],
-                       keys: list[str] | None = None) -> DataFrame:
-    """One nested row per task: ``struct(count, pass_at_k_*, pass_at_t_*)`` per flag."""
+                       keys: list[str] | None = None, carry_cols: list[str] | None = None) -> DataFrame:
+    """One nested row per task: ``struct(count, pass_at_k_*, pass_at_t_*)`` per flag, and the ``carry_cols``."""
     keys = keys or ["task_idx"]
-    flat = task_detail_flat(counts, flags, k_grid, t_grid, keys)
+    flat = task_detail_flat(counts, flags, k_grid, t_grid, keys, carry_cols=carry_cols)
     base = [c for c in flat.columns if "__" not in c]
     per_flag = [F.struct(*[F.col(c).alias(c.split("__", 1)[1]) for c in flat.columns if c.startswith(f + "__")]).alias(f)
                 for f in flags]

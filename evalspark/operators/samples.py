@@ -79,6 +79,18 @@ def first_n_samples(samples: DataFrame, n: int | None, part: str | list[str] = "
     return samples.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n).drop("__rn")
 
 
+def first_n_distinct(samples: DataFrame, n: int, keys: list[str], order: str) -> DataFrame:
+    """The first ``n`` requests of each key, a request that came twice (equal key and ``order``) once.
+
+    ``dense_rank() <= n`` is cut before the shuffle; repeats are then dropped
+    inside the same partitioning, so rows are shuffled once.
+    """
+    rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy(order))
+    cut = samples.withColumn("__rank", rank).filter(F.col("__rank") <= n).drop("__rank")
+    again = F.row_number().over(Window.partitionBy(*keys, order).orderBy(*[c for c in samples.columns if c not in (*keys, order)] or [order]))
+    return cut.withColumn("__again", again).filter(F.col("__again") == 1).drop("__again")
+
+
 def first_n_outputs(generations: DataFrame, n: int | None, outputs: str = "outputs") -> DataFrame:
     """Array form of :func:`first_n_samples`."""
     if not n:
@@ -139,11 +151,29 @@ def order_by_task(df: DataFrame, key: str = "task_id") -> DataFrame:
     return df.orderBy(key)
 
 
+RANK_BLOCKS = 4096           # blocks of hashes whose sizes give the offsets of the ranks
+
+
 def shard_requests(requests: DataFrame, n_shards: int, seed: int,
                    keys: tuple[str, ...] = ("task_idx", "copy_no")) -> DataFrame:
-    """Reproducible pseudo-random shard per request; nothing is padded or dropped."""
+    """Shards of equal size (they differ by one row at most), reproducible and in no order of the keys.
+
+    Requests are ranked by a hash and dealt in turn.  No task sees all rows:
+    the first bits of the hash cut the order into ``RANK_BLOCKS`` blocks of
+    about equal size, a window ranks within a block, and the sizes of the blocks
+    before it (a table of ``RANK_BLOCKS`` rows) are added.  Nothing is padded or
+    dropped; equal requests are dealt in any order.
+    """
     parts = [F.lit(str(seed))]
     for k in keys:
         parts += [F.lit("-"), F.col(k).cast("string")]
-    h = F.conv(F.substring(F.md5(F.concat(*parts)), 1, 8), 16, 10).cast("long")
-    return requests.withColumn("shard_id", F.pmod(h, F.lit(n_shards)).cast("int"))
+    digest = F.md5(F.concat(*parts))
+    block = F.conv(F.substring(digest, 1, 3), 16, 10).cast("int")
+    dealt = requests.withColumn("__digest", digest).withColumn("__block", block)
+    sizes = dealt.groupBy("__block").agg(F.count(F.lit(1)).alias("__size"))
+    before = F.sum("__size").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("__block", F.coalesce(before, F.lit(0)).alias("__offset"))
+    rank = F.row_number().over(Window.partitionBy("__block").orderBy("__digest", *keys))
+    ranked = dealt.withColumn("__rank", rank).join(F.broadcast(offsets), "__block")      # at most RANK_BLOCKS rows
+    return ranked.withColumn("shard_id", F.pmod(F.col("__offset") + F.col("__rank") - 1, F.lit(n_shards)).cast("int")).select(
+        *requests.columns, "shard_id")

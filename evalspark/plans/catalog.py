@@ -44,11 +44,17 @@ def q_load_tasks(spark, sf):
     return t.select("task_idx", "task_id", "prompt_complete", "prompt_chat", "project", "bug_id", "defective")
 
 
+def _flat(generations: DataFrame) -> DataFrame:
+    """Samples of records of ``PER_RECORD`` outputs."""
+    flat = smp.flatten_samples(generations.select("task_idx", "ord", "outputs"))
+    return flat.select("task_idx", (F.col("ord") * fx.PER_RECORD + F.col("sample_idx")).cast("int").alias("sample_idx"), "output")
+
+
 def q_load_generations(spark, sf):
+    """JSON array documents, read in ranges of bytes."""
     path = scratch_path(spark, "generations")
-    sinks.write_generations(fx.v_generations(spark, sf), path)
-    g = files.load_generations(spark, path, multi_line=False)
-    return smp.flatten_samples(g.select("task_idx", "outputs")).select("task_idx", "sample_idx", "output")
+    sinks.write_generations_array(fx.v_generations(spark, sf), path)
+    return _flat(files.load_generations(spark, path, range_bytes=1 << 20))
 
 
 def _partials_records(spark, sf):
@@ -168,7 +174,7 @@ def q_expand_requests(spark, sf):
 
 
 def q_flatten_samples(spark, sf):
-    return smp.flatten_samples(fx.v_generations(spark, sf)).select("task_idx", "sample_idx", "output")
+    return _flat(fx.v_generations(spark, sf))
 
 
 def q_first_n_samples(spark, sf):
@@ -453,12 +459,10 @@ MAX_PROMPT_TOKENS = 64
 
 
 def q_truncate_prompt_tokens(spark, sf):
-    d = fx.v_docs(spark, sf).select("doc_id", tokens.tokens(F.col("text")).alias("toks"))
-    return d.select("doc_id",
-                    F.array_join(tokens.truncate_prompt_tokens(F.col("toks"), MAX_PROMPT_TOKENS, "complete"), " ")
-                    .alias("complete_kept"),
-                    F.array_join(tokens.truncate_prompt_tokens(F.col("toks"), MAX_PROMPT_TOKENS, "chat"), " ")
-                    .alias("chat_kept"))
+    text = F.col("text")
+    d = fx.v_docs(spark, sf).select("doc_id", "text", tokens.tokens(text).alias("toks"), tokens.gaps(text).alias("gaps"))
+    return d.select("doc_id", *[tokens.truncate_prompt(text, F.col("toks"), F.col("gaps"), MAX_PROMPT_TOKENS, m).alias(f"{m}_kept")
+                                for m in ("complete", "chat")])
 
 
 # Fixed parameters of the chat cleanup query.
@@ -490,56 +494,56 @@ def q_syntax_screen(spark, sf):
 
 # --- 2.7 streaming ---------------------------------------------------------------
 
-def _chunk_stream(spark, sf):
-    schema = fx.table(spark, sf, "conversations").schema
-    src = (spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet")
-           .option("maxFilesPerTrigger", 1).parquet(sf))
-    return src.select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seq"),
-                      fx.chunk_text(F.col("turn"), F.col("text")).alias("text"))
-
-
 # Fixed parameter: the function signature the chat / complete stream rules wait for.
 STREAM_SIGNATURE = "f()"
 
 
-def _run_stop(spark, sf, rule):
-    out = scratch_path(spark, f"stop-{rule}")
-    chunks = _chunk_stream(spark, sf)
-    prefix = None
-    if rule == "signature":        # complete mode scans signature + "{\n" + text
-        chunks, prefix = chunks.withColumn("sig", F.lit(STREAM_SIGNATURE + "{\n")), "sig"
-    elif rule == "chat":           # chat mode waits for the signature itself
-        chunks, prefix = chunks.withColumn("sig", F.lit(STREAM_SIGNATURE)), "sig"
-    stopped = sstop.stop_stream(chunks, rule, prefix=prefix)
+def _chunk_stream(spark, sf):
+    """A log of chunks in three micro-batches, out of order, and its closing row."""
+    path = scratch_path(spark, "chunks")
+    chunks = fx.v_chunks(spark, sf)
+    for part in (2, 0, 1):
+        chunks.filter(F.col("seq") % 3 == part).write.mode("append").parquet(path)
+    sstop.closing_row(spark, chunks.schema, "ts").write.mode("append").parquet(path)
+    return (spark.readStream.schema(chunks.schema)
+            .option("maxFilesPerTrigger", max(1, chunks.rdd.getNumPartitions())).parquet(path))
+
+
+def _run_stop(spark, sf, suite, mode):
+    out = scratch_path(spark, f"stop-{suite}-{mode}")
+    tasks = fx.v_eval_tasks(spark, sf).withColumn("function_signature", F.lit(STREAM_SIGNATURE))
+    stopped = sstop.stop_stream_for_suite(_chunk_stream(spark, sf), tasks, suite, mode, event_time="ts")
     sstop.run_available_now(stopped, out, out + "-checkpoint")
-    done = spark.read.schema(sstop.OUTPUT_SCHEMA).parquet(out)
-    return sstop.finish_open_requests(done, fx.v_chunks(spark, sf))
+    return spark.read.schema(sstop.OUTPUT_SCHEMA).parquet(out)
 
 
 def q_stream_stop_function(spark, sf):
-    return _run_stop(spark, sf, "text")
+    return _run_stop(spark, sf, "repair", "chat")
 
 
 def q_stream_stop_marker(spark, sf):
-    return _run_stop(spark, sf, "marker")
+    return _run_stop(spark, sf, "defectdetection", "chat")
 
 
 def q_stream_stop_signature(spark, sf):
-    return _run_stop(spark, sf, "signature")
+    return _run_stop(spark, sf, "complete", "complete")
 
 
 def q_stream_stop_chat(spark, sf):
-    return _run_stop(spark, sf, "chat")
+    return _run_stop(spark, sf, "complete", "chat")
 
 
 def q_stream_collect_partials(spark, sf):
-    schema = fx.table(spark, sf, "conversations").schema
-    src = (spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf)
-           .select(F.col("conv_id").cast("string").alias("task_id"), F.col("turn").alias("ord"),
-                   F.col("text").alias("output"), F.col("role").alias("gen_mode")))
-    out = scratch_path(spark, "collected")
-    spart.collect_partials(src, out, out + "-checkpoint")
-    m = spart.merge_collected(spark, out, 5, ["task_id", "ord"], keep_first=["gen_mode"], sep=SEP)
+    """The merge of the partial log, carried on by three micro-batches, of which the last brings repeats."""
+    path = scratch_path(spark, "partial-stream")
+    p = fx.v_partials(spark, sf).withColumn("task_id", F.col("task_id").cast("string"))
+    for part in (1, 0, 0):
+        p.filter(F.col("ord") % 2 == part).write.mode("append").parquet(path)
+    src = (spark.readStream.schema(p.schema).option("maxFilesPerTrigger", max(1, p.rdd.getNumPartitions())).parquet(path))
+    state = scratch_path(spark, "partial-merge")
+    merge = spart.IncrementalMerge(state, 5, ["task_id"], "ord")
+    last = merge.run(src, state + "-checkpoint")
+    m = merge.merged(spark, last, keep_first=["gen_mode"], sep=SEP)
     return m.select("task_id", "outputs", "gen_mode", F.col("n_outputs").cast("long").alias("n_outputs"))
 
 
@@ -580,18 +584,18 @@ def q_evaluate_complete_range(spark, sf):
 
 
 def q_reorg_partials(spark, sf):
-    """reorg_output_file on a log of two models without ``ord``, two outputs per record."""
+    """reorg_output_file on a log of two models without ``ord``, two whole texts per record."""
     from evalspark.plans.generation import reorg_output_file
     path, out = scratch_path(spark, "reorg-log"), scratch_path(spark, "reorg-merged")
     d = spark.read.parquet(f"{sf}/documents.parquet").filter(F.col("doc_id").isNotNull())
     log = d.select(
         F.concat(F.lit("task-"), F.col("source")).alias("task_id"), F.lit("complete").alias("gen_mode"),
         F.concat(F.lit("model-"), (F.col("doc_id") % 2).cast("string")).alias("model_id"),
-        F.array(F.concat(F.lit("a"), F.col("doc_id").cast("string")), F.concat(F.lit("b"), F.col("doc_id").cast("string"))).alias("outputs"),
+        F.array(F.coalesce("text", F.lit("")), F.concat(F.lit("again "), F.coalesce("text", F.lit("")))).alias("outputs"),
         F.col("doc_id").cast("double").alias("tstamp"))
     log.write.json(path)
     merged = reorg_output_file(spark, path, out, num_samples=25)
-    return merged.select("model_id", "task_id", F.array_join("outputs", ",").alias("outputs"),
+    return merged.select("model_id", "task_id", F.md5(F.array_join("outputs", SEP)).alias("outputs_md5"),
                          F.size("outputs").cast("long").alias("n_outputs"))
 
 
@@ -599,11 +603,51 @@ def q_evaluate_defectdetection(spark, sf):
     """run_evaluate for defect detection in chat mode: truncation, labels,
     confusion and scores for all samples and for the first sample per task."""
     from evalspark.plans.evaluate import run_evaluate
-    gens = fx.v_generations(spark, sf, samples=fx.v_answers(spark, sf))
-    rep = run_evaluate(spark, "defectdetection", fx.v_tasks(spark, sf), gens, "chat")
+    rep = run_evaluate(spark, "defectdetection", fx.v_tasks(spark, sf), fx.v_answers(spark, sf), "chat")
     return _scores_rounded(rep.defect)
 
 
+def _report_rows(rep):
+    """Suite metrics, and per task the counts and coverage of the detail, in one long table."""
+    suite = rep.suite_metrics.select(F.lit("suite").alias("level"), F.lit(None).cast("int").alias("task_idx"), "flag", "metric", "param",
+                                     F.col("n_tasks").cast("long").alias("n"), r9(F.col("value")).alias("value"))
+    names = [c for c in ("line_coverage", "condition_coverage", "diff_coverage") if c in rep.detail.columns]
+    cells = [F.struct(F.lit("pass_trigger").alias("flag"), F.lit("count").alias("metric"),
+                      F.col("pass_trigger.count").cast("double").alias("value"))]
+    cells += [F.struct(F.lit("coverage").alias("flag"), F.lit(c).alias("metric"), F.col(c).alias("value")) for c in names]
+    task = rep.detail.select("task_idx", "total", F.explode(F.array(*cells)).alias("c"))
+    return suite.unionByName(task.select(F.lit("task").alias("level"), "task_idx", "c.flag", "c.metric", F.lit(0.0).alias("param"),
+                                         F.col("total").alias("n"), r9(F.col("c.value")).alias("value")))
+
+
+def q_evaluate_repair(spark, sf):
+    """run_evaluate for the repair suite from run facts."""
+    from evalspark.plans.evaluate import run_evaluate
+    return _report_rows(run_evaluate(spark, "repair", fx.v_eval_tasks(spark, sf), fx.v_samples(spark, sf), "complete",
+                                     run_steps=fx.v_patch_facts(spark, sf)))
+
+
+def q_evaluate_complete_chat(spark, sf):
+    """run_evaluate for the complete suite in chat mode: functions cut out of answers, from run facts."""
+    from evalspark.plans.evaluate import run_evaluate
+    return _report_rows(run_evaluate(spark, "complete", fx.v_eval_tasks(spark, sf), fx.v_chat_samples(spark, sf), "chat",
+                                     run_steps=fx.v_patch_facts(spark, sf)))
+
+
+def q_evaluate_testgen(spark, sf):
+    """run_evaluate for the testgen suite from run facts and coverage lines, for a closed range of tasks and their first outputs."""
+    from evalspark.plans.evaluate import run_evaluate
+    return _report_rows(run_evaluate(spark, "testgen", fx.v_eval_tasks(spark, sf), fx.v_samples(spark, sf), "complete", begin=1, end=30,
+                                     num_samples=9, run_steps=fx.v_test_facts(spark, sf), coverage_lines=fx.v_sample_lines(spark, sf)))
+
+
+def q_evaluate_testgenissue(spark, sf):
+    """run_evaluate for the testgenissue suite in chat mode from twin run facts and coverage lines."""
+    from evalspark.plans.evaluate import run_evaluate
+    return _report_rows(run_evaluate(spark, "testgenissue", fx.v_eval_tasks(spark, sf), fx.v_chat_samples(spark, sf), "chat",
+                                     run_steps=fx.v_issue_facts(spark, sf), coverage_lines=fx.v_sample_lines(spark, sf)))
+
+
 # --- flagship ---------------------------------------------------------------------
 
 def q_leaderboard(spark, sf):
@@ -679,5 +723,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "evaluate_complete_range": q_evaluate_complete_range,
     "reorg_partials": q_reorg_partials,
     "evaluate_defectdetection": q_evaluate_defectdetection,
+    "evaluate_repair": q_evaluate_repair,
+    "evaluate_complete_chat": q_evaluate_complete_chat,
+    "evaluate_testgen": q_evaluate_testgen,
+    "evaluate_testgenissue": q_evaluate_testgenissue,
     "leaderboard": q_leaderboard,
 }

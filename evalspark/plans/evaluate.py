@@ -10,59 +10,32 @@ metric.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.functions import braces, defect, text, tokens
-from evalspark.operators import coverage as cov
-from evalspark.operators import metrics as met
+from evalspark.functions import text
 from evalspark.operators import samples as smp
-from evalspark.operators import verdicts as ver
-from evalspark.operators.joins import require_present
+from evalspark.operators.reports import EvalReport
 from evalspark.session import scratch_path
 from evalspark.suites import SuiteConfig, get_suite
 
 
-@dataclass
-class EvalReport:
-    samples: DataFrame            # task_idx, sample_idx, input, output, raw_output
-    task_counts: DataFrame | None = None
-    task_metrics: DataFrame | None = None
-    suite_metrics: DataFrame | None = None
-    solved: DataFrame | None = None
-    detail: DataFrame | None = None
-    coverage: DataFrame | None = None
-    diff_coverage: DataFrame | None = None
-    defect: DataFrame | None = None
-
-
 def postprocess(samples: DataFrame, suite: SuiteConfig, mode: str, run_keys: list[str] | None = None) -> DataFrame:
-    """Clean raw outputs per suite and mode.
+    """Clean raw outputs by the suite's hook of the mode.
 
     ``samples`` carries ``output`` plus the task columns the suite needs
     (its complete-mode prefix column, ``function_signature``, prompts).
     Adds ``input`` (stripped prompt), replaces ``output`` by the cleaned
     text and keeps ``raw_output`` (output through the cleaned text).
     """
-    out = F.col("output")
-    if mode == "complete":
-        body = text.drop_prompt_prefix(out, F.col(suite.complete_prefix_col))
-        pure = defect.truncate_defect_answer(body) if suite.chat_extraction == "marker" \
-            else braces.stop_at_function(body)
-        prompt_col = "prompt_complete"
-    elif mode == "chat":
-        pure = defect.truncate_defect_answer(out) if suite.chat_extraction == "marker" \
-            else text.extract_chat_function(out, F.col("function_signature"), suite.strip_signature)
-        prompt_col = "prompt_chat"
-    else:
-        raise NotImplementedError(mode)
+    pure = suite.cleaned(mode)
     return samples.select(
         *(run_keys or []), "task_idx", "sample_idx",
-        text.py_strip(F.col(prompt_col)).alias("input"),
+        text.py_strip(F.col(f"prompt_{mode}")).alias("input"),
         pure.alias("output"),
-        text.reconstruct_raw_output(out, pure).alias("raw_output"),
+        text.reconstruct_raw_output(F.col("output"), pure).alias("raw_output"),
     )
 
 
@@ -85,7 +58,7 @@ def prepare_samples(spark: SparkSession, suite_name: str, tasks: DataFrame, gene
         samples = smp.flatten_samples(smp.first_n_outputs(gens, num_samples).select(*keys, "outputs"))
     else:
         samples = smp.first_n_samples(gens.select(*keys, "sample_idx", "output"), num_samples, part=keys)
-    need = sorted({c for c in (suite.complete_prefix_col, "function_signature", "prompt_complete", "prompt_chat")
+    need = sorted({c for c in (suite.complete_prefix_col, "function_signature", "prompt_complete", "prompt_chat", *suite.task_columns)
                    if c and c in tasks.columns})
     samples = smp.attach_task(samples, tasks, need)
     pp = postprocess(samples, suite, mode, run_keys)
@@ -94,14 +67,6 @@ def prepare_samples(spark: SparkSession, suite_name: str, tasks: DataFrame, gene
     return spark.read.parquet(path)
 
 
-def sample_tokens(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """Per sample the tokens of its prompt and of its raw output, counted where the texts are read:
-    no text crosses a shuffle."""
-    return samples.select(*keys, "sample_idx",
-                          tokens.count_tokens(F.col("input")).cast("long").alias("input_tokens"),
-                          tokens.count_tokens(F.col("raw_output")).cast("long").alias("output_tokens"))
-
-
 def score(samples: DataFrame, suite_name: str, verdicts: DataFrame | None = None,
           tasks: DataFrame | None = None, coverage_lines: DataFrame | None = None,
           run_keys: list[str] | None = None, require_verdicts: bool = False) -> EvalReport:
@@ -121,38 +86,8 @@ def score(samples: DataFrame, suite_name: str, verdicts: DataFrame | None = None
     task_idx`` and the suite level is per run.
     """
     suite = get_suite(suite_name)
-    run_keys = list(run_keys or [])
-    keys = run_keys + ["task_idx"]
-    if suite.chat_extraction == "marker":
-        lab = met.label_answers(samples)
-        lab = smp.attach_task(lab, tasks.select("task_idx", "defective"), ["defective"])
-        conf = met.defect_confusion(met.defect_variants(lab), by=run_keys + ["variant"])
-        return EvalReport(samples=samples, defect=met.defect_scores(conf))
-
-    flags = list(suite.flags)
-    on = keys + ["sample_idx"]
-    judged = verdicts.withColumn("__judged", F.lit(True))
-    scored = sample_tokens(samples, keys).join(judged, on, "left" if require_verdicts else "inner")
-    if require_verdicts:
-        scored = require_present(scored, "__judged", "a selected sample has no verdict")
-    # One grouped pass: verdict counts, tokens and coverage of the same rows.
-    extra = [F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens")]
-    if suite.has_coverage:
-        extra += [F.avg("line_coverage").alias("line_coverage"), F.avg("condition_coverage").alias("condition_coverage")]
-    counts = met.with_total_tokens(ver.task_verdict_counts(scored, flags, task_keys=keys, extra_aggs=extra))
-    task_metrics = met.task_metrics_long(counts, flags, list(suite.k_grid), list(suite.t_grid), keys)
-    report = EvalReport(samples=samples, task_counts=counts, task_metrics=task_metrics,
-                        suite_metrics=met.suite_pass_metrics(task_metrics, by=run_keys),
-                        solved=met.suite_solved_counts(counts, flags, by=run_keys),
-                        detail=met.task_detail_report(counts, flags, list(suite.k_grid), list(suite.t_grid), keys))
-    if suite.has_coverage:
-        report.coverage = counts.groupBy(*run_keys).agg(F.avg("line_coverage").alias("line_coverage"),
-                                                        F.avg("condition_coverage").alias("condition_coverage"))
-        if coverage_lines is not None:
-            if "sample_idx" in coverage_lines.columns:
-                coverage_lines = coverage_lines.join(samples.select(*on), on, "left_semi")
-            report.diff_coverage = cov.diff_coverage(coverage_lines, counts.select(*keys), keys)
-    return report
+    return suite.report(suite, samples=samples, verdicts=verdicts, tasks=tasks, coverage_lines=coverage_lines,
+                        run_keys=run_keys, require_verdicts=require_verdicts)
 
 
 def verdicts_from_facts(suite_name: str, run_steps: DataFrame, coverage: DataFrame | None = None,
@@ -163,13 +98,7 @@ def verdicts_from_facts(suite_name: str, run_steps: DataFrame, coverage: DataFra
     read coverage from the fixed version's ``coverage`` step, unless
     ``coverage`` (keys + a ``coverage`` struct) brings it.
     """
-    suite = get_suite(suite_name)
-    keys = keys or ["task_idx", "sample_idx"]
-    if suite.twin_versions:
-        return ver.issue_verdict_from_facts(run_steps, keys, coverage)
-    if suite.has_coverage:
-        return ver.reduce_testgen_verdict(run_steps, keys)
-    return ver.reduce_patch_verdict(run_steps, keys)
+    return get_suite(suite_name).verdict(run_steps, keys or ["task_idx", "sample_idx"], coverage)
 
 
 def run_evaluate(spark: SparkSession, suite_name: str, tasks: DataFrame, generations: DataFrame, mode: str,
@@ -194,16 +123,21 @@ def run_evaluate(spark: SparkSession, suite_name: str, tasks: DataFrame, generat
 def evaluate_files(spark: SparkSession, suite_name: str, tasks_path: str, generations_path: str, mode: str,
                    output_path: str, begin: int = -1, end: int = -1, num_samples: int | None = None,
                    run_steps_path: str | None = None, generations_multiline: bool = True,
-                   run_keys: dict | None = None, coverage_lines_path: str | None = None) -> DataFrame:
+                   run_keys: dict | None = None, coverage_lines_path: str | None = None,
+                   model_id: str = "model", suffix: str = "default") -> DataFrame:
     """File in, report out, like the original evaluate entry point.
 
     Reads the tasks file and the generations document, writes the
     post-processed stage beside the generations (``<name>-postprocess``),
     scores with the run facts when given, and writes the long metric table
     plus one results document per run under ``output_path``.  Coverage
-    suites may add ``coverage_lines_path`` (Parquet: ``task_idx, class,
+    suites may add ``coverage_lines_path`` (Parquet: ``task_idx, sample_idx, class,
     file, number, hit`` per covered line) for ``diff_coverage``.  ``time_cost``
     and ``end_time`` are measured on the driver around the scoring jobs.
+
+    The results document, with the detail of every task in index order, is
+    ``log/<model_id>/<suite>/evaluation-<suffix>-<mode>.json`` under
+    ``output_path``; what is returned has the same results without the detail.
     """
     import time
 
@@ -229,8 +163,8 @@ def evaluate_files(spark: SparkSession, suite_name: str, tasks_path: str, genera
         out.write.mode("overwrite").partitionBy(*keys).parquet(f"{output_path}/defect")
         end_time = time.time()
         doc = out.groupBy(*keys).agg(F.to_json(F.struct(
-            F.map_from_entries(F.collect_list(F.struct("variant", F.struct(*[c for c in rep.defect.columns
-                                                                               if c != "variant"])))).alias("results"),
+            *[F.max_by(F.struct(*[c for c in rep.defect.columns if c != "variant"]), F.when(F.col("variant") == v, F.lit(1))).alias(f"results_{v}")
+              for v in ("all", "one")],
             F.lit(end_time - start).alias("time_cost"), F.lit(end_time).alias("end_time"))).alias("document"))
     else:
         suite = get_suite(suite_name)
@@ -245,4 +179,27 @@ def evaluate_files(spark: SparkSession, suite_name: str, tasks_path: str, genera
         doc = sinks.results_document(metrics, rep.solved.select(*lit_keys, "*"), keys, list(suite.flags),
                                      {"time_cost": end_time - start, "end_time": end_time}, scalars=scalars)
     doc.write.mode("overwrite").partitionBy(*keys).json(f"{output_path}/documents")
-    return spark.read.json(f"{output_path}/documents")
+    back = spark.read.json(f"{output_path}/documents")
+    write_run_document(back, rep.detail, output_path, model_id, suite_name, mode, suffix)
+    return back
+
+
+def write_run_document(documents: DataFrame, detail: DataFrame | None, output_path: str, model_id: str, suite_name: str, mode: str,
+                       suffix: str = "default") -> str:
+    """The document of one run, with the tasks' ``detail`` if the suite has one; its path under ``output_path``."""
+    from evalspark.sources.documents import write_documents
+
+    name = f"log/{model_id}/{suite_name}/evaluation-{suffix}-{mode}.json"
+    heads = documents.select(F.lit(name).alias("document"), F.col("document").alias("head"))
+    if detail is None:
+        entries = heads.sparkSession.createDataFrame([], "document string, idx long, entry string")
+    else:
+        rest = []
+        for f in detail.schema.fields:
+            if f.dataType.typeName() == "struct":        # a flag: its metrics by their names in the document
+                rest.append(F.struct(*[F.col(f"{f.name}.{x}").alias(re.sub(r"_at_(.)_", r"@\1-", x)) for x in f.dataType.names]).alias(f.name))
+            elif f.name != "task_idx":
+                rest.append(F.col(f.name))
+        entries = detail.select(F.lit(name).alias("document"), F.col("task_idx").alias("idx"), F.to_json(F.struct(*rest)).alias("entry"))
+    write_documents(heads, entries, output_path)
+    return f"{output_path}/{name}"

@@ -104,7 +104,7 @@ FROM V_samples JOIN labels USING (doc_id)""",
 FROM pages""",
     "V_signatures": """SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'public int f(int a)' WHEN 1 THEN concat('@Override', chr(10), 'public void g(String s)')
   WHEN 2 THEN concat('int h( // first', chr(10), ' int b)') WHEN 3 THEN '@Test public void t()'
-  ELSE concat('static T k', CAST(page_id AS VARCHAR), ' (T x) // end') END AS sig
+  ELSE concat('static T k', CAST(page_id AS VARCHAR), ' (T x) // end') END || chr(10) || coalesce(html, '') AS sig
 FROM pages""",
     "V_steps": """SELECT user_id, run_day, step_no, CASE WHEN step_no = n_steps THEN 'suite' ELSE 'trigger' END AS kind,
   CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS exit_code, event_type <> 'error' AND value >= 140 AS timed_out,
@@ -128,15 +128,21 @@ FROM orders""",
 FROM events""",
     "V_partials": "SELECT conv_id AS task_id, turn AS ord, text AS output, role AS gen_mode FROM conversations",
     "V_turns": "SELECT conv_id, turn, role, text FROM conversations",
-    "V_chunks": """SELECT conv_id AS request_id, turn AS seq, CASE turn % 4 WHEN 0 THEN concat('f() { a', text)
-   WHEN 1 THEN concat(text, '{ b } Yes, it has') WHEN 2 THEN concat(' defects } done', text)
-   ELSE ' }' END AS text
+    "V_chunks": """SELECT conv_id AS request_id, turn AS seq, CASE WHEN role = 'system' THEN ''
+   ELSE CASE turn % 4 WHEN 0 THEN concat('f() { a', text) WHEN 1 THEN concat(text, '{ b } Yes, it has')
+   WHEN 2 THEN concat(' defects } done', text) ELSE concat(' }', text) END END AS text
 FROM conversations""",
+    "V_chat_samples": """SELECT * REPLACE (CASE doc_id % 3 WHEN 1 THEN concat('Sure: public int f', task_idx, '(int a) { return 1; } ', output)
+   WHEN 2 THEN concat('Sure: public int f', task_idx, '(int a) { ', output) ELSE output END AS output)
+FROM V_samples""",
+    "V_sample_lines": """SELECT task_idx, sample_idx, concat('C', task_idx) AS class, CAST(n_chars % 17 AS VARCHAR) AS number, doc_id % 2 = 0 AS hit FROM V_samples
+UNION ALL SELECT task_idx, sample_idx, concat('C', task_idx), CAST(doc_id % 13 AS VARCHAR), n_chars % 2 = 0 FROM V_samples""",
     "V_classes": "SELECT p_partkey, concat(p_brand, ',', p_type, ',', p_brand) AS names FROM part",
     "V_docs": "SELECT doc_id, text, lang, n_chars FROM documents",
 }
 
-DEPS = {"V_verdicts": ["V_samples"], "V_scored": ["V_samples"], "V_answers": ["V_samples"]}
+DEPS = {"V_verdicts": ["V_samples"], "V_scored": ["V_samples"], "V_answers": ["V_samples"], "V_chat_samples": ["V_samples"],
+        "V_sample_lines": ["V_samples"]}
 
 
 def with_views(names: list[str], ctes: list[tuple[str, str]], body: str) -> str:
@@ -230,26 +236,26 @@ TOKENS_JOIN = ("SELECT c.*, CAST(coalesce(p.prompt_tokens, 0) * c.total AS DOUBL
                " AS prompt_tokens FROM V_tasks) p USING (task_idx)")
 
 
-def flags_long(src: str, extra: str = "") -> str:
+def flags_long(src: str, extra: str = "", flags=FLAGS) -> str:
     return " UNION ALL ".join(
         f"SELECT task_idx, total{extra}, '{f}' AS flag, CAST(c_{f.removeprefix('pass_')} AS BIGINT) AS c FROM {src}"
-        for f in FLAGS)
+        for f in flags)
 
 
 def grid(values) -> str:
     return "(VALUES " + ", ".join(f"({v})" for v in values) + ")"
 
 
-def passk_rows(src: str, k_grid) -> str:
+def passk_rows(src: str, k_grid, flags=FLAGS) -> str:
     return (f"SELECT task_idx, flag, 'pass@k' AS metric, CAST(k AS DOUBLE) AS param, total AS n, c, "
-            f"{passk('total', 'c', 'CAST(k AS DOUBLE)')} AS value FROM ({flags_long(src)}) f, {grid(k_grid)} g(k) "
+            f"{passk('total', 'c', 'CAST(k AS DOUBLE)')} AS value FROM ({flags_long(src, flags=flags)}) f, {grid(k_grid)} g(k) "
             f"WHERE total >= k")
 
 
-def passt_rows(src: str, t_grid) -> str:
+def passt_rows(src: str, t_grid, flags=FLAGS) -> str:
     kk = "(CAST(t AS DOUBLE) / (total_tokens / total))"
     return (f"SELECT task_idx, flag, 'pass@t' AS metric, CAST(t AS DOUBLE) AS param, total AS n, c, "
-            f"{passk('total', 'c', kk)} AS value FROM ({flags_long(src, ', total_tokens')}) f, {grid(t_grid)} g(t) "
+            f"{passk('total', 'c', kk)} AS value FROM ({flags_long(src, ', total_tokens', flags)}) f, {grid(t_grid)} g(t) "
             f"WHERE total_tokens >= t")
 
 
@@ -305,15 +311,20 @@ def scores_sql(conf_sql: str, keys: str) -> str:
 
 
 def _screen_sql() -> str:
-    ctes = stop_ctes("V_code", ["page_id"], "answer", "sc")
-    fin = ("SELECT page_id, coalesce(sum(CASE WHEN ch = '{' AND nq % 2 = 0 THEN 1 WHEN ch = '}' AND nq % 2 = 0 THEN -1 ELSE 0 END), 0) AS depth, "
-           "min(depth) AS min_depth, count(*) FILTER (WHERE ch = '\"') AS nquotes FROM sc_d GROUP BY page_id")
-    return with_views(["V_code"], ctes[:4] + [("fin", fin)],
-                      "SELECT page_id, coalesce(depth = 0 AND min_depth >= 0 AND nquotes % 2 = 0, true) AS structurally_ok "
-                      "FROM V_code LEFT JOIN fin USING (page_id)")
-
-
-def _stream_function_sql(prefix: str = "") -> str:
+    """Well-formed strings, char literals and comments are taken out, leftmost first; what is left must hold no opening of
+    one, and its braces must be balanced."""
+    whole = r"""'\"(?s:[^"\\]|\\.)*"|''(?s:[^''\\]|\\.)*''|//[^\n]*|/\*(?s:[^*]|\*+[^*/])*\*+/'"""
+    bare = f"SELECT page_id, regexp_replace(answer, {whole}, ' ', 'g') AS t FROM V_code"
+    chars = ("SELECT page_id, i, CASE ch WHEN '{' THEN 1 ELSE -1 END AS d FROM (SELECT page_id, unnest(string_split(t, '')) AS ch, "
+             "generate_subscripts(string_split(t, ''), 1) AS i FROM bare) WHERE ch IN ('{', '}')")
+    depth = "SELECT page_id, d, sum(d) OVER (PARTITION BY page_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS depth FROM chars"
+    fin = "SELECT page_id, sum(d) AS depth, min(depth) AS least FROM depths GROUP BY page_id"
+    return with_views(["V_code"], [("bare", bare), ("chars", chars), ("depths", depth), ("fin", fin)],
+                      "SELECT page_id, NOT regexp_matches(t, '[\"'']|/\\*') AND coalesce(depth, 0) = 0 AND coalesce(least, 0) >= 0 AS structurally_ok "
+                      "FROM bare LEFT JOIN fin USING (page_id)")
+
+
+def _stream_function_sql(prefix: str = "", prompt: bool = False) -> str:
     """Stop chunk = the chunk holding the first closing character of the scan
     over ``prefix + all chunks``; output = the chunks up to it."""
     n = len(prefix)
@@ -323,10 +334,13 @@ def _stream_function_sql(prefix: str = "") -> str:
            "ROWS UNBOUNDED PRECEDING) AS cum_end FROM V_chunks")
     ss = ("SELECT c.request_id, min(c.seq) AS stop_seq, min(c.cum_end) AS stop_end FROM cum c JOIN st USING (request_id) "
           f"WHERE c.cum_end + {n} >= st.stop_pos GROUP BY c.request_id")
-    return with_views(["V_chunks"], [("full_text", full), ("cum", cum)] + stop_ctes("full_text", ["request_id"], "scanned", "st")
-                      + [("ss", ss)],
-                      "SELECT request_id, stop_seq, CASE WHEN stop_seq IS NULL THEN txt ELSE substring(txt, 1, CAST(stop_end AS BIGINT)) END AS output "
-                      "FROM full_text LEFT JOIN ss USING (request_id)")
+    output = "CASE WHEN stop_seq IS NULL THEN txt ELSE substring(txt, 1, CAST(stop_end AS BIGINT)) END"
+    source = "full_text LEFT JOIN ss USING (request_id)"
+    if prompt:
+        output = f"concat({strip('prompt_complete')}, {output})"
+        source += " JOIN V_tasks ON task_idx = request_id % (SELECT count(*) FROM benchmark)"
+    return with_views(["V_chunks", "V_tasks"], [("full_text", full), ("cum", cum)] + stop_ctes("full_text", ["request_id"], "scanned", "st")
+                      + [("ss", ss)], f"SELECT request_id, stop_seq, {output} AS output FROM {source}")
 
 
 def _stream_chat_sql(sig: str) -> str:
@@ -384,6 +398,66 @@ def _evaluate_complete_sql(where: str = "true") -> str:
                       suite_rows(rows))
 
 
+def _chat_ctes(strip_sig: bool) -> list[tuple[str, str]]:
+    """CTEs ending in ``pp``: chat-mode post-processing of V_chat_samples."""
+    sig = "concat('public int f', task_idx, '(int a)')"
+    pre, sub = clean_sig_sql("s")
+    base = f"SELECT *, {strip_comments_sql(strip(sig) if strip_sig else sig)} AS s FROM V_chat_samples JOIN V_tasks USING (task_idx)"
+    parts = f"SELECT *, {pre} AS pre, {sub} AS sub FROM base"
+    seg = "SELECT task_idx, sample_idx, split_part(output, sub, 2) AS part FROM parts WHERE strpos(output, sub) > 0"
+    pure = ("SELECT parts.*, CASE WHEN strpos(output, sub) > 0 THEN concat(pre, sub, " + cut_at_stop("part", "x.stop_pos")
+            + f") ELSE concat({q(MISSING_FUNCTION_PREFIX)}, output) END AS pure FROM parts LEFT JOIN seg USING (task_idx, sample_idx) "
+            "LEFT JOIN x USING (task_idx, sample_idx)")
+    pp = (f"SELECT task_idx, sample_idx, {strip('prompt_chat')} AS input, pure AS output, CASE WHEN length(pure) = 0 THEN '' "
+          "WHEN strpos(output, pure) > 0 THEN substring(output, 1, strpos(output, pure) - 1 + length(pure)) ELSE output END AS raw_output FROM p")
+    return [("base", base), ("parts", parts), ("seg", seg)] + stop_ctes("seg", ["task_idx", "sample_idx"], "part", "x") + [("p", pure), ("pp", pp)]
+
+
+def _step(code: str, late: str, failing: str) -> str:
+    """Status of a test step from what its facts are made of."""
+    return f"(CASE WHEN {late} THEN 'timeout' WHEN {code} THEN 'compile_fail' WHEN {failing} = 0 THEN 'ok' ELSE 'failed' END)"
+
+
+_STATUS = ("SELECT task_idx, sample_idx, n_chars % 17 <> 0 AS syn, " + _step("doc_id % 7 = 0", "n_chars >= 5000", "doc_id % 3") + " AS one, "
+           + _step("doc_id % 11 = 0", "n_chars % 13 = 0", "doc_id % 2") + " AS two, " + _step("doc_id % 5 = 0", "false", "doc_id % 4") + " AS buggy, "
+           "doc_id % 11 <> 0 AND n_chars % 13 <> 0 AS covered, (n_chars % 101) / 100.0::DOUBLE AS lines, (doc_id % 101) / 100.0::DOUBLE AS conds FROM V_samples")
+_PATCH = ("SELECT task_idx, sample_idx, syn AS pass_syntax, syn AND one <> 'compile_fail' AS pass_compile, "
+          "syn AND one = 'ok' AND two NOT IN ('timeout', 'compile_fail') AS pass_trigger, syn AND one = 'ok' AND two = 'ok' AS pass_all, "
+          "syn AND one = 'timeout' AS timed_out FROM st")
+
+
+def _covered(passed: str, compile_fail: str, late: str) -> str:
+    return (f"SELECT task_idx, sample_idx, syn AS pass_syntax, syn AND NOT {compile_fail} AS pass_compile, "
+            f"syn AND {passed} AND covered AND lines <> 0 AS pass_trigger, false AS pass_all, syn AND {late} AS timed_out, "
+            f"CASE WHEN syn AND {passed} AND covered THEN lines ELSE 0.0::DOUBLE END AS line_coverage, "
+            f"CASE WHEN syn AND {passed} AND covered THEN conds ELSE 0.0::DOUBLE END AS condition_coverage FROM st")
+
+
+_TEST = _covered("one = 'ok'", "one = 'compile_fail'", "one = 'timeout'")
+_ISSUE = _covered("one = 'ok' AND buggy <> 'ok'", "(one = 'compile_fail' OR buggy = 'compile_fail')", "(one = 'timeout' OR buggy = 'timeout')")
+K_GRID_DEFAULT = [1, 5, 10, 20, 100]
+
+
+def _evaluate_sql(samples: list[tuple[str, str]], verdict: str, flags: list[str], k_grid: list[int], coverage: bool, where: str = "true") -> str:
+    """Suite metrics, and per task the triggered samples and the coverage, of the selected samples."""
+    sel = f"SELECT * FROM pp JOIN vd USING (task_idx, sample_idx) WHERE {where}"
+    cover = ", avg(line_coverage) AS line_coverage, avg(condition_coverage) AS condition_coverage" if coverage else ""
+    counts = (f"SELECT v.*, t.* EXCLUDE (task_idx) FROM ({COUNTS.format(src='sel')}) v JOIN (SELECT task_idx, "
+              f"CAST({ntok('any_value(input)')} AS BIGINT) * count(*) * 0.5::DOUBLE + CAST(sum({ntok('raw_output')}) AS BIGINT) AS total_tokens{cover} "
+              "FROM sel GROUP BY task_idx) t USING (task_idx)")
+    ctes = samples + [("st", _STATUS), ("vd", verdict), ("sel", sel), ("counts", counts)]
+    rows = passk_rows("counts", k_grid, flags) + " UNION ALL " + passt_rows("counts", T_GRID, flags)
+    out = [f"SELECT 'suite' AS level, CAST(NULL AS INT) AS task_idx, flag, metric, param, n_tasks AS n, value FROM ({suite_rows(rows)})",
+           "SELECT 'task', task_idx, 'pass_trigger', 'count', 0.0::DOUBLE, total, CAST(c_trigger AS DOUBLE) FROM counts"]
+    if coverage:
+        ratio = ("SELECT task_idx, CAST(count(*) FILTER (WHERE hit) AS DOUBLE) / count(*) AS diff_coverage FROM (SELECT DISTINCT task_idx, class, "
+                 "number, hit FROM V_sample_lines JOIN (SELECT task_idx, sample_idx FROM sel) USING (task_idx, sample_idx)) GROUP BY task_idx")
+        ctes.append(("ratio", ratio))
+        out += [f"SELECT 'task', task_idx, 'coverage', '{c}', 0.0::DOUBLE, total, round({c}, 9) FROM counts LEFT JOIN ratio USING (task_idx)"
+                for c in ("line_coverage", "condition_coverage", "diff_coverage")]
+    return with_views(["V_samples", "V_tasks", "V_chat_samples", "V_sample_lines"], ctes, " UNION ALL ".join(out))
+
+
 def _extract_sql() -> str:
     s0 = strip_comments_sql(strip("sig"))
     pre, sub = clean_sig_sql("s")
@@ -558,8 +632,8 @@ def oracle_sql() -> dict[str, str]:
     qs["target_classes"] = with_views(["V_classes"], [], "SELECT p_partkey, array_to_string(list_sort(list_distinct(string_split(names, ','))), ',') AS classes FROM V_classes")
     qs["order_by_task"] = "SELECT task_id, n_outputs FROM (" + merged_sql(5) + ")"
     qs["shard_requests"] = with_views(["V_tasks"], [("req", "SELECT task_idx, CAST(copy_no AS INT) AS copy_no FROM V_tasks, (SELECT unnest(range(1, 8)) AS copy_no) c")],
-                                      "SELECT task_idx, copy_no, CAST(('0x' || substr(md5(concat('42', '-', CAST(task_idx AS VARCHAR), '-', "
-                                      "CAST(copy_no AS VARCHAR))), 1, 8))::UBIGINT % 8 AS INT) AS shard_id FROM req")
+                                      "SELECT task_idx, copy_no, CAST((row_number() OVER (ORDER BY md5(concat('42', '-', CAST(task_idx AS VARCHAR), '-', "
+                                      "CAST(copy_no AS VARCHAR))), task_idx, copy_no) - 1) % 8 AS INT) AS shard_id FROM req")
     qs["strip_line_comments"] = with_views(["V_signatures"], [], f"SELECT page_id, {strip_comments_sql('sig')} AS sig FROM V_signatures")
     pre, sub = clean_sig_sql("s")
     qs["clean_signature"] = with_views(["V_signatures"], [("cs", f"SELECT page_id, {strip_comments_sql('sig')} AS s FROM V_signatures")],
@@ -587,9 +661,13 @@ def oracle_sql() -> dict[str, str]:
     qs["parse_coverage_summary"] = _coverage_summary_sql()
     qs["first_compiler_error"] = with_views(["V_err_log"], [], f"SELECT event_id, CASE WHEN failed THEN nullif(split_part(regexp_extract(stderr, "
                                             f"{q(COMPILER_ERROR_RE)}, 0), {NL}, 1), '') END AS first_error FROM V_err_log")
-    qs["truncate_prompt_tokens"] = with_views(["V_docs"], [("t", f"SELECT doc_id, regexp_extract_all(text, {TOK}) AS toks FROM V_docs")],
-                                              "SELECT doc_id, array_to_string(list_slice(toks, greatest(len(toks) - 64, 0) + 1, greatest(len(toks) - 64, 0) + 64), ' ') "
-                                              "AS complete_kept, array_to_string(list_slice(toks, 1, 64), ' ') AS chat_kept FROM t")
+    def first(pieces: str, n: str) -> str:
+        return f"coalesce(list_sum(list_transform(list_slice({pieces}, 1, {n}), lambda x: length(x))), 0)"
+
+    qs["truncate_prompt_tokens"] = with_views(["V_docs"], [(
+        "t", f"SELECT doc_id, text, regexp_extract_all(text, {TOK}) AS toks, string_split_regex(text, {TOK}) AS gaps FROM V_docs")],
+        f"SELECT doc_id, CASE WHEN len(toks) <= 64 THEN text ELSE substring(text, CAST({first('gaps', 'len(toks) - 63')} + {first('toks', 'len(toks) - 64')} AS BIGINT) + 1) END "
+        f"AS complete_kept, CASE WHEN len(toks) <= 64 THEN text ELSE substring(text, 1, CAST({first('gaps', '64')} + {first('toks', '64')} AS BIGINT)) END AS chat_kept FROM t")
     raw = "concat(CASE role WHEN 'system' THEN '###' WHEN 'assistant' THEN 'Assistant: ' ELSE '' END, '<s>', text, ' ###tail</s>')"
     c1 = "CASE WHEN strpos(raw, '###') > 1 THEN substring(raw, 1, strpos(raw, '###') - 1) ELSE raw END"
     c2 = strip(f"replace(replace(replace({c1}, '<s>', ''), '</s>', ''), '<unk>', '')")
@@ -603,7 +681,7 @@ def oracle_sql() -> dict[str, str]:
     qs["syntax_screen"] = _screen_sql()
     qs["stream_stop_function"] = _stream_function_sql()
     qs["stream_stop_marker"] = _stream_marker_sql()
-    qs["stream_stop_signature"] = _stream_function_sql("f(){\n")
+    qs["stream_stop_signature"] = _stream_function_sql("f(){\n", prompt=True)
     qs["stream_stop_chat"] = _stream_chat_sql("f()")
     qs["stream_collect_partials"] = merged_sql(5)
     two = ("SELECT 'complete' AS suite, * FROM (" + passk_rows("counts", K_GRID_COMPLETE) + ") UNION ALL "
@@ -614,11 +692,17 @@ def oracle_sql() -> dict[str, str]:
     qs["reorg_partials"] = """
 WITH o AS (
   SELECT concat('model-', CAST(doc_id % 2 AS VARCHAR)) AS model_id, concat('task-', source) AS task_id, doc_id, pos,
-         concat(CASE pos WHEN 0 THEN 'a' ELSE 'b' END, CAST(doc_id AS VARCHAR)) AS output
+         concat(CASE pos WHEN 0 THEN '' ELSE 'again ' END, coalesce(text, '')) AS output
   FROM documents CROSS JOIN (SELECT unnest([0, 1]) AS pos) p),
 r AS (SELECT *, row_number() OVER (PARTITION BY model_id, task_id ORDER BY doc_id, pos) AS n FROM o)
-SELECT model_id, task_id, string_agg(output, ',' ORDER BY n) AS outputs, count(*) AS n_outputs
+SELECT model_id, task_id, md5(string_agg(output, chr(30) ORDER BY n)) AS outputs_md5, count(*) AS n_outputs
 FROM r WHERE n <= 25 GROUP BY model_id, task_id"""
+    test_flags = FLAGS[:3]
+    qs["evaluate_repair"] = _evaluate_sql(_postprocessed_ctes(), _PATCH, FLAGS, K_GRID_DEFAULT, False)
+    qs["evaluate_complete_chat"] = _evaluate_sql(_chat_ctes(True), _PATCH, FLAGS, K_GRID_COMPLETE, False)
+    qs["evaluate_testgen"] = _evaluate_sql(_postprocessed_ctes(), _TEST, test_flags, K_GRID_DEFAULT, True,
+                                           "task_idx BETWEEN 1 AND 30 AND sample_idx < 9")
+    qs["evaluate_testgenissue"] = _evaluate_sql(_chat_ctes(False), _ISSUE, test_flags, K_GRID_DEFAULT, True)
     qs["evaluate_defectdetection"] = scores_sql(confusion_sql("variant"), "variant, ")
     qs["leaderboard"] = _leaderboard_sql()
     return qs

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalspark.schemas import GENERATIONS, RUN_STEPS, TASKS
+from evalspark.sources.jsonarray import RANGE_BYTES, read_json_array
 from evalspark.suites import get_suite
 
 
@@ -50,13 +51,16 @@ def generations_schema(task_id_type: T.DataType = T.StringType(), with_ord: bool
 
 
 def load_generations(spark: SparkSession, path: str, multi_line: bool = True,
-                     schema: T.StructType | None = None) -> DataFrame:
+                     schema: T.StructType | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Merged generations: a JSON array document (``multi_line``) or JSON lines.
 
-    A JSON array file is one record list and cannot be split across tasks;
-    JSON-lines files can.  A malformed record fails the job.
+    Both are read by many tasks: lines by Spark's reader, an array by
+    :mod:`evalspark.sources.jsonarray`.  A malformed record fails the job.
     """
-    return _read(spark, path, schema or generations_schema(), "json", multiLine=str(multi_line).lower(), mode="FAILFAST")
+    schema = schema or generations_schema()
+    if multi_line:
+        return read_json_array(spark, path, schema, range_bytes)
+    return _read(spark, path, schema, "json", mode="FAILFAST")
 
 
 def load_partials(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

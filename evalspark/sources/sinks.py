@@ -23,6 +23,26 @@ def write_generations(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_generations_array(df: DataFrame, path: str) -> None:
+    """Generations as JSON array documents, one per task of the write: a record a line, brackets and commas around."""
+    lines = df.select(F.to_json(F.struct("*")).alias("value"))
+
+    def bracketed(batches):
+        first = True
+        for pdf in batches:
+            if len(pdf):
+                values = ["," + v for v in pdf["value"]]
+                if first:
+                    values[0] = "[" + values[0][1:]
+                first = False
+                yield pdf.assign(value=values)
+        if not first:
+            import pandas as pd
+            yield pd.DataFrame({"value": ["]"]})
+
+    lines.mapInPandas(bracketed, "value string").write.mode("overwrite").text(path)
+
+
 def write_merged(df: DataFrame, path: str, partition_cols: tuple[str, ...] = RUN_KEYS,
                  order: str = "task_id", fmt: str = "parquet") -> None:
     """Merged generations, one folder per run, task-ordered inside each file.

@@ -1,11 +1,13 @@
 """Early stop over streamed model output, as keyed streaming state.
 
 Chunks ``(request_id, seq, text)`` arrive in any order and across
-micro-batches.  Per request the state keeps the next expected ``seq``, the
-chunks that arrived early, the output so far and a resumable scan state, so
-each character is scanned once (no rescan of the growing text).  A request
-stops after the whole chunk in which the rule first holds; its row
-``(request_id, stop_seq, output)`` is emitted once.
+micro-batches.  Per request a value state holds the next expected ``seq`` and a
+resumable scan (each character is scanned once), a list state the pieces of
+the output so far (a micro-batch appends its own pieces and rewrites none) and
+a map state the chunks that arrived early.  A request stops after the whole
+chunk in which the rule first holds; its row ``(request_id, stop_seq, output)``
+is emitted once.  Chunks marked ``special`` (special tokens) count in the order
+but are neither scanned nor part of the output.
 
 Rules (by suite):
   * ``text``: brace scan of the generated text itself (repair);
@@ -21,23 +23,26 @@ Rules (by suite):
     tail of ``max(len(marker)) - 1`` characters catches sentences split over
     chunks.
 
-Requests that never stop keep their state; :func:`finish_open_requests`
-adds them from the source in a batch pass (full text, ``stop_seq`` NULL).
+Timers end what the chunks leave open.  ``idle_ms`` after a request's last
+chunk, in event time (past the watermark) or in processing time, a request
+that did not stop is emitted with its whole text and no ``stop_seq``, and the
+state of every request, stopped or not, is removed.  A finite log ends with a
+closing row (:func:`closing_row`): it moves the watermark past every timer, so
+the last micro-batch empties the state.
 """
 
 from __future__ import annotations
 
-import json
 import re
 import sys
 from typing import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from evalspark.functions.defect import STREAM_STOP_MARKERS
 
@@ -49,17 +54,12 @@ OUTPUT_SCHEMA = T.StructType([
     T.StructField("output", T.StringType()),
 ])
 
-STATE_SCHEMA = T.StructType([
-    T.StructField("next_seq", T.LongType()),
-    T.StructField("depth", T.LongType()),
-    T.StructField("in_quote", T.BooleanType()),
-    T.StructField("seen", T.BooleanType()),
-    T.StructField("tail", T.StringType()),
-    T.StructField("pending", T.StringType()),
-    T.StructField("output", T.StringType()),
-    T.StructField("done", T.BooleanType()),
-    T.StructField("phase", T.LongType()),
-])
+IDLE_MS = 3_600_000           # after a request's last chunk
+LATENESS = "1 day"            # of the watermark behind the latest chunk
+END_OF_STREAM = "2200-01-01 00:00:00"
+
+_SCAN_STATE = ("next_seq long, depth long, in_quote boolean, seen boolean, tail string, phase long, done boolean, "
+               "n_early long, deadline long, carry string")
 
 SEARCHING, SCANNING, FROZEN = 0, 1, 2
 
@@ -113,78 +113,116 @@ def chat_step(text: str, sig: str, phase: int, held: str, depth: int, in_quote:
     return hit, SCANNING, held, depth, in_quote, seen
 
 
-def _stop_function(rule: str, markers: list[str], grace_ms: int | None):
-    keep = max((len(m) for m in markers), default=1) - 1
-
-    def fn(key, batches: Iterator[pd.DataFrame], state):
-        if state.hasTimedOut:               # stopped, and the grace for late chunks is over
-            state.remove()
+class StopProcessor(StatefulProcessor):
+    """The early stop of one request; rows: ``seq, text, special, prefix, carry, ts``."""
+
+    def __init__(self, rule: str, markers: list[str], idle_ms: int, event_time: bool):
+        self.rule, self.markers, self.idle_ms, self.event_time = rule, markers, idle_ms, event_time
+        self.keep = max((len(m) for m in markers), default=1) - 1
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.scan = handle.getValueState("scan", _SCAN_STATE)
+        self.pieces = handle.getListState("pieces", "piece string")
+        self.early = handle.getMapState("early", "seq long", "text string, special boolean")
+
+    def _now(self, timers, latest: int) -> int:
+        return latest if self.event_time else timers.getCurrentProcessingTimeInMs()
+
+    def _row(self, key, stop_seq: int | None, output: str, carry: str | None) -> pd.DataFrame:
+        return pd.DataFrame({"request_id": pd.array([int(key[0])], "Int64"), "stop_seq": pd.array([stop_seq], "Int64"),
+                             "output": [output], "carry": [carry]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state = self.scan.get() if self.scan.exists() else None
+        next_seq, depth, in_quote, seen, tail, phase, done, n_early, deadline, carry = state or (0, 0, False, False, "", 0, False, 0, 0, None)
+        arrived, prefix, latest = {}, None, 0
+        for pdf in rows:
+            for seq, text, special, pre, own, ts in zip(pdf["seq"], pdf["text"], pdf["special"], pdf["prefix"], pdf["carry"], pdf["ts"]):
+                if not done and seq >= next_seq:
+                    arrived[int(seq)] = ("" if text is None else text, bool(special))
+                prefix = pre if prefix is None else prefix
+                carry = own if carry is None else carry
+                latest = max(latest, int(pd.Timestamp(ts).value // 1_000_000))
+        if done:
             return
-        if state.exists:
-            next_seq, depth, in_quote, seen, tail, pending_s, output, done, phase = state.get
-            pending = json.loads(pending_s)
-        else:
-            next_seq, depth, in_quote, seen, tail, pending, output, done, phase = 0, 0, False, False, "", {}, "", False, 0
-        prefix = None
-        for pdf in batches:
-            if done:
+        pieces, stopped_at = [], None
+        if self.rule == "signature" and next_seq == 0 and (0 in arrived or n_early):
+            # The scan covers signature + "{\n" before the generated text.
+            depth, in_quote, seen, _ = scan_braces(prefix or "", 0, False, False)
+        while True:
+            if next_seq in arrived:
+                text, special = arrived.pop(next_seq)
+            elif n_early and self.early.containsKey((next_seq,)):
+                text, special = self.early.getValue((next_seq,))
+                self.early.removeKey((next_seq,))
+                n_early -= 1
+            else:
+                break
+            next_seq += 1
+            if special:
                 continue
-            for seq, text, pre in zip(pdf["seq"], pdf["text"], pdf["prefix"]):
-                if seq >= next_seq:
-                    pending[str(int(seq))] = "" if text is None else text
-                if prefix is None and pre is not None:
-                    prefix = pre
-        stopped_at = None
-        if not done:
-            if rule == "signature" and next_seq == 0 and str(0) in pending:
-                # The scan covers signature + "{\n" before the generated text.
-                depth, in_quote, seen, hit = scan_braces(prefix or "", 0, False, False)
-            while str(next_seq) in pending:
-                text = pending.pop(str(next_seq))
-                output += text
-                if rule == "marker":
-                    window = tail + text
-                    hit = any(m in window for m in markers)
-                    tail = window[-keep:] if keep > 0 else ""
-                elif rule == "chat":
-                    hit, phase, tail, depth, in_quote, seen = chat_step(
-                        text, prefix or "", phase, tail, depth, in_quote, seen)
-                else:
-                    if not (depth == 0 and seen):
-                        depth, in_quote, seen, hit = scan_braces(text, depth, in_quote, seen)
-                    else:
-                        hit = True
-                if hit:
-                    stopped_at = next_seq
-                    done = True
-                    next_seq += 1
-                    break
-                next_seq += 1
-        if done:
-            state.update((next_seq, 0, False, False, "", "{}", "", True, phase))
-            if grace_ms:
-                state.setTimeoutDuration(grace_ms)
+            pieces.append(text)
+            if self.rule == "marker":
+                window = tail + text
+                hit = any(m in window for m in self.markers)
+                tail = window[-self.keep:] if self.keep > 0 else ""
+            elif self.rule == "chat":
+                hit, phase, tail, depth, in_quote, seen = chat_step(text, prefix or "", phase, tail, depth, in_quote, seen)
+            elif depth == 0 and seen:
+                hit = True
+            else:
+                depth, in_quote, seen, hit = scan_braces(text, depth, in_quote, seen)
+            if hit:
+                stopped_at = next_seq - 1
+                break
+        first, deadline = state is None, self._now(timerValues, latest) + self.idle_ms
+        if stopped_at is not None:
+            output = "".join([*(p for (p,) in self.pieces.get()), *pieces])
+            self.pieces.clear()
+            self.early.clear()
+            self.scan.update((next_seq, 0, False, False, "", phase, True, 0, deadline, None))
+        else:
+            if pieces:
+                self.pieces.appendList([(p,) for p in pieces])
+            for seq, held in arrived.items():
+                if not self.early.containsKey((seq,)):
+                    n_early += 1
+                self.early.updateValue((seq,), held)
+            self.scan.update((next_seq, depth, in_quote, seen, tail, phase, False, n_early, deadline, carry))
+        if first:
+            self.handle.registerTimer(deadline)
         if stopped_at is not None:
-            yield pd.DataFrame({"request_id": [int(key[0])], "stop_seq": [int(stopped_at)], "output": [output]})
-        elif not done:
-            state.update((next_seq, depth, in_quote, seen, tail, json.dumps(pending), output, done, phase))
+            yield self._row(key, stopped_at, output, carry)
 
-    return fn
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        *_, done, _, deadline, carry = self.scan.get()
+        now = timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs()
+        if deadline > now:                   # chunks have come since the timer was set
+            self.handle.registerTimer(deadline)
+            return
+        if not done:
+            held = sorted((seq, text) for (seq,), (text, special) in self.early.iterator() if not special)
+            output = "".join([*(p for (p,) in self.pieces.get()), *(text for _, text in held)])
+        self.scan.clear()
+        self.pieces.clear()
+        self.early.clear()
+        if not done:
+            yield self._row(key, None, output, carry)
 
+    def close(self) -> None:
+        pass
 
-def stop_stream(chunks: DataFrame, rule: str, markers: list[str] | None = None,
-                prefix: str | None = None, grace_ms: int | None = None) -> DataFrame:
-    """Apply the early-stop rule to a (streaming) chunk DataFrame.
 
-    ``chunks`` needs ``request_id, seq, text``; for the ``signature`` rule a
-    column named by ``prefix`` holds ``signature + "{\\n"``, for the ``chat``
-    rule the signature itself.
+def stop_stream(chunks: DataFrame, rule: str, markers: list[str] | None = None, prefix: str | None = None,
+                idle_ms: int = IDLE_MS, event_time: str | None = None, carry: str | None = None) -> DataFrame:
+    """Apply the early-stop rule to a streaming chunk DataFrame: ``request_id, stop_seq, output``.
 
-    A stopped request keeps a few numbers in the state, so that its late
-    chunks are ignored.  A stream that runs on sets ``grace_ms``: so long
-    after its last chunk a stopped request's state is removed.  Runs that end
-    by themselves (``availableNow``) do not set it: with a timer they would
-    wait for timers forever.
+    ``chunks`` needs ``request_id, seq, text`` and may have ``special``; for the
+    ``signature`` rule a column named by ``prefix`` holds ``signature + "{\\n"``,
+    for the ``chat`` rule the signature itself.  With ``event_time`` (a timestamp
+    column) timers follow a watermark of ``LATENESS``, else processing time.
+    ``carry`` names a column that is constant per request and is given back.
     """
     if rule not in ("text", "signature", "chat", "marker"):
         raise KeyError(rule)
@@ -192,27 +230,43 @@ def stop_stream(chunks: DataFrame, rule: str, markers: list[str] | None = None,
     # only the standard library, pandas and pyspark, not this package.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     markers = markers or (STREAM_STOP_MARKERS if rule == "marker" else [])
-    pre = F.col(prefix) if prefix else F.lit(None).cast("string")
-    src = chunks.select(F.col("request_id").cast("long"), F.col("seq").cast("long"), "text", pre.alias("prefix"))
-    return (src.groupBy("request_id")
-            .applyInPandasWithState(_stop_function(rule, markers, grace_ms), OUTPUT_SCHEMA, STATE_SCHEMA,
-                                    "append", GroupStateTimeout.ProcessingTimeTimeout if grace_ms else GroupStateTimeout.NoTimeout))
+
+    def column(name: str | None, default) -> F.Column:
+        return F.col(name) if name else default
+
+    src = chunks
+    if event_time:
+        # The closing row ends here; a condition on the event time stays above the watermark.
+        src = src.withWatermark(event_time, LATENESS).filter(F.col(event_time) < F.lit(END_OF_STREAM).cast("timestamp"))
+    src = src.select(F.col("request_id").cast("long"), F.col("seq").cast("long"), "text",
+                     F.coalesce(F.col("special") if "special" in chunks.columns else F.lit(False), F.lit(False)).alias("special"),
+                     column(prefix, F.lit(None).cast("string")).alias("prefix"),
+                     column(carry, F.lit(None)).cast("string").alias("carry"),
+                     column(event_time, F.lit("1970-01-01").cast("timestamp")).alias("ts"))
+    out = src.groupBy("request_id").transformWithStateInPandas(
+        StopProcessor(rule, markers, idle_ms, bool(event_time)),
+        T.StructType([*OUTPUT_SCHEMA.fields, T.StructField("carry", T.StringType())]), "append",
+        "EventTime" if event_time else "ProcessingTime")
+    return out.select(*OUTPUT_SCHEMA.names, F.col("carry").cast(chunks.schema[carry].dataType).alias(carry)) if carry \
+        else out.select(*OUTPUT_SCHEMA.names)
 
 
-def finish_open_requests(stopped: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Stopped rows plus, for requests that never stopped, their full text."""
-    open_ = chunks.join(stopped.select("request_id"), "request_id", "left_anti")
-    full = (open_.groupBy("request_id")
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))),
-                                          lambda x: x["text"]), "").alias("output"))
-            .select(F.col("request_id").cast("long"), F.lit(None).cast("long").alias("stop_seq"), "output"))
-    return stopped.select("request_id", "stop_seq", "output").unionByName(full)
+def closing_row(spark: SparkSession, schema: T.StructType, event_time: str) -> DataFrame:
+    """The row that ends a finite log of chunks: no request, an event time after all others."""
+    end = F.lit(END_OF_STREAM).cast("timestamp")
+    return spark.range(1).select(*[(end if f.name == event_time else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def run_available_now(stream_df: DataFrame, sink_path: str, checkpoint: str, timeout_s: int | None = None) -> None:
-    """Drain everything available into a Parquet sink, exactly once, then stop.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
-    There is no time limit unless the caller sets one."""
+
+def run_available_now(stream_df: DataFrame, sink_path: str, checkpoint: str, timeout_s: int | None = None) -> list:
+    """Drain everything available into a Parquet sink, exactly once, then stop; the progress of the micro-batches.
+
+    List and map state need the RocksDB store, off the heap.  There is no time
+    limit unless the caller sets one."""
+    stream_df.sparkSession.conf.set(_PROVIDER, ROCKSDB)
     q = (stream_df.writeStream.format("parquet").outputMode("append")
          .option("path", sink_path).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
@@ -222,29 +276,32 @@ def run_available_now(stream_df: DataFrame, sink_path: str, checkpoint: str, tim
         raise TimeoutError("streaming query did not finish")
     if q.exception() is not None:
         raise q.exception()
+    return q.recentProgress
 
 
 def rule_for(suite_name: str, mode: str) -> str:
     """The stop rule a suite uses in a generation mode."""
     from evalspark.suites import get_suite
-    cfg = get_suite(suite_name)
-    if cfg.stream_scan in ("text", "marker"):
-        return cfg.stream_scan
-    if mode == "complete":
-        return "signature"
-    if mode == "chat":
-        return "chat"
-    raise KeyError(mode)
-
-
-def stop_stream_for_suite(chunks: DataFrame, tasks: DataFrame, suite_name: str, mode: str) -> DataFrame:
-    """Early stop for a suite: ``chunks`` carry ``request_id, seq, text,
-    task_idx``; the task's ``function_signature`` comes in by a stream-static
-    join with the task table (broadcast if its checked size allows it)."""
+    return get_suite(suite_name).stop_rule(mode)
+
+
+def stop_stream_for_suite(chunks: DataFrame, tasks: DataFrame, suite_name: str, mode: str, **kw) -> DataFrame:
+    """Early stop for a suite: ``chunks`` carry ``request_id, seq, text, task_idx``.
+
+    The task's ``function_signature`` comes in by a stream-static join with the
+    task table (broadcast if its checked size allows it).  In complete mode the
+    stripped prompt is put before the output, as the generation clients do; it
+    is joined to the finished requests only."""
+    from evalspark.functions.text import py_strip
     from evalspark.operators.joins import lookup_join
     rule = rule_for(suite_name, mode)
-    if rule in ("text", "marker"):
-        return stop_stream(chunks, rule)
-    sig = F.col("function_signature")
-    dim = tasks.select("task_idx", (F.concat(sig, F.lit("{\n")) if rule == "signature" else sig).alias("__sig"))
-    return stop_stream(lookup_join(chunks, dim, "task_idx", "left"), rule, prefix="__sig")
+    if rule in ("signature", "chat"):
+        sig = F.col("function_signature")
+        dim = tasks.select("task_idx", (F.concat(sig, F.lit("{\n")) if rule == "signature" else sig).alias("__sig"))
+        chunks, kw = lookup_join(chunks, dim, "task_idx", "left"), kw | {"prefix": "__sig"}
+    if mode != "complete":
+        return stop_stream(chunks, rule, **kw)
+    stopped = stop_stream(chunks, rule, carry="task_idx", **kw)
+    prompts = tasks.select("task_idx", py_strip(F.col("prompt_complete")).alias("__prompt"))
+    joined = lookup_join(stopped, prompts, "task_idx", "left")
+    return joined.select("request_id", "stop_seq", F.concat(F.coalesce("__prompt", F.lit("")), F.col("output")).alias("output"))

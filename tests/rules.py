@@ -1,6 +1,7 @@
 """Plain-Python statements of the rules, for brute-force checks on small inputs."""
 
 import math
+import re
 from itertools import accumulate
 
 
@@ -17,17 +18,14 @@ def stop_at_function(s: str) -> str:
     return s if end is None else s[:end + 1]
 
 
+_WHOLE = re.compile(r"""\"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|//[^\n]*|/\*.*?\*/""", re.DOTALL)
+
+
 def screen(s: str) -> bool:
-    depth, in_quote, neg = 0, False, False
-    for ch in s:
-        if ch == '"':
-            in_quote = not in_quote
-        elif not in_quote and ch == "{":
-            depth += 1
-        elif not in_quote and ch == "}":
-            depth -= 1
-            neg = neg or depth < 0
-    return depth == 0 and not neg and not in_quote
+    """Well-formed strings, char literals and comments taken out: the rest opens none, and its braces balance."""
+    bare = _WHOLE.sub(" ", s)
+    depths = list(accumulate((ch == "{") - (ch == "}") for ch in bare))
+    return not re.search(r"[\"']|/\*", bare) and (not depths or depths[-1] == 0 and min(depths) >= 0)
 
 
 def pass_at_k(n, c, k):

@@ -136,6 +136,11 @@ def test_evaluate_files_writes_reference_shaped_report(spark):
     assert d["pass_all"]["count"] == 2.0
     assert d["pass_all"]["pass@k-1"] == pytest.approx((0.5 + 1.0) / 2)
     assert "time_cost" in d and "end_time" in d
+    with open(os.path.join(root, "out", "log/model/complete/evaluation-default-complete.json")) as f:
+        whole = json.load(f)
+    assert {k: whole[k] for k in d} == d and list(whole["detail"]) == ["0", "1"]
+    assert whole["detail"]["0"]["total"] == 2 and whole["detail"]["0"]["pass_all"]["count"] == 1
+    assert whole["detail"]["0"]["pass_all"]["pass@k-1"] == pytest.approx(0.5)
     stage = spark.read.parquet(os.path.join(root, "generations-postprocess"))
     assert sorted(r.output for r in stage.collect()) == ["{ a }", "{ b", "{ c }"]
 
@@ -155,8 +160,10 @@ def test_evaluate_files_defect_report(spark):
                    {"task_idx": 1, "task_id": "t1", "outputs": ["No, it doesn't have defects"]}], f, indent=4)
     docs = evaluate_files(spark, "defectdetection", tasks_path, gens_path, "chat", os.path.join(root, "out")).collect()
     d = json.loads(docs[0].document)
-    assert d["results"]["all"]["total"] == 3 and d["results"]["all"]["error"] == 1
-    assert d["results"]["one"]["acc"] == 1.0
+    assert d["results_all"]["total"] == 3 and d["results_all"]["error"] == 1
+    assert d["results_one"]["acc"] == 1.0
+    with open(os.path.join(root, "out", "log/model/defectdetection/evaluation-default-chat.json")) as f:
+        assert json.load(f)["results_one"] == d["results_one"]
 
 
 def test_many_runs_in_one_job_equal_one_job_per_run(spark):
@@ -204,10 +211,54 @@ def test_evaluate_files_testgen_report_has_coverage(spark):
     steps_path = os.path.join(root, "steps")
     steps.write.parquet(steps_path)
     lines_path = os.path.join(root, "lines")
-    spark.createDataFrame([(0, "A", "A.java", "3", True), (0, "A", "A.java", "3", False), (0, "A", "A.java", "4", True)],
-                          "task_idx int, class string, file string, number string, hit boolean").write.parquet(lines_path)
+    spark.createDataFrame([(0, 0, "A", "A.java", "3", True), (0, 1, "A", "A.java", "3", False), (0, 1, "A", "A.java", "4", True),
+                           (0, 2, "A", "A.java", "5", False)],                # of a sample that is not selected
+                          "task_idx int, sample_idx int, class string, file string, number string, hit boolean").write.parquet(lines_path)
     d = json.loads(evaluate_files(spark, "testgen", tasks_path, gens_path, "complete", os.path.join(root, "out"),
                                   run_steps_path=steps_path, coverage_lines_path=lines_path).first().document)
     assert d["line_coverage"] == pytest.approx(0.25) and d["condition_coverage"] == pytest.approx(0.1)
     assert d["diff_coverage"] == pytest.approx(2 / 3)
     assert d["pass_trigger"]["pass@k-1"] == pytest.approx(0.5) and d["pass_compile"]["count"] == 1.0
+    with open(os.path.join(root, "out", "log/model/testgen/evaluation-default-complete.json")) as f:
+        task = json.load(f)["detail"]["0"]
+    assert task["line_coverage"] == pytest.approx(0.25) and task["condition_coverage"] == pytest.approx(0.1)
+    assert task["diff_coverage"] == pytest.approx(2 / 3)
+
+
+def test_scoring_without_results_says_what_is_needed(spark):
+    with pytest.raises(ValueError, match="run_steps.*or verdicts"):
+        run_evaluate(spark, "repair", _tasks(spark, 1), _gens(spark, [["x"]]), "complete")
+    lines = spark.createDataFrame([(0, "A", "A.java", "1", True)], "task_idx int, class string, file string, number string, hit boolean")
+    verdicts = spark.createDataFrame([(0, 0, True, True, True, False, 1.0, 1.0)], "task_idx int, sample_idx int, pass_syntax boolean, "
+                                     "pass_compile boolean, pass_trigger boolean, timed_out boolean, line_coverage double, condition_coverage double")
+    with pytest.raises(ValueError, match="sample_idx"):
+        run_evaluate(spark, "testgen", _tasks(spark, 1), _gens(spark, [["x"]]), "complete", verdicts=verdicts, coverage_lines=lines)
+
+
+def test_a_suite_is_a_set_of_hooks(spark):
+    """A suite with its own cleanup, facts, stop rule and report runs through run_evaluate and the stream stop."""
+    from evalspark.operators import reports
+    from evalspark.streaming.stop import rule_for
+    from evalspark.suites import SuiteConfig, register_suite
+
+    def first_line(cfg):
+        return F.concat(F.col("project"), F.lit(":"), F.upper(F.split_part(F.col("output"), F.lit("\n"), F.lit(1))))
+
+    def exit_codes(steps, keys, coverage=None):
+        return steps.groupBy(*keys).agg(F.bool_and(F.col("exit_code") == 0).alias("pass_run"), F.lit(False).alias("timed_out"))
+
+    def report(suite, **kw):
+        out = reports.pass_report(suite, **kw)
+        out.solved = out.solved.withColumn("suite", F.lit(suite.name))
+        return out
+
+    register_suite(SuiteConfig("lines", flags=("pass_run",), k_grid=(1, 2), t_grid=(), task_columns=("project",), complete=first_line, chat=first_line,
+                               stop_rule=lambda mode: "marker", verdict=exit_codes, report=report))
+    tasks = _tasks(spark, 2).withColumn("project", F.lit("P"))
+    steps = spark.createDataFrame([(0, 0, 0), (0, 1, 1), (1, 0, 0), (1, 0, 0)], "task_idx int, sample_idx int, exit_code int")
+    rep = run_evaluate(spark, "lines", tasks, _gens(spark, [["one\ntwo", "x"], ["y\nz"]]), "chat", run_steps=steps)
+    assert sorted(r.output for r in rep.samples.collect()) == ["P:ONE", "P:X", "P:Y"]
+    m = {(r.flag, r.param): (r.n_tasks, r.value) for r in rep.suite_metrics.collect()}
+    assert m == {("pass_run", 1.0): (2, 0.75), ("pass_run", 2.0): (1, 1.0)}
+    assert (rep.solved.first().solved_run, rep.solved.first().suite) == (2, "lines")
+    assert rule_for("lines", "chat") == "marker"

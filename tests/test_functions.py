@@ -23,7 +23,7 @@ def test_brace_rule_table(spark):
 
 def test_brace_scan_matches_rule_on_random_text(spark):
     rnd = random.Random(7)
-    alphabet = 'ab {}"\n\'x'
+    alphabet = 'ab {}"\n\'x/*\\\\'
     cases = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40))) for _ in range(400)]
     got = one(spark, cases, braces.stop_at_function)
     assert got == [rules.stop_at_function(c) for c in cases]
@@ -31,6 +31,30 @@ def test_brace_scan_matches_rule_on_random_text(spark):
     assert ok == [rules.screen(c) for c in cases]
 
 
+@pytest.mark.parametrize("code,ok", [
+    ("{ }", True), ("{", False), ("} {", False), ("", True),
+    ('{ s = "}{"; }', True), ('{ s = "\\\\"}"; }', False), ('{ s = "\\"}"; }', True), ('{ "open }', False),
+    ("{ c = '}'; d = '\\''; }", True), ("{ c = '\"'; }", True), ("{ ' }", False),
+    ("{ // } {{ \" '\n }", True), ("{ } // it's \"fine\"", True), ("{ a / b; }", True), ("{ a //", False),
+    ("{ /* } \" ' */ }", True), ("{ /* } **/ }", True), ("{ /*/ } */ }", True), ("{ } /* open", False), ("{ } /*/", False), ("{ /", False),
+    ('/""*{}', True), ("{ \"//\" }", True), ("{ \"/*\" }", True)])
+def test_screen_in_each_state_of_the_lexer(spark, code, ok):
+    assert one(spark, [code], braces.syntax_screen) == [ok] == [rules.screen(code)]
+
+
+def test_lexer_table_is_total():
+    table = braces.lexer_table()
+    assert len(table) == 9 and all(len(row) == len(braces.SIGNS) + 1 and set(row) <= set(range(9)) for row in table)
+
+
+def test_screen_of_a_long_text(spark):
+    import time
+    code = "{ s = \"a}\"; /* } */ x(); }\n" * 60_000
+    began = time.time()
+    assert one(spark, [code, code + "}"], braces.syntax_screen) == [True, False]
+    assert time.time() - began < 20
+
+
 def test_long_text_without_braces_is_linear(spark):
     big = "word " * 40000
     got = one(spark, [big], braces.stop_at_function)
@@ -44,6 +68,16 @@ def test_pass_at_k_table(spark, n, c, k, expected):
     assert v == pytest.approx(expected, abs=1e-9)
 
 
+def test_pass_at_k_of_many_samples(spark):
+    """The closed form against the sum of logs, for whole and real k."""
+    import math
+    cases = [(n, c, k) for n in (65, 200, 5_000, 1_000_000) for c in (1, 64, 65, 66, 199, 4_000, 999_000) for k in (0.25, 1.0, 7.5, 100.0, 900.5) if c <= n]
+    df = spark.createDataFrame(cases, "n long, c long, k double")
+    for r in df.select("n", "c", "k", pass_at_k(F.col("n"), F.col("c"), F.col("k")).alias("v")).collect():
+        want = 1.0 if r.n - r.c < r.k else 1.0 - math.exp(math.fsum(math.log1p(-r.k / i) for i in range(r.n - r.c + 1, r.n + 1)))
+        assert r.v == pytest.approx(want, abs=1e-9)
+
+
 def test_pass_at_k_properties(spark):
     grid = [(n, c, k) for n in range(1, 13) for c in range(0, n + 1) for k in range(1, n + 1)]
     df = spark.createDataFrame(grid, "n int, c int, k int")
@@ -163,6 +197,25 @@ def test_tokens(spark):
     assert kept == [["Hello", ","], []]
 
 
+def test_truncation_keeps_a_piece_of_the_prompt(spark):
+    rnd = random.Random(2)
+    cases = ["".join(rnd.choice(["a", "B9", " ", "  ", "\n", ",", "é", "日本", "🙂", "\x85", "_"]) for _ in range(rnd.randint(0, 40))) for _ in range(200)]
+    df = spark.createDataFrame([(c,) for c in cases], "t string").select("t", tokens.tokens(F.col("t")).alias("k"), tokens.gaps(F.col("t")).alias("g"))
+    got = df.select("t", "k", *[tokens.truncate_prompt(F.col("t"), F.col("k"), F.col("g"), 4, m).alias(m) for m in ("complete", "chat")]).collect()
+    for r in got:
+        assert r.t.endswith(r.complete) and r.t.startswith(r.chat)
+        spans = []
+        at = 0
+        for k in r.k:
+            at = r.t.index(k, at)
+            spans.append((at, at + len(k)))
+            at += len(k)
+        if len(spans) <= 4:
+            assert r.complete == r.chat == r.t
+        else:
+            assert r.complete == r.t[spans[-4][0]:] and r.chat == r.t[:spans[3][1]]
+
+
 def test_tests_ok_raw_text(spark):
     vals = ["a\nFailing tests: 0\n", "Failing tests: 0\n", "a\nFailing tests: 0", "Failing tests: 0\n\n", "", "xFailing tests: 0\n"]
     assert one(spark, vals, logs.tests_ok_text) == [True, True, False, False, False, False]

@@ -96,6 +96,9 @@ def test_shards_keep_every_request_once(spark):
     sh = smp.shard_requests(req, 4, seed=1).collect()
     assert len(sh) == 200 and len({(r.task_idx, r.copy_no) for r in sh}) == 200
     assert {r.shard_id for r in sh} == {0, 1, 2, 3}
+    for n in (3, 7, 64, 300):
+        sizes = [r["count"] for r in smp.shard_requests(req, n, seed=2).groupBy("shard_id").count().collect()]
+        assert sum(sizes) == 200 and len(sizes) == min(n, 200) and max(sizes) - min(sizes) <= 1
     again = smp.shard_requests(req, 4, seed=1).collect()
     assert sorted(map(tuple, sh)) == sorted(map(tuple, again))
 

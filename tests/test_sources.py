@@ -41,3 +41,75 @@ def test_partials_log_appends(spark):
     sinks.write_partials(recs, path)
     sinks.write_partials(recs.filter(F.col("task_id") == "t1"), path)
     assert files.load_partials(spark, path).count() == 3
+
+
+def _arrays(rnd, n):
+    """Records whose strings hold quotes, escapes and brackets."""
+    bits = ['"', "\\", "{", "}", "[", "]", "a", "é", "\n", ",", "\\\"", " "]
+    return [{"task_idx": i, "task_id": f"t{i}", "outputs": ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 30)))
+                                                          for _ in range(rnd.randint(0, 3))], "temperature": 0.5} for i in range(n)]
+
+
+def test_json_array_is_read_alike_at_any_split(spark, tmp_path):
+    import random
+    rnd = random.Random(6)
+    for indent, n in ((None, 40), (4, 25), (None, 0)):
+        records = _arrays(rnd, n)
+        path = tmp_path / f"generations-{indent}-{n}.json"
+        path.write_text(json.dumps(records, indent=indent, ensure_ascii=n % 2 == 0))
+        for size in (37, 61, 500, 1 << 20):
+            df = files.load_generations(spark, str(path), range_bytes=size)
+            got = sorted((r.task_idx, r.task_id, r.outputs, r.temperature) for r in df.collect())
+            assert got == [(r["task_idx"], r["task_id"], r["outputs"], 0.5) for r in records]
+            if size == 500 and n:
+                assert df.rdd.getNumPartitions() > 3
+
+
+def test_json_array_finds_borders_in_every_byte(tmp_path):
+    """The two passes without Spark, at every split size."""
+    import random
+    from evalspark.schemas import GENERATIONS
+    from evalspark.sources import jsonarray as ja
+    records = _arrays(random.Random(8), 6)
+    path = tmp_path / "g.json"
+    path.write_text(json.dumps(records))
+    size = path.stat().st_size
+    for step in range(1, 90):
+        reader = ja._SummaryReader(str(path), step)
+        ranges, state = [], (False, 0)
+        for part in reader.partitions():
+            _, start, flips, outside, inside = next(reader.read(part))
+            ranges.append(ja.Range(str(path), start, min(start + step, size), *state))
+            state = state[0] ^ flips, state[1] + (inside if state[0] else outside)
+        assert state == (False, 0)
+        second = ja._RecordReader(str(path), GENERATIONS, [])
+        assert [json.loads(t) for part in ranges for t in second._records(part)] == records
+
+
+def test_broken_json_arrays_fail(spark, tmp_path):
+    for name, text in (("cut", '[{"task_idx": 1, "outputs": ["a"]}'), ("open", '[{"task_idx": 1, "outputs": ["a]}]'), ("object", '{"task_idx": 1}'),
+                       ("type", '[{"task_idx": "x"}]'), ("nested", "[[1]]")):
+        (tmp_path / name).write_text(text)
+        with pytest.raises(Exception):
+            files.load_generations(spark, str(tmp_path / name)).collect()
+
+
+def test_written_arrays_are_read_back(spark):
+    path = scratch_path(spark, "arrays")
+    df = spark.createDataFrame([(i, [f'"{i}"\n', "{"]) for i in range(50)], "task_idx int, outputs array<string>").repartition(4)
+    sinks.write_generations_array(df, path)
+    back = files.load_generations(spark, path)
+    assert sorted((r.task_idx, r.outputs) for r in back.collect()) == [(i, [f'"{i}"\n', "{"]) for i in range(50)]
+
+
+def test_one_document_per_run(spark, tmp_path):
+    from evalspark.sources.documents import write_documents
+    heads = spark.createDataFrame([("log/m/s/evaluation-a.json", '{"total": 3}'), ("log/n/s/evaluation-b.json", "{}")], "document string, head string")
+    entries = spark.createDataFrame([("log/m/s/evaluation-a.json", i, json.dumps({"i": i, "text": "x\n"})) for i in range(300)],
+                                    "document string, idx int, entry string").repartition(5)
+    for _ in range(2):                               # written again: replaced
+        write_documents(heads, entries, str(tmp_path))
+    doc = json.loads((tmp_path / "log/m/s/evaluation-a.json").read_text())
+    assert doc["total"] == 3 and list(doc["detail"]) == [str(i) for i in range(300)] and doc["detail"]["7"] == {"i": 7, "text": "x\n"}
+    assert json.loads((tmp_path / "log/n/s/evaluation-b.json").read_text()) == {"detail": {}}
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["log"]

@@ -54,11 +54,11 @@ from evalspark.session import scratch_path
 MIN_COUNT = 30
 MAX_WORDS = 4
 TOP = 2_000
-SHARDS = 3
+SHARDS = 2
 INSIDE_PERCENT = 80            # of a phrase's count that a longer one must have to drop it
 SCORE_SCALE = 2_000_000
 
-SLICE_BYTES = 6_000_000        # of texts that are cut into words at a time
+SLICE_BYTES = 4_000_000        # of texts that are cut into words at a time
 BITS_PER_PHRASE = 16
 MIN_FILTER_BITS, MAX_FILTER_BITS = 1 << 18, 1 << 27
 OLD = 0                        # stands for every age of more than a cycle
@@ -122,6 +122,15 @@ def _ranks(filters: Filters, k: int, h: np.ndarray) -> np.ndarray:
     return out
 
 
+def _numbered(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct codes, the number of each row's code among them, and where each occurs first (by a hash table, no sort)."""
+    coded = pa.array(code, pa.int64()).dictionary_encode()
+    own = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.empty(len(coded.dictionary), np.int64)
+    first[own[::-1]] = np.arange(len(own) - 1, -1, -1)
+    return coded.dictionary.to_numpy(zero_copy_only=False), own, first
+
+
 class _Words:
     """The words of a slice of texts: their types (language and word), and which of them begin a new piece."""
 
@@ -146,7 +155,7 @@ class _Words:
         self.opens = np.ones(self.n, bool)
         self.opens[1:] = (np.diff(breaks) > 0) | (np.diff(row) > 0)
         code = langs[row].astype(np.int64) * max(1, len(flat.dictionary)) + flat.indices.to_numpy(zero_copy_only=False)
-        kinds, self.type = np.unique(code, return_inverse=True)
+        kinds, self.type, _ = _numbered(code)
         word = kinds % max(1, len(flat.dictionary))
         self.lang = kinds // max(1, len(flat.dictionary))   # by type
         self.word = flat.dictionary.take(pa.array(word))
@@ -181,7 +190,7 @@ def count_slice(data: np.ndarray, row_starts: np.ndarray, langs: np.ndarray, lan
             return
         code = ids[start] * len(w.word) + w.type[start + k - 1]
         own_hash = _joined(h[start], token[start + k - 1])
-        kinds, first, own = np.unique(code, return_index=True, return_inverse=True)
+        kinds, own, first = _numbered(code)
         # The younger of both subphrases tells the cycle; a phrase of two old ones has been counted.
         age = np.minimum(rank[start], rank[start + 1])[first]
         n = np.bincount(own[start + k - 1 >= skip], minlength=len(kinds))

@@ -67,8 +67,8 @@ _WORD, _GAP, _BREAK = 0, 1, 2
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[[0x20, 0x09]] = _GAP
 _CLASS[[*b".,;:!?", *range(0x0A, 0x0E)]] = _BREAK
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A"):ord("Z") + 1] += 32
+_CLASS_OF = _CLASS.tobytes()    # as tables of ``bytes.translate``
+_LOWER = bytes(range(256)).lower()
 _BYTE_HASH = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BUCKET_BITS = 32_768          # of one bitmap of ``bitmap_construct_agg``
@@ -135,23 +135,25 @@ class _Words:
     """The words of a slice of texts: their types (language and word), and which of them begin a new piece."""
 
     def __init__(self, data: np.ndarray, row_starts: np.ndarray, langs: np.ndarray):
-        data = _LOWER[data]
-        kind = _CLASS[data]
+        raw = data.tobytes().translate(_LOWER)
+        data = np.frombuffer(raw, np.uint8)
+        kind = np.frombuffer(raw.translate(_CLASS_OF), np.uint8)
         is_word = kind == _WORD
+        # A word begins behind a separator and at the first byte of a text; it ends where the next byte is of neither kind.
         begins = is_word.copy()
         begins[1:] &= ~is_word[:-1]
         rows = row_starts[row_starts < len(data)]
         begins[rows] = is_word[rows]
+        closes = is_word.copy()
+        closes[:-1] &= ~is_word[1:] | begins[1:]
         self.at = np.flatnonzero(begins)                    # first byte of each word
         self.n = len(self.at)
-        size = np.cumsum(is_word)
-        ends = np.append(size[self.at[1:]] - 1, size[-1] if len(size) else 0) if self.n else np.empty(0, np.int64)
-        offsets = np.concatenate([[0], ends]).astype(np.int32)
-        kept = data[is_word]
-        flat = pa.StringArray.from_buffers(self.n, pa.py_buffer(offsets), pa.py_buffer(kept)).dictionary_encode()
+        offsets = np.zeros(self.n + 1, np.int32)
+        np.cumsum(np.flatnonzero(closes) + 1 - self.at, out=offsets[1:])
+        flat = pa.StringArray.from_buffers(self.n, pa.py_buffer(offsets), pa.py_buffer(data[is_word])).dictionary_encode()
         row = np.searchsorted(row_starts, self.at, side="right") - 1
         # Words before which a piece ends: a break byte or a new text lies between.
-        breaks = np.cumsum(kind == _BREAK)[self.at] if self.n else np.empty(0, np.int64)
+        breaks = np.searchsorted(np.flatnonzero(kind == _BREAK), self.at)
         self.opens = np.ones(self.n, bool)
         self.opens[1:] = (np.diff(breaks) > 0) | (np.diff(row) > 0)
         code = langs[row].astype(np.int64) * max(1, len(flat.dictionary)) + flat.indices.to_numpy(zero_copy_only=False)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.schemas import COVERAGE_XML
@@ -81,6 +83,59 @@ def diff_coverage(lines: DataFrame, tasks: DataFrame, task_key: str | list[str]
     return out.select(*keys, ratio.alias("diff_coverage"))
 
 
+_BITS = ["hit_bits", "miss_bits"]
+
+
+def coverage_bits(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct (class, file, number, hit) tuples of each key as bits: one row per 64 line numbers, with a
+    word of hit and a word of missed lines.  Parts of any split of the lines are put together by
+    :func:`merge_coverage_bits`; a number that is no plain integer has a row of its own (``odd``); lines
+    without ``hit`` count nowhere."""
+    number = F.col("number").cast("string")
+    n = number.try_cast("long")
+    plain = n.cast("string").eqNullSafe(number) & number.isNotNull()
+    bit = F.when(plain, F.expr("shiftleft(1L, CAST(try_cast(CAST(number AS STRING) AS BIGINT) & 63 AS INT))")).otherwise(F.lit(1).cast("long"))
+    none = F.lit(0).cast("long")
+    cells = lines.filter("hit is not null").select(
+        *keys, "class", "file", F.when(plain, F.shiftright(n, 6)).alias("word"), F.when(~plain, number).alias("odd"),
+        F.when(F.col("hit"), bit).otherwise(none).alias("hit_bits"), F.when(~F.col("hit"), bit).otherwise(none).alias("miss_bits"))
+    return merge_coverage_bits([cells], keys)
+
+
+def merge_coverage_bits(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.groupBy(*keys, "class", "file", "word", "odd").agg(*[F.bit_or(c).alias(c) for c in _BITS])
+
+
+def diff_coverage_of_bits(bits: DataFrame, tasks: DataFrame, keys: list[str]) -> DataFrame:
+    """:func:`diff_coverage` from merged bits."""
+    hits, misses = (F.sum(F.bit_count(c)) for c in _BITS)
+    per_task = bits.groupBy(*keys).agg(hits.alias("hit_tuples"), (hits + misses).alias("tuples"))
+    ratio = F.coalesce(F.try_divide(F.col("hit_tuples").cast("double"), F.col("tuples")), F.lit(0.0))
+    return tasks.select(*keys).join(per_task, keys, "left").select(*keys, ratio.alias("diff_coverage"))
+
+
+class CoverageStore:
+    """Coverage bits of batches of samples in a shared folder: new samples add a batch, old lines are not read again.
+
+    A batch that is written again takes the place of its first writing, so that a job can be repeated.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str]):
+        self.spark, self.path, self.keys = spark, path.rstrip("/"), keys
+
+    def add(self, batch: str, lines: DataFrame) -> None:
+        bits = coverage_bits(lines, self.keys)
+        bits.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+    def bits(self) -> DataFrame:
+        stored = self.spark.read.option("basePath", self.path).parquet(f"{self.path}/batch=*").drop("batch")
+        return merge_coverage_bits([stored], self.keys)
+
+    def diff_coverage(self, tasks: DataFrame) -> DataFrame:
+        return diff_coverage_of_bits(self.bits(), tasks, self.keys)
+
+
 def target_classes(names: Column) -> Column:
     """Sorted distinct class names (the reference's set has no order)."""
     return F.array_sort(F.array_distinct(names))

@@ -8,6 +8,8 @@ aggregate.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ from evalspark.functions.estimators import pass_at_k
 from evalspark.functions.tokens import count_tokens
 from evalspark.operators.verdicts import count_col
 
+#: ``(texts, keys, text column)`` to ``keys, n_tokens``: the tokens of all texts of each key.
+TokenCounter = Callable[[DataFrame, list[str], str], DataFrame]
+
 
 def _flags_long(counts: DataFrame, flags: list[str], keys: list[str], extra: list[str]) -> DataFrame:
     """(keys, extra, flag, c): one row per task and flag."""
@@ -72,17 +77,27 @@ def with_total_tokens(df: DataFrame) -> DataFrame:
 
 
 def token_cost(samples: DataFrame, prompts: DataFrame, key: str = "task_idx", raw_output: str = "raw_output",
-               prompt: str = "prompt") -> DataFrame:
+               prompt: str = "prompt", counter: TokenCounter | None = None) -> DataFrame:
     """Per task: input counted once per sample, raw (not post-processed) output.
 
     The prompt is the same for every sample of a task, so it is tokenized once
     per task on the small side and multiplied by the sample count, instead of
-    once per sample after a join.
+    once per sample after a join.  ``counter`` takes the place of the built-in
+    pre-tokenizer, e.g. :func:`evalspark.operators.pieces.counter`.
     """
+    if counter:
+        n_samples = samples.groupBy(key).agg(F.count(F.lit(1)).alias("n_samples"))
+        per_task = n_samples.join(counter(samples, [key], raw_output).withColumnRenamed("n_tokens", "output_tokens"), key)
+        p = counter(prompts, [key], prompt).withColumnRenamed("n_tokens", "prompt_tokens")
+        return _cost(per_task, p, key)
     per_task = samples.groupBy(key).agg(F.count(F.lit(1)).alias("n_samples"),
                                         F.sum(count_tokens(F.col(raw_output))).cast("long").alias("output_tokens"))
     p = prompts.select(key, count_tokens(F.col(prompt)).cast("long").alias("prompt_tokens"))
-    j = per_task.join(p, key, "left")
+    return _cost(per_task, p, key)
+
+
+def _cost(per_task: DataFrame, prompt_tokens: DataFrame, key: str) -> DataFrame:
+    j = per_task.join(prompt_tokens, key, "left")
     return with_total_tokens(j.select(key, "n_samples",
                                       (F.coalesce(F.col("prompt_tokens"), F.lit(0)) * F.col("n_samples"))
                                       .alias("input_tokens"), "output_tokens"))

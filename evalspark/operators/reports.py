@@ -27,9 +27,14 @@ class EvalReport:
     defect: DataFrame | None = None
 
 
-def sample_tokens(samples: DataFrame, keys: list[str]) -> DataFrame:
+def sample_tokens(samples: DataFrame, keys: list[str], counter: met.TokenCounter | None = None) -> DataFrame:
     """Per sample the tokens of its prompt and of its raw output, counted where the texts are read:
-    no text crosses a shuffle."""
+    no text crosses a shuffle (with a ``counter``, what that one shuffles)."""
+    if counter:
+        on = [*keys, "sample_idx"]
+        counts = [counter(samples, on, text).withColumnRenamed("n_tokens", name)
+                  for text, name in (("input", "input_tokens"), ("raw_output", "output_tokens"))]
+        return counts[0].join(counts[1], on)
     return samples.select(*keys, "sample_idx",
                           tokens.count_tokens(F.col("input")).cast("long").alias("input_tokens"),
                           tokens.count_tokens(F.col("raw_output")).cast("long").alias("output_tokens"))
@@ -49,7 +54,7 @@ def defect_report(suite, samples: DataFrame, verdicts: DataFrame | None = None,
 
 def pass_report(suite, samples: DataFrame, verdicts: DataFrame | None = None, tasks: DataFrame | None = None,
                 coverage_lines: DataFrame | None = None, run_keys: list[str] | None = None,
-                require_verdicts: bool = False) -> EvalReport:
+                require_verdicts: bool = False, counter: met.TokenCounter | None = None) -> EvalReport:
     """pass@k, pass@t, solved counts and coverage from per-sample verdicts.
 
     One population for every metric: the samples that have a verdict.
@@ -62,7 +67,7 @@ def pass_report(suite, samples: DataFrame, verdicts: DataFrame | None = None, ta
     on = keys + ["sample_idx"]
     flags, k_grid, t_grid = list(suite.flags), list(suite.k_grid), list(suite.t_grid)
     judged = verdicts.withColumn("__judged", F.lit(True))
-    scored = sample_tokens(samples, keys).join(judged, on, "left" if require_verdicts else "inner")
+    scored = sample_tokens(samples, keys, counter).join(judged, on, "left" if require_verdicts else "inner")
     if require_verdicts:
         scored = require_present(scored, "__judged", "a selected sample has no verdict")
     # One grouped pass: verdict counts, tokens and coverage of the same rows.

@@ -18,6 +18,7 @@ from evalspark import fixtures as fx
 from evalspark.functions import braces, defect, logs, text, tokens
 from evalspark.operators import coverage as cov
 from evalspark.operators import metrics as met
+from evalspark.operators import pieces
 from evalspark.operators import prompts, samples as smp, verdicts as ver
 from evalspark.operators.joins import lookup_join
 from evalspark.schemas import VERDICT_FLAGS
@@ -354,6 +355,15 @@ def _cov_tasks(spark, sf):
     return fx.table(spark, sf, "part").select((F.col("p_partkey") % 100).cast("int").alias("task_idx")).distinct()
 
 
+def q_diff_coverage_incremental(spark, sf):
+    """Lines of open and of finished statements are stored as bits, a batch each; the ratio is read from the bits."""
+    store = cov.CoverageStore(spark, scratch_path(spark, "coverage-bits"), ["task_idx"])
+    lines = fx.v_cov(spark, sf)
+    for batch, part in (("open", F.col("cond_hit")), ("finished", ~F.col("cond_hit"))):
+        store.add(batch, lines.filter(part))
+    return _level_rows(store.diff_coverage(_cov_tasks(spark, sf)), ["diff_coverage"])
+
+
 def q_diff_coverage(spark, sf):
     per_task = cov.diff_coverage(fx.v_cov(spark, sf), _cov_tasks(spark, sf))
     return _level_rows(per_task, ["diff_coverage"])
@@ -487,6 +497,29 @@ def q_count_tokens(spark, sf):
     return d.select("doc_id", tokens.count_tokens(F.col("text")).cast("long").alias("n_tokens"))
 
 
+def _piece_counter():
+    import public_tokenizers      # vocabulary files; any byte-level BPE file's path will do
+    return pieces.counter(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def q_count_tokens_pieces(spark, sf):
+    return _piece_counter()(fx.table(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], "text")
+
+
+def q_token_cost_pieces(spark, sf):
+    s = fx.v_samples(spark, sf).select("task_idx", F.col("output").alias("raw_output"))
+    tc = met.token_cost(s, smp.select_prompt(fx.v_tasks(spark, sf), "complete"), counter=_piece_counter())
+    return tc.select("task_idx", F.col("n_samples").cast("long").alias("n_samples"), "input_tokens",
+                     "output_tokens", r9(F.col("total_tokens")).alias("total_tokens"))
+
+
+def q_pass_at_t_pieces(spark, sf):
+    """pass@t under the budget of exact token counts."""
+    counts = ver.task_verdict_counts(fx.scored_samples(spark, sf), VERDICT_FLAGS)
+    counts = counts.join(q_token_cost_pieces(spark, sf).select("task_idx", "total_tokens"), "task_idx")
+    return _rounded_task_metrics(met.pass_at_t_task(counts, VERDICT_FLAGS, T_GRID))
+
+
 def q_syntax_screen(spark, sf):
     c = fx.v_code(spark, sf)
     return c.select("page_id", braces.syntax_screen(F.col("answer")).alias("structurally_ok"))
@@ -692,6 +725,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "defect_variants": q_defect_variants,
     "coverage_means": q_coverage_means,
     "diff_coverage": q_diff_coverage,
+    "diff_coverage_incremental": q_diff_coverage_incremental,
     "target_classes": q_target_classes,
     "order_by_task": q_order_by_task,
     "shard_requests": q_shard_requests,
@@ -712,6 +746,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_chat_output": q_clean_chat_output,
     "render_chat_prompt": q_render_chat_prompt,
     "count_tokens": q_count_tokens,
+    "count_tokens_pieces": q_count_tokens_pieces,
+    "token_cost_pieces": q_token_cost_pieces,
+    "pass_at_t_pieces": q_pass_at_t_pieces,
     "syntax_screen": q_syntax_screen,
     "stream_stop_function": q_stream_stop_function,
     "stream_stop_marker": q_stream_stop_marker,
@@ -729,3 +766,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "evaluate_testgenissue": q_evaluate_testgenissue,
     "leaderboard": q_leaderboard,
 }
+
+#: Queries that SQL cannot express (merges of a tokenizer); tests/test_pieces.py holds them against the tokenizer.
+WITHOUT_SQL = {"count_tokens_pieces", "token_cost_pieces", "pass_at_t_pieces"}

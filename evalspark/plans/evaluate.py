@@ -69,7 +69,7 @@ def prepare_samples(spark: SparkSession, suite_name: str, tasks: DataFrame, gene
 
 def score(samples: DataFrame, suite_name: str, verdicts: DataFrame | None = None,
           tasks: DataFrame | None = None, coverage_lines: DataFrame | None = None,
-          run_keys: list[str] | None = None, require_verdicts: bool = False) -> EvalReport:
+          run_keys: list[str] | None = None, require_verdicts: bool = False, counter=None) -> EvalReport:
     """Metric reports from post-processed samples and per-sample verdicts.
 
     ``verdicts``: ``task_idx, sample_idx`` + the suite's flags + ``timed_out``
@@ -83,11 +83,13 @@ def score(samples: DataFrame, suite_name: str, verdicts: DataFrame | None = None
 
     ``run_keys`` (e.g. ``["model_id", "gen_mode"]``) score many runs in one
     job: every grouping carries them, the task level is ``run_keys +
-    task_idx`` and the suite level is per run.
+    task_idx`` and the suite level is per run.  ``counter`` counts the tokens of pass@t
+    in place of the built-in pre-tokenizer (:func:`evalspark.operators.pieces.counter`).
     """
     suite = get_suite(suite_name)
+    more = {"counter": counter} if counter else {}       # report hooks without token metrics need not know it
     return suite.report(suite, samples=samples, verdicts=verdicts, tasks=tasks, coverage_lines=coverage_lines,
-                        run_keys=run_keys, require_verdicts=require_verdicts)
+                        run_keys=run_keys, require_verdicts=require_verdicts, **more)
 
 
 def verdicts_from_facts(suite_name: str, run_steps: DataFrame, coverage: DataFrame | None = None,
@@ -105,7 +107,7 @@ def run_evaluate(spark: SparkSession, suite_name: str, tasks: DataFrame, generat
                  begin: int = -1, end: int = -1, num_samples: int | None = None,
                  run_steps: DataFrame | None = None, verdicts: DataFrame | None = None,
                  coverage_lines: DataFrame | None = None, stage_path: str | None = None,
-                 run_keys: list[str] | None = None) -> EvalReport:
+                 run_keys: list[str] | None = None, counter=None) -> EvalReport:
     """Score the selected samples: closed task range, first ``num_samples`` outputs.
 
     Facts are cut to the selected samples before they are reduced; a selected
@@ -117,7 +119,7 @@ def run_evaluate(spark: SparkSession, suite_name: str, tasks: DataFrame, generat
         on = [*(run_keys or []), "task_idx", "sample_idx"]
         verdicts = verdicts_from_facts(suite_name, run_steps.join(samples.select(*on), on, "left_semi"), keys=on)
     return score(samples, suite_name, verdicts=verdicts, tasks=tasks, coverage_lines=coverage_lines,
-                 run_keys=run_keys, require_verdicts=facts)
+                 run_keys=run_keys, require_verdicts=facts, counter=counter)
 
 
 def evaluate_files(spark: SparkSession, suite_name: str, tasks_path: str, generations_path: str, mode: str,

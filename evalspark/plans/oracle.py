@@ -629,6 +629,7 @@ def oracle_sql() -> dict[str, str]:
         ("tasks", "SELECT DISTINCT CAST(p_partkey % 100 AS INT) AS task_idx FROM part"),
         ("r", "SELECT task_idx, CAST(count(*) FILTER (WHERE hit) AS DOUBLE) / count(*) AS ratio FROM tup GROUP BY task_idx")],
         "SELECT task_idx, coalesce(ratio, 0.0::DOUBLE) AS diff_coverage FROM tasks LEFT JOIN r USING (task_idx)", ["diff_coverage"])
+    qs["diff_coverage_incremental"] = qs["diff_coverage"]
     qs["target_classes"] = with_views(["V_classes"], [], "SELECT p_partkey, array_to_string(list_sort(list_distinct(string_split(names, ','))), ',') AS classes FROM V_classes")
     qs["order_by_task"] = "SELECT task_id, n_outputs FROM (" + merged_sql(5) + ")"
     qs["shard_requests"] = with_views(["V_tasks"], [("req", "SELECT task_idx, CAST(copy_no AS INT) AS copy_no FROM V_tasks, (SELECT unnest(range(1, 8)) AS copy_no) c")],

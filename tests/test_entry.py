@@ -17,7 +17,8 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(catalog.QUERIES) <= set(entry_mod.queries()) & set(entry_mod.oracle_sql())
+    assert set(catalog.QUERIES) <= set(entry_mod.queries())
+    assert set(catalog.QUERIES) - catalog.WITHOUT_SQL <= set(entry_mod.oracle_sql())
 
 
 def _norm(v):
@@ -32,7 +33,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - catalog.WITHOUT_SQL))
 def test_query_matches_oracle_small(spark, duck, name):
     df = entry_mod.queries()[name](spark, SF_SMALL)
     cols = df.columns

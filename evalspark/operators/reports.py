@@ -54,10 +54,13 @@ def defect_report(suite, samples: DataFrame, verdicts: DataFrame | None = None,
 
 def pass_report(suite, samples: DataFrame, verdicts: DataFrame | None = None, tasks: DataFrame | None = None,
                 coverage_lines: DataFrame | None = None, run_keys: list[str] | None = None,
-                require_verdicts: bool = False, counter: met.TokenCounter | None = None) -> EvalReport:
+                require_verdicts: bool = False, counter: met.TokenCounter | None = None,
+                counts_path: str | None = None) -> EvalReport:
     """pass@k, pass@t, solved counts and coverage from per-sample verdicts.
 
-    One population for every metric: the samples that have a verdict.
+    One population for every metric: the samples that have a verdict.  With
+    ``counts_path`` the per-task counts are written there and all tables of
+    the report read them, instead of scoring the samples once per table.
     """
     if verdicts is None:
         raise ValueError(f"suite {suite.name!r} is scored from execution results: pass run_steps (facts) or verdicts "
@@ -77,6 +80,9 @@ def pass_report(suite, samples: DataFrame, verdicts: DataFrame | None = None, ta
         carry = ["line_coverage", "condition_coverage"]
         extra += [F.avg(c).alias(c) for c in carry]
     counts = met.with_total_tokens(ver.task_verdict_counts(scored, flags, task_keys=keys, extra_aggs=extra))
+    if counts_path:
+        counts.write.mode("overwrite").parquet(counts_path)
+        counts = samples.sparkSession.read.schema(counts.schema).parquet(counts_path)
     task_metrics = met.task_metrics_long(counts, flags, k_grid, t_grid, keys)
     report = EvalReport(samples=samples, task_counts=counts, task_metrics=task_metrics,
                         suite_metrics=met.suite_pass_metrics(task_metrics, by=run_keys),

@@ -681,6 +681,21 @@ def q_evaluate_testgenissue(spark, sf):
                                      run_steps=fx.v_issue_facts(spark, sf), coverage_lines=fx.v_sample_lines(spark, sf)))
 
 
+def q_evaluate_runs(spark, sf):
+    """evaluate_runs: a merged table of two models (samples of even and of odd number), scored together from files of facts."""
+    from evalspark.plans.evaluate import evaluate_runs
+    root = scratch_path(spark, "runs")
+    model = F.concat(F.lit("model-"), (F.col("sample_idx") % 2).cast("string")).alias("model_id")
+    fx.v_eval_tasks(spark, sf).write.parquet(f"{root}/tasks")
+    (fx.v_samples(spark, sf).select("task_idx", "sample_idx", "output", model, F.lit("complete").alias("gen_mode"))
+     .write.partitionBy("model_id", "gen_mode").parquet(f"{root}/generations"))
+    fx.v_patch_facts(spark, sf).select("*", model).write.parquet(f"{root}/facts")
+    documents = evaluate_runs(spark, "repair", f"{root}/tasks", f"{root}/generations", "complete", f"{root}/out", run_steps_path=f"{root}/facts")
+    total = documents.select("model_id", F.get_json_object("document", "$.total").cast("long").alias("run_total"))
+    metrics = spark.read.parquet(f"{root}/out/metrics")
+    return metrics.join(total, "model_id").select("model_id", "run_total", "flag", "metric", "param", "n_tasks", r9(F.col("value")).alias("value"))
+
+
 # --- flagship ---------------------------------------------------------------------
 
 def q_leaderboard(spark, sf):
@@ -764,6 +779,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "evaluate_complete_chat": q_evaluate_complete_chat,
     "evaluate_testgen": q_evaluate_testgen,
     "evaluate_testgenissue": q_evaluate_testgenissue,
+    "evaluate_runs": q_evaluate_runs,
     "leaderboard": q_leaderboard,
 }
 

@@ -10,13 +10,18 @@ metric.
 
 from __future__ import annotations
 
+import inspect
 import re
+import time
+from dataclasses import fields, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalspark.functions import text
 from evalspark.operators import samples as smp
+from evalspark.operators.joins import require_present
 from evalspark.operators.reports import EvalReport
 from evalspark.session import scratch_path
 from evalspark.suites import SuiteConfig, get_suite
@@ -69,7 +74,8 @@ def prepare_samples(spark: SparkSession, suite_name: str, tasks: DataFrame, gene
 
 def score(samples: DataFrame, suite_name: str, verdicts: DataFrame | None = None,
           tasks: DataFrame | None = None, coverage_lines: DataFrame | None = None,
-          run_keys: list[str] | None = None, require_verdicts: bool = False, counter=None) -> EvalReport:
+          run_keys: list[str] | None = None, require_verdicts: bool = False, counter=None,
+          counts_path: str | None = None) -> EvalReport:
     """Metric reports from post-processed samples and per-sample verdicts.
 
     ``verdicts``: ``task_idx, sample_idx`` + the suite's flags + ``timed_out``
@@ -85,9 +91,14 @@ def score(samples: DataFrame, suite_name: str, verdicts: DataFrame | None = None
     job: every grouping carries them, the task level is ``run_keys +
     task_idx`` and the suite level is per run.  ``counter`` counts the tokens of pass@t
     in place of the built-in pre-tokenizer (:func:`evalspark.operators.pieces.counter`).
+    ``counts_path`` stages the per-task counts there, so that several tables of
+    the report read them instead of scoring the samples once each.
     """
     suite = get_suite(suite_name)
     more = {"counter": counter} if counter else {}       # report hooks without token metrics need not know it
+    known = inspect.signature(suite.report).parameters
+    if counts_path and ("counts_path" in known or any(x.kind is x.VAR_KEYWORD for x in known.values())):
+        more["counts_path"] = counts_path
     return suite.report(suite, samples=samples, verdicts=verdicts, tasks=tasks, coverage_lines=coverage_lines,
                         run_keys=run_keys, require_verdicts=require_verdicts, **more)
 
@@ -126,7 +137,7 @@ def evaluate_files(spark: SparkSession, suite_name: str, tasks_path: str, genera
                    output_path: str, begin: int = -1, end: int = -1, num_samples: int | None = None,
                    run_steps_path: str | None = None, generations_multiline: bool = True,
                    run_keys: dict | None = None, coverage_lines_path: str | None = None,
-                   model_id: str = "model", suffix: str = "default") -> DataFrame:
+                   model_id: str = "model", suffix: str = "default", counter=None) -> DataFrame:
     """File in, report out, like the original evaluate entry point.
 
     Reads the tasks file and the generations document, writes the
@@ -134,16 +145,15 @@ def evaluate_files(spark: SparkSession, suite_name: str, tasks_path: str, genera
     scores with the run facts when given, and writes the long metric table
     plus one results document per run under ``output_path``.  Coverage
     suites may add ``coverage_lines_path`` (Parquet: ``task_idx, sample_idx, class,
-    file, number, hit`` per covered line) for ``diff_coverage``.  ``time_cost``
+    file, number, hit`` per covered line) for ``diff_coverage``; ``counter``
+    replaces the built-in token counter.  ``time_cost``
     and ``end_time`` are measured on the driver around the scoring jobs.
 
     The results document, with the detail of every task in index order, is
     ``log/<model_id>/<suite>/evaluation-<suffix>-<mode>.json`` under
     ``output_path``; what is returned has the same results without the detail.
     """
-    import time
-
-    from evalspark.sources import files, sinks
+    from evalspark.sources import files
 
     run_keys = run_keys or {"bench_name": suite_name, "gen_mode": mode}
     tasks = files.load_tasks(spark, suite_name, tasks_path)
@@ -157,42 +167,116 @@ def evaluate_files(spark: SparkSession, suite_name: str, tasks_path: str, genera
         facts = files.load_run_steps(spark, run_steps_path).join(samples.select(*on), on, "left_semi")
         verdicts = verdicts_from_facts(suite_name, facts)
     lines = spark.read.parquet(coverage_lines_path) if coverage_lines_path else None
-    rep = score(samples, suite_name, verdicts=verdicts, tasks=tasks, coverage_lines=lines, require_verdicts=bool(run_steps_path))
-    keys = list(run_keys)
+    rep = score(samples, suite_name, verdicts=verdicts, tasks=tasks, coverage_lines=lines, require_verdicts=bool(run_steps_path),
+                counter=counter, counts_path=scratch_path(spark, "task-counts"))
     lit_keys = [F.lit(v).alias(k) for k, v in run_keys.items()]
+    rep = replace(rep, **{f.name: frame.select(*lit_keys, "*") for f in fields(rep) if (frame := getattr(rep, f.name)) is not None})
+    back = _write_report(rep, get_suite(suite_name), list(run_keys), output_path, start)
+    detail = rep.detail.drop(*run_keys) if rep.detail is not None else None
+    write_run_document(back, detail, output_path, model_id, suite_name, mode, suffix)
+    return back
+
+
+def evaluate_runs(spark: SparkSession, suite_name: str, tasks_path: str, generations_path: str, mode: str, output_path: str,
+                  run_keys: tuple[str, ...] = ("model_id",), begin: int = -1, end: int = -1, num_samples: int | None = None,
+                  run_steps_path: str | None = None, coverage_lines_path: str | None = None, suffix: str = "default",
+                  counter=None) -> DataFrame:
+    """Every run of a merged table in one job graph: :func:`evaluate_files` for a sweep.
+
+    ``generations_path`` is Parquet as the merge of the log writes it, any
+    folders by run included: ``run_keys``, ``task_idx`` (or ``task_id``, looked
+    up in the tasks) and ``outputs``, or one row per sample with ``sample_idx,
+    output``; a ``gen_mode`` or ``bench_name`` that is no run key prunes to the mode and the
+    suite.  Facts and coverage lines carry the run keys, too.  All groupings
+    hold the run keys, so a sweep costs the shuffles of one run, and a hot run
+    is spread by its tasks.  Run keys are read as text (``007`` stays) and must
+    not be null: such a row fails the job, as does a selected sample without
+    facts.  A run without selected samples has no document.
+
+    Writes what :func:`evaluate_files` writes, with
+    ``log/<run keys>/<suite>/evaluation-<suffix>-<mode>.json`` per run (values
+    URL-encoded, so no two runs share a document), and returns ``run_keys,
+    document``.
+    """
+    from evalspark.schemas import RUN_STEPS
+    from evalspark.sources import files
+
+    keys = list(run_keys)
+    on = [*keys, "task_idx", "sample_idx"]
+    tasks = files.load_tasks(spark, suite_name, tasks_path)
+    gens = _with_text_keys(spark, generations_path, keys)
+    for column, value in (("gen_mode", mode), ("bench_name", suite_name)):
+        if column in gens.columns and column not in keys:
+            gens = gens.filter(F.col(column) == value)
+    if "task_idx" not in gens.columns:
+        gens = smp.attach_task(gens, tasks.select("task_id", "task_idx"), ["task_idx"], key="task_id")
+    has_run = F.when(F.concat(*keys).isNotNull(), True)
+    gens = require_present(gens.withColumn("__run", has_run), "__run", f"a generation has no value in {keys}")
+    samples = prepare_samples(spark, suite_name, tasks, gens, mode, begin, end, num_samples, run_keys=keys)
+    start = time.time()
+    verdicts = None
+    if run_steps_path:
+        columns = [(k, T.StringType()) for k in keys]
+        columns += [(f.name, f.dataType) for f in RUN_STEPS.fields if f.name in ("task_idx", "sample_idx", "version")]
+        facts = files.load_run_steps(spark, run_steps_path, run_keys=columns)
+        verdicts = verdicts_from_facts(suite_name, facts.join(samples.select(*on), on, "left_semi"), keys=on)
+    lines = _with_text_keys(spark, coverage_lines_path, keys) if coverage_lines_path else None
+    rep = score(samples, suite_name, verdicts=verdicts, tasks=tasks, coverage_lines=lines, run_keys=keys,
+                require_verdicts=bool(run_steps_path), counter=counter, counts_path=scratch_path(spark, "task-counts"))
+    back = _write_report(rep, get_suite(suite_name), keys, output_path, start)
+    run = F.concat_ws("/", *[F.url_encode(F.col(k)) for k in keys])
+    _write_documents(back, rep.detail, output_path, F.concat(F.lit("log/"), run, F.lit(f"/{suite_name}/evaluation-{suffix}-{mode}.json")), keys)
+    return back
+
+
+def _with_text_keys(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """A Parquet table with its run keys as text, also where they are folders with names like numbers."""
+    found = spark.read.parquet(path)
+    row = found.select(F.input_file_name().alias("file")).first()
+    folders = [k for k in keys if row and f"/{k}=" in row["file"]]
+    declared = T.StructType([T.StructField(f.name, T.StringType()) if f.name in folders else f for f in found.schema.fields])
+    table = spark.read.schema(declared).parquet(path)
+    return table.withColumns({k: F.col(k).cast("string") for k in keys if k not in folders})
+
+
+def _write_report(rep: EvalReport, suite: SuiteConfig, keys: list[str], output_path: str, start: float) -> DataFrame:
+    """Metric, detail and document tables by run; the documents (``keys, document``) as read back."""
+    from evalspark.sources import sinks
+
     if rep.defect is not None:
-        out = rep.defect.select(*lit_keys, "*")
-        out.write.mode("overwrite").partitionBy(*keys).parquet(f"{output_path}/defect")
+        rep.defect.write.mode("overwrite").partitionBy(*keys).parquet(f"{output_path}/defect")
         end_time = time.time()
-        doc = out.groupBy(*keys).agg(F.to_json(F.struct(
-            *[F.max_by(F.struct(*[c for c in rep.defect.columns if c != "variant"]), F.when(F.col("variant") == v, F.lit(1))).alias(f"results_{v}")
-              for v in ("all", "one")],
+        cells = F.struct(*[c for c in rep.defect.columns if c not in ("variant", *keys)])
+        doc = rep.defect.groupBy(*keys).agg(F.to_json(F.struct(
+            *[F.max_by(cells, F.when(F.col("variant") == v, F.lit(1))).alias(f"results_{v}") for v in ("all", "one")],
             F.lit(end_time - start).alias("time_cost"), F.lit(end_time).alias("end_time"))).alias("document"))
     else:
-        suite = get_suite(suite_name)
-        metrics = rep.suite_metrics.select(*lit_keys, "*")
-        metrics.write.mode("overwrite").partitionBy(*keys).parquet(f"{output_path}/metrics")
-        rep.detail.select(*lit_keys, "*").write.mode("overwrite").partitionBy(*keys).parquet(f"{output_path}/detail")
+        rep.suite_metrics.write.mode("overwrite").partitionBy(*keys).parquet(f"{output_path}/metrics")
+        rep.detail.write.mode("overwrite").partitionBy(*keys).parquet(f"{output_path}/detail")
         end_time = time.time()
-        scalars = rep.coverage.select(*lit_keys, "*") if rep.coverage is not None else None
+        scalars = rep.coverage
         if rep.diff_coverage is not None:
-            mean = rep.diff_coverage.agg(F.avg("diff_coverage").alias("diff_coverage")).select(*lit_keys, "*")
-            scalars = scalars.join(mean, keys) if scalars is not None else mean
-        doc = sinks.results_document(metrics, rep.solved.select(*lit_keys, "*"), keys, list(suite.flags),
+            mean = rep.diff_coverage.groupBy(*keys).agg(F.avg("diff_coverage").alias("diff_coverage"))
+            scalars = scalars.join(mean, keys, "left") if scalars is not None else mean
+        doc = sinks.results_document(rep.suite_metrics, rep.solved, keys, list(suite.flags),
                                      {"time_cost": end_time - start, "end_time": end_time}, scalars=scalars)
     doc.write.mode("overwrite").partitionBy(*keys).json(f"{output_path}/documents")
-    back = spark.read.json(f"{output_path}/documents")
-    write_run_document(back, rep.detail, output_path, model_id, suite_name, mode, suffix)
-    return back
+    return doc.sparkSession.read.schema(doc.schema).json(f"{output_path}/documents").select(*keys, "document")
 
 
 def write_run_document(documents: DataFrame, detail: DataFrame | None, output_path: str, model_id: str, suite_name: str, mode: str,
                        suffix: str = "default") -> str:
     """The document of one run, with the tasks' ``detail`` if the suite has one; its path under ``output_path``."""
+    name = f"log/{model_id}/{suite_name}/evaluation-{suffix}-{mode}.json"
+    _write_documents(documents, detail, output_path, F.lit(name), [])
+    return f"{output_path}/{name}"
+
+
+def _write_documents(documents: DataFrame, detail: DataFrame | None, output_path: str, name: Column, keys: list[str]) -> None:
+    """One file per row of ``documents``, at ``name`` (of the run ``keys``), with the detail of the run's tasks."""
     from evalspark.sources.documents import write_documents
 
-    name = f"log/{model_id}/{suite_name}/evaluation-{suffix}-{mode}.json"
-    heads = documents.select(F.lit(name).alias("document"), F.col("document").alias("head"))
+    heads = documents.select(name.alias("document"), F.col("document").alias("head"))
     if detail is None:
         entries = heads.sparkSession.createDataFrame([], "document string, idx long, entry string")
     else:
@@ -200,8 +284,7 @@ def write_run_document(documents: DataFrame, detail: DataFrame | None, output_pa
         for f in detail.schema.fields:
             if f.dataType.typeName() == "struct":        # a flag: its metrics by their names in the document
                 rest.append(F.struct(*[F.col(f"{f.name}.{x}").alias(re.sub(r"_at_(.)_", r"@\1-", x)) for x in f.dataType.names]).alias(f.name))
-            elif f.name != "task_idx":
+            elif f.name not in ("task_idx", *keys):
                 rest.append(F.col(f.name))
-        entries = detail.select(F.lit(name).alias("document"), F.col("task_idx").alias("idx"), F.to_json(F.struct(*rest)).alias("entry"))
+        entries = detail.select(name.alias("document"), F.col("task_idx").alias("idx"), F.to_json(F.struct(*rest)).alias("entry"))
     write_documents(heads, entries, output_path)
-    return f"{output_path}/{name}"

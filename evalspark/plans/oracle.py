@@ -704,6 +704,12 @@ FROM r WHERE n <= 25 GROUP BY model_id, task_id"""
     qs["evaluate_testgen"] = _evaluate_sql(_postprocessed_ctes(), _TEST, test_flags, K_GRID_DEFAULT, True,
                                            "task_idx BETWEEN 1 AND 30 AND sample_idx < 9")
     qs["evaluate_testgenissue"] = _evaluate_sql(_chat_ctes(False), _ISSUE, test_flags, K_GRID_DEFAULT, True)
+    runs = [_evaluate_sql(_postprocessed_ctes(), _PATCH, FLAGS, K_GRID_DEFAULT, False, f"sample_idx % 2 = {i}") for i in range(2)]
+    qs["evaluate_runs"] = " UNION ALL ".join(
+        f"SELECT 'model-{i}' AS model_id, count(*) FILTER (WHERE level = 'task') OVER () AS run_total, level, flag, metric, param, n, value "
+        f"FROM ({sql}) r" for i, sql in enumerate(runs))
+    qs["evaluate_runs"] = ("SELECT model_id, run_total, flag, metric, param, n AS n_tasks, value FROM (" + qs["evaluate_runs"]
+                           + ") WHERE level = 'suite'")
     qs["evaluate_defectdetection"] = scores_sql(confusion_sql("variant"), "variant, ")
     qs["leaderboard"] = _leaderboard_sql()
     return qs

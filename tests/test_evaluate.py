@@ -190,6 +190,83 @@ def test_many_runs_in_one_job_equal_one_job_per_run(spark):
         assert rows(together.solved.filter(F.col("model_id") == m), ["model_id"]) == rows(alone.solved)
 
 
+def test_runs_of_a_merged_table_equal_their_single_evaluations(spark):
+    """evaluate_runs: documents of many runs at once, run keys as text, null keys and missing facts refused."""
+    import json
+    import os
+    from evalspark.plans.evaluate import evaluate_files, evaluate_runs
+    from evalspark.session import scratch_path
+    root = scratch_path(spark, "eval-runs")
+    _tasks(spark, 2).withColumn("task_idx", F.col("task_idx").cast("int")).write.parquet(f"{root}/tasks")
+    outputs = {("007", "a/b"): [["{ test }", "{ t2 }"], ["{ x }"]], ("7", "a/b"): [["{ one }"]], ("org/m", "c"): [["{ p }", "{ q }"], ["{ r }"]]}
+    steps_ddl = ("task_idx int, sample_idx int, step_no int, kind string, exit_code int, timed_out boolean, "
+                 "stdout_lines array<string>, syntax_ok boolean")
+    lines_ddl = "task_idx int, sample_idx int, class string, file string, number string, hit boolean"
+    gens, steps, lines, alone = [], [], [], {}
+    for r, (run, tasks) in enumerate(outputs.items()):
+        step_rows = [row for t, outs in enumerate(tasks) for n in range(len(outs)) for row in (
+            (t, n, 1, "test", 0, False, [f"Failing tests: {(t + n + r) % 2}"], True),
+            (t, n, 2, "coverage", 0, False, [f"Line coverage: {10 * (r + n + 1)}.0%", "Condition coverage: 20.0%"], True))]
+        line_rows = [(t, n, "A", "A.java", str(k), (k + r + n) % 2 == 0) for t, outs in enumerate(tasks) for n in range(len(outs)) for k in range(3 + r)]
+        gens += [(*run, t, outs) for t, outs in enumerate(tasks)]
+        steps += [(*run, *row) for row in step_rows]
+        lines += [(*run, *row) for row in line_rows]
+        at = f"{root}/alone-{r}"
+        spark.createDataFrame(step_rows, steps_ddl).write.parquet(f"{at}/steps")
+        spark.createDataFrame(line_rows, lines_ddl).write.parquet(f"{at}/lines")
+        with open(f"{root}/alone-{r}/generations.json", "w") as f:
+            json.dump([{"task_idx": t, "task_id": f"t{t}", "outputs": outs} for t, outs in enumerate(tasks)], f)
+        evaluate_files(spark, "testgen", f"{root}/tasks", f"{at}/generations.json", "complete", f"{at}/out", run_steps_path=f"{at}/steps",
+                       coverage_lines_path=f"{at}/lines")
+        with open(f"{at}/out/log/model/testgen/evaluation-default-complete.json") as f:
+            alone[run] = json.load(f)
+    keys = "model_id string, version_id string, "
+    runs = ("model_id", "version_id")
+    table = spark.createDataFrame(gens, keys + "task_idx int, outputs array<string>")
+    other = table.withColumn("gen_mode", F.lit("chat")).withColumn("outputs", F.array(F.lit("of another mode")))
+    table.withColumn("gen_mode", F.lit("complete")).unionByName(other).write.partitionBy(*runs, "gen_mode").parquet(f"{root}/merged")
+    spark.createDataFrame(steps, keys + steps_ddl).write.parquet(f"{root}/steps")
+    spark.createDataFrame(lines, keys + lines_ddl).write.parquet(f"{root}/lines")
+    docs = evaluate_runs(spark, "testgen", f"{root}/tasks", f"{root}/merged", "complete", f"{root}/out", runs, run_steps_path=f"{root}/steps",
+                         coverage_lines_path=f"{root}/lines").collect()
+    assert {(d.model_id, d.version_id) for d in docs} == set(outputs)
+    timing = ("time_cost", "end_time")
+    for run, name in ((("007", "a/b"), "007/a%2Fb"), (("7", "a/b"), "7/a%2Fb"), (("org/m", "c"), "org%2Fm/c")):
+        with open(os.path.join(root, "out/log", name, "testgen/evaluation-default-complete.json")) as f:
+            whole = json.load(f)
+        assert {k: v for k, v in whole.items() if k not in timing} == {k: v for k, v in alone[run].items() if k not in timing}
+    spark.createDataFrame(gens + [(None, "v", 0, ["x"])], keys + "task_idx int, outputs array<string>").write.parquet(f"{root}/null-key")
+    with pytest.raises(Exception, match="no value in"):
+        evaluate_runs(spark, "testgen", f"{root}/tasks", f"{root}/null-key", "complete", f"{root}/out2", runs, run_steps_path=f"{root}/steps")
+    spark.createDataFrame([g for g in steps if g[0] != "7"], keys + steps_ddl).write.parquet(f"{root}/fewer-steps")
+    with pytest.raises(Exception, match="no verdict"):
+        evaluate_runs(spark, "testgen", f"{root}/tasks", f"{root}/merged", "complete", f"{root}/out3", runs, run_steps_path=f"{root}/fewer-steps")
+
+
+def test_counted_once_then_read(spark):
+    """With counts_path the tables of a report read the staged counts and equal those scored without it; a counter reaches pass@t."""
+    from evalspark.plans.evaluate import score
+    from evalspark.session import scratch_path
+    samples = spark.createDataFrame([(0, 0, "a b", "c d e"), (0, 1, "a b", "f"), (1, 0, "a", "")], "task_idx int, sample_idx int, input string, raw_output string")
+    verdicts = spark.createDataFrame([(0, 0, True, True, True, True, False), (0, 1, True, True, False, False, True), (1, 0, True, False, False, False, False)],
+                                     "task_idx int, sample_idx int, pass_syntax boolean, pass_compile boolean, pass_trigger boolean, "
+                                     "pass_all boolean, timed_out boolean")
+
+    def ones(texts, keys, text):
+        return texts.groupBy(*keys).agg(F.lit(1).cast("long").alias("n_tokens"))
+
+    path = scratch_path(spark, "counts")
+    for counter in (None, ones):
+        plain = score(samples, "complete", verdicts=verdicts, counter=counter)
+        staged = score(samples, "complete", verdicts=verdicts, counter=counter, counts_path=path)
+        for name in ("suite_metrics", "solved", "detail"):
+            a, b = getattr(plain, name), getattr(staged, name)
+            assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+        plan = staged.suite_metrics._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and path.rpartition("/")[2] in plan
+    assert {r.total_tokens for r in staged.task_counts.collect()} == {3.0, 1.5}
+
+
 def test_evaluate_files_testgen_report_has_coverage(spark):
     import json
     import os

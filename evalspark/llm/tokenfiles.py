@@ -273,3 +273,46 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     offsets = totals.select("shard", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
     return rows.join(offsets, "shard").select("doc_id", (F.col("offset") + F.col("shard_start")).alias("start"),
                                               "n_tokens", "ids_crc32")
+
+
+def _wanted_ids(batches: Iterator[pa.RecordBatch], doc_ids: list[int | None]) -> Iterator[pa.RecordBatch]:
+    wanted, want_null = np.array([d for d in doc_ids if d is not None], np.int64), None in doc_ids
+    for batch in batches:
+        for content in batch.column(0):
+            view, table, index = memoryview(content.as_buffer()), None, None
+            for record in _records(view):                # hops by lengths, no block is unpacked
+                if bytes(record[:1]) == b"D":
+                    table = record
+                elif bytes(record[:1]) == b"I":
+                    index = record
+            if table is None or index is None:
+                continue
+            n, n_blocks = struct.unpack_from("<I", table, 1)[0], struct.unpack_from("<I", index, 1)[0]
+            keys = np.frombuffer(table, "<i8", n, 5)
+            nulls = np.frombuffer(table, np.uint8, n, 5 + 8 * n).astype(bool)
+            ends = np.cumsum(np.frombuffer(table, "<u4", n, 5 + 9 * n).astype(np.int64))
+            starts = np.concatenate([[0], ends[:-1]])
+            places = np.frombuffer(index, "<u8", n_blocks, 5).astype(np.int64)
+            firsts = np.frombuffer(index, "<u8", n_blocks, 5 + 8 * n_blocks).astype(np.int64)
+            for row in np.flatnonzero(np.where(nulls, want_null, np.isin(keys, wanted))):
+                a = int(np.searchsorted(firsts, starts[row], "right")) - 1
+                b = int(np.searchsorted(firsts, ends[row], "left"))
+                blocks = [unpack_block(view[p + 4:p + 4 + struct.unpack_from("<I", view, p)[0]]) for p in places[a:b].tolist()]
+                ids = np.concatenate(blocks)[starts[row] - firsts[a]:ends[row] - firsts[a]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([None if nulls[row] else int(keys[row])], pa.int64()), pa.array([ids.astype(np.int64)], pa.list_(pa.int64())),
+                     pa.array([b - a], pa.int64())], ["doc_id", "ids", "n_blocks"])
+
+
+def read_ids(spark: SparkSession, path: str, doc_ids: list[int | None]) -> DataFrame:
+    """``doc_id, ids, n_blocks`` of the documents with one of ``doc_ids`` in the files under ``path``.
+
+    A lookup of few documents: the ids travel with the tasks, so their list is
+    the caller's bound.  The block index says which blocks hold a document
+    (``n_blocks``), and only those are unpacked; the bytes of a file are still
+    read by Spark, as its stores have no ranged reads.  Defined results: None
+    asks for the rows without an id, equal ids give a row each, ids that no
+    file holds give none, and asking twice for an id is asking once.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    return files.mapInArrow(lambda batches: _wanted_ids(batches, list(doc_ids)), "doc_id long, ids array<long>, n_blocks long")

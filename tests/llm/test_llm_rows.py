@@ -89,6 +89,28 @@ def test_token_files_round_trip(spark, make_docs, prose):
     assert got == expected
 
 
+def test_ids_of_few_documents_by_the_block_index(spark, make_docs, prose):
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(BPE)
+    rows = [(k, prose(k, 40 if k % 7 else 9000)) for k in range(60)] + [(None, "no id"), (None, None), (5, "again"), (61, "")]
+    out = scratch_path(spark, "token-files")
+    tokenfiles.write_token_files(make_docs(rows), out, BPE)
+    asked = [0, 5, 13, 14, 14, 59, 61, 1000, -1, None]
+    got = tokenfiles.read_ids(spark, out, asked).collect()
+    expected = [(i, t.encode(x or "", add_special_tokens=False).ids + [2]) for i, x in rows if i in asked]
+    order = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert sorted(((r.doc_id, list(r.ids)) for r in got), key=order) == sorted(expected, key=order)
+    # a document of n ids lies in at most n / BLOCK + 2 blocks, a short one mostly in one; the files hold many more
+    assert all(-(-len(r.ids) // tokenfiles.BLOCK) <= r.n_blocks <= len(r.ids) // tokenfiles.BLOCK + 2 for r in got)
+    assert max(r.n_blocks for r in got) > 1
+    ids_in_all = sum(r.n_tokens for r in tokenfiles.read_documents(spark, out).collect())
+    assert sum(r.n_blocks for r in got if r.doc_id in (5, 13, 59)) < ids_in_all // tokenfiles.BLOCK
+    assert tokenfiles.read_ids(spark, out, []).collect() == []
+    empty = scratch_path(spark, "token-files")
+    tokenfiles.write_token_files(make_docs([]), empty, BPE)
+    assert tokenfiles.read_ids(spark, empty, [1, None]).collect() == []
+
+
 def test_token_files_of_an_empty_table(spark, make_docs):
     out = scratch_path(spark, "token-files")
     tokenfiles.write_token_files(make_docs([]), out, BPE)

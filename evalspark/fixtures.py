@@ -23,28 +23,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name in ROW_WORK_TABLES else df
 
 
+TASK_ROWS = 500_000          # of a scan that one task works through
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that would leave most cores idle over the session's parallelism.
+    """Deal a scan round-robin that would leave most cores idle, or give a task more than ``TASK_ROWS`` rows.
 
     Spark cuts files by bytes, but all rows of a row group go to one split: a
     file of one row group is worked through (XML parsing, regex token counts,
-    brace folds) by one task, however many splits it has.  So a scan with
-    fewer splits that hold rows than there are cores is spread: less than one
-    wave of splits, bounded data.  Splits with rows are only counted (from the
-    footers, no column is read) where files are fewer than cores.
+    brace folds) by one task, however many splits it has, and narrow rows come
+    by the million in a split.  So a scan with fewer splits that hold rows than
+    there are cores is spread, and one with more rows a split than a task
+    should work through: its tasks become more with the table, not longer.
+    Rows are only counted (from the footers, no column is read).
     """
     try:
         cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-        if splits >= cores and (len(df.inputFiles()) >= cores or _splits_with_rows(df) >= cores):
-            return df
-        return df.repartition(cores)
+        rows, most, busy = _rows_of_splits(df)
+        want = max(cores, -(-rows // TASK_ROWS))
+        return df if busy >= cores and most <= 2 * TASK_ROWS else df.repartition(want)
     except Exception:       # no RDD view (e.g. a Spark Connect session): leave the scan as is
         return df
 
 
-def _splits_with_rows(df: DataFrame) -> int:
-    return df.select("_metadata.file_path", "_metadata.file_block_start").distinct().count()
+def _rows_of_splits(df: DataFrame) -> tuple[int, int, int]:
+    """Rows of a scan, the most in one of its splits, and how many splits hold any."""
+    sizes = df.select(F.spark_partition_id().alias("split")).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    return tuple(sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.count("n")).first())
 
 
 def v_tasks(spark, sf_dir) -> DataFrame:

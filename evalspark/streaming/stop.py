@@ -4,7 +4,8 @@ Chunks ``(request_id, seq, text)`` arrive in any order and across
 micro-batches.  Per request a value state holds the next expected ``seq`` and a
 resumable scan (each character is scanned once), a list state the pieces of
 the output so far (a micro-batch appends its own pieces and rewrites none) and
-a map state the chunks that arrived early.  A request stops after the whole
+a map state the chunks that arrived early, in blocks of ``EARLY_BLOCK`` numbers
+(each call on the state is a round trip to the JVM, so a request makes few).  A request stops after the whole
 chunk in which the rule first holds; its row ``(request_id, stop_seq, output)``
 is emitted once.  Chunks marked ``special`` (special tokens) count in the order
 but are neither scanned nor part of the output.
@@ -37,9 +38,8 @@ import re
 import sys
 from typing import Iterator
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
@@ -54,6 +54,7 @@ OUTPUT_SCHEMA = T.StructType([
     T.StructField("output", T.StringType()),
 ])
 
+EARLY_BLOCK = 64              # chunk numbers that share an entry of the early ones
 IDLE_MS = 3_600_000           # after a request's last chunk
 LATENESS = "1 day"            # of the watermark behind the latest chunk
 END_OF_STREAM = "2200-01-01 00:00:00"
@@ -114,7 +115,7 @@ def chat_step(text: str, sig: str, phase: int, held: str, depth: int, in_quote:
 
 
 class StopProcessor(StatefulProcessor):
-    """The early stop of one request; rows: ``seq, text, special, prefix, carry, ts``."""
+    """The early stop of one request; rows: ``seq, text, special, prefix, carry, ms``."""
 
     def __init__(self, rule: str, markers: list[str], idle_ms: int, event_time: bool):
         self.rule, self.markers, self.idle_ms, self.event_time = rule, markers, idle_ms, event_time
@@ -124,41 +125,48 @@ class StopProcessor(StatefulProcessor):
         self.handle = handle
         self.scan = handle.getValueState("scan", _SCAN_STATE)
         self.pieces = handle.getListState("pieces", "piece string")
-        self.early = handle.getMapState("early", "seq long", "text string, special boolean")
+        self.early = handle.getMapState("early", "block long", "chunks array<struct<seq long, text string, special boolean>>")
 
     def _now(self, timers, latest: int) -> int:
         return latest if self.event_time else timers.getCurrentProcessingTimeInMs()
 
-    def _row(self, key, stop_seq: int | None, output: str, carry: str | None) -> pd.DataFrame:
-        return pd.DataFrame({"request_id": pd.array([int(key[0])], "Int64"), "stop_seq": pd.array([stop_seq], "Int64"),
-                             "output": [output], "carry": [carry]})
+    def _row(self, key, stop_seq: int | None, output: str, carry: str | None) -> Row:
+        return Row(request_id=int(key[0]), stop_seq=stop_seq, output=output, carry=carry)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state = self.scan.get() if self.scan.exists() else None
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        state = self.scan.get()
         next_seq, depth, in_quote, seen, tail, phase, done, n_early, deadline, carry = state or (0, 0, False, False, "", 0, False, 0, 0, None)
-        arrived, prefix, latest = {}, None, 0
-        for pdf in rows:
-            for seq, text, special, pre, own, ts in zip(pdf["seq"], pdf["text"], pdf["special"], pdf["prefix"], pdf["carry"], pdf["ts"]):
-                if not done and seq >= next_seq:
-                    arrived[int(seq)] = ("" if text is None else text, bool(special))
-                prefix = pre if prefix is None else prefix
-                carry = own if carry is None else carry
-                latest = max(latest, int(pd.Timestamp(ts).value // 1_000_000))
+        arrived, prefix, latest, was_next, had_early = {}, None, 0, next_seq, n_early
+        for seq, text, special, pre, own, ms in ((r.seq, r.text, r.special, r.prefix, r.carry, r.ms) for r in rows):
+            if not done and seq >= next_seq:
+                arrived[seq] = ("" if text is None else text, special)
+            prefix = pre if prefix is None else prefix
+            carry = own if carry is None else carry
+            latest = max(latest, ms)
         if done:
             return
+        blocks: dict[int, dict] = {}                 # blocks of early chunks that this call has read
+        changed: set[int] = set()
+
+        def block_of(seq: int) -> dict:
+            n = seq // EARLY_BLOCK
+            if n not in blocks:
+                held = self.early.getValue((n,)) if had_early else None
+                blocks[n] = {c[0]: (c[1], c[2]) for c in held[0]} if held else {}
+            return blocks[n]
+
         pieces, stopped_at = [], None
         if self.rule == "signature" and next_seq == 0 and (0 in arrived or n_early):
             # The scan covers signature + "{\n" before the generated text.
             depth, in_quote, seen, _ = scan_braces(prefix or "", 0, False, False)
         while True:
-            if next_seq in arrived:
-                text, special = arrived.pop(next_seq)
-            elif n_early and self.early.containsKey((next_seq,)):
-                text, special = self.early.getValue((next_seq,))
-                self.early.removeKey((next_seq,))
+            held = block_of(next_seq).pop(next_seq, None) if n_early else None
+            if held is not None:
                 n_early -= 1
-            else:
+                changed.add(next_seq // EARLY_BLOCK)
+            if (chunk := arrived.pop(next_seq, held)) is None:
                 break
+            text, special = chunk
             next_seq += 1
             if special:
                 continue
@@ -178,37 +186,49 @@ class StopProcessor(StatefulProcessor):
                 break
         first, deadline = state is None, self._now(timerValues, latest) + self.idle_ms
         if stopped_at is not None:
-            output = "".join([*(p for (p,) in self.pieces.get()), *pieces])
-            self.pieces.clear()
-            self.early.clear()
+            before = [p for (p,) in self.pieces.get()] if was_next else []
+            if was_next:
+                self.pieces.clear()
+            if had_early:
+                self.early.clear()
             self.scan.update((next_seq, 0, False, False, "", phase, True, 0, deadline, None))
         else:
             if pieces:
                 self.pieces.appendList([(p,) for p in pieces])
-            for seq, held in arrived.items():
-                if not self.early.containsKey((seq,)):
-                    n_early += 1
-                self.early.updateValue((seq,), held)
+            for seq, chunk in arrived.items():
+                block = block_of(seq)
+                n_early += seq not in block
+                block[seq] = chunk
+                changed.add(seq // EARLY_BLOCK)
+            for n in changed:
+                if blocks[n]:
+                    self.early.updateValue((n,), ([(seq, *chunk) for seq, chunk in blocks[n].items()],))
+                else:
+                    self.early.removeKey((n,))
             self.scan.update((next_seq, depth, in_quote, seen, tail, phase, False, n_early, deadline, carry))
         if first:
             self.handle.registerTimer(deadline)
         if stopped_at is not None:
-            yield self._row(key, stopped_at, output, carry)
+            yield self._row(key, stopped_at, "".join([*before, *pieces]), carry)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        *_, done, _, deadline, carry = self.scan.get()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        next_seq, *_, done, n_early, deadline, carry = self.scan.get()
         now = timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs()
         if deadline > now:                   # chunks have come since the timer was set
             self.handle.registerTimer(deadline)
             return
-        if not done:
-            held = sorted((seq, text) for (seq,), (text, special) in self.early.iterator() if not special)
-            output = "".join([*(p for (p,) in self.pieces.get()), *(text for _, text in held)])
         self.scan.clear()
-        self.pieces.clear()
-        self.early.clear()
-        if not done:
-            yield self._row(key, None, output, carry)
+        if done:                             # its text left the state when it stopped
+            return
+        parts = []
+        if next_seq:
+            parts += [p for (p,) in self.pieces.get()]
+            self.pieces.clear()
+        if n_early:
+            held = sorted((c[0], c[1]) for _, (chunks,) in self.early.iterator() for c in chunks if not c[2])
+            parts += [text for _, text in held]
+            self.early.clear()
+        yield self._row(key, None, "".join(parts), carry)
 
     def close(self) -> None:
         pass
@@ -227,7 +247,7 @@ def stop_stream(chunks: DataFrame, rule: str, markers: list[str] | None = None,
     if rule not in ("text", "signature", "chat", "marker"):
         raise KeyError(rule)
     # Ship the processor and its helpers by value: Python workers then need
-    # only the standard library, pandas and pyspark, not this package.
+    # only the standard library and pyspark, not this package.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     markers = markers or (STREAM_STOP_MARKERS if rule == "marker" else [])
 
@@ -243,7 +263,8 @@ def stop_stream(chunks: DataFrame, rule: str, markers: list[str] | None = None,
                      column(prefix, F.lit(None).cast("string")).alias("prefix"),
                      column(carry, F.lit(None)).cast("string").alias("carry"),
                      column(event_time, F.lit("1970-01-01").cast("timestamp")).alias("ts"))
-    out = src.groupBy("request_id").transformWithStateInPandas(
+    src = src.withColumn("ms", F.unix_millis("ts"))
+    out = src.groupBy("request_id").transformWithState(
         StopProcessor(rule, markers, idle_ms, bool(event_time)),
         T.StructType([*OUTPUT_SCHEMA.fields, T.StructField("carry", T.StringType())]), "append",
         "EventTime" if event_time else "ProcessingTime")

@@ -199,3 +199,18 @@ def test_incremental_merge_equals_one_batch_merge(spark):
     assert {r[0]: r[2] for r in got} == {t: o[:4] for t, o in first.items()}
     plan = batch._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("Exchange hashpartitioning") == 1                       # text is shuffled once
+
+
+def test_early_chunks_share_state_entries_and_count_once(spark):
+    """Chunks that come before their turn are kept in blocks, over block borders; one that comes again is not repeated."""
+    n = 3 * sstop.EARLY_BLOCK
+    late = [(1, s, f"{s},", False, None, START) for s in range(n) if s % 2]
+    rest = [(1, s, f"{s},", False, None, START) for s in range(0, n, 2)] + [(2, 1, "b", False, None, START)]
+    again = [(1, 5, "5,", False, None, START), (2, 0, "a", False, None, START), (2, 1, "b", False, None, START), (2, 3, "d", False, None, START)]
+    stream = _write_log(spark, [late, rest, again], scratch_path(spark, "early-src"))
+    out = scratch_path(spark, "early-out")
+    progress = sstop.run_available_now(sstop.stop_stream(stream, "text", event_time="ts"), out, out + "-ckpt")
+    assert {r.request_id: (r.stop_seq, r.output) for r in spark.read.parquet(out).collect()} == {
+        1: (None, "".join(f"{s}," for s in range(n))), 2: (None, "abd")}
+    # The scan, its timer in two tables, and the blocks: far fewer than the early chunks.
+    assert progress[0]["stateOperators"][0]["numRowsTotal"] < 12

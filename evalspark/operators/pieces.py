@@ -2,8 +2,9 @@
 
 Texts are split into pieces by the tokenizer's pattern; merges never cross a
 piece, so a text's count is the sum over its pieces.  Each distinct piece is
-merged once, whatever the number of texts that hold it, and its count is
-joined back by piece.
+merged once, whatever the number of texts that hold it: a short one in each
+task, which remembers it, a long one in the whole job, its count joined back by
+piece.
 
 The merges of a piece depend on each other from end to end (which pair comes
 next hangs on what a lower rank made of its neighbours), so a fold over columns
@@ -23,7 +24,9 @@ import json
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +42,8 @@ PLAIN_BYTES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 MAX_MERGES = 1_000_000         # in the broadcast table
 HOT_SHARE = 10_000             # pieces with more than one in so many rows are salted: fewer than so many pieces
 SALTS = 32
+SHORT_CHARS = 32               # of a piece that a task sums itself
+MEMO_PIECES = 500_000          # short pieces that a task remembers (some 120 bytes each)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -104,31 +109,77 @@ def merge_pieces(distinct: DataFrame, ranks: Ranks) -> DataFrame:
     return distinct.select("piece").mapInArrow(count, "piece string, n_tokens long")
 
 
+def short_pieces_summed(split: DataFrame, keys: list[str], ranks: Ranks) -> DataFrame:
+    """``keys, piece, known``: per row of ``split`` (``keys`` and an array ``pieces``) the tokens of its pieces of at
+    most ``SHORT_CHARS`` characters, without a ``piece``; and a row, without ``known``, for each longer piece in it.
+
+    A task merges a short piece once and remembers it, ``MEMO_PIECES`` at a time.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])      # executors need not have the package
+    sent, short, room = split.sparkSession.sparkContext.broadcast(ranks), SHORT_CHARS, MEMO_PIECES
+
+    def size(piece: str, memo: dict[str, int], table: Ranks) -> int:
+        n = memo.get(piece)
+        if n is None:
+            if len(memo) >= room:
+                memo.clear()
+            n = memo[piece] = merged_length(piece.encode(), table)
+        return n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, table = {}, sent.value
+        names = [*keys, "piece", "known"]
+        for batch in batches:
+            listed, own = batch.column(len(keys)), batch.columns[:len(keys)]
+            coded = listed.flatten().dictionary_encode()
+            is_long = pc.greater(pc.utf8_length(coded.dictionary), short).to_numpy(zero_copy_only=False)
+            sizes = np.fromiter((0 if long else size(p, memo, table) for p, long in zip(coded.dictionary.to_pylist(), is_long.tolist(), strict=True)),
+                                np.int64, len(coded.dictionary))
+            at = coded.indices.to_numpy(zero_copy_only=False)
+            sums = np.concatenate([[0], np.cumsum(sizes[at])])
+            ends = listed.offsets.to_numpy() - listed.offsets[0].as_py()
+            yield pa.RecordBatch.from_arrays([*own, pa.nulls(len(listed), pa.string()), pa.array(sums[ends[1:]] - sums[ends[:-1]], pa.int64())], names)
+            places = np.flatnonzero(is_long[at])
+            if len(places):
+                row = pa.array(np.searchsorted(ends, places, side="right") - 1)
+                yield pa.RecordBatch.from_arrays([*[c.take(row) for c in own], coded.dictionary.take(pa.array(at[places])),
+                                                  pa.nulls(len(places), pa.int64())], names)
+
+    types = dict(split.dtypes)
+    return split.select(*keys, "pieces").mapInArrow(run, ", ".join([*[f"`{k}` {types[k]}" for k in keys], "piece string", "known long"]))
+
+
 def exact_token_counts(texts: DataFrame, keys: list[str], text: str, ranks: Ranks) -> DataFrame:
     """``keys, n_tokens``: the tokens of all texts of each key.
 
-    Pieces are summed by key before any shuffle.  A piece that stands in a
+    Short pieces, nearly all of a text, are summed where they are read.  Long
+    ones, whose merges are the costly ones, are summed by key before any
+    shuffle, merged once and joined back by piece.  A piece that stands in a
     large share of the rows is salted by key, and only its row of the
     dictionary is copied per salt; which pieces that are is broadcast as
     hashes, fewer than ``HOT_SHARE`` by the way they are chosen.
     """
     spark = texts.sparkSession
     path = scratch_path(spark, "piece-counts")
-    (texts.select(*keys, F.explode_outer(pieces(F.col(text))).alias("piece"))
-     .groupBy(*keys, "piece").agg(F.count(F.lit(1)).alias("n")).write.parquet(path))
-    counted = spark.read.parquet(path)
+    named = [f"__k{i}" for i in range(len(keys))]            # a key may have the name of a column here
+    split = texts.select(*[F.col(k).alias(n) for k, n in zip(keys, named, strict=True)], pieces(F.col(text)).alias("pieces"))
+    short_pieces_summed(split, named, ranks).write.parquet(path)
+    found = spark.read.parquet(path)
+    known = found.filter("piece is null").select(*named, F.col("known").alias("n_tokens"))
+    counted = found.filter("piece is not null").groupBy(*named, "piece").agg(F.count(F.lit(1)).alias("n"))
     uses_path = scratch_path(spark, "piece-uses")
-    counted.filter("piece is not null").groupBy("piece").agg(F.count(F.lit(1)).alias("uses")).write.parquet(uses_path)
+    counted.groupBy("piece").agg(F.count(F.lit(1)).alias("uses")).write.parquet(uses_path)
     uses = spark.read.schema("piece string, uses long").parquet(uses_path)
     rows = uses.agg(F.coalesce(F.sum("uses"), F.lit(0)).alias("n")).first()["n"]
     hot = F.broadcast(uses.filter(F.col("uses") * HOT_SHARE > rows).select(F.xxhash64("piece").alias("hot")).distinct())
     sizes = merge_pieces(uses, ranks)
     sizes = sizes.join(hot, F.xxhash64("piece") == F.col("hot"), "left").select(
         "piece", "n_tokens", F.explode(F.when(F.col("hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
-    salt = F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")).otherwise(0)
+    salt = F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64(*named), F.lit(SALTS)).cast("int")).otherwise(0)
     dealt = counted.join(hot, F.xxhash64("piece") == F.col("hot"), "left").withColumn("salt", salt).drop("hot")
-    return dealt.join(sizes, ["piece", "salt"], "left").groupBy(*keys).agg(
-        F.coalesce(F.sum(F.col("n") * F.col("n_tokens")), F.lit(0)).cast("long").alias("n_tokens"))
+    long = dealt.join(sizes, ["piece", "salt"]).select(*named, (F.col("n") * F.col("n_tokens")).alias("n_tokens"))
+    sums = known.unionByName(long).groupBy(*named).agg(F.sum("n_tokens").cast("long").alias("n_tokens"))
+    return sums.select(*[F.col(n).alias(k) for n, k in zip(named, keys, strict=True)], "n_tokens")
 
 
 def counter(path: str) -> Callable[[DataFrame, list[str], str], DataFrame]:

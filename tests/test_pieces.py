@@ -125,3 +125,19 @@ def test_incremental_coverage_equals_full(spark):
     store.add("1", lines)                 # overlaps the first batch
     store.add("1", lines)                 # and is written again
     assert {r[0]: r[1] for r in store.diff_coverage(tasks).collect()} == pytest.approx(want)
+
+
+def test_short_pieces_are_not_shuffled_and_long_ones_are_counted(spark, encode, monkeypatch):
+    monkeypatch.setattr(pieces, "HOT_SHARE", 5)
+    monkeypatch.setattr(pieces, "MEMO_PIECES", 3)
+    long = ["x" * 33, " " + "abc" * 40, "=" * 50]
+    rows = [(i % 7 or None, f"{long[i % 3]} short words{i % 5} {long[0]}" if i % 4 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "known int, text string")
+    split = df.select("known", pieces.pieces(F.col("text")).alias("pieces")).withColumnRenamed("known", "k")
+    found = pieces.short_pieces_summed(split, ["k"], pieces.read_merges(PATH))
+    assert {r["piece"].strip() for r in found.filter("piece is not null").collect()} == {x.strip() for x in long}
+    assert found.filter("piece is null").count() == len(rows)
+    want = {}
+    for k, text in rows:
+        want[k] = want.get(k, 0) + encode(text)
+    assert {r["known"]: r["n_tokens"] for r in pieces.counter(PATH)(df, ["known"], "text").collect()} == want

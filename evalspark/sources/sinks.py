@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+SLICE_BYTES = 4 << 20         # of records that are put in brackets at a time
+
 RUN_KEYS = ("model_id", "bench_name", "gen_mode")
 
 
@@ -23,24 +32,30 @@ def write_generations(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def _bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of one array document from its records, a bounded number of bytes at a time and none as a Python object."""
+    first, pool = True, pa.default_memory_pool()
+    for batch in batches:
+        values = batch.column(0)
+        ends = np.cumsum(pc.binary_length(values).to_numpy(zero_copy_only=False))
+        a = 0
+        while a < len(values):
+            taken = ends[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, taken + SLICE_BYTES, side="right")))
+            sign = pa.array(["[" if first and i == 0 else "," for i in range(b - a)])
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(sign, values.slice(a, b - a), "")], ["value"])
+            first, a = False, b
+        del batch, values
+        pool.release_unused()
+    if not first:
+        yield pa.RecordBatch.from_arrays([pa.array(["]"])], ["value"])
+
+
 def write_generations_array(df: DataFrame, path: str) -> None:
     """Generations as JSON array documents, one per task of the write: a record a line, brackets and commas around."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])      # executors need not have the package
     lines = df.select(F.to_json(F.struct("*")).alias("value"))
-
-    def bracketed(batches):
-        first = True
-        for pdf in batches:
-            if len(pdf):
-                values = ["," + v for v in pdf["value"]]
-                if first:
-                    values[0] = "[" + values[0][1:]
-                first = False
-                yield pdf.assign(value=values)
-        if not first:
-            import pandas as pd
-            yield pd.DataFrame({"value": ["]"]})
-
-    lines.mapInPandas(bracketed, "value string").write.mode("overwrite").text(path)
+    lines.mapInArrow(_bracketed, "value string").write.mode("overwrite").text(path)
 
 
 def write_merged(df: DataFrame, path: str, partition_cols: tuple[str, ...] = RUN_KEYS,

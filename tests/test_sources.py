@@ -113,3 +113,17 @@ def test_one_document_per_run(spark, tmp_path):
     assert doc["total"] == 3 and list(doc["detail"]) == [str(i) for i in range(300)] and doc["detail"]["7"] == {"i": 7, "text": "x\n"}
     assert json.loads((tmp_path / "log/n/s/evaluation-b.json").read_text()) == {"detail": {}}
     assert sorted(p.name for p in tmp_path.iterdir()) == ["log"]
+
+
+def test_arrays_are_bracketed_in_bounded_slices(monkeypatch):
+    import pyarrow as pa
+    from evalspark.sources import sinks
+    monkeypatch.setattr(sinks, "SLICE_BYTES", 1 << 16)
+    records = [json.dumps({"outputs": ["x" * (n % 9_000)], "ord": n}) for n in range(2_000)]
+    records[7] = json.dumps({"outputs": ["y" * 200_000]})                  # longer than a slice
+    batches = [pa.RecordBatch.from_arrays([pa.array(records[a:a + 900])], ["value"]) for a in range(0, 2_000, 900)]
+    out = list(sinks._bracketed(iter([batches[0].slice(0, 0), *batches])))
+    assert max(b.nbytes for b in out if b.num_rows > 1) < 3 << 16
+    lines = [v for b in out for v in b.column(0).to_pylist()]
+    assert json.loads("\n".join(lines)) == [json.loads(r) for r in records]
+    assert list(sinks._bracketed(iter([]))) == []

@@ -219,7 +219,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, end_id: in
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    payloads = rows.mapInArrow(lambda batches: _write_partition(batches, tokenizer_path, end_id, percentile), "value binary")
+    payloads = rows.mapInArrow(common.releasing(lambda batches: _write_partition(batches, tokenizer_path, end_id, percentile)), "value binary")
     payloads.select(F.col("value").cast("string").alias("value")).write.text(out)
 
 
@@ -231,32 +231,46 @@ def _records(content: bytes) -> Iterator[memoryview]:
         at += 4 + n + 1
 
 
+def _read_file(view: memoryview) -> pa.RecordBatch | None:
+    """The documents of one file; its blocks are unpacked one at a time."""
+    shard, blocks, table = 0, [], None
+    for record in _records(view):                        # hops by lengths, no block is unpacked
+        kind = bytes(record[:1])
+        if kind == b"H":
+            shard = struct.unpack_from("<I", record, 1)[0]
+        elif kind == b"B":
+            blocks.append(record)
+        elif kind == b"D":
+            table = record
+    if table is None:
+        return None
+    n = struct.unpack_from("<I", table, 1)[0]
+    keys = np.frombuffer(table, "<i8", n, 5)
+    nulls = np.frombuffer(table, np.uint8, n, 5 + 8 * n).astype(bool)
+    counts = np.frombuffer(table, "<u4", n, 5 + 9 * n).astype(np.int64)
+    ends = np.cumsum(counts)
+    crc, row, done = np.zeros(n, np.int64), 0, 0         # ``done``: ids of the blocks before
+    for block in blocks:
+        ids = unpack_block(block).astype("<u4", copy=False)
+        last = done + len(ids)
+        to = int(np.searchsorted(ends, last, side="left"))               # the document that this block breaks off or ends
+        cuts = [0, *(ends[row:to] - done).tolist(), len(ids)]
+        data, sums = memoryview(ids).cast("B"), crc[row:to + 1].tolist()
+        crc[row:to + 1] = [zlib.crc32(data[4 * a:4 * b], c) for a, b, c in zip(cuts[:-1], cuts[1:], sums, strict=True)]
+        row, done = to + (to < n and ends[to] == last), last
+    return pa.RecordBatch.from_arrays(
+        [pa.array(keys, pa.int64(), mask=nulls), pa.array(np.full(n, shard), pa.int64()), pa.array(ends - counts, pa.int64()),
+         pa.array(counts, pa.int64()), pa.array(crc, pa.int64())],
+        ["doc_id", "shard", "shard_start", "n_tokens", "ids_crc32"])
+
+
 def _read_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    encoder.cache_clear()                                # a worker that has written before needs its pieces no more
     for batch in batches:
         for content in batch.column(0):
-            shard, blocks, table = 0, [], None
-            for record in _records(content.as_buffer()):
-                kind = bytes(record[:1])
-                if kind == b"H":
-                    shard = struct.unpack_from("<I", record, 1)[0]
-                elif kind == b"B":
-                    blocks.append(unpack_block(record))
-                elif kind == b"D":
-                    table = record
-            if table is None:
-                continue
-            n = struct.unpack_from("<I", table, 1)[0]
-            keys = np.frombuffer(table, "<i8", n, 5)
-            nulls = np.frombuffer(table, np.uint8, n, 5 + 8 * n).astype(bool)
-            counts = np.frombuffer(table, "<u4", n, 5 + 9 * n).astype(np.int64)
-            ids = np.concatenate(blocks)
-            ends = np.cumsum(counts)
-            starts = ends - counts
-            crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64(), mask=nulls), pa.array(np.full(n, shard), pa.int64()), pa.array(starts, pa.int64()),
-                 pa.array(counts, pa.int64()), pa.array(crc, pa.int64())],
-                ["doc_id", "shard", "shard_start", "n_tokens", "ids_crc32"])
+            found = _read_file(memoryview(content.as_buffer()))
+            if found is not None:
+                yield found
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -267,7 +281,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     rows = common.staged(files.mapInArrow(
-        _read_documents, "doc_id long, shard long, shard_start long, n_tokens long, ids_crc32 long"), "token-rows")
+        common.releasing(_read_documents), "doc_id long, shard long, shard_start long, n_tokens long, ids_crc32 long"), "token-rows")
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("shard", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))

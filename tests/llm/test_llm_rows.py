@@ -1,6 +1,7 @@
 """Mixing, token files, toxicity, quality rules, sampled pieces, secret and personal data scans."""
 
 import base64
+import glob
 import json
 import math
 import re
@@ -10,6 +11,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -559,3 +561,23 @@ def test_many_matches_take_time_in_proportion(make_docs):
     spans = pii.scan(make_docs([(1, text)])).select(pii.listed(F.col("spans"), pii.BASE_KINDS).alias("s")).first()["s"]
     assert time.time() - began < 20
     assert spans == [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"[^ ,]+", text)]
+
+
+def test_token_files_are_read_block_by_block(spark, make_docs, prose, monkeypatch):
+    """A worker that reads holds the ids of a block, not of a file, and none of the pieces that it wrote with."""
+    docs = make_docs([(None if i == 3 else i, prose(i, 900 if i % 5 else 9_000)) for i in range(40)])
+    out = scratch_path(spark, "token-files")
+    tokenfiles.write_token_files(docs.coalesce(1), out, BPE)
+    want = {r["doc_id"]: zlib.crc32(np.array([*r["ids"]], "<u4").tobytes()) for r in tokenfiles.read_ids(
+        spark, out, [None, *range(40)]).collect()}
+    sizes, unpack = [], tokenfiles.unpack_block
+    monkeypatch.setattr(tokenfiles, "unpack_block", lambda block: sizes.append(len(block)) or unpack(block))
+    monkeypatch.setattr(tokenfiles.np, "concatenate", None)              # no file is put together
+    tokenfiles.encoder(BPE)
+    got = {}
+    for file in sorted(glob.glob(f"{out}/part-*")):
+        with open(file, "rb") as f:
+            for batch in tokenfiles._read_documents(iter([pa.RecordBatch.from_arrays([pa.array([f.read()])], ["content"])])):
+                got |= dict(zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), strict=True))
+    assert got == want and len(got) == 40 and len(sizes) > 10
+    assert tokenfiles.encoder.cache_info().currsize == 0

@@ -73,9 +73,9 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """``df`` written to a fresh folder under the shared checkpoint folder and read back:
     computed once, its lineage cut, and safe when executors are lost."""
     path = scratch_path(df.sparkSession, f"llm-{name}")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)

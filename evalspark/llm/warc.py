@@ -46,6 +46,7 @@ from evalspark.operators.joins import lookup_join
 
 MIN_SHARED_BYTES = 100        # smaller payloads are never revisited
 MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES = 200_000, 32 << 20       # of repeated digests; beyond, the join shuffles
+STAGE_COMPRESSION = "zstd"    # of staged headers: identifiers and digests are hexadecimal, which Parquet's usual codec leaves as it is
 DATE = "2000-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -232,7 +233,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = False) ->
     """One row per record of the archives under ``path`` (see ``RECORD``); payloads of responses if asked for."""
     pieces = spark.read.option("lineSep", _END + _VERSION).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
-    found = common.staged(pieces.mapInArrow(common.releasing(_parsed(with_payload, 0)), RECORD), "warc-records")
+    found = common.staged(pieces.mapInArrow(common.releasing(_parsed(with_payload, 0)), RECORD), "warc-records", STAGE_COMPRESSION)
     broken = common.staged(found.filter(~F.col("whole")).select("file").distinct(), "warc-broken-files")
     if broken.isEmpty():
         return found.drop("whole", "file")
@@ -240,7 +241,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = False) ->
     again = whole.join(broken, "file", "left_semi").mapInArrow(common.releasing(_parsed(with_payload, 1)), RECORD)
     again = again.withColumn("whole", F.when(~F.col("whole"), F.raise_error(F.concat(F.lit("not a WARC file: "), F.col("file")))).otherwise(
         F.lit(True)))
-    return found.join(broken, "file", "left_anti").unionByName(common.staged(again, "warc-whole-files")).drop("whole", "file")
+    return found.join(broken, "file", "left_anti").unionByName(common.staged(again, "warc-whole-files", STAGE_COMPRESSION)).drop("whole", "file")
 
 
 def _of_kind(kind: str) -> Column:
@@ -259,7 +260,7 @@ def captures(found: DataFrame) -> DataFrame:
     named = mains.select(F.col("record_id").alias("capture"), F.explode("concurrent_to").alias("at"))
     known = mains.select(F.col("record_id").alias("capture"), F.col("record_id").alias("at")).unionByName(named).distinct()
     ways = others.select("record_type", "record_id", "info", F.explode(F.array_union("concurrent_to", F.array("record_id"))).alias("at"))
-    direct = common.staged(ways.join(known, "at").select("capture", "record_type", "record_id", "info").distinct(), "warc-links")
+    direct = common.staged(ways.join(known, "at").select("capture", "record_type", "record_id", "info").distinct(), "warc-links", STAGE_COMPRESSION)
     # Over one record between: what names a record that belongs to a capture.
     left = ways.join(direct.select("record_id").distinct(), "record_id", "left_anti")
     between = left.join(direct.select("capture", F.col("record_id").alias("at")), "at").select("capture", "record_type", "record_id", "info").distinct()
@@ -290,4 +291,4 @@ def resolved(captured: DataFrame) -> DataFrame:
 
 
 def read_captures(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    return resolved(common.staged(captures(read_records(spark, path, with_payload)), "warc-captures"))
+    return resolved(common.staged(captures(read_records(spark, path, with_payload)), "warc-captures", STAGE_COMPRESSION))

@@ -181,3 +181,15 @@ def test_broken_and_altered_archives_fail(spark, tmp_path):
 
 def test_empty_tables(spark):
     assert read(spark, [])[0] == []
+
+
+def test_staged_headers_are_packed(spark):
+    """Identifiers are hexadecimal, so what is staged of an archive has a codec that packs them."""
+    import pyarrow.parquet as pq
+    path, table = scratch_path(spark, "warc-test"), scratch_path(spark, "pages-test")
+    spark.createDataFrame(made_pages()[0], "page_id long, url string, html string").write.parquet(table)
+    warc.write_archives(spark.read.parquet(table), path)
+    found = warc.read_records(spark, path)
+    files = [f.removeprefix("file:") for df in (found, warc.read_captures(spark, path)) for f in df.inputFiles()]
+    metadata = [pq.ParquetFile(re.sub("^/+", "/", f)).metadata for f in files]
+    assert {m.row_group(0).column(0).compression for m in metadata if m.num_row_groups} == {"ZSTD"}

@@ -19,14 +19,18 @@ or twice has the same count; it can make a cycle seem to begin later, never
 earlier; and a phrase that comes again after its cycle ends with a count that
 is no larger, of which the largest is kept.  There are no false negatives, and
 no phrase is more frequent than its parts, so every phrase at or above the
-threshold has its full count in the end.  The bits of a filter are a power of
+threshold has its full count in the end.  Phrases are counted by their hash of
+64 bits; those of one hash are counted as one, which is no less than each.  At
+the end one more scan of all shards writes out the phrases whose hash reached
+the threshold, counts them by their words and drops what is below it, so that
+the result is exact.  The bits of a filter are a power of
 two of at least ``BITS_PER_PHRASE`` times the phrases of a length and
 ``MAX_FILTER_BITS`` at most: what is collected and broadcast has that bound,
 whatever the data.
 
 At scale: a shard's texts are cut into words with array operations, and equal
 phrases are summed within a slice of texts, within the task, and after one
-shuffle by phrase, together with the open counts; a frequent phrase costs one
+shuffle by hash, together with the open counts; a frequent phrase costs one
 row a task.  Open counts are written to one of two folders in turn.
 
 Defined results: a null text is empty, a null language is ``und``; words of
@@ -163,14 +167,28 @@ class _Words:
         self.word = flat.dictionary.take(pa.array(word))
         self.hash = _word_hashes(flat.dictionary)[word]
 
+    def spelled(self, where: np.ndarray, k: int) -> pa.Array:
+        """The phrases of k words that begin at the given words."""
+        return pc.binary_join_element_wise(*[self.word.take(pa.array(self.type[where + i])) for i in range(k)], " ")
 
-Rows = tuple[int, np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]     # words, language, phrase, hash, age, count
+
+def _starts(w: _Words, rank: np.ndarray, k: int) -> np.ndarray:
+    """Where a phrase of k words begins within one piece and both its subphrases, by place, are known."""
+    both = (rank[:-1] < UNKNOWN) & (rank[1:] < UNKNOWN) & ~w.opens[1:]
+    both[max(0, w.n - k + 1):] = False
+    for i in range(2, k):
+        both[:max(0, w.n - i)] &= ~w.opens[i:]
+    return np.flatnonzero(both)
+
+
+Rows = tuple[int, np.ndarray, pa.Array | None, np.ndarray, np.ndarray, np.ndarray]     # words, language, phrase, hash, age, count
 
 
 def count_slice(data: np.ndarray, row_starts: np.ndarray, langs: np.ndarray, lang_hash: np.ndarray, skip: int, words_too: bool,
-                filters: Filters, max_words: int) -> Iterator[Rows]:
+                filters: Filters, max_words: int, spelled: bool = True) -> Iterator[Rows]:
     """Counts of the words and of the active phrases of a slice, and how many steps ago the younger subphrase of each
-    reached the threshold; phrases that end within the first ``skip`` words were counted before."""
+    reached the threshold; phrases that end within the first ``skip`` words were counted before.  Phrases of one hash
+    are one here; unless ``spelled``, they are not written out."""
     w = _Words(data, row_starts, langs)
     if not w.n:
         return
@@ -178,34 +196,62 @@ def count_slice(data: np.ndarray, row_starts: np.ndarray, langs: np.ndarray, lan
     if words_too:
         n = np.bincount(w.type[skip:], minlength=len(w.word))
         some = np.flatnonzero(n)
-        yield 1, w.lang[some], w.word.take(pa.array(some)), type_hash[some], np.zeros(len(some), np.int32), n[some]
+        yield 1, w.lang[some], w.word.take(pa.array(some)) if spelled else None, type_hash[some], np.zeros(len(some), np.int32), n[some]
     token = type_hash[w.type]
-    h, ids = token, w.type                                   # by place: hash and id of the phrase of k - 1 words that begins there
+    h = token                                                # by place: hash of the phrase of k - 1 words that begins there
     rank = _ranks(filters, 1, type_hash)[w.type]             # and its age
-    inside = np.ones(w.n, bool)                              # whether a phrase of k words that begins there is in one piece
     for k in range(2, max_words + 1):
-        inside[:w.n - k + 1] &= ~w.opens[k - 1:]
-        inside[max(0, w.n - k + 1):] = False
-        both = inside[:-1] & (rank[:-1] < UNKNOWN) & (rank[1:] < UNKNOWN)
-        start = np.flatnonzero(both)
+        start = _starts(w, rank, k)
         if not len(start):
             return
-        code = ids[start] * len(w.word) + w.type[start + k - 1]
         own_hash = _joined(h[start], token[start + k - 1])
-        kinds, own, first = _numbered(code)
         # The younger of both subphrases tells the cycle; a phrase of two old ones has been counted.
-        age = np.minimum(rank[start], rank[start + 1])[first]
-        n = np.bincount(own[start + k - 1 >= skip], minlength=len(kinds))
-        some = np.flatnonzero((n > 0) & (age < UNKNOWN - 1))
-        if len(some):
-            where = start[first[some]]
-            phrase = pc.binary_join_element_wise(*[w.word.take(pa.array(w.type[where + i])) for i in range(k)], " ")
-            yield k, w.lang[w.type[where]], phrase, own_hash[first[some]], age[some].astype(np.int32), n[some]
+        age = np.minimum(rank[start], rank[start + 1])
+        young = np.flatnonzero(age < UNKNOWN - 1)
+        if len(young):
+            kinds, own, first = _numbered(own_hash[young].view(np.int64))
+            n = np.bincount(own[start[young] + k - 1 >= skip], minlength=len(kinds))
+            some = np.flatnonzero(n)
+            where = young[first[some]]
+            yield (k, w.lang[w.type[start[where]]], w.spelled(start[where], k) if spelled else None, kinds[some].view(np.uint64),
+                   age[where].astype(np.int32), n[some])
         if k == max_words or not any(length == k for _, length in filters):
             return
-        known = _ranks(filters, k, own_hash[first])[own]
+        rank, h = np.full(w.n, UNKNOWN, np.uint8), np.zeros(w.n, np.uint64)
+        rank[start], h[start] = _ranks(filters, k, own_hash), own_hash
+
+
+def spell_slice(data: np.ndarray, row_starts: np.ndarray, langs: np.ndarray, lang_hash: np.ndarray, skip: int,
+                filters: Filters, max_words: int) -> Iterator[tuple[int, np.ndarray, pa.Array, np.ndarray]]:
+    """Words, language, phrase and exact count of the phrases of a slice that are in the filters; as phrases of no
+    word, the word occurrences of each language."""
+    w = _Words(data, row_starts, langs)
+    if not w.n:
+        return
+    n = np.bincount(w.type[skip:], minlength=len(w.word))
+    by_lang = np.bincount(w.lang, weights=n).astype(np.int64)
+    some = np.flatnonzero(by_lang)
+    yield 0, some, pa.array([""] * len(some), pa.string()), by_lang[some]
+    type_hash = _joined(lang_hash[w.lang], w.hash)
+    rank = _ranks(filters, 1, type_hash)
+    some = np.flatnonzero((n > 0) & (rank < UNKNOWN))
+    yield 1, w.lang[some], w.word.take(pa.array(some)), n[some]
+    token, rank = type_hash[w.type], rank[w.type]
+    h, ids = token, w.type                                   # by place: hash and id of the phrase of k - 1 words that begins there
+    for k in range(2, max_words + 1):
+        start = _starts(w, rank, k)
+        own_hash = _joined(h[start], token[start + k - 1])
+        known = np.flatnonzero(_ranks(filters, k, own_hash) < UNKNOWN)
+        if not len(known):
+            return
+        start, own_hash = start[known], own_hash[known]
+        kinds, own, first = _numbered(ids[start] * len(w.word) + w.type[start + k - 1])
+        n = np.bincount(own[start + k - 1 >= skip], minlength=len(kinds))
+        some = np.flatnonzero(n)
+        where = start[first[some]]
+        yield k, w.lang[w.type[where]], w.spelled(where, k), n[some]
         rank, ids, h = np.full(w.n, UNKNOWN, np.uint8), np.zeros(w.n, np.int64), np.zeros(w.n, np.uint64)
-        rank[start], ids[start], h[start] = known, own, own_hash
+        rank[start], ids[start], h[start] = OLD, own, own_hash
 
 
 def _cuts(data: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -242,24 +288,45 @@ def _slices(batch: pa.RecordBatch, langs: np.ndarray) -> Iterator[tuple[np.ndarr
         a = b
 
 
+def _batch_slices(batch: pa.RecordBatch) -> tuple[pa.Array, Iterator[tuple]]:
+    """The languages of a batch, and of each slice its bytes, first byte of each row, languages, their hashes and the words to skip."""
+    lang = batch.column(0).dictionary_encode()
+    hashes = _word_hashes(lang.dictionary.cast(pa.string()))
+    return lang.dictionary, ((data, rows, langs, hashes, skip) for data, rows, langs, skip in
+                             _slices(batch, lang.indices.to_numpy(zero_copy_only=False)))
+
+
 def _counter(words_too: bool, sent, max_words: int):
-    """A partition function over ``lang, text``: ``k, lang, phrase, h, age, n`` per distinct phrase of a slice."""
+    """A partition function over ``lang, text``: ``k, h, age, n`` per distinct phrase hash of a slice."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters = sent.value
+        for batch in batches:
+            for part in _batch_slices(batch)[1]:
+                for k, _, _, h, age, n in count_slice(*part, words_too, filters, max_words, spelled=False):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(n), k, np.int32)), pa.array(h.view(np.int64)), pa.array(age), pa.array(n.astype(np.int64))],
+                        ["k", "h", "age", "n"])
+
+    return run
+
+
+def _speller(sent, max_words: int):
+    """A partition function over ``lang, text``: ``k, lang, phrase, n`` per distinct phrase of a slice that is in the filters."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = sent.value
         for batch in batches:
-            lang = batch.column(0).dictionary_encode()
-            names, codes = lang.dictionary, lang.indices.to_numpy(zero_copy_only=False)
-            lang_hash = _word_hashes(names.cast(pa.string()))
-            for data, rows, langs, skip in _slices(batch, codes):
-                for k, at, phrase, h, age, n in count_slice(data, rows, langs, lang_hash, skip, words_too, filters, max_words):
+            names, parts = _batch_slices(batch)
+            for part in parts:
+                for k, at, phrase, n in spell_slice(*part, filters, max_words):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(n), k, np.int32)), names.take(pa.array(at)), phrase.cast(pa.string()),
-                         pa.array(h.view(np.int64)), pa.array(age), pa.array(n.astype(np.int64))], ["k", "lang", "phrase", "h", "age", "n"])
+                        [pa.array(np.full(len(n), k, np.int32)), names.take(pa.array(at)), phrase.cast(pa.string()), pa.array(n.astype(np.int64))],
+                        ["k", "lang", "phrase", "n"])
 
     return run
 
 
-_COUNTED = "k int, lang string, phrase string, h long, age int, n long"
+_COUNTED = "k int, h long, age int, n long"
+_SPELLED = "k int, lang string, phrase string, n long"
 
 
 class _Folders:
@@ -310,8 +377,8 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
     texts = spark.read.schema("lang string, text string, shard int").parquet(path)
     folders, done_path = _Folders(spark, "phrase-counts"), scratch_path(spark, "phrases")
     shard_columns = [f"c{s}" for s in range(shards)]
-    spark.createDataFrame([], "k int, lang string, phrase string, h long, f long, tau int").write.parquet(done_path)
-    state, totals_path = None, scratch_path(spark, "phrase-totals")
+    spark.createDataFrame([], "k int, h long, f long, tau int").write.parquet(done_path)
+    state = None
     for step in range(max_words * shards):
         done = spark.read.parquet(done_path)
         reached = [done.select("k", "h", "tau")] + ([state.filter("tau is not null").select("k", "h", "tau")] if state is not None else [])
@@ -322,30 +389,33 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
         shard = step % shards
         counted = texts.filter(F.col("shard") == shard).select("lang", "text").mapInArrow(
             common.releasing(_counter(step < shards, sent, max_words)), _COUNTED)
-        rows = counted.select("k", "lang", "phrase", "h", *[F.lit(0).cast("long").alias(c) for c in shard_columns],
+        rows = counted.select("k", "h", *[F.lit(0).cast("long").alias(c) for c in shard_columns],
                               F.lit(None).cast("int").alias("tau"),
                               F.when(F.col("k") == 1, F.lit(0)).otherwise(step - F.col("age") + 1).alias("start"), "n")
         if state is not None:
             rows = rows.unionByName(state.withColumn("n", F.lit(0).cast("long")))
-        merged = rows.groupBy("k", "lang", "phrase").agg(
-            F.max("h").alias("h"), *[F.max(c).alias(c) for c in shard_columns], F.min("tau").alias("tau"), F.max("start").alias("start"),
+        merged = rows.groupBy("k", "h").agg(
+            *[F.max(c).alias(c) for c in shard_columns], F.min("tau").alias("tau"), F.max("start").alias("start"),
             F.sum("n").alias("n"))
         merged = merged.withColumn(f"c{shard}", F.greatest(f"c{shard}", "n")).withColumn("f", _total(shards))
         merged = merged.withColumn("tau", F.coalesce("tau", F.when(F.col("f") >= min_count, F.lit(step))))
         # What has seen every shard since it became active is complete.
         over = F.col("start") + shards - 1 <= step
-        written = folders.write(merged.filter(~over | (F.col("f") >= min_count) | (F.col("k") == 1)).select(
-            "k", "lang", "phrase", "h", *shard_columns, "tau", "start", "f", over.alias("over")))
-        if step == shards - 1:                               # every word has its full count
-            written.filter("k = 1").groupBy("lang").agg(F.sum("f").alias("n")).write.parquet(totals_path)
+        written = folders.write(merged.filter(~over | (F.col("f") >= min_count)).select(
+            "k", "h", *shard_columns, "tau", "start", "f", over.alias("over")))
         complete = written.filter(F.col("over") & (F.col("f") >= min_count))
-        complete.select("k", "lang", "phrase", "h", "f", "tau").write.mode("append").parquet(done_path)
+        complete.select("k", "h", "f", "tau").write.mode("append").parquet(done_path)
         state = written.filter(~F.col("over")).drop("f", "over")
     if state is not None:                                    # no filter is left that could add to these
         rest = state.withColumn("f", _total(shards)).filter(F.col("f") >= min_count)
-        rest.select("k", "lang", "phrase", "h", "f", "tau").write.mode("append").parquet(done_path)
-    found = spark.read.parquet(done_path).groupBy("lang", "phrase", "k").agg(F.max("f").alias("f"))
-    return common.staged(found, "frequent-phrases"), spark.read.parquet(totals_path)
+        rest.select("k", "h", "f", "tau").write.mode("append").parquet(done_path)
+    # Once more over all shards: every hash that is left is spelled out and its phrases are counted exactly.
+    every = spark.read.parquet(done_path).select("k", "h", "tau")
+    sent = spark.sparkContext.broadcast(_filters(every, (max_words + 1) * shards, shards))
+    spelled = texts.select("lang", "text").mapInArrow(common.releasing(_speller(sent, max_words)), _SPELLED)
+    found = common.staged(spelled.groupBy("k", "lang", "phrase").agg(F.sum("n").alias("f")).filter(
+        (F.col("f") >= min_count) | (F.col("k") == 0)), "frequent-phrases")
+    return found.filter("k > 0").select("lang", "phrase", "k", "f"), found.filter("k = 0").select("lang", F.col("f").alias("n"))
 
 
 def _words_between(phrase: Column, first: Column, n: Column) -> Column:

@@ -125,3 +125,30 @@ def test_filters_hold_what_is_frequent(spark):
         for age, own in ((1, tau == 3), (2, tau == 2), (phrases.OLD, tau < 2)):
             assert phrases._in(filters[age, k], h[own]).all() and phrases._in(filters[age, k], h[~own]).mean() < 0.05
         assert (phrases._ranks(filters, k, h) <= np.where(tau == 3, 1, np.where(tau == 2, 2, 99))).all()
+
+
+def test_phrases_of_one_hash_are_counted_apart_in_the_end(monkeypatch):
+    rows = [(lang or "und", t or "") for lang, t in made_up(11, 80)]
+    batch = pa.record_batch([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["lang", "text"])
+    counts, totals = brute_counts(rows)
+    filters = {(phrases.OLD, k): b"\xff" * (phrases.MIN_FILTER_BITS // 8) for k in range(1, 5)}
+    monkeypatch.setattr(phrases, "_joined", lambda h, word: np.full(len(word), 5, np.uint64))
+    for size in (64, 10_000_000):
+        monkeypatch.setattr(phrases, "SLICE_BYTES", size)
+        names, parts = phrases._batch_slices(batch)
+        found, words = Counter(), Counter()
+        for part in parts:
+            for k, at, phrase, n in phrases.spell_slice(*part, filters, 4):
+                for lang, p, m in zip(names.take(pa.array(at)).to_pylist(), phrase.to_pylist(), n.tolist(), strict=True):
+                    (found if k else words)[(lang, tuple(p.split(" "))) if k else lang] += m
+        assert found == counts and words == Counter({lang: n for lang, n in totals.items() if n})
+
+
+def test_steps_shuffle_numbers_only(spark):
+    class Sent:
+        value = _all_filters()
+
+    batch = pa.record_batch([pa.array(["en"] * 3), pa.array(["a b c", "a b", "b c"])], ["lang", "text"])
+    rows = [r for b in phrases._counter(True, Sent, 4)(iter([batch])) for r in b.to_pylist()]
+    assert all(isinstance(v, int) for r in rows for v in r.values())
+    assert Counter((r["k"], r["n"]) for r in rows) == Counter({(1, 2): 2, (1, 3): 1, (2, 2): 2, (3, 1): 1})

@@ -29,6 +29,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,23 +47,73 @@ FLUSH_BLOCKS = 64            # blocks packed at once
 MEMO_PIECES = 1_300_000       # pieces remembered per worker (about 200 bytes each) before the long ones are forgotten
 SHORT_PIECE = 9
 SLICE_ROWS = 200             # rows of an Arrow batch that are Python objects at a time
+SLICE_CHARS = 4_000_000      # of texts that are cut into pieces together
 
 #: Texts of these characters only are cut into pieces here: on them the cut is the
 #: same in every regex library.  Any other text goes to the tokenizer whole.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa0-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]*+")
-#: The pieces of byte-level BPE: letters, digits or other signs with a space before them, contractions, white
-#: space.  The alternatives start with different characters, so the usual ones come first.
-_PIECES = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:s|t|re|ve|m|ll|d)| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Pieces that the pattern cuts out again when they are written one after the other.
-_SPACED = re.compile(r" [^\W\d_]+")
+_CUT = re.compile(r"(?<=[a-z]) (?=[a-z])")
+#: Classes of their characters.
+_LETTER, _DIGIT, _WHITE, _SIGN = range(4)
+_PLAIN_END = 0x250
+_CLASS = np.array([_WHITE if re.match(r"\s", c) else _DIGIT if re.match(r"\d", c) else _LETTER if re.match(r"[^\W_]", c) else _SIGN
+                   for c in map(chr, range(_PLAIN_END))], np.uint8)
+_BYTE_CLASS = np.concatenate([_CLASS[:128], np.full(128, _SIGN, np.uint8)]).tobytes()     # as a table of ``bytes.translate``
+#: The characters that stand for bytes in the names of byte-level tokens.
+_KEPT = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARS = dict(zip(_KEPT, _KEPT, strict=True)) | {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)).difference(_KEPT)))}
+
+
+def _piece_starts(data: np.ndarray, row_starts: np.ndarray) -> np.ndarray:
+    """First bytes of the pieces of plain texts in UTF-8 that stand one behind the other: letters, digits or other
+    signs with a space before them, contractions, white space without the character before the next piece."""
+    size = len(data)
+    kind = np.frombuffer(bytearray(data.tobytes().translate(_BYTE_CLASS)), np.uint8)
+    lead = np.flatnonzero(data >= 0xC0)                      # plain characters have two bytes at most
+    if len(lead):
+        kind[lead] = kind[lead + 1] = _CLASS[(data[lead].astype(np.int64) & 0x1F) << 6 | data[lead + 1] & 0x3F]
+    is_row = np.zeros(size + 3, bool)
+    is_row[row_starts[row_starts < size]] = True
+    begins = np.empty(size, bool)
+    begins[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+    begins |= is_row[:size]
+    # The last white space of a run begins a piece of its own; a space goes with what is behind it.
+    white = kind == _WHITE
+    after = np.flatnonzero(white[:-1] & ~white[1:] & ~is_row[1:size]) + 1
+    last = after - 1 - ((data[after - 1] & 0xC0) == 0x80)
+    begins[last] = True
+    begins[after[data[last] == 0x20]] = False
+    # 's, 't, 'm, 'd, 're, 've and 'll where a piece begins.
+    quote = np.flatnonzero(data == 0x27)
+    quote = quote[begins[quote]]
+    padded = np.concatenate([data, np.zeros(3, np.uint8)])
+    one, two = padded[quote + 1], padded[quote + 2]
+    short = ((one == ord("s")) | (one == ord("t")) | (one == ord("m")) | (one == ord("d"))) & ~is_row[quote + 1]
+    long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    long &= ~is_row[quote + 1] & ~is_row[quote + 2]
+    begins[quote[short | long] + 1] = False
+    behind = np.concatenate([quote[short] + 2, quote[long] + 3])
+    begins[behind[behind < size]] = True
+    return np.flatnonzero(begins)
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A long text in parts, cut where a piece begins whatever stands before it."""
+    begin = 0
+    while len(text) - begin > SLICE_CHARS and (cut := _CUT.search(text, begin + SLICE_CHARS)):
+        yield text[begin:cut.start()]
+        begin = cut.start()
+    yield text[begin:]
 
 
 class PieceEncoder:
     """Ids of texts as little-endian u32 bytes, equal to the tokenizer's on the whole text.
 
     Byte-level BPE never merges across pieces, so the ids of a text are the ids
-    of its pieces in a row; each distinct piece is encoded once by the
-    tokenizer and remembered.  Texts that hold a special token's string or a
+    of its pieces in a row; the plain texts of a slice are cut with array
+    operations, and each distinct piece is merged once by the tokenizer's model
+    and remembered.  Texts that hold a special token's string or a
     character outside the plain range are encoded whole.
     """
 
@@ -70,26 +121,21 @@ class PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-        names = self.tokenizer.get_vocab()
-        space = self.tokenizer.id_to_token(self.tokenizer.encode(" a", add_special_tokens=False).ids[0])[0]
-        self.opens = np.zeros(max(names.values()) + 1, bool)          # ids of tokens that begin with a space
-        self.opens[[i for name, i in names.items() if name.startswith(space)]] = True
+        self.memo: dict[bytes, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _learn(self, pieces: list[str]) -> None:
-        spaced = [p for p in pieces if _SPACED.fullmatch(p)]
-        if spaced:
-            ids = np.frombuffer(self._whole(["".join(spaced)])[0], "<u4")
-            cuts = [*(4 * np.flatnonzero(self.opens[ids])).tolist(), 4 * len(ids)]
-            ids = ids.tobytes()
-            self.memo.update(zip(spaced, map(ids.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
-        rest = list(set(pieces).difference(spaced))
-        self.memo.update(zip(rest, self._whole(rest), strict=True))
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Ids of pieces: the tokenizer's model merges them as they are, unless it changes texts before it cuts them."""
+        if self.tokenizer.normalizer is not None:
+            self.memo.update(zip(pieces, self._whole([p.decode() for p in pieces]), strict=True))
+            return
+        merge = self.tokenizer.model.tokenize
+        for piece in pieces:
+            self.memo[piece] = array("I", [t.id for t in merge(piece.decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
 
     def _make_room(self) -> None:
         """Forget the long pieces, which are the rare ones; all, if that is not enough."""
@@ -97,20 +143,53 @@ class PieceEncoder:
         if len(self.memo) > MEMO_PIECES // 2:
             self.memo = {}
 
+    def _in_pieces(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of plain texts, whose distinct pieces are looked up once."""
+        raw = [t.encode() for t in texts]
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        data = b"".join(raw)
+        if not data:
+            yield from raw
+            return
+        starts = _piece_starts(np.frombuffer(data, np.uint8), np.concatenate([[0], ends[:-1]]))
+        offsets = np.append(starts, len(data)).astype(np.int32)
+        coded = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        own, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        cuts = np.frombuffer(distinct.buffers()[1], np.int32, len(distinct) + 1).tolist()
+        pieces = list(map(distinct.buffers()[2].to_pybytes().__getitem__, map(slice, cuts, cuts[1:])))
+        ids = list(map(self.memo.get, pieces))
+        if None in ids:
+            if len(self.memo) > MEMO_PIECES:
+                self._make_room()
+                ids = list(map(self.memo.get, pieces))
+            self._learn([p for p, i in zip(pieces, ids, strict=True) if i is None])
+            ids = list(map(self.memo.__getitem__, pieces))
+        known, length = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        count = length[own]
+        to = np.cumsum(count)
+        every = known[np.repeat((np.cumsum(length) - length)[own] - (to - count), count) + np.arange(to[-1])].tobytes()
+        cuts = (4 * np.concatenate([[0], to])[np.searchsorted(starts, ends)]).tolist()
+        yield from (every[a:b] for a, b in zip([0, *cuts], cuts, strict=False))
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
+        waiting, size = [], 0
         for text in texts:
             if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
+                yield from self._in_pieces(waiting)
+                waiting, size = [], 0
                 yield self._whole([text])[0]
                 continue
-            pieces = _PIECES.findall(text)
-            ids = list(map(self.memo.get, pieces))
-            if None in ids:
-                if len(self.memo) > MEMO_PIECES:
-                    self._make_room()
-                    ids = list(map(self.memo.get, pieces))
-                self._learn(list({p for p, i in zip(pieces, ids, strict=True) if i is None}))
-                ids = map(self.memo.__getitem__, pieces)
-            yield b"".join(ids)
+            if len(text) > 2 * SLICE_CHARS:
+                yield from self._in_pieces(waiting)
+                waiting, size = [], 0
+                yield b"".join(ids for part in _parts(text) for ids in self._in_pieces([part]))
+                continue
+            waiting.append(text)
+            size += len(text)
+            if size >= SLICE_CHARS:
+                yield from self._in_pieces(waiting)
+                waiting, size = [], 0
+        yield from self._in_pieces(waiting)
 
 
 @functools.lru_cache(maxsize=2)
@@ -165,8 +244,9 @@ def _record(payload: bytes) -> bytes:
 
 
 def _encoded(batch: pa.RecordBatch, codec: PieceEncoder) -> Iterator[tuple[int | None, bytes]]:
-    for at in range(0, batch.num_rows, SLICE_ROWS):
-        part = batch.slice(at, SLICE_ROWS)
+    rows = max(1, min(SLICE_ROWS, SLICE_CHARS * batch.num_rows // max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, rows):
+        part = batch.slice(at, rows)
         yield from zip(part.column(0).to_pylist(), codec.encode([t or "" for t in part.column(1).to_pylist()]), strict=True)
 
 

@@ -4,6 +4,7 @@ import base64
 import glob
 import json
 import math
+import random
 import re
 import struct
 import time
@@ -581,3 +582,31 @@ def test_token_files_are_read_block_by_block(spark, make_docs, prose, monkeypatc
                 got |= dict(zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), strict=True))
     assert got == want and len(got) == 40 and len(sizes) > 10
     assert tokenfiles.encoder.cache_info().currsize == 0
+
+
+def test_pieces_are_cut_and_looked_up_together(monkeypatch):
+    from tokenizers import Tokenizer
+    whole, rnd = Tokenizer.from_file(BPE), random.Random(3)
+    signs = ["'s", "'re", "'ll", "'t", "'", "''", " ", "  ", "\n", "\t", "\r\n", "\xa0", "é", "Ünd", "a", "foo", "S", "12", "_", "-", ".", "ɏ",
+             "×", "ª", "s", "re", "€", "日本", "\x85", "²", "<|endoftext|>"]
+    texts = ["".join(rnd.choice(signs[:rnd.choice([8, 18, 26, len(signs)])]) for _ in range(rnd.randint(0, 30))) for _ in range(4_000)]
+    texts.append(" ".join(t for t in texts if tokenfiles._PLAIN.fullmatch(t)) + " and so it goes on" * 100)
+    want = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    calls, codec = [], tokenfiles.PieceEncoder(BPE)
+    cut = tokenfiles._piece_starts
+    monkeypatch.setattr(tokenfiles, "_piece_starts", lambda *args: calls.append(1) or cut(*args))
+    assert list(codec.encode(texts)) == want
+    plain = [(t, w) for t, w in zip(texts, want, strict=True) if t.isascii() and "|" not in t]
+    calls.clear()
+    assert list(codec.encode([t for t, _ in plain])) == [w for _, w in plain]
+    assert len(calls) == 1                               # not one by one
+    monkeypatch.setattr(tokenfiles, "SLICE_CHARS", 500)
+    monkeypatch.setattr(tokenfiles, "MEMO_PIECES", 40)
+    assert list(codec.encode(texts)) == want and len(calls) > 2
+
+
+def test_ways_of_a_short_unit_are_found_once():
+    model = lattice.segmenter(PIECES)
+    short, long = lattice.UnitLattice(model, " sitting"), lattice.UnitLattice(model, " " + "sitting" * 50)
+    assert short._weights(2) is short._weights(2)
+    assert long._weights(2) is not long._weights(2) and not long.kept                      # one number per character

@@ -107,8 +107,10 @@ def units(text: str) -> list[str]:
 
 
 def log_sum(x: list[float]) -> float:
+    if len(x) == 1:
+        return x[0]
     top = max(x, default=-math.inf)
-    return top if top == -math.inf else top + math.log(math.fsum(math.exp(v - top) for v in x))
+    return top if top == -math.inf else top + math.log(math.fsum([math.exp(v - top) for v in x]))
 
 
 class Lattices:
@@ -206,10 +208,13 @@ class UnitLattice:
     def __init__(self, model: Segmenter, unit: str):
         self.model, self.text = model, unit.replace(_SPACE, _LITERAL).replace(" ", _SPACE)
         self.total = array("d", bytes(8 * (len(unit) + 1)))
+        self.kept: dict[int, list[Way]] = {}                                 # by place, of short units
         for at in range(len(unit) - 1, -1, -1):
             self.total[at] = log_sum([w + self.total[to] for to, _, w in self._weights(at)])
 
     def _weights(self, at: int) -> list[Way]:
+        if at in self.kept:
+            return self.kept[at]
         text, names, out = self.text, self.model.names, []
         for to in range(at + 1, min(at + self.model.longest, len(text)) + 1):
             found = names.get(text[at:to])
@@ -220,6 +225,8 @@ class UnitLattice:
         if not out or out[0][0] > at + 1:                                    # no piece of one character: its bytes
             code = ord(text[at] if text[at] != _LITERAL else _SPACE)
             out.insert(0, (at + 1, -1 - code, self.model.byte_weight * (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))))
+        if len(text) <= UNIT_CHARS:
+            self.kept[at] = out
         return out
 
     def ways(self, at: int) -> list[Way]:
@@ -294,6 +301,7 @@ class Segmenter:
         size = sp.get_piece_size()
         plain = [i for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.bytes = {int(sp.id_to_piece(i)[1:-1], 16): i for i in range(size) if sp.is_byte(i)}
+        self.fallbacks: dict[int, np.ndarray] = {}
         names = [sp.id_to_piece(i) for i in plain]
         if any("\n" in p for p in names) or any(_SPACE in p.lstrip(_SPACE) for p in names):
             raise ValueError("pieces of this model cross units")
@@ -359,9 +367,12 @@ class Segmenter:
         if not len(odd):
             return pieces
         out, done = [], 0
-        for k in odd.tolist():
-            out.append(pieces[done:k])
-            out.append(np.array([self.bytes[b] for b in chr(-1 - int(pieces[k])).encode("utf-8", "surrogatepass")], np.int32))
+        for k, sign in zip(odd.tolist(), pieces[odd].tolist(), strict=True):
+            if sign not in self.fallbacks:
+                self.fallbacks[sign] = np.array([self.bytes[b] for b in chr(-1 - sign).encode("utf-8", "surrogatepass")], np.int32)
+            if done < k:
+                out.append(pieces[done:k])
+            out.append(self.fallbacks[sign])
             done = k + 1
         return np.concatenate([*out, pieces[done:]])
 

@@ -47,6 +47,14 @@ def give_back() -> None:
         trim(0)
 
 
+def hold_freed() -> None:
+    """Let this process keep the memory it frees until :func:`give_back`: a function that takes arrays of some MB
+    over and over would else have the system map and clear their pages each time."""
+    if set_option := getattr(ctypes.CDLL(None), "mallopt", None):
+        set_option(-3, 32 << 20)              # M_MMAP_THRESHOLD: smaller arrays come from the heap
+        set_option(-1, 64 << 20)              # M_TRIM_THRESHOLD: free bytes at its end that stay
+
+
 def releasing(run: Callable) -> Callable:
     """A partition function that gives unused memory back when it begins and ends: Python workers live on between
     stages, and what they hold back adds to the memory of every later stage on their executor."""

@@ -33,10 +33,12 @@ written as bytes; other columns are not read.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import re
 import zlib
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -54,7 +56,6 @@ UNIT_CHARS = 256             # of a unit whose lattice is built together with ot
 SLICE_CHARS = 80_000         # characters whose lattice is held at a time
 SEED = "segment-1"
 BEGINNING, MISS = -1, -2     # of a lookup: the beginning of a piece; of none
-TABLE = 1 << 19
 
 _SPACE = "▁"
 _LITERAL = "\U0010fffe"      # stands for a space sign that the text itself holds
@@ -98,8 +99,12 @@ def truncated(g: np.ndarray, top: float | np.ndarray) -> np.ndarray:
 
 def log1mexp(x: np.ndarray) -> np.ndarray:
     """``log(1 - exp(x))`` for x <= 0."""
+    near = x > -0.693
+    out = np.empty(len(x))
     with np.errstate(divide="ignore"):
-        return np.where(x > -0.693, np.log(-np.expm1(np.minimum(x, 0.0))), np.log1p(-np.exp(x)))
+        out[near] = np.log(-np.expm1(np.minimum(x[near], 0.0)))
+    out[~near] = np.log1p(-np.exp(x[~near]))
+    return out
 
 
 def units(text: str) -> list[str]:
@@ -122,7 +127,7 @@ class Lattices:
     """
 
     def __init__(self, model: Segmenter, types: list[str]):
-        lengths = np.array(list(map(len, types)), np.int64)
+        lengths = np.fromiter(map(len, types), np.int64, len(types))
         order = np.argsort(-lengths, kind="stable")
         rank = np.empty(len(types), np.int64)
         rank[order] = np.arange(len(types))
@@ -137,61 +142,67 @@ class Lattices:
         room = np.repeat(lengths, lengths) - (np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths))
         codes = np.empty(n, np.uint64)
         codes[self.offset[room] + np.repeat(rank, lengths)] = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        # Pieces that begin at each position, as long as some piece goes on.
-        at, room, h, hits = np.arange(n), self.room, np.zeros(n, np.uint64), []
-        rank = at - self.offset[room]
-        for k in range(model.longest):
-            h = (h ^ codes[self.offset[room - k] + rank]) * _HASH
+        # Pieces that begin at each position, as long as some piece goes on; a position's next one is that of one character less.
+        following = np.arange(n) - np.repeat(self.offset - np.concatenate([[0], self.offset[:-1]]), size)
+        at, to, h, hits = np.arange(n), np.arange(n), np.zeros(n, np.uint64), []
+        for _ in range(model.longest):
+            h = (h ^ codes[to]) * _HASH
             h ^= h >> np.uint64(32)
             found = model.lookup(h)
-            hits.append((at[found >= 0], found[found >= 0]))
-            on = np.flatnonzero((found != MISS) & (room > k + 1))
-            at, room, rank, h = at[on], room[on], rank[on], h[on]
+            hit = np.flatnonzero(found >= 0)
+            hits.append((at[hit], found[hit]))
+            on = np.flatnonzero((found != MISS) & (to >= size[1]))            # the first size[1] positions are the last of their units
+            at, to, h = at[on], following[to[on]], h[on]
             if not len(at):
                 break
         while len(hits) > 1 and not len(hits[-1][0]):
             hits.pop()
         width = len(hits)
-        self.weight = np.full((n, width), -np.inf, np.float32)
-        self.piece = np.zeros((n, width), np.int32)
+        # By piece length, then by position: the positions of one slice lie side by side.
+        self.weight = np.full((width, n), -np.inf, np.float32)
+        self.piece = np.zeros((width, n), np.int32)
         for k, (where, found) in enumerate(hits):
-            self.piece[where, k] = found
-            self.weight[where, k] = model.log_weight[found]
-        bare = np.flatnonzero(self.weight[:, 0] == -np.inf)
+            self.piece[k][where] = found
+            self.weight[k][where] = model.log_weight[found]
+        bare = np.flatnonzero(self.weight[0] == -np.inf)
         if len(bare):
             code = np.where(codes[bare] == ord(_LITERAL), ord(_SPACE), codes[bare]).astype(np.int32)
-            self.piece[bare, 0] = -1 - code                            # written out as bytes later
-            self.weight[bare, 0] = model.byte_weight * (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
+            self.piece[0][bare] = [model.ascii[c] if c < 0x80 else -1 - c for c in code.tolist()]      # below 0: written out later
+            self.weight[0][bare] = model.byte_weight * (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
         # Total weight of all ways from a position to its unit's end, from the ends backwards.
-        total = np.zeros(n)
-        self.chance = np.empty((n, width), np.float32)
+        total = np.zeros(n, np.float32)
+        self.chance = np.ones((n, width), np.float32)                  # by position: a draw reads all of one
         for r in range(1, longest + 1):
-            lo, m = int(self.offset[r]), int(size[r])
-            ways = self.weight[lo:lo + m]
+            lo, m, fits = int(self.offset[r]), int(size[r]), min(r, width)
+            ways = self.weight[:fits, lo:lo + m]
             for k in range(min(r - 1, width)):
-                ways[:, k] += total[self.offset[r - k - 1]:self.offset[r - k - 1] + m]
-            top = ways.max(axis=1)
-            ways -= top[:, None]
-            chance = np.cumsum(np.exp(ways), axis=1)
-            whole = chance[:, -1]
+                ways[k] += total[self.offset[r - k - 1]:self.offset[r - k - 1] + m]
+            top = ways.max(axis=0)
+            ways -= top
+            chance = np.exp(ways)
+            for k in range(1, fits):
+                chance[k] += chance[k - 1]
+            whole = chance[-1]
             total[lo:lo + m] = top + np.log(whole)
-            ways -= np.log(whole)[:, None]                             # log chance of each piece, given its start
-            self.chance[lo:lo + m] = chance / whole[:, None]           # exactly 1 from the last piece on
+            ways -= np.log(whole)                                      # log chance of each piece, given its start
+            self.chance[lo:lo + m, :fits] = (chance / whole).T         # exactly 1 from the last piece on
 
     def walk(self, at: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Draw a segmentation from each position to its unit's end: pieces per walk, first piece, pieces, log chance."""
         count, log_chance = np.zeros(len(at), np.int64), np.zeros(len(at))
-        live, place, steps = np.arange(len(at)), at, []
+        live, room, steps = np.arange(len(at)), self.room[at], []
+        rank, piece, weight = at - self.offset[room], self.piece.ravel(), self.weight.ravel()
         while len(live):
+            place = self.offset[room] + rank
             u = np.minimum(uniform(seed, len(steps)).astype(np.float32), _BELOW_ONE)
-            k = (self.chance[place] > u[:, None]).argmax(axis=1)
-            steps.append((live, self.piece[place, k]))
-            log_chance[live] += self.weight[place, k]
-            room = self.room[place]
-            on = np.flatnonzero(room > k + 1)
-            count[live] += 1
-            live, seed, room, place, k = live[on], seed[on], room[on], place[on], k[on]
-            place = place - self.offset[room] + self.offset[room - k - 1]
+            k = (self.chance.take(place, axis=0) > u[:, None]).argmax(axis=1)
+            way = k * len(self.chance) + place
+            steps.append((live, piece.take(way)))
+            log_chance[live] += weight.take(way)
+            count[live] = len(steps)
+            room = room - k - 1
+            on = np.flatnonzero(room)
+            live, seed, room, rank = live[on], seed[on], room[on], rank[on]
         first = np.cumsum(count) - count
         pieces = np.empty(int(count.sum()), np.int32)
         for s, (who, piece) in enumerate(steps):
@@ -224,7 +235,8 @@ class UnitLattice:
                 out.append((to, found, self.model.weights[found]))
         if not out or out[0][0] > at + 1:                                    # no piece of one character: its bytes
             code = ord(text[at] if text[at] != _LITERAL else _SPACE)
-            out.insert(0, (at + 1, -1 - code, self.model.byte_weight * (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))))
+            piece = self.model.ascii[code] if code < 0x80 else -1 - code
+            out.insert(0, (at + 1, piece, self.model.byte_weight * (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))))
         if len(text) <= UNIT_CHARS:
             self.kept[at] = out
         return out
@@ -301,6 +313,7 @@ class Segmenter:
         size = sp.get_piece_size()
         plain = [i for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.bytes = {int(sp.id_to_piece(i)[1:-1], 16): i for i in range(size) if sp.is_byte(i)}
+        self.ascii = [self.bytes.get(c, -1 - c) for c in range(128)]       # what stands for a character without a piece
         self.fallbacks: dict[int, np.ndarray] = {}
         names = [sp.id_to_piece(i) for i in plain]
         if any("\n" in p for p in names) or any(_SPACE in p.lstrip(_SPACE) for p in names):
@@ -332,16 +345,19 @@ class Segmenter:
             hashes[rows] = h
         if len(np.unique(hashes)) != len(hashes):
             raise ValueError("two pieces share a hash")
-        # Tables by the low bits of the hash; what collides goes to the next one.
-        self.tables: list[tuple[np.ndarray, np.ndarray, int]] = []
+        # Tables by the low bits of the hash; what collides goes to the next one, and its place is marked.
+        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]] = []
+        self.places = 1 << (2 * len(known)).bit_length()
         ids, shift = np.array(list(known.values()), np.int32), 0
         while len(ids):
-            slot = ((hashes >> np.uint64(shift)) & np.uint64(TABLE - 1)).astype(np.int64)
+            slot = ((hashes >> np.uint64(shift)) & np.uint64(self.places - 1)).astype(np.int64)
             _, first = np.unique(slot, return_index=True)
-            table, check = np.full(TABLE, MISS, np.int32), np.zeros(TABLE, np.uint64)
+            table, check = np.full(self.places, MISS, np.int32), np.zeros(self.places, np.uint64)
             table[slot[first]], check[slot[first]] = ids[first], hashes[first]
-            self.tables.append((table, check, shift))
             rest = np.setdiff1d(np.arange(len(ids)), first)
+            shared = np.zeros(self.places, bool)
+            shared[slot[rest]] = True
+            self.tables.append((table, check, shared, shift))
             ids, hashes, shift = ids[rest], hashes[rest], shift + 11
         # Bytes of every piece, for decoding.
         raw = [b""] * size
@@ -350,15 +366,24 @@ class Segmenter:
         for byte, i in self.bytes.items():
             raw[i] = bytes([byte])
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
-        self.raw_length = np.array([len(r) for r in raw], np.int64)
-        self.raw_start = np.cumsum(self.raw_length) - self.raw_length
+        self.raw_length = np.array([len(r) for r in raw], np.int32)
+        self.raw_start = np.cumsum(self.raw_length, dtype=np.int32) - self.raw_length
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
         """Ids of pieces, ``BEGINNING`` for the beginning of one, else ``MISS``."""
-        out = np.full(len(h), MISS, np.int32)
-        for table, check, shift in self.tables:
-            slot = ((h >> np.uint64(shift)) & np.uint64(TABLE - 1)).astype(np.int64)
-            np.copyto(out, table[slot], where=check[slot] == h)
+        out, who = None, None
+        for table, check, shared, shift in self.tables:
+            slot = ((h >> np.uint64(shift)) & np.uint64(self.places - 1)).view(np.int64)
+            hit = check[slot] == h
+            found = np.where(hit, table[slot], np.int32(MISS))
+            if out is None:
+                out = found
+            else:
+                out[who] = found
+            rest = np.flatnonzero(shared[slot] & ~hit)
+            if not len(rest):
+                break
+            h, who = h[rest], rest if who is None else who[rest]
         return out
 
     def written(self, pieces: np.ndarray) -> np.ndarray:
@@ -378,9 +403,11 @@ class Segmenter:
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         """The text's bytes: those of the pieces, without the space that encoding puts in front."""
-        lengths = self.raw_length[ids]
-        into = np.cumsum(lengths) - lengths
-        return self.raw[np.repeat(self.raw_start[ids] - into, lengths) + np.arange(int(lengths.sum()))].tobytes()[1:]
+        lengths = self.raw_length.take(ids)
+        ends = np.cumsum(lengths)
+        at = np.repeat(self.raw_start.take(ids) - ends + lengths, lengths)
+        at += np.arange(len(at))
+        return self.raw.take(at).tobytes()[1:]
 
     def decode(self, ids) -> str:
         return self.decode_bytes(np.asarray(ids, np.int64)).decode("utf-8", "replace")
@@ -403,7 +430,8 @@ class _Draws:
 
     def __init__(self, model: Segmenter, words: list[str], seed: np.ndarray, samples: int):
         self.model, self.words, self.seed = model, words, seed
-        self.parts = [(a, b, self._drawn(a, b, samples)) for a, b in _parts(words)]
+        self.lengths = np.fromiter(map(len, words), np.int64, len(words))
+        self.parts = [(a, b, self._drawn(a, b, samples)) for a, b in _parts(self.lengths)]
         self.log_chance = [np.concatenate([p[2][s][3] for p in self.parts]) for s in range(samples)]
         self.before = [np.cumsum(lc) - lc for lc in self.log_chance]
         self.rest = [gumbel(log1mexp(lc), uniform(seed ^ salt(s + 1), 7)) for s, lc in enumerate(self.log_chance)]
@@ -411,7 +439,7 @@ class _Draws:
     def _drawn(self, a: int, b: int, samples: int) -> list[Walks]:
         """Per draw of the units a to b: pieces of each unit, first piece, pieces, log chance."""
         own, seed = self.words[a:b], self.seed[a:b]
-        is_long = np.fromiter(map(len, own), np.int64, len(own)) > UNIT_CHARS
+        is_long = self.lengths[a:b] > UNIT_CHARS
         if not is_long.any():
             return self._together(own, seed, samples)
         short = np.flatnonzero(~is_long)
@@ -433,10 +461,9 @@ class _Draws:
         return out
 
     def _together(self, own: list[str], seed: np.ndarray, samples: int) -> list[Walks]:
-        types = list(dict.fromkeys(own))
-        number = dict(zip(types, range(len(types)), strict=True))
+        number = defaultdict(itertools.count().__next__)                  # of a unit not seen yet: the next one
         kind = np.fromiter(map(number.__getitem__, own), np.int64, len(own))
-        lattices = Lattices(self.model, types)
+        lattices = Lattices(self.model, list(number))
         at = lattices.starts[kind]
         return [lattices.walk(at, seed + salt(s)) for s in range(samples)]
 
@@ -482,10 +509,10 @@ def _sample_slice(model: Segmenter, words: list[list[str]], seeds: list[int], sa
             for a, b, key, begin in zip(first.tolist(), first[1:].tolist(), keys.tolist(), shift.tolist(), strict=False)]
 
 
-def _parts(words: list[str]) -> Iterator[tuple[int, int]]:
+def _parts(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
     """Cuts of the units into parts of bounded size: a lattice never holds more than that of a very long text."""
-    part = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) // (2 * SLICE_CHARS)
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(words)]
+    part = np.cumsum(lengths) // (2 * SLICE_CHARS)
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(lengths)]
     yield from zip(cuts, cuts[1:], strict=False)
 
 
@@ -583,6 +610,7 @@ def encode(docs: DataFrame, model_path: str, samples: int = SAMPLES, alpha: floa
     slim = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.hold_freed()
         model = segmenter(model_path, alpha)
         for batch in batches:
             for keys, texts in _slices(batch):
@@ -603,6 +631,7 @@ def digests(docs: DataFrame, model_path: str, samples: int = SAMPLES, alpha: flo
     slim = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.hold_freed()
         model = segmenter(model_path, alpha)
         for batch in batches:
             for keys, texts in _slices(batch):

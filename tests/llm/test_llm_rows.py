@@ -7,8 +7,11 @@ import math
 import random
 import re
 import struct
+import subprocess
+import sys
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -374,6 +377,54 @@ def test_a_text_of_five_million_characters(make_docs, prose):
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 900_000
 
 
+def test_lookups_answer_as_the_names_and_few_go_on():
+    """A look into the first table settles nearly all prefixes, known or not; later tables are asked for places that names share."""
+    model = lattice.segmenter(PIECES)
+    asked = [*list(model.names)[::7], *(n + "\x01" for n in list(model.names)[::7]), "\x02", "日本語だ"]
+    h = np.zeros(len(asked), np.uint64)
+    for row, name in enumerate(asked):
+        for c in name:
+            x = ((int(h[row]) ^ ord(c)) * int(lattice._HASH)) & lattice._MASK
+            h[row] = x ^ (x >> 32)
+    expected = [model.names.get(name, lattice.MISS) for name in asked]
+    assert model.lookup(h).tolist() == expected and model.lookup(h[:0]).tolist() == []
+    (_, check, shared, _), *later = model.tables
+    slot = (h & np.uint64(model.places - 1)).astype(np.int64)
+    assert later and np.count_nonzero(shared[slot] & (check[slot] != h)) < 0.2 * len(asked)
+
+
+def test_ascii_characters_without_a_piece_are_bytes_at_once():
+    """Only characters of several bytes are left to be written out after the draws."""
+    model = lattice.segmenter(PIECES)
+    odd = [chr(c) for c in range(128) if chr(c) not in model.names and chr(c) != " "]
+    assert odd
+    both = lattice.Lattices(model, [*odd, "\U0001f9ff"])
+    assert both.piece[0][both.starts].tolist() == [*(model.bytes[ord(c)] for c in odd), -1 - 0x1F9FF]
+    assert [lattice.UnitLattice(model, c).ways(0)[0][1] for c in odd] == [model.bytes[ord(c)] for c in odd]
+    text = "".join(odd) + "\U0001f9ff"
+    for ids, _, _ in lattice.sample_text(model, text, 3, 3):
+        assert model.decode(ids) == text
+
+
+def test_freed_memory_is_held_until_given_back():
+    """Arrays taken again and again are mapped once: few page faults, where each array had all of its own."""
+    code = """
+import resource
+import numpy as np
+from evalspark.llm import common
+common.hold_freed()
+np.ones(1 << 20)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+for _ in range(20):
+    a, b = np.ones(1 << 20), np.ones(1 << 19)
+    del a, b
+print(resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before)
+common.give_back()
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(lattice.__file__).parents[2])
+    assert int(done.stdout) < 6_000                                # 20 times 12 MB are 61,440 pages
+
+
 # ---- secrets
 
 def der(tag, body):

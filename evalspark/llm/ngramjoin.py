@@ -13,10 +13,12 @@ Steps, none of which holds more than a bounded group in one task:
    similar sets share an n-gram among their first few in a common order
    (rare ones first, by a sample; any order is exact, a good one is fast).
    Documents with equal sets are one class from here on.
-2. Prefix entries that occur in one class only are dropped; the others deal
-   the points to trees, one per shared n-gram, very common ones split into
-   pairs of parts.  Points whose size, position and bound allow the
-   similarity are tied to the block of their candidates.
+2. Prefix entries that occur in one class only are dropped; the others are
+   dealt to trees, one per shared n-gram, very common ones split into pairs of
+   parts.  Entries that size and position allow a partner get their points;
+   points whose bound allows the similarity, too, are tied to the block of
+   their candidates.  Points are fine enough to tell unlike sets apart: ties
+   of unlike ones would join blocks to ever larger ones as documents grow.
 3. The texts of each block, split likewise when it is large, are brought
    together once; a tree of fine points proposes pairs, the sets decide, and
    pairs that are already connected are not looked at again.
@@ -43,7 +45,8 @@ from evalspark.llm.components import components
 
 WORDS = 3                    # words per n-gram, unless asked for others
 PERCENT = 90
-MIN_GROUPS, GRAMS_PER_GROUP = 32, 30          # coordinates of a coarse point: enough to tell unlike sets of that size apart
+MIN_GROUPS, MAX_FINE = 128, 1024              # coordinates of a coarse point: one for two n-grams up to MAX_FINE,
+GRAMS_PER_GROUP = 16         # from there on one for so many; unlike sets of one size share 86 % by the bound then, less in finer points
 SAMPLE_EVERY = 8             # one text in so many counts n-grams for the order
 MAX_COMMON = 500_000         # n-grams that the order knows as common: bounds what tasks receive
 SHARD_ROWS = 2048            # points of one tree in step 2
@@ -92,7 +95,7 @@ def point(hashes: np.ndarray, groups: int) -> np.ndarray:
 def coarse_point(hashes: np.ndarray) -> bytes:
     """A point with one byte per coordinate; as many coordinates as that takes."""
     groups = MIN_GROUPS
-    while groups * GRAMS_PER_GROUP < len(hashes):
+    while groups * (2 if groups < MAX_FINE else GRAMS_PER_GROUP) < len(hashes):
         groups *= 2
     while (counts := point(hashes, groups)).max(initial=0) > 255:
         groups *= 2
@@ -232,32 +235,50 @@ class _Points:
         return out
 
 
+def _fitting(table: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows of each tree whose sizes and positions allow the similarity, and the overlap they need."""
+    get = lambda c: table.column(c).to_numpy()
+    n, at = get("n_grams"), get("at")
+    run_of = np.zeros(len(n), np.int64)
+    run_of[1:] = np.cumsum(np.any([np.diff(get(c)) != 0 for c in ("gram", "i", "j")], axis=0))
+    here = np.arange(len(n))
+    for step in range(1, len(n)):                         # rows of a run are in the order of size
+        here = here[here + step < len(n)]
+        here = here[(run_of[here] == run_of[here + step]) & (100 * n[here] >= percent * n[here + step])]
+        if not len(here):
+            return
+        there = here + step
+        need = needed(n[here], n[there], percent)
+        fits = (at[here] < index_length(n[here], percent)) & (np.minimum(n[here] - at[here], n[there] - at[there]) >= need)
+        yield here[fits], there[fits], need[fits]
+
+
+def _partners(percent: int) -> Callable:
+    """The rows of each tree that size and position allow a partner: few do, and only these need their points."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, ["gram", "i", "j"], CHUNK_ROWS):
+            stay = np.zeros(table.num_rows, bool)
+            for a, b, _ in _fitting(table, percent):
+                stay[a] = stay[b] = True
+            yield from table.filter(pa.array(stay)).combine_chunks().to_batches()
+
+    return run
+
+
 def _candidates(percent: int) -> Callable:
     """Ties between the points of each tree whose size, position and bound allow the similarity."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, ["gram", "i", "j"], CHUNK_ROWS):
-            get = lambda c: table.column(c).to_numpy()  # noqa: B023, E731
-            n, at, cid = get("n_grams"), get("at"), get("cid")
-            run_of = np.zeros(len(n), np.int64)
-            run_of[1:] = np.cumsum(np.any([np.diff(get(c)) != 0 for c in ("gram", "i", "j")], axis=0))
+            cid = table.column("cid").to_numpy()
             points = _Points(table.column("point").to_pylist())
             found_a, found_b = [], []
-            here = np.arange(len(n))
-            for step in range(1, len(n)):                 # rows of a run are in the order of size
-                here = here[here + step < len(n)]
-                here = here[(run_of[here] == run_of[here + step]) & (100 * n[here] >= percent * n[here + step])]
-                if not len(here):
-                    break
-                there = here + step
-                need = needed(n[here], n[there], percent)
-                fits = (at[here] < index_length(n[here], percent)) & (np.minimum(n[here] - at[here], n[there] - at[there]) >= need)
-                a, b, need = here[fits], there[fits], need[fits]
+            for a, b, need in _fitting(table, percent):
                 fits = points.bound(a, b) >= need
                 found_a.append(a[fits])
                 found_b.append(b[fits])
             if found_a:
-                root = _tied(np.concatenate(found_a), np.concatenate(found_b), len(n))
-                tied = np.flatnonzero(root != np.arange(len(n)))
+                root = _tied(np.concatenate(found_a), np.concatenate(found_b), len(cid))
+                tied = np.flatnonzero(root != np.arange(len(cid)))
                 pairs = np.unique(np.stack([cid[tied], cid[root[tied]]], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
@@ -330,9 +351,13 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int, words: int) -> Dat
     entries = classes.select("cid", "n_grams", F.posexplode("prefix").alias("at", "gram"))
     shared = entries.groupBy("gram").agg(F.count("*").alias("points")).filter("points > 1")
     shared = shared.select("gram", _split(F.col("points"), SHARD_ROWS).alias("parts"))
-    dealt = entries.join(shared, "gram").join(classes.select("cid", "point"), "cid")
-    trees = _dealt(dealt, "gram", "parts", F.col("cid")).repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j", "n_grams", "cid")
-    ties = trees.select("gram", "i", "j", "n_grams", "at", "cid", "point").mapInArrow(common.releasing(_candidates(percent)), "u long, v long")
+    tree, columns = ["gram", "i", "j"], ["gram", "i", "j", "n_grams", "at", "cid"]
+    dealt = _dealt(entries.join(shared, "gram"), "gram", "parts", F.col("cid")).select(*columns)
+    trees = dealt.repartition(*tree).sortWithinPartitions(*tree, "n_grams", "cid")
+    live = trees.mapInArrow(common.releasing(_partners(percent)), dealt.schema)
+    points = live.join(classes.select("cid", "point"), "cid").select(*columns, "point")
+    trees = points.repartition(*tree).sortWithinPartitions(*tree, "n_grams", "cid")
+    ties = trees.mapInArrow(common.releasing(_candidates(percent)), "u long, v long")
     blocks = common.staged(components(ties), "blocks")
     members = blocks.join(classes.select("cid", "n_grams", "digest", "doc_id"), F.col("id") == F.col("cid"))
     sizes = blocks.join(classes.select("cid", "n_grams"), F.col("id") == F.col("cid")).groupBy("root").agg(

@@ -6,6 +6,7 @@ import time
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,39 @@ def test_bounds_never_exclude_a_link():
             assert set(small[:ngramjoin.index_length(len(small))]) & set(large[:ngramjoin.prefix_length(len(large))])
 
 
+def tree_of(sets, at=0):
+    """One tree of sets, as rows of a batch in the order of size."""
+    sets = sorted(sets, key=len)
+    n = len(sets)
+    return pa.RecordBatch.from_arrays([
+        *[pa.array([k] * n, t) for k, t in ((7, pa.int64()), (0, pa.int32()), (0, pa.int32()))],
+        pa.array([len(s) for s in sets]), pa.array([at] * n, pa.int32()), pa.array(range(n)),
+        pa.array([ngramjoin.coarse_point(s) for s in sets], pa.binary())], ["gram", "i", "j", "n_grams", "at", "cid", "point"])
+
+
+@pytest.mark.parametrize("size", [150, 470, 950, 1900, 3800, 7600, 30_000])
+def test_unlike_sets_of_a_tree_are_not_tied(size):
+    """Sets that share a rare n-gram and nothing else: each tie of theirs would make blocks of unlike documents grow."""
+    draw = np.random.default_rng(size)
+    sets = [np.unique(draw.integers(0, 2 ** 63, size, dtype=np.uint64)) for _ in range(12)]
+    found = list(ngramjoin._candidates(80)(iter([tree_of(sets)])))
+    assert sum(b.num_rows for b in found) <= 1
+    near = [*sets, np.concatenate([sets[0][size // 10:], sets[1][:size // 20]])]       # and a set like one of them is
+    found = list(ngramjoin._candidates(80)(iter([tree_of(near)])))
+    assert 1 <= sum(b.num_rows for b in found) <= 2
+
+
+def test_only_entries_with_a_partner_get_points():
+    draw = np.random.default_rng(1)
+    sizes = [100, 124, 126, 400, 900, 901]                   # 100 and 124, 126 and 124 may be alike at 0.8, and 900 and 901
+    batch = tree_of([draw.integers(0, 2 ** 63, n, dtype=np.uint64) for n in sizes]).drop_columns(["point"])
+    stay = list(ngramjoin._partners(80)(iter([batch])))
+    assert [n for b in stay for n in b.column(3).to_pylist()] == [100, 124, 126, 900, 901] and stay[0].schema == batch.schema
+    assert not list(ngramjoin._partners(80)(iter([batch.slice(3, 2)])))
+    late = tree_of([draw.integers(0, 2 ** 63, 900, dtype=np.uint64)] * 2, at=150).drop_columns(["point"])
+    assert not list(ngramjoin._partners(80)(iter([late])))   # too few n-grams are left behind their places
+
+
 def test_connected_components(spark):
     rnd = random.Random(2)
     edges = [(rnd.randint(0, 60), rnd.randint(0, 60)) for _ in range(45)] + [(100 + k, 101 + k) for k in range(40)] + [(7, 7)]

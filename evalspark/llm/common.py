@@ -17,6 +17,9 @@ from evalspark.session import scratch_path
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: Rows that may be broadcast.
+BROADCAST_ROWS = 100_000
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -81,6 +84,12 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
+def broadcast_few(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A staged table of narrow rows, marked for a broadcast if it has at most ``rows`` of them: what is joined with it
+    need not be shuffled then."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
 def staged(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """``df`` written to a fresh folder under the shared checkpoint folder and read back:
     computed once, its lineage cut, and safe when executors are lost."""

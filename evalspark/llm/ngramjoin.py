@@ -36,6 +36,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
@@ -53,24 +54,84 @@ SHARD_ROWS = 2048            # points of one tree in step 2
 BLOCK_DOCS, BLOCK_GRAMS = 2048, 4_000_000     # of one part of a block in step 3
 LEAF = 32                    # points of a tree leaf
 CHUNK_ROWS = 20_000
+LONG_WORD = 64               # bytes; longer words are hashed one by one
+SLICE_BYTES = 1 << 17        # of texts whose words are hashed together
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
-def grams(text: str | None, n: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word n-grams of a text, A-Z lower-cased."""
-    words = text.encode().lower().split() if text else []        # bytes: ASCII case and white space only
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
-    width = min(n, len(h))
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)      # masks of the first bytes of eight
+
+
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _A
+    x = (x ^ (x >> np.uint64(29))) * _B
+    return x ^ (x >> np.uint64(32))
+
+
+def _word_hashes(data: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words in the bytes of texts that begin at the offsets ``texts`` (the last one is the end),
+    and where each text's words begin and end among them.  Words are read eight bytes at a time."""
+    size = len(data)
+    padded = np.zeros(size + 8, np.uint8)
+    padded[:size] = _LOWER[data]
+    eight = np.ndarray(size + 1, "<u8", padded.data, strides=(1,))     # the eight bytes from each place on
+    word = ~_SPACE[data]
+    new = np.ones(size + 1, bool)                                      # a word can begin here, or has ended
+    new[1:size] = ~word[:-1]
+    new[texts] = True
+    begin = np.flatnonzero(word & new[:-1])
+    new[:size] |= ~word
+    length = np.flatnonzero(word & new[1:]) + 1 - begin
+    hashes = _scrambled((eight[begin] & _FIRST[np.minimum(length, 8)]) + length.astype(np.uint64) * _C)
+    left = np.flatnonzero((length > 8) & (length <= LONG_WORD))
+    for at in range(8, LONG_WORD, 8):
+        left = left[length[left] > at]
+        if not len(left):
+            break
+        hashes[left] = _scrambled(hashes[left] * _C ^ (eight[begin[left] + at] & _FIRST[np.minimum(length[left] - at, 8)]))
+    for k in np.flatnonzero(length > LONG_WORD).tolist():
+        hashes[k] = xxh3_64_intdigest(padded[begin[k]:begin[k] + length[k]].tobytes())
+    return hashes, np.searchsorted(begin, texts)
+
+
+def _runs_of(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of so many words."""
     out = np.full(len(h) - width + 1, np.uint64(width))
     for k in range(width):
         out = (out ^ h[k:len(h) - width + 1 + k]) * _A
         out ^= out >> np.uint64(29)
-    out = (out ^ (out >> np.uint64(32))) * _B
-    out ^= out >> np.uint64(31)
-    return np.unique(out)
+    return _scrambled(out)
+
+
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    hashes = np.sort(hashes)
+    return hashes[np.append(True, hashes[1:] != hashes[:-1])] if len(hashes) else hashes
+
+
+def gram_sets(texts: pa.Array, n: int = WORDS) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its word n-grams, A-Z lower-cased."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    ends = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    out, first = [], 0
+    while first < len(texts):                                          # some texts at a time: arrays that stay in the cache
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + SLICE_BYTES, "right")) - 1)
+        hashes, at = _word_hashes(data[ends[first]:ends[last]], ends[first:last + 1] - ends[first])
+        runs = _runs_of(hashes, n) if len(hashes) >= n else hashes
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            out.append(_distinct(runs[a:b - n + 1] if b - a >= n else _runs_of(hashes[a:b], b - a) if b > a else hashes[:0]))
+        first = last
+    return out
+
+
+def grams(text: str | None, n: int = WORDS) -> np.ndarray:
+    """:func:`gram_sets` of one text."""
+    return gram_sets(pa.array([text], pa.string()), n)[0]
 
 
 def needed(n, m, percent: int = PERCENT):
@@ -109,7 +170,7 @@ def _common(docs: DataFrame, words: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch):
-                sets = [grams(t, words) for t in part.column(0).to_pylist()]
+                sets = gram_sets(part.column(0), words)
                 every, count = np.unique(np.concatenate(sets), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(count)], ["gram", "n"])
 
@@ -121,28 +182,42 @@ def _common(docs: DataFrame, words: int) -> np.ndarray:
     return np.stack([hashes[order], known[order, 1].astype(np.uint64)])
 
 
-def _prefix(hashes: np.ndarray, known: np.ndarray, percent: int) -> np.ndarray:
-    if not len(hashes):
-        return hashes
-    turn = np.zeros(len(hashes), np.uint64)
-    if known.shape[1]:
-        at = np.minimum(np.searchsorted(known[0], hashes), known.shape[1] - 1)
-        turn = np.where(known[0][at] == hashes, known[1][at], np.uint64(0))
-    return hashes[np.lexsort((hashes, turn))[:prefix_length(len(hashes), percent)]]
+class _Order:
+    """The common order of n-grams: by count, then by hash; those that are not known as common come first."""
+
+    def __init__(self, known: np.ndarray):
+        self.known = known
+        self.maybe = np.zeros(1 << 22, bool)              # tells most unknown ones without a search
+        self.maybe[known[0] & np.uint64(len(self.maybe) - 1)] = True
+
+    def prefix(self, hashes: np.ndarray, percent: int) -> np.ndarray:
+        """Of a set's hashes, in ascending order, the first ones that a similar set must share one of."""
+        if not len(hashes):
+            return hashes
+        length = prefix_length(len(hashes), percent)
+        look = np.flatnonzero(self.maybe[hashes & np.uint64(len(self.maybe) - 1)])
+        turn = np.zeros(len(hashes), np.uint64)
+        if len(look):
+            at = np.minimum(np.searchsorted(self.known[0], hashes[look]), self.known.shape[1] - 1)
+            turn[look] = np.where(self.known[0][at] == hashes[look], self.known[1][at], np.uint64(0))
+        unknown = hashes[turn == 0]
+        return unknown[:length] if len(unknown) >= length else hashes[np.lexsort((hashes, turn))[:length]]
 
 
 def _describe(known, percent: int, words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common_grams = known.value
+        order = _Order(known.value)
         for batch in batches:
             for part in common.slices(batch):
-                sets = [grams(t, words) for t in part.column(1).to_pylist()]
+                sets = gram_sets(part.column(1), words)
+                prefixes = [order.prefix(s, percent) for s in sets]
+                ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(2),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array([coarse_point(s) for s in sets], pa.binary()),
-                    pa.array([_prefix(s, common_grams, percent).view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                    pa.ListArray.from_arrays(ends, np.concatenate(prefixes).view(np.int64))],
                     ["doc_id", "version", "n_grams", "digest", "point", "prefix"])
 
     return run
@@ -335,7 +410,7 @@ def _verify(percent: int, words: int) -> Callable:
             links: list[tuple[int, int]] = []
             for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):
                 part = table.slice(a, b - a)
-                sets = [grams(t, words) for t in part.column("text").to_pylist()]
+                sets = [s for c in part.column("text").chunks for s in gram_sets(c, words)]
                 own = [len(s) > 0 and xxh3_128_digest(s.tobytes()) == d for s, d in zip(sets, part.column("digest").to_pylist(), strict=True)]
                 cid = part.column("cid").to_numpy()[own]
                 if len(cid) > 1:
@@ -365,6 +440,7 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int, words: int) -> Dat
     sizes = sizes.select(F.col("root").alias("block"),
                          F.greatest(_split(F.col("docs"), BLOCK_DOCS), _split(F.col("grams"), BLOCK_GRAMS)).alias("parts"))
     members = members.join(sizes, F.col("root") == F.col("block")).select("block", "parts", "cid", "digest", "doc_id")
+    members = common.broadcast_few(common.staged(members, "members"))
     texts = docs.select(F.col("doc_id").alias("text_id"), "text")        # joined on the id; other texts of it are told by digest
     placed = _dealt(members.join(texts, F.col("doc_id") == F.col("text_id")), "block", "parts", F.col("cid"))
     groups = placed.select("block", "i", "j", "cid", "digest", "text").repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "cid")
@@ -405,6 +481,7 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> Dat
     winners = placed.groupBy("root").agg(F.min(F.struct("doc_id", "version")).alias("w"))
     losers = placed.join(winners, "root").filter(F.struct("doc_id", "version") != F.col("w")).select(
         F.col("doc_id").alias("lost_id"), F.col("version").alias("lost_version")).distinct()
+    losers = common.broadcast_few(common.staged(losers, "losers"))
     marked = docs.withColumn(version, F.xxhash64("text"))
     left = marked.join(losers, (marked["doc_id"] == losers["lost_id"]) & (marked[version] == losers["lost_version"]), "left_anti")
     twice = placed.groupBy("doc_id", "version").count().filter("count > 1").select(

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from evalspark.llm import components, linededup, ngramjoin, topk
+from evalspark.llm import common, components, linededup, ngramjoin, topk
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -100,6 +100,50 @@ def test_bounds_never_exclude_a_link():
             assert set(small[:ngramjoin.index_length(len(small))]) & set(large[:ngramjoin.prefix_length(len(large))])
 
 
+@pytest.mark.parametrize("n", [1, 3, 5])
+def test_sets_of_many_texts_at_once(n, monkeypatch):
+    """As many n-grams as there are distinct runs of words, the same ones alone and among other texts."""
+    rnd = random.Random(n)
+    texts = [None, "", " \t\x0b\x0c", "a", "A B", "a  b\n", "\x00 a\x00 a", "é É ß", "a\x1cb\x85c\xa0d", "x" * 5000 + " y " + "x" * 5001]
+    texts += ["".join(rnd.choice("aAbB \t\né\x00") * rnd.choice([1, 1, 1, 9]) for _ in range(rnd.randint(0, 200))) for _ in range(300)]
+    texts += [" ".join("".join(rnd.choices("ab", k=rnd.randint(60, 68))) for _ in range(20)) for _ in range(5)]
+    monkeypatch.setattr(ngramjoin, "SLICE_BYTES", 700)
+
+    def runs(text):
+        words = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(text or "")]
+        width = min(n, len(words))
+        return {tuple(words[k:k + width]) for k in range(len(words) - width + 1)} if words else set()
+
+    sets = ngramjoin.gram_sets(pa.array(texts).slice(2), n)
+    assert [len(s) for s in sets] == [len(runs(t)) for t in texts[2:]]
+    name = {}
+    for t, s in zip(texts[2:], sets, strict=True):
+        assert np.array_equal(s, ngramjoin.grams(t, n)) and np.all(s[1:] > s[:-1])
+        name.setdefault(frozenset(runs(t)), s.tobytes())
+        assert name[frozenset(runs(t))] == s.tobytes()
+    assert len(set(name.values())) == len(name)              # other sets have other hashes
+    assert ngramjoin.gram_sets(pa.array([], pa.string()), n) == []
+
+
+def test_prefix_is_the_first_of_the_common_order():
+    draw = np.random.default_rng(4)
+    hashes = np.unique(draw.integers(0, 2 ** 63, 300, dtype=np.uint64))
+    for share in (0, 40, 280, 300):
+        known = np.stack([np.sort(draw.permutation(hashes)[:share]), draw.integers(3, 9, share, dtype=np.uint64)])
+        turn = dict(zip(*known.tolist(), strict=True))
+        expected = sorted(hashes.tolist(), key=lambda h: (turn.get(h, 0), h))  # noqa: B023
+        for percent in (80, 90):
+            got = ngramjoin._Order(known).prefix(hashes, percent)
+            assert got.tolist() == expected[:ngramjoin.prefix_length(len(hashes), percent)]
+    assert len(ngramjoin._Order(known).prefix(hashes[:0], 80)) == 0
+
+
+def test_few_rows_are_broadcast_and_many_are_not(spark):
+    few = spark.range(5)
+    plan = lambda t: spark.range(9).join(t, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(common.broadcast_few(few, 5)) and "strategy=broadcast" not in plan(common.broadcast_few(few, 4))
+
+
 def tree_of(sets, at=0):
     """One tree of sets, as rows of a batch in the order of size."""
     sets = sorted(sets, key=len)
